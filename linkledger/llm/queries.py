@@ -39,3 +39,26 @@ def op8_byte_bpe(spark, sf_dir):
     from .byte_bpe import op8_byte_bpe as run
 
     return run(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op4_sharding(spark, sf_dir):
+    from .sharding import op4_sharding as run
+
+    return run(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_line_dedup(spark, sf_dir):
+    from .line_dedup import op6_line_dedup as run
+
+    return run(table(spark, sf_dir, "documents"))
+
+
+def _oracles() -> None:
+    from .line_dedup import OP6_SQL
+
+    ORACLES["op6_line_dedup"] = OP6_SQL
+
+
+_oracles()
