@@ -59,7 +59,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     )
     if e.isEmpty():
         return e.sparkSession.createDataFrame([], f"node {ids}, component {ids}")
-    sums = "count(*), bit_xor(xxhash64(u, v)), sum(cast(xxhash64(v, u) as decimal(38, 0)))"
+    state = [F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38, 0)"))]
     last = None
     for _ in range(rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -78,7 +78,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
             .distinct()
         )
         e = written(small, "edges")
-        now = tuple(e.selectExpr(*[f"{s} as s{i}" for i, s in enumerate(sums.split(", ", 2))]).first())
+        now = tuple(e.agg(*state).first())
         if now == last:
             break
         last = now
