@@ -6,9 +6,10 @@ minhashes instead of side * side * 2 * rows. With rows 2 and side 8 a pair of si
 meets in some table with probability 0.9994, one of 0.9 with 0.9999999.
 
 Equal sets are one class, and only its smallest doc_id is looked up further, so groups of copies
-cost one row. In each table bucket the smallest id is the hub: first all members are compared
-with their hubs, then the members that are still in different components with each other, until
-every pair that shares a bucket is confirmed, refuted or in one component.
+cost one row. In each table bucket the smallest id is the hub. First all members are compared
+with their hubs; then the members that are still in different components with each other, in
+blocks within a cluster and pair by pair between clusters, so that every pair that shares a
+bucket is confirmed, refuted or in one component.
 
 Words are runs of other bytes than ASCII white space, A-Z lower-cased. Null and empty texts, and
 those without words, have the empty set, size 0, and link with nothing; texts with fewer words
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import components, h64, width, written
 
 SIDE, ROWS = 8, 2
-CHUNK = 64
+CHUNK, BLOCK = 64, 256
 
 _RANDOM = np.random.default_rng(7_0809)
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64)
@@ -92,7 +93,22 @@ def runs(batch: pa.RecordBatch, most: int = 1_000_000):
         yield first, some
 
 
-FEATURES = "doc_id long, n long, s1 long, s2 long, a array<long>, b array<long>"
+FEATURES = "doc_id long, n long, s1 long, s2 long, a array<long>, b array<long>, sketch array<long>"
+#: A sketch is 4 longs of 7 lanes, each lane 7 bits of a minhash. Sets of similarity 0.8 agree in fewer than
+#: half of the 28 lanes with a probability of 0.0002; such pairs aren't compared in full.
+LANES, SKETCH = 7, 4
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    flat = pa.array(np.ascontiguousarray(x).view(np.int64).ravel())
+    return pa.FixedSizeListArray.from_arrays(flat, x.shape[1]).cast(pa.list_(pa.int64()))
+
+
+def alike(x: str, y: str) -> str:
+    """SQL: the sketches agree in half of their lanes or more. Adding 127 to a lane that differs sets its eighth bit."""
+    every = int("7f" * LANES, 16)
+    differ = " + ".join(f"bit_count(({x}[{i}] ^ {y}[{i}]) + {every}L & {int('80' * LANES, 16)}L)" for i in range(SKETCH))
+    return f"2 * ({differ}) <= {LANES * SKETCH}"
 
 
 def features(docs: DataFrame, words: int, side: int = SIDE, rows: int = ROWS) -> DataFrame:
@@ -108,6 +124,7 @@ def features(docs: DataFrame, words: int, side: int = SIDE, rows: int = ROWS) ->
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 keys = np.zeros((len(sets), 2 * side), np.uint64)
                 sums = np.zeros((2, len(sets)), np.uint64)
+                sketch = np.zeros((len(sets), SKETCH), np.uint64)
                 if len(full):
                     cuts = np.concatenate([[0], np.cumsum(n[full])[:-1]])
                     low = np.stack([np.minimum.reduceat(flat * _TIMES[j], cuts) for j in range(many)], 1)
@@ -115,12 +132,14 @@ def features(docs: DataFrame, words: int, side: int = SIDE, rows: int = ROWS) ->
                     for r in range(rows):
                         key = mix(key * _STEP + low[:, r::rows])
                     keys[full] = key
+                    lanes = mix(low[:, : LANES * SKETCH]) >> np.uint64(57)
+                    sketch[full] = sum(lanes[:, i::LANES] << np.uint64(8 * i) for i in range(LANES))
                     sums[0, full] = np.add.reduceat(mix(flat + _PLACE[60]), cuts)
                     sums[1, full] = np.add.reduceat(mix(flat ^ _PLACE[61]), cuts)
-                halves = [pa.FixedSizeListArray.from_arrays(pa.array(k.astype(np.int64, copy=False).view(np.int64).ravel()), side).cast(pa.list_(pa.int64())) for k in (np.ascontiguousarray(keys[:, :side]).view(np.int64), np.ascontiguousarray(keys[:, side:]).view(np.int64))]
+                lists = [_lists(keys[:, :side]), _lists(keys[:, side:]), _lists(sketch)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(texts)), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), *halves],
-                    ["doc_id", "n", "s1", "s2", "a", "b"],
+                    [batch.column(0).slice(first, len(texts)), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), *lists],
+                    ["doc_id", "n", "s1", "s2", "a", "b", "sketch"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FEATURES)
@@ -174,6 +193,54 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return left.groupBy("a", "part").cogroup(right.groupBy("a2", "part2")).applyInArrow(compare, "a long, b long")
 
 
+def block_links(placed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that join components within a cluster. Each pair of blocks of a cluster is a group of at most about
+    2 * BLOCK sets; its common shingles are counted by a matrix product, and it returns a spanning forest of its links."""
+    size = placed.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    own = placed.join(size.where("lo < hi").select("cluster", "blocks"), "cluster").withColumn("block", F.pmod(h64(3, F.col("id")), F.col("blocks")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = own.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp")
+    own = own.join(sets, "id")
+
+    def compare(t):
+        sets_ = [np.frombuffer(x, np.uint64) for x in t["members"].to_pylist()]
+        ids, comp, block = (t[c].to_numpy() for c in ("id", "comp", "block"))
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        n = np.array([len(s) for s in sets_])
+        hit: list[tuple[int, int]] = []
+        if (comp != comp[0]).any():
+            value, col = np.unique(np.concatenate(sets_), return_inverse=True)
+            row = np.repeat(np.arange(len(n)), n)
+            common = np.zeros((len(n), len(n)), np.float32)
+            order = np.argsort(col, kind="stable")
+            row, col = row[order], col[order]
+            for lo in range(0, len(value), 4096):
+                a, b = np.searchsorted(col, [lo, lo + 4096])
+                part = np.zeros((len(n), 4096), np.float32)
+                part[row[a:b], col[a:b] - lo] = 1
+                common += part @ part.T
+            common = common.astype(np.int64)
+            ok = den * common >= num * (n[:, None] + n[None, :] - common)
+            ok &= (comp[:, None] != comp[None, :]) & (ids[:, None] < ids[None, :])
+            if i != j:
+                ok &= block[:, None] != block[None, :]
+            root = {c: c for c in comp.tolist()}
+
+            def find(c):
+                while root[c] != c:
+                    c = root[c]
+                return c
+
+            for x, y in np.argwhere(ok).tolist():
+                u, v = find(int(comp[x])), find(int(comp[y]))
+                if u != v:
+                    root[max(u, v)] = min(u, v)
+                    hit.append((int(ids[x]), int(ids[y])))
+        return pa.table({"a": pa.array([x for x, _ in hit], pa.int64()), "b": pa.array([y for _, y in hit], pa.int64())})
+
+    return own.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, side: int = SIDE, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -184,19 +251,28 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     hubs = written(rows_.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1"), "hubs")
     members = written(rows_.join(hubs, "key").select("key", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), "size"), "members")
     star = members.where(F.col("id") > F.col("hub")).where(close(F.col("n"), F.col("hub_n"), num, den))
-    star = written(star.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    star = star.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    sketches = reps.select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"])
+    for end in ("a", "b"):
+        star = star.join(sketches.select(F.col("id").alias(end), F.col("sketch").alias(f"sketch_{end}")), end)
+    star = written(star.where(alike("sketch_a", "sketch_b")).select("a", "b"), "pairs")
     sets = written(shingle_sets(own, members.select("id").distinct(), words).dropDuplicates(["id"]), "sets")
     edges = written(confirmed(star, sets, num, den), "links")
     comp = written(components(edges), "comps")
-    # Members of a bucket that are still in different components and were not compared yet.
-    placed = members.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = written(placed.join(mixed, "key").select("key", "id", "n", "comp"), "mixed")
-    pairs = rest.alias("x").join(rest.alias("y"), F.expr("x.key = y.key and x.id < y.id and x.comp <> y.comp"))
-    pairs = pairs.where(close(F.col("x.n"), F.col("y.n"), num, den)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    # A cluster has the members whose least hub is the same. Clusters with several components are compared in
+    # blocks; pairs of different clusters that share a bucket are listed, where sizes and sketches allow a link.
+    own_cluster = members.groupBy("id").agg(F.min("hub").alias("cluster"), F.first("n").alias("n"))
+    placed = own_cluster.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    placed = written(placed.join(sketches, "id").select("id", "n", "cluster", "comp", "sketch"), "placed")
+    more = written(block_links(placed, sets, num, den), "links")
+    rest = members.select("key", "id").join(placed, "id")
+    mixed = rest.groupBy("key").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"), F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"))
+    rest = written(rest.join(mixed.where("lo < hi and c_lo < c_hi").select("key"), "key"), "mixed")
+    meet = f"x.key = y.key and x.id < y.id and x.comp <> y.comp and x.cluster <> y.cluster and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) and {alike('x.sketch', 'y.sketch')}"
+    pairs = rest.alias("x").join(rest.alias("y"), F.expr(meet)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     pairs = written(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
-    if not pairs.isEmpty():
-        more = written(confirmed(pairs, sets, num, den), "links")
+    more = written(more.unionByName(confirmed(pairs, sets, num, den)), "links")
+    if not more.isEmpty():
         comp = written(components(edges.unionByName(more)), "comps")
     by_class = cls.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = feats.select("doc_id", "n", "s1", "s2").join(written(by_class, "by-class"), ["s1", "s2", "n"], "left")

@@ -62,3 +62,10 @@ def _oracles() -> None:
 
 
 _oracles()
+
+
+@query
+def op7_minhash_dedup(spark, sf_dir):
+    from .near_dedup import op7_minhash_dedup as run
+
+    return run(table(spark, sf_dir, "documents"))
