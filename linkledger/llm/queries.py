@@ -69,3 +69,10 @@ def op7_minhash_dedup(spark, sf_dir):
     from .near_dedup import op7_minhash_dedup as run
 
     return run(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_suffix_dedup(spark, sf_dir):
+    from .repeats import op9_suffix_dedup as run
+
+    return run(table(spark, sf_dir, "documents"))
