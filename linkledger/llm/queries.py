@@ -76,3 +76,10 @@ def op9_suffix_dedup(spark, sf_dir):
     from .repeats import op9_suffix_dedup as run
 
     return run(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_embedding_dedup(spark, sf_dir):
+    from .embedding_dedup import op10_embedding_dedup as run
+
+    return run(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
