@@ -83,3 +83,10 @@ def op10_embedding_dedup(spark, sf_dir):
     from .embedding_dedup import op10_embedding_dedup as run
 
     return run(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op1_order_minhash(spark, sf_dir):
+    from .order_minhash import op1_order_minhash as run
+
+    return run(table(spark, sf_dir, "documents"))
