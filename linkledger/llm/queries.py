@@ -90,3 +90,10 @@ def op1_order_minhash(spark, sf_dir):
     from .order_minhash import op1_order_minhash as run
 
     return run(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_toxicity(spark, sf_dir):
+    from .toxicity import op3_toxicity as run
+
+    return run(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
