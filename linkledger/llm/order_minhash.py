@@ -68,7 +68,8 @@ def neighbours(docs: DataFrame, parts: int) -> DataFrame:
     match = rows["doc_id"].eqNullSafe(F.col("d")) & (rows["th"] == F.col("h"))
     heads = rows.join(F.broadcast(first), match).select("to", F.col("text").alias("head")).dropDuplicates(["to"])
     in_part = W.partitionBy("part").orderBy("doc_id", "th")
-    rows = rows.withColumns({"rn": F.row_number().over(in_part), "follow": F.lead("text").over(in_part)})
+    # A fixed number of partitions: small ones merged again would make the sorts of k-mers spill.
+    rows = rows.repartition(parts, "part").withColumns({"rn": F.row_number().over(in_part), "follow": F.lead("text").over(in_part)})
     rows = rows.join(heads, rows["part"] == heads["to"], "left")
     half = F.floor(F.char_length("text") / 2).cast("int")
     return rows.select("part", "rn", "doc_id", "text", F.substring(F.coalesce("follow", "head", F.lit("")), F.lit(1), half).alias("next_text"))
@@ -108,7 +109,7 @@ def as_text(fingerprint: Column) -> Column:
 
 def op1_order_minhash(docs: DataFrame, k: int = K, sketches: int = SKETCHES) -> DataFrame:
     spark = docs.sparkSession
-    parts = min(MOST_RANGES, width(spark, 4))
+    parts = min(MOST_RANGES, width(spark, 8))
     rows = neighbours(docs, parts)
     n = F.char_length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - F.floor(n / 2)).cast("int")), F.col("next_text"))
