@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import components, h64, written
 
-WORDS, CAPS, LEAST, BLOCK = 1024, 32, 12, 512
+WORDS, CAPS, LEAST, BLOCK = 1024, 56, 28, 512
 
 
 class Caps:

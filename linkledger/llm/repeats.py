@@ -22,7 +22,6 @@ each other. A null doc_id is a key like any other.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -280,10 +279,7 @@ def op9_suffix_dedup(docs: DataFrame) -> DataFrame:
 def drop_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """The rows of docs with the text that stays; a character that lost some of its bytes goes whole."""
 
-    @F.pandas_udf("string")
-    def text_of(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
+    text_of = F.udf(lambda b: bytes(b).decode("utf-8", "ignore"), "string", useArrow=True)
     out = remove_repeats(docs, length)
     changed = F.when(F.col("n_removed") > 0, text_of("kept")).otherwise(F.col("text"))
     clash = [c for c in docs.columns if c in ("kept", "n_bytes", "n_removed", "n_spans")]

@@ -22,7 +22,7 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -218,17 +218,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
         def count(wanted):
             def run(batches):
-                for pdf in batches:
+                for batch in batches:
                     c = Counter()
-                    for text in pdf["text"]:
+                    for text in batch.column(0).to_pylist():
                         s = stems_of(text)
                         c.update(s if wanted is None else s & wanted)
-                    yield pd.DataFrame({"stem": list(c.keys()), "n": list(c.values())})
+                    yield pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], ["stem", "n"])
 
             return run
 
         def counts(toxic, wanted=None, least=1):
-            n = rows.where(F.col("toxic") == toxic).mapInPandas(count(wanted), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
+            n = rows.where(F.col("toxic") == toxic).select("text").mapInArrow(count(wanted), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
             return {r["stem"]: r["n"] for r in n.where(F.col("n") >= least).orderBy(F.desc("n"), "stem").limit(CANDIDATES).collect()}
 
         yes = counts(1, least=3)
@@ -239,11 +239,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         model = Model(stems | seeds)
 
         def features(batches):
-            for pdf in batches:
-                yield pd.DataFrame([[*map(float, model.matches(t)), float(y)] for t, y in zip(pdf["text"], pdf["toxic"])], columns=[f"x{i}" for i in range(7)])
+            for batch in batches:
+                rows_ = [[*map(float, model.matches(t)), float(y)] for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+                cols = np.array(rows_, np.float64).reshape(-1, 7).T
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [f"x{i}" for i in range(7)])
 
         # At most `sample` rows of seven numbers come to the driver.
-        x = rows.mapInPandas(features, ", ".join(f"x{i} double" for i in range(7))).toPandas().to_numpy()
+        x = rows.select("text", "toxic").mapInArrow(features, ", ".join(f"x{i} double" for i in range(7))).toPandas().to_numpy()
         model.weights = fit_logistic(x[:, :6], x[:, 6])
         return model
     finally:
@@ -253,10 +255,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs with the column score (a clashing one is replaced)."""
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: model.score(t if isinstance(t, str) else None))
-
+    score = F.udf(model.score, "double", useArrow=True)
     return docs.withColumn("score", score("text"))
 
 
