@@ -205,7 +205,7 @@ def latest_upload(t: Tables, site_id: int) -> DataFrame:
 
 
 def _active(t: Tables) -> DataFrame:
-    return t.links.join(F.broadcast(t.active), "upload_id")
+    return t.links.join(t.active, "upload_id")
 
 
 def cross_site_models(t: Tables) -> DataFrame:
@@ -215,7 +215,7 @@ def cross_site_models(t: Tables) -> DataFrame:
 
 
 def cross_site_optics(t: Tables) -> DataFrame:
-    rows = physical_optics(ends(_active(t))).join(F.broadcast(t.sites), "site_id")
+    rows = physical_optics(ends(_active(t))).join(t.sites, "site_id")
     return rows.groupBy("optic", "site_code").agg(F.count("*").alias("total"), *status_counts()).orderBy("optic", "site_code")
 
 

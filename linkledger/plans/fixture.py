@@ -35,7 +35,7 @@ class Tables:
     @cached_property
     def customers(self) -> DataFrame:
         nation = self.read("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("site_id"))
-        return self.read("customer").join(F.broadcast(nation), "c_nationkey").join(F.broadcast(self.sites), "site_id")
+        return self.read("customer").join(nation, "c_nationkey").join(self.sites, "site_id")
 
     @cached_property
     def raw_links(self) -> DataFrame:
@@ -79,7 +79,7 @@ class Tables:
     def uploads(self) -> DataFrame:
         """Seven uploads for each site; the largest is active."""
         years = self.spark.range(1, 8).select(F.col("id").cast("int").alias("n"))
-        return self.sites.crossJoin(F.broadcast(years)).select(
+        return self.sites.crossJoin(years).select(
             (F.col("site_id") * 100 + F.col("n")).alias("upload_id"), "site_id", "site_code",
             F.concat(F.lit("cutsheet-"), (F.col("n") + 1994).cast("string"), F.lit(".csv")).alias("filename"),
             F.make_timestamp(F.col("n") + 1994, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("created_at"), (F.col("n") == 7).alias("is_active"),
