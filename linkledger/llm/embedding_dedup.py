@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, h64, written
+from .common import components, h64, width, written
 
-WORDS, CAPS, LEAST, BLOCK = 1024, 56, 28, 512
+WORDS, CAPS, LEAST, BLOCK, GROUP_ROWS = 1024, 56, 28, 512, 8_000
 
 
 class Caps:
@@ -103,45 +103,61 @@ def filters(reps: DataFrame) -> DataFrame:
     return reps.mapInArrow(run, "id long, weight long, unit binary, own binary, filters array<long>")
 
 
-def block_links(rows: DataFrame, cosine: float) -> DataFrame:
-    """(id, links, other): links to add to id's count; other, where not null, is an edge of the forest."""
+def bucket_links(unit, ids, weight, lists, block, number, cosine):
+    """Links in one pair of blocks of filter `number`: rows with links, how many for each, and a spanning forest (rows)."""
+    link = np.triu(unit @ unit.T >= cosine, 1)
+    if block[0] != block[-1]:
+        link &= block[:, None] != block[None, :]
+    if not link.any():
+        return [], [], []
+    near = np.flatnonzero(link.any(0) | link.any(1))
+    link, weight = link[np.ix_(near, near)], weight[near]
+    before = [lists[x][: np.searchsorted(lists[x], number)] for x in near]
+    _, col = np.unique(np.concatenate(before), return_inverse=True)
+    if len(col):  # a pair counts in the least of its common filters
+        has = np.zeros((len(near), col.max() + 1), np.float32)
+        has[np.repeat(np.arange(len(near)), [len(x) for x in before]), col] = 1
+        link &= has @ has.T == 0
+    count = link @ weight + link.T @ weight
+    root = list(range(len(near)))
+
+    def find(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    forest = []
+    for x, y in np.argwhere(link).tolist():
+        u, v = find(x), find(y)
+        if u != v:
+            root[max(u, v)] = min(u, v)
+            forest.append((int(near[x]), int(near[y])))
+    some = np.flatnonzero(count)
+    return near[some].tolist(), count[some].tolist(), forest
+
+
+def block_links(rows: DataFrame, cosine: float, groups: int) -> DataFrame:
+    """(id, links, other): links to add to id's count; other, where not null, is an edge of the forest. Pairs of blocks are
+    dealt whole to `groups` groups, so that one call handles many small filters."""
 
     def compare(t):
-        unit = np.stack([np.frombuffer(v) for v in t["unit"].to_pylist()])
-        ids, weight, block = (t[c].to_numpy() for c in ("id", "weight", "block"))
-        i, j, f = t["i"][0].as_py(), t["j"][0].as_py(), t["filter"][0].as_py()
-        link = np.triu(unit @ unit.T >= cosine, 1)
-        if i != j:
-            link &= block[:, None] != block[None, :]
+        t = t.sort_by([("filter", "ascending"), ("i", "ascending"), ("j", "ascending"), ("block", "ascending")])
+        f, i, j, ids, weight, block = (t[c].to_numpy() for c in ("filter", "i", "j", "id", "weight", "block"))
+        raw, own = t["unit"].to_pylist(), t["own"].to_pylist()
+        cuts = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
         out_id, out_links, out_other = [], [], []
-        if link.any():
-            lists = [np.frombuffer(v, np.int64) for v in t["own"].to_pylist()]
-            lists = [x[: np.searchsorted(x, f)] for x in lists]  # a pair counts in the least common filter
-            _, col = np.unique(np.concatenate(lists), return_inverse=True)
-            if len(col):
-                before = np.zeros((len(ids), col.max() + 1), np.float32)
-                before[np.repeat(np.arange(len(ids)), [len(x) for x in lists]), col] = 1
-                link &= before @ before.T == 0
-            count = link @ weight + link.T @ weight
-            root = list(range(len(ids)))
-
-            def find(c):
-                while root[c] != c:
-                    root[c] = root[root[c]]
-                    c = root[c]
-                return c
-
-            for x in np.flatnonzero(count).tolist():
-                out_id.append(int(ids[x])), out_links.append(int(count[x])), out_other.append(None)
-            for x in np.flatnonzero(link.any(1)).tolist():
-                for y in np.flatnonzero(link[x]).tolist():
-                    u, v = find(x), find(y)
-                    if u != v:
-                        root[max(u, v)] = min(u, v)
-                        out_id.append(int(ids[x])), out_links.append(0), out_other.append(int(ids[y]))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            unit = np.frombuffer(b"".join(raw[a:b])).reshape(b - a, -1)
+            lists = [np.frombuffer(v, np.int64) for v in own[a:b]]
+            some, count, forest = bucket_links(unit, ids[a:b], weight[a:b], lists, block[a:b], f[a], cosine)
+            out_id += [int(ids[a + x]) for x in some] + [int(ids[a + x]) for x, _ in forest]
+            out_links += count + [0] * len(forest)
+            out_other += [None] * len(some) + [int(ids[a + y]) for _, y in forest]
         return pa.table({"id": pa.array(out_id, pa.int64()), "links": pa.array(out_links, pa.int64()), "other": pa.array(out_other, pa.int64())})
 
-    return rows.groupBy("filter", "i", "j").applyInArrow(compare, "id long, links long, other long")
+    dealt = rows.withColumn("g", F.pmod(h64(11, F.col("filter"), F.col("i"), F.col("j")), F.lit(groups)))
+    return dealt.groupBy("g").applyInArrow(compare, "id long, links long, other long")
 
 
 def embedding_components(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
@@ -156,12 +172,15 @@ def embedding_components(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     body = own.select(F.col("vec_id").alias("id"), "embedding").dropDuplicates(["id"])
     found = written(filters(reps.join(body, "id").select("id", "weight", "embedding").dropDuplicates(["id"])), "filters")
     size = found.select(F.explode("filters").alias("filter")).groupBy("filter").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n"))
-    size = written(size.where("n > 1").select("filter", "blocks"), "filter-sizes")
+    size = written(size.where("n > 1"), "filter-sizes")
+    total = size.agg(F.coalesce(F.sum(F.col("n") * F.col("blocks")), F.lit(0))).first()[0]
+    groups = max(width(own.sparkSession), int(total // GROUP_ROWS))
+    size = size.select("filter", "blocks")
     rows = found.select("id", "weight", "unit", "own", F.explode("filters").alias("filter")).join(size, "filter")
     rows = rows.withColumn("block", F.pmod(h64(3, F.col("id")), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("filter", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "weight", "unit", "own")
-    links = written(block_links(rows, cosine), "links")
+    links = written(block_links(rows, cosine, groups), "links")
     comp = components(links.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     total = links.groupBy("id").agg(F.sum("links").alias("links"))
     named = named.join(total, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
