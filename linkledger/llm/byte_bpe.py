@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .units import _WHOLE, UnitStore, chunks
+from .units import _WHOLE, MOST_UNITS, UnitStore, chunks
 
 #: Words for one recursive query; its rows stay within some tens of MB.
 WORDS, WORD_BYTES = 20_000, 200_000
@@ -42,7 +42,7 @@ DECODE = "SELECT d, string_agg(s, '' ORDER BY pos) AS s FROM tokens JOIN vocab U
 class BpeStore(UnitStore):
     """Ids of units by the recursive query; words that units share are contracted once."""
 
-    def __init__(self, ranks_path: str, pattern: str, most: int = 1_500_000):
+    def __init__(self, ranks_path: str, pattern: str, most: int = MOST_UNITS):
         import duckdb
         import regex
 
@@ -83,7 +83,7 @@ class BpeStore(UnitStore):
 
     def encode(self, new: list[str]) -> None:
         if len(self.words.slot) > self.words.most:
-            self.words.clear()
+            self.words.trim()
         cut = [self.pattern.findall(u.removeprefix(_WHOLE)) for u in new]
         run, size = [], 0
         for w in set().union(*cut).difference(self.words.slot):
@@ -95,6 +95,7 @@ class BpeStore(UnitStore):
         if run:
             self.contract(run)
         slots = np.fromiter((self.words.slot[w] for x in cut for w in x), np.int64)
+        self.words.touch(np.unique(slots))
         length, start = self.words.length[slots].astype(np.int64), self.words.start[slots]
         ends = np.cumsum(length)
         flat = self.words.flat[np.repeat(start - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)]

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import h64
 
 SAMPLE, CANDIDATES, STEMS = 20_000, 50_000, 2_000
+#: Words whose symbols a Python worker keeps.
+KNOWN = 200_000
 LEAST_G2, LEAST_PRECISION = 24.0, 0.8
 
 # Words of the grammar.
@@ -121,7 +123,7 @@ class Model:
         if found is None:
             w = self.stems.get(word + "$") or next((self.stems[word[:k]] for k in self.sizes if word[:k] in self.stems), None)
             found = (INSULT, w) if w else FIXED.get(word, (OTHER, 1.0))
-            if len(self.known) > 1_000_000:
+            if len(self.known) > KNOWN:
                 self.known.clear()
             self.known[word] = found
         return found

@@ -9,6 +9,7 @@ unit is encoded once for a Python worker, and the ids are gathered by NumPy.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 
@@ -16,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Units that a Python worker keeps, some 150 bytes each, and bytes of text for one call.
+MOST_UNITS, CHUNK_BYTES = 600_000, 3_000_000
 #: A single space between two characters that are no white space, by the widest notion of white space.
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 #: Marks a unit of clean_units() that looks odd() but is whole.
@@ -44,16 +47,37 @@ def plain(word: str) -> bool:
 
 
 class UnitStore:
-    """Keeps the ids of units that encode() has returned; it is emptied when it holds more than `most`."""
+    """Keeps the ids of units that encode() has returned. When it would hold more than `most`, it forgets those that
+    one call only has used; the rarest go until half of `most` are left."""
 
-    def __init__(self, keep_space: bool, most: int = 2_000_000):
+    def __init__(self, keep_space: bool, most: int = MOST_UNITS):
         self.keep_space, self.most = keep_space, most
         self.clear()
 
     def clear(self) -> None:
         self.slot: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.start, self.length, self.odd = (np.zeros(1 << 18, t) for t in (np.int64, np.int32, bool))
+        self.start, self.length, self.odd, self.calls = (np.zeros(1 << 18, t) for t in (np.int64, np.int32, bool, np.uint8))
+
+    def touch(self, slots: np.ndarray) -> None:
+        """Counts one more call for these slots, each given once."""
+        self.calls[slots] = np.minimum(self.calls[slots], 254) + 1
+
+    def trim(self) -> None:
+        names, slots = list(self.slot), np.fromiter(self.slot.values(), np.int64, len(self.slot))
+        calls = self.calls[slots]
+        least = 2
+        while (calls >= least).sum() > self.most // 2 and least < 256:
+            least += 1
+        stay = np.flatnonzero(calls >= least)
+        slots, names = slots[stay], [names[i] for i in stay.tolist()]
+        length, odd_ = self.length[slots], self.odd[slots]
+        ends = np.cumsum(length, dtype=np.int64)
+        flat = self.flat[np.repeat(self.start[slots] - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        self.clear()
+        self.put(names, flat, length)
+        self.odd[: len(names)] = odd_
+        self.calls[: len(names)] = 1
 
     def encode(self, new: list[str]) -> None:
         """Calls put() with the ids of each of these units."""
@@ -62,7 +86,7 @@ class UnitStore:
     def put(self, units: list[str], flat: np.ndarray, length: np.ndarray) -> None:
         n, k = len(self.slot), len(units)
         while n + k > len(self.start):
-            self.start, self.length, self.odd = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.length, self.odd))
+            self.start, self.length, self.odd, self.calls = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.length, self.odd, self.calls))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(flat)] = flat
@@ -95,13 +119,14 @@ class UnitStore:
         coded = cut.flatten().dictionary_encode()
         words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         if len(self.slot) + len(words) > self.most:
-            self.clear()
+            self.trim()
         new = [w for w in words if w not in self.slot]
         if new:
             self.encode(new)
             slots = np.fromiter(map(self.slot.__getitem__, new), np.int64, len(new))
             self.odd[slots] = np.fromiter(map(odd, new), bool, len(new))
         slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+        self.touch(slots)
         length, start = self.length[slots][codes].astype(np.int64), self.start[slots][codes]
         ends = np.cumsum(length)
         total = int(ends[-1]) if len(ends) else 0
@@ -121,7 +146,7 @@ class LibraryStore(UnitStore):
     opens a word (byte level) or closes one (word ends). All else is encoded by itself.
     """
 
-    def __init__(self, path: str, keep_space: bool, most: int = 2_000_000):
+    def __init__(self, path: str, keep_space: bool, most: int = MOST_UNITS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -173,14 +198,23 @@ class LibraryStore(UnitStore):
 _STORES: dict[tuple, LibraryStore] = {}
 
 
+def release() -> None:
+    """Gives memory that earlier tasks of this Python worker have freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def library_store(path: str, keep_space: bool) -> LibraryStore:
     """One for each Python worker, so that later tasks find it filled."""
     if (path, keep_space) not in _STORES:
+        release()
         _STORES[path, keep_space] = LibraryStore(path, keep_space)
     return _STORES[path, keep_space]
 
 
-def chunks(texts: pa.Array, most: int = 6_000_000):
+def chunks(texts: pa.Array, most: int = CHUNK_BYTES):
     """Runs of rows with a bounded number of bytes (or one row): (first row, rows)."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     first, held = 0, 0

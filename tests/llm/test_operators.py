@@ -302,3 +302,19 @@ def test_pipeline(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "suffix_dedup", "packing"]
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert sum(r["length"] for r in rows) > 0 and {r["doc_id"] for r in rows} <= {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_unit_store_trims():
+    import pyarrow as pa
+
+    from linkledger.llm.units import LibraryStore
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"{'common' if i % 3 else 'rare'}{rng.integers(9 if i % 3 else 100_000)}." for i in range(60)) for _ in range(40)]
+    path = P.path("word_bpe_49k.json")
+    small, large = LibraryStore(path, False, 300), LibraryStore(path, False)
+    for i in range(0, 40, 4):
+        part = pa.array(texts[i : i + 4])
+        for a, b in zip(small.ids(part), large.ids(part)):
+            assert (a == b).all()
+    assert len(small.slot) < len(large.slot)
