@@ -196,9 +196,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 def block_links(placed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) that join components within a cluster. Each pair of blocks of a cluster is a group of at most about
     2 * BLOCK sets; its common shingles are counted by a matrix product, and it returns a spanning forest of its links."""
-    size = placed.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    own = placed.join(size.where("lo < hi").select("cluster", "blocks"), "cluster").withColumn("block", F.pmod(h64(3, F.col("id")), F.col("blocks")).cast("int"))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    count = placed.groupBy("cluster", "comp").agg(F.count("*").alias("rows"))
+    size = count.groupBy("cluster").agg(F.sum("rows").alias("all"), F.max(F.struct("rows", "comp")).alias("most"))
+    size = size.where(F.col("all") > F.col("most.rows"))
+    # The largest component's blocks come first: they meet the blocks of all others, not each other.
+    large, small = F.ceil(F.col("most.rows") / BLOCK), F.ceil((F.col("all") - F.col("most.rows")) / BLOCK)
+    size = size.select("cluster", F.col("most.comp").alias("largest"), large.cast("int").alias("large"), small.cast("int").alias("small"))
+    own = placed.join(size, "cluster").withColumn("in_large", F.col("comp") == F.col("largest"))
+    block = F.when(F.col("in_large"), F.pmod(h64(3, F.col("id")), F.col("large"))).otherwise(F.col("large") + F.pmod(h64(3, F.col("id")), F.col("small")))
+    own = own.withColumn("block", block.cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.when(F.col("in_large"), F.col("large")).otherwise(0), F.col("large") + F.col("small") - 1)))
     own = own.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp")
     own = own.join(sets, "id")
 
