@@ -1,4 +1,6 @@
-"""Counts over cable sheets: three notions of an optic count, and device counts."""
+"""Counts over cable sheets: three notions of an optic count, and device counts.
+
+per names the columns that tell sheets apart: each sheet is counted on its own. Without it df is one sheet."""
 
 from __future__ import annotations
 
@@ -9,82 +11,83 @@ from pyspark.sql import functions as F
 from linkledger.functions.cells import IN_SERVICE, family, present, safe_cell
 
 
-def sheet_ends(df: DataFrame) -> DataFrame:
+def sheet_ends(df: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
     """The A and Z end of each row, in reading order (A before Z)."""
     names = ("device", "port", "optic", "model", "loc_cab_ru", "locode", "breakout_loc")
     each = [F.struct(F.lit(s.upper()).alias("side"), *[(F.col(f"{s}_{n}") if f"{s}_{n}" in df.columns else F.lit("")).alias(n) for n in names]) for s in "az"]
-    return df.select("row_idx", "status", "status_normalized", F.inline(F.array(*each)))
+    return df.select(*per, "row_idx", "status", "status_normalized", F.inline(F.array(*each)))
 
 
-def sheet_optics(df: DataFrame, by: str | None = None) -> DataFrame:
+def sheet_optics(df: DataFrame, by: str | None = None, per: tuple[str, ...] = ()) -> DataFrame:
     """Optics by name. An end without breakout counts when it has a locode and an optic; of ends with one, the first of
     each location and port counts. by='service' keeps in-service and other rows apart, each with its own first ends;
     by='status' counts per status, with first ends shared by all."""
-    ends = sheet_ends(df).withColumn("bucket", family("status_normalized", IN_SERVICE) if by == "service" else F.lit(True))
+    ends = sheet_ends(df, per).withColumn("bucket", family("status_normalized", IN_SERVICE) if by == "service" else F.lit(True))
     broken = present("breakout_loc")
     key = F.when(broken, F.concat("loc_cab_ru", "port"))
-    order = W.partitionBy("bucket", key).orderBy("row_idx", "side")
+    # Ends without breakout need no first: a row's own number keeps them from being one group.
+    order = W.partitionBy(*per, "bucket", key, F.when(~broken, F.col("row_idx"))).orderBy("row_idx", "side")
     ends = ends.withColumn("_rn", F.row_number().over(order)).where((broken & (F.col("_rn") == 1)) | (~broken & present("locode") & present("optic")))
     ends = ends.withColumn("optic", F.upper(safe_cell(F.coalesce("optic", F.lit("nan"))))).where(F.length("optic") >= 2)
     keys = {"service": [F.col("bucket").alias("in_service")], "status": [F.coalesce(F.nullif(F.trim("status"), F.lit("")), F.lit("Unknown")).alias("shown")], None: []}[by]
-    return ends.groupBy(*keys, "optic").agg(F.count("*").alias("n"))
+    return ends.groupBy(*per, *keys, "optic").agg(F.count("*").alias("n"))
 
 
-def optic_cells(df: DataFrame) -> DataFrame:
+def optic_cells(df: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
     """Every filled optic cell counts."""
-    return sheet_ends(df).where(present("optic")).groupBy("optic").agg(F.count_if(F.col("side") == "A").alias("a"), F.count_if(F.col("side") == "Z").alias("z"), F.count("*").alias("n"))
+    return sheet_ends(df, per).where(present("optic")).groupBy(*per, "optic").agg(F.count_if(F.col("side") == "A").alias("a"), F.count_if(F.col("side") == "Z").alias("z"), F.count("*").alias("n"))
 
 
-def mpo_optics(df: DataFrame) -> DataFrame:
+def mpo_optics(df: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
     """A ends count once for each device, port and optic; Z ends for each row."""
-    a = df.select("a_device", "a_port", F.col("a_optic").alias("optic")).distinct().groupBy("optic").agg(F.count("*").alias("a"))
-    z = df.groupBy(F.col("z_optic").alias("optic")).agg(F.count("*").alias("z"))
-    both = a.join(z, "optic", "full_outer").select("optic", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("z", F.lit(0)).alias("z"))
+    a = df.select(*per, "a_device", "a_port", F.col("a_optic").alias("optic")).distinct().groupBy(*per, "optic").agg(F.count("*").alias("a"))
+    z = df.groupBy(*per, F.col("z_optic").alias("optic")).agg(F.count("*").alias("z"))
+    both = a.join(z, [*per, "optic"], "full_outer").select(*per, "optic", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("z", F.lit(0)).alias("z"))
     return both.where(present("optic")).withColumn("n", F.col("a") + F.col("z"))
 
 
-def sheet_devices(df: DataFrame) -> DataFrame:
+def sheet_devices(df: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
     """One device for each location: the model of its first end (all A ends before all Z ends), in service if any end is."""
-    ends = sheet_ends(df).where(present("loc_cab_ru") & present("model"))
+    ends = sheet_ends(df, per).where(present("loc_cab_ru") & present("model"))
     at = F.struct("side", "row_idx")
-    each = ends.groupBy("loc_cab_ru").agg(F.min_by("model", at).alias("model"), F.bool_or(family("status_normalized", IN_SERVICE)).alias("in_service"))
-    return each.groupBy("model", "in_service").agg(F.count("*").alias("n"))
+    each = ends.groupBy(*per, "loc_cab_ru").agg(F.min_by("model", at).alias("model"), F.bool_or(family("status_normalized", IN_SERVICE)).alias("in_service"))
+    return each.groupBy(*per, "model", "in_service").agg(F.count("*").alias("n"))
 
 
-def cabling_state(df: DataFrame) -> DataFrame:
+def cabling_state(df: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
     """Devices by how far they are cabled."""
-    ends = sheet_ends(df).where(present("loc_cab_ru"))
-    each = ends.groupBy("loc_cab_ru").agg(
+    ends = sheet_ends(df, per).where(present("loc_cab_ru"))
+    each = ends.groupBy(*per, "loc_cab_ru").agg(
         F.min_by("model", F.struct("side", "row_idx")).alias("model"), F.every(F.col("status_normalized") == "lldp_passed").alias("full"), F.every(F.col("status_normalized") == "not_run").alias("none")
     )
     state = F.when(F.col("full"), "Fully Cabled").when(F.col("none"), "Not Cabled").otherwise("Work in Progress")
-    return each.groupBy(state.alias("state"), "model").agg(F.count("*").alias("n"))
+    return each.groupBy(*per, state.alias("state"), "model").agg(F.count("*").alias("n"))
 
 
-def model_index(df: DataFrame) -> DataFrame:
-    ends = sheet_ends(df).where(present("model"))
-    return ends.groupBy(F.upper("model").alias("model")).agg(F.count("*").alias("n"), F.count_if(F.col("side") == "A").alias("a"), F.count_if(F.col("side") == "Z").alias("z"), F.countDistinct("loc_cab_ru").alias("locations"))
+def model_index(df: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
+    ends = sheet_ends(df, per).where(present("model"))
+    return ends.groupBy(*per, F.upper("model").alias("model")).agg(F.count("*").alias("n"), F.count_if(F.col("side") == "A").alias("a"), F.count_if(F.col("side") == "Z").alias("z"), F.countDistinct("loc_cab_ru").alias("locations"))
 
 
-def roce_optics(df: DataFrame, short_ports: bool = False) -> DataFrame:
+def roce_optics(df: DataFrame, short_ports: bool = False, per: tuple[str, ...] = ()) -> DataFrame:
     """df: tab, row_idx, loc, port, connector, optic. One optic per tab, location, port and connector; on tabs of tiers 0
     and 1 a port loses its last two characters first."""
     port = F.expr("substring(port, 1, greatest(length(port) - 2, 0))") if short_ports else F.col("port")
-    first = F.row_number().over(W.partitionBy("tab", "loc", port, "connector").orderBy("row_idx"))
+    first = F.row_number().over(W.partitionBy(*per, "tab", "loc", port, "connector").orderBy("row_idx"))
     rows = df.withColumn("_rn", first).where("_rn = 1").withColumn("optic", F.upper(safe_cell(F.col("optic"))))
-    return rows.where(F.length("optic") >= 2).groupBy("optic").agg(F.count("*").alias("n"))
+    return rows.where(F.length("optic") >= 2).groupBy(*per, "optic").agg(F.count("*").alias("n"))
 
 
-def device_registry(df: DataFrame) -> DataFrame:
+def device_registry(df: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
     """Devices by lower-case name, location and model, with the sections and sides they appear in."""
     names = ("device", "model", "loc_cab_ru")
     each = [F.struct(F.lit(s.upper()).alias("side"), *[F.col(f"{s}_{n}").alias(n) for n in names]) for s in "az"]
-    ends = df.select("section", F.inline(F.array(*each))).where(present("device"))
-    return ends.groupBy(F.lower("device").alias("device"), "loc_cab_ru", "model").agg(F.sort_array(F.collect_set("section")).alias("sections"), F.sort_array(F.collect_set("side")).alias("sides"), F.count("*").alias("n"))
+    ends = df.select(*per, "section", F.inline(F.array(*each))).where(present("device"))
+    return ends.groupBy(*per, F.lower("device").alias("device"), "loc_cab_ru", "model").agg(F.sort_array(F.collect_set("section")).alias("sections"), F.sort_array(F.collect_set("side")).alias("sides"), F.count("*").alias("n"))
 
 
-def top_locations(df: DataFrame, k: int = 10) -> DataFrame:
+def top_locations(df: DataFrame, k: int = 10, per: tuple[str, ...] = ()) -> DataFrame:
     """The k commonest locations of each optic."""
-    groups = sheet_ends(df).where(present("optic") & present("loc_cab_ru")).groupBy("optic", "loc_cab_ru").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(W.partitionBy("optic").orderBy(F.desc("n"), "loc_cab_ru"))
+    groups = sheet_ends(df, per).where(present("optic") & present("loc_cab_ru")).groupBy(*per, "optic", "loc_cab_ru").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(W.partitionBy(*per, "optic").orderBy(F.desc("n"), "loc_cab_ru"))
     return groups.withColumn("rank", rank).where(F.col("rank") <= k)

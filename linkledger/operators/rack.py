@@ -1,4 +1,4 @@
-"""One rack or room of a sheet: its links, devices and optics."""
+"""One rack or room of a sheet: its links, devices and optics; per names the columns that tell sheets apart."""
 
 from __future__ import annotations
 
@@ -32,22 +32,22 @@ def rack_links(df: DataFrame, room: str, rack: str | None = None) -> DataFrame:
     return df.where(a | z).withColumn("inside", a & z)
 
 
-def rack_devices(df: DataFrame, room: str, rack: str, hosts: DataFrame | None = None) -> DataFrame:
+def rack_devices(df: DataFrame, room: str, rack: str, hosts: DataFrame | None = None, per: tuple[str, ...] = ()) -> DataFrame:
     """Devices in the rack from either end, with what the host table fills in; Pending if no cable of theirs was run."""
-    ends = sheet_ends(df).where(_in("loc_cab_ru", room, rack) & present("device"))
+    ends = sheet_ends(df, per).where(_in("loc_cab_ru", room, rack) & present("device"))
     at = F.struct("side", "row_idx")
-    own = ends.groupBy(F.lower("device").alias("device")).agg(
+    own = ends.groupBy(*per, F.lower("device").alias("device")).agg(
         F.min_by(F.when(present("model"), F.col("model")), at).alias("model"), F.min("loc_cab_ru").alias("loc"), F.count("*").alias("cables"), F.every(F.col("status_normalized") == "not_run").alias("idle")
     )
     if hosts is not None:
-        there = hosts.where(_in("rack", room, rack)).groupBy(F.lower("hostname").alias("device")).agg(F.min("model").alias("h_model"), F.min("rack").alias("h_loc"))
-        own = own.join(there, "device", "full_outer").withColumns({"model": F.coalesce("model", "h_model"), "loc": F.coalesce("loc", "h_loc"), "cables": F.coalesce("cables", F.lit(0))})
+        there = hosts.where(_in("rack", room, rack)).groupBy(*per, F.lower("hostname").alias("device")).agg(F.min("model").alias("h_model"), F.min("rack").alias("h_loc"))
+        own = own.join(there, [*per, "device"], "full_outer").withColumns({"model": F.coalesce("model", "h_model"), "loc": F.coalesce("loc", "h_loc"), "cables": F.coalesce("cables", F.lit(0))})
     state = F.when(F.col("idle"), "Pending").when(F.col("cables") > 0, "Installed").otherwise("Listed")
-    return own.select("device", "model", "loc", "cables", state.alias("state")).orderBy(natural_key("device"))
+    return own.select(*per, "device", "model", "loc", "cables", state.alias("state")).orderBy(*per, natural_key("device"))
 
 
-def rack_optics(df: DataFrame, room: str, rack: str) -> DataFrame:
-    return sheet_ends(df).where(_in("loc_cab_ru", room, rack) & present("optic")).groupBy("optic").agg(F.count("*").alias("n"))
+def rack_optics(df: DataFrame, room: str, rack: str, per: tuple[str, ...] = ()) -> DataFrame:
+    return sheet_ends(df, per).where(_in("loc_cab_ru", room, rack) & present("optic")).groupBy(*per, "optic").agg(F.count("*").alias("n"))
 
 
 def overhead_types(cells: DataFrame) -> DataFrame:
@@ -59,6 +59,6 @@ def overhead_types(cells: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("value").alias("rack")).agg(F.min_by("cab_type", F.struct("row", "col")).alias("cab_type"))
 
 
-def cab_summary(df: DataFrame, types: DataFrame, room: str) -> DataFrame:
-    racks = sheet_ends(df).where(_in("loc_cab_ru", room, None)).select(rack_number("loc_cab_ru").alias("rack")).distinct()
-    return racks.join(types, "rack", "left").groupBy(F.coalesce("cab_type", F.lit("Unknown")).alias("cab_type")).agg(F.count("*").alias("racks"))
+def cab_summary(df: DataFrame, types: DataFrame, room: str, per: tuple[str, ...] = ()) -> DataFrame:
+    racks = sheet_ends(df, per).where(_in("loc_cab_ru", room, None)).select(*per, rack_number("loc_cab_ru").alias("rack")).distinct()
+    return racks.join(types, "rack", "left").groupBy(*per, F.coalesce("cab_type", F.lit("Unknown")).alias("cab_type")).agg(F.count("*").alias("racks"))

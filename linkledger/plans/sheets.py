@@ -13,9 +13,9 @@ from .fixture import Tables
 from .registry import IN_SVC, P, register
 
 
-def sheet(t: Tables, upload: int = 107):
-    """One upload as a sheet: in reading order of the id, with locodes."""
-    rows = t.links.where(F.col("upload_id") == upload).withColumn("row_idx", F.col("id"))
+def sheet(t: Tables, upload: int | None = 107):
+    """One upload (None: every one) as a sheet: in reading order of the id, with locodes."""
+    rows = (t.links if upload is None else t.links.where(F.col("upload_id") == upload)).withColumn("row_idx", F.col("id"))
     return rows.withColumns({"a_locode": F.lit("L1"), "z_locode": F.when(F.col("l_linenumber") % 5 == 0, "").otherwise("L2")})
 
 
@@ -47,6 +47,35 @@ h AS (SELECT lower(hostname) AS device, min(model) AS h_model, min(rack) AS h_lo
 SELECT device, coalesce(model, h_model) AS model, coalesce(loc, h_loc) AS loc, coalesce(cables, 0) AS cables, CASE WHEN idle THEN 'Pending' WHEN coalesce(cables, 0) > 0 THEN 'Installed' ELSE 'Listed' END AS state FROM o FULL JOIN h USING (device)""")
 register("cab_summary", lambda t: rack.cab_summary(sheet(t), t.spark.range(0, 120).select(F.col("id").cast("string").alias("rack"), F.concat(F.lit("type-"), (F.col("id") % 3).cast("string")).alias("cab_type")).where("id % 7 <> 0"), "dh201"), SHEET + ", k AS (SELECT DISTINCT CAST(split_part(loc, ':', 2) AS INTEGER) AS r FROM sends WHERE split_part(loc, ':', 1) = 'dh201') SELECT CASE WHEN r % 7 = 0 THEN 'Unknown' ELSE 'type-' || (r % 3) END AS cab_type, count(*) AS racks FROM k GROUP BY 1")
 register("ingest_roles", lambda t: ingest.with_roles(sheet(t), t.hosts).groupBy("a_role", "z_role").agg(F.count("*").alias("n")), SHEET + ", r AS (SELECT upload_id, lower(trim(hostname)) AS h, min(role) AS role FROM hosts GROUP BY 1, 2) SELECT a.role AS a_role, z.role AS z_role, count(*) AS n FROM sheet s LEFT JOIN r a ON s.upload_id = a.upload_id AND lower(trim(a_device)) = a.h LEFT JOIN r z ON s.upload_id = z.upload_id AND lower(trim(z_device)) = z.h GROUP BY 1, 2")
+
+
+def every(t: Tables):
+    return sheet(t, None)
+
+
+#: The queries above show one sheet. These count every upload as its own sheet, in one job.
+PER = ("upload_id",)
+EVERY = SHEET.replace(" WHERE upload_id = 107", "").replace("SELECT row_idx,", "SELECT upload_id, row_idx,")
+EVERY_FIRST = FIRST.replace("PARTITION BY", "PARTITION BY upload_id,")
+register("every_sheet_optics", lambda t: counters.sheet_optics(every(t), per=PER), EVERY + EVERY_FIRST.format(b="1") + "SELECT upload_id, name AS optic, count(*) AS n FROM f GROUP BY 1, 2")
+register("every_sheet_optics_in_service", lambda t: counters.sheet_optics(every(t), "service", PER), EVERY + EVERY_FIRST.format(b=f"coalesce({IN_SVC}, false)") + f"SELECT upload_id, coalesce({IN_SVC}, false) AS in_service, name AS optic, count(*) AS n FROM f GROUP BY 1, 2, 3")
+register("every_sheet_optics_by_status", lambda t: counters.sheet_optics(every(t), "status", PER), EVERY + EVERY_FIRST.format(b="1") + "SELECT upload_id, coalesce(nullif(trim(status), ''), 'Unknown') AS shown, name AS optic, count(*) AS n FROM f GROUP BY 1, 2, 3")
+register("every_sheet_optic_cells", lambda t: counters.optic_cells(every(t), PER), EVERY + f" SELECT upload_id, optic, count(*) FILTER (WHERE side = 'A') AS a, count(*) FILTER (WHERE side = 'Z') AS z, count(*) AS n FROM sends WHERE {P('optic')} GROUP BY 1, 2")
+register("every_sheet_mpo_optics", lambda t: counters.mpo_optics(every(t), PER), EVERY + f", a AS (SELECT upload_id, optic, count(*) AS a FROM (SELECT DISTINCT upload_id, a_device, a_port, a_optic AS optic FROM sheet) GROUP BY 1, 2), z AS (SELECT upload_id, z_optic AS optic, count(*) AS z FROM sheet GROUP BY 1, 2) SELECT upload_id, optic, coalesce(a, 0) AS a, coalesce(z, 0) AS z, coalesce(a, 0) + coalesce(z, 0) AS n FROM a FULL JOIN z USING (upload_id, optic) WHERE {P('optic')}")
+EVERY_LOCS = LOCS.replace("SELECT loc,", "SELECT upload_id, loc,").replace("GROUP BY loc", "GROUP BY upload_id, loc")
+register("every_sheet_devices", lambda t: counters.sheet_devices(every(t), PER), EVERY + EVERY_LOCS + "SELECT upload_id, model, in_service, count(*) AS n FROM d GROUP BY 1, 2, 3")
+register("every_sheet_cabling_state", lambda t: counters.cabling_state(every(t), PER), EVERY + EVERY_LOCS + "SELECT upload_id, CASE WHEN full_ THEN 'Fully Cabled' WHEN none_ THEN 'Not Cabled' ELSE 'Work in Progress' END AS state, model, count(*) AS n FROM d GROUP BY 1, 2, 3")
+register("every_sheet_model_index", lambda t: counters.model_index(every(t), PER), EVERY + f" SELECT upload_id, upper(model) AS model, count(*) AS n, count(*) FILTER (WHERE side = 'A') AS a, count(*) FILTER (WHERE side = 'Z') AS z, count(DISTINCT loc) AS locations FROM sends WHERE {P('model')} GROUP BY 1, 2")
+register("every_sheet_device_registry", lambda t: counters.device_registry(every(t), PER).select("upload_id", "device", "loc_cab_ru", "model", F.array_join("sections", ",").alias("sections"), F.array_join("sides", ",").alias("sides"), "n"), EVERY + f" SELECT upload_id, lower(device) AS device, loc AS loc_cab_ru, model, array_to_string(list_sort(list(DISTINCT section)), ',') AS sections, array_to_string(list_sort(list(DISTINCT side)), ',') AS sides, count(*) AS n FROM sends WHERE {P('device')} GROUP BY 1, 2, 3, 4")
+register("every_sheet_top_locations", lambda t: counters.top_locations(every(t), 3, PER).withColumn("rank", F.col("rank").cast("long")), EVERY + f", g AS (SELECT upload_id, optic, loc AS loc_cab_ru, count(*) AS n FROM sends WHERE {P('optic')} AND {P('loc')} GROUP BY 1, 2, 3) SELECT *, row_number() OVER (PARTITION BY upload_id, optic ORDER BY n DESC, loc_cab_ru) AS rank FROM g QUALIFY rank <= 3")
+register("every_roce_optics", lambda t: counters.roce_optics(every(t).select("upload_id", F.col("section").alias("tab"), "row_idx", F.col("a_loc_cab_ru").alias("loc"), F.col("a_port").alias("port"), F.col("z_port").alias("connector"), F.col("a_optic").alias("optic")), True, PER), EVERY + ", r AS (SELECT upload_id, upper(a_optic) AS optic, row_number() OVER (PARTITION BY upload_id, section, a_loc_cab_ru, substr(a_port, 1, greatest(length(a_port) - 2, 0)), z_port ORDER BY row_idx) AS rn FROM sheet) SELECT upload_id, optic, count(*) AS n FROM r WHERE rn = 1 GROUP BY 1, 2")
+register("every_rack_links", lambda t: rack.rack_links(every(t), "dh201", "041").select("upload_id", "id", "inside"), EVERY + f" SELECT upload_id, id, {IN_RACK.format(l='a_loc_cab_ru')} AND {IN_RACK.format(l='z_loc_cab_ru')} AS inside FROM sheet WHERE {IN_RACK.format(l='a_loc_cab_ru')} OR {IN_RACK.format(l='z_loc_cab_ru')}")
+register("every_room_optics", lambda t: rack.rack_optics(every(t), "dh201", "41", PER), EVERY + f" SELECT upload_id, optic, count(*) AS n FROM sends WHERE {IN_RACK.format(l='loc')} AND {P('optic')} GROUP BY 1, 2")
+register("every_rack_devices", lambda t: rack.rack_devices(every(t), "dh201", "41", t.hosts, PER), EVERY + f""", o AS (SELECT upload_id, lower(device) AS device, arg_min(model, side || row_idx) AS model, min(loc) AS loc, count(*) AS cables, bool_and(status_normalized = 'not_run') AS idle FROM sends WHERE {IN_RACK.format(l='loc')} AND {P('device')} GROUP BY 1, 2),
+h AS (SELECT upload_id, lower(hostname) AS device, min(model) AS h_model, min(rack) AS h_loc FROM hosts WHERE {IN_RACK.format(l='rack')} GROUP BY 1, 2)
+SELECT upload_id, device, coalesce(model, h_model) AS model, coalesce(loc, h_loc) AS loc, coalesce(cables, 0) AS cables, CASE WHEN idle THEN 'Pending' WHEN coalesce(cables, 0) > 0 THEN 'Installed' ELSE 'Listed' END AS state FROM o FULL JOIN h USING (upload_id, device)""")
+register("every_cab_summary", lambda t: rack.cab_summary(every(t), t.spark.range(0, 120).select(F.col("id").cast("string").alias("rack"), F.concat(F.lit("type-"), (F.col("id") % 3).cast("string")).alias("cab_type")).where("id % 7 <> 0"), "dh201", PER), EVERY + ", k AS (SELECT DISTINCT upload_id, CAST(split_part(loc, ':', 2) AS INTEGER) AS r FROM sends WHERE split_part(loc, ':', 1) = 'dh201') SELECT upload_id, CASE WHEN r % 7 = 0 THEN 'Unknown' ELSE 'type-' || (r % 3) END AS cab_type, count(*) AS racks FROM k GROUP BY 1, 2")
+register("every_ingest_roles", lambda t: ingest.with_roles(every(t), t.hosts).groupBy("upload_id", "a_role", "z_role").agg(F.count("*").alias("n")), EVERY + ", r AS (SELECT upload_id, lower(trim(hostname)) AS h, min(role) AS role FROM hosts GROUP BY 1, 2) SELECT s.upload_id, a.role AS a_role, z.role AS z_role, count(*) AS n FROM sheet s LEFT JOIN r a ON s.upload_id = a.upload_id AND lower(trim(a_device)) = a.h LEFT JOIN r z ON s.upload_id = z.upload_id AND lower(trim(z_device)) = z.h GROUP BY 1, 2, 3")
 register("ingest_status_slugs", lambda t: t.raw_links.groupBy("status", cells.status_slug("status").alias("slug"), "status_normalized").agg(F.count("*").alias("n")), "SELECT status, status_normalized AS slug, status_normalized, count(*) AS n FROM raw_links GROUP BY 1, 2, 3")
 register("ingest_first_rows", lambda t: ingest.physical_links(t.raw_links.withColumn("row_idx", F.col("id"))).groupBy("upload_id").agg(F.count("*").alias("n"), F.max("id").alias("last")), "SELECT upload_id, count(*) AS n, max(id) AS last FROM links GROUP BY 1")
 register("ingest_insert_new", lambda t: ingest.insert_new(t.links.where("upload_id = 105"), t.links.where("upload_id = 104"), ["a_device", "a_port", "z_device", "z_port"]).select("id"), "SELECT id FROM links n WHERE upload_id = 105 AND NOT EXISTS (SELECT 1 FROM links o WHERE o.upload_id = 104 AND o.a_device = n.a_device AND o.a_port = n.a_port AND o.z_device = n.z_device AND o.z_port = n.z_port)")

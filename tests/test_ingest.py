@@ -102,3 +102,22 @@ def test_cells(spark):
 
 def test_row_filter(links):
     assert ingest.row_filter(links, [("and", "a_device", "eq", "sw1"), ("or", "a_device", "eq", "sw5"), ("and", "none", "eq", "x")]).count() == 3
+
+
+def test_sheets_stay_apart(links):
+    """Two uploads with the same keys: each is counted as its own sheet, as if the other were not there."""
+    two, per = links.unionByName(links.withColumn("upload_id", F.lit(102))), ("upload_id",)
+    runs = [counters.sheet_optics, counters.optic_cells, counters.mpo_optics, counters.sheet_devices, counters.cabling_state, counters.model_index, counters.top_locations, counters.device_registry, lambda df, **k: rack.rack_optics(df, "dh202", "41", **k), lambda df, **k: rack.rack_devices(df, "dh202", "41", **k)]
+    for run in runs:
+        one = sorted(map(str, run(links).collect()))
+        rows = run(two, per=per)
+        for upload in (101, 102):
+            assert sorted(map(str, rows.where(F.col("upload_id") == upload).drop("upload_id").collect())) == one
+
+
+def test_every_upload_is_counted(spark, sf_dir):
+    from linkledger.plans import registry, sheets  # noqa: F401
+    from linkledger.plans.fixture import Tables
+
+    uploads = {r["upload_id"] for r in Tables(spark, sf_dir).links.select("upload_id").distinct().collect()}
+    assert len(uploads) > 1 and {r["upload_id"] for r in registry.QUERIES["every_sheet_optics"](spark, sf_dir).collect()} == uploads
