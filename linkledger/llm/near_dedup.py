@@ -287,9 +287,17 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs without near duplicates: of each component the smallest doc_id stays."""
-    found = near_components(docs, words, num, den).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
+    """docs without near duplicates: one row of each component stays, that of the smallest doc_id (null ones last; of
+    several, one). Here the row is the node, so that rows that repeat a doc_id and rows without one are copies like any
+    other. Rows without words stay, but for those that repeat a doc_id."""
+    own = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = near_components(own.select(F.col("_row").alias("doc_id"), "text"), words, num, den)
+    found = own.select("_row", "doc_id", h64(F.col("text")).alias("hash")).join(found.withColumnRenamed("doc_id", "_row"), "_row")
+    bare = F.col("n_shingles") == 0
+    group = [F.when(~bare | F.col("doc_id").isNull(), F.col("component_id")).alias("component"), F.when(bare, F.col("doc_id")).alias("bare_id")]
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash", "_row")).alias("least")
+    stay = written(found.groupBy(*group).agg(least).select("least._row"), "kept")
+    return own.join(stay, "_row", "left_semi").drop("_row")
 
 
 def op7_minhash_dedup(docs: DataFrame) -> DataFrame:

@@ -236,6 +236,21 @@ def test_keep_one_keeps_columns(odd_docs):
     assert out.columns == odd_docs.columns and {r["doc_id"] for r in out.collect()} == {1, 3, 4, 5, 6, 8, 9, 10, 11, 13, 14, 15}
 
 
+def test_keep_one_of_repeated_rows(spark):
+    """Rows that repeat a doc_id, and copies without one: one row stays, and keeps its text through suffix_dedup."""
+    body = lambda k: " ".join(f"{k}{i} of{i * 7 % 83}" for i in range(120))
+    a, b, c, d, e = map(body, "abcde")
+    near = lambda x: x + " tail"
+    rows = [(1, a), (1, a), (1, a), (2, near(a)), (3, b), (3, c), (4, near(c)), (None, d), (None, d), (None, near(d)), (None, e), (7, e), (8, ""), (8, ""), (9, None), (None, ""), (None, None)]
+    out = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).cache()
+    got = [tuple(r) for r in out.collect()]
+    assert sum(x in (d, near(d)) for _, x in got) == 1
+    rest = [(i, x) for i, x in got if x not in (d, near(d))]
+    assert sorted(rest, key=str) == sorted([(1, a), (3, b), (3, c), (7, e), (8, ""), (9, None), (None, ""), (None, None)], key=str)
+    kept = {r["text"] for r in repeats.drop_repeats(out).collect()}
+    assert {a, b, c, e} <= kept and kept & {d, near(d)}
+
+
 def test_byte_bpe(docs):
     import tiktoken
 
