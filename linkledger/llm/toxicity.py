@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import h64
 
-SAMPLE, CANDIDATES, STEMS = 20_000, 50_000, 2_000
-#: Words whose symbols a Python worker keeps.
-KNOWN = 200_000
+SAMPLE, STEMS = 20_000, 2_000
+#: Words whose symbols a Python worker keeps, and stems that it counts before it passes them on.
+KNOWN, COUNTED = 200_000, 200_000
+#: Toxic rows that hold a stem, at least.
+LEAST_ROWS = 3
 LEAST_G2, LEAST_PRECISION = 24.0, 0.8
 
 # Words of the grammar.
@@ -171,6 +173,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def telling(toxic: int, clean: int) -> Column:
+    """Whether the counts t and c of a stem come up to LEAST_G2 and LEAST_PRECISION (a little less, for rounding)."""
+    base, p = toxic / (toxic + clean), F.col("t") / (F.col("t") + F.col("c"))
+    g = 2 * (F.col("t") * F.log(p / base) + F.when(F.col("c") > 0, F.col("c") * F.log((1 - p) / (1 - base))).otherwise(0.0))
+    return (g >= LEAST_G2 - 1e-6) & (p >= LEAST_PRECISION - 1e-9)
+
+
 def choose(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
     """Stems that tell the classes apart: by falling likelihood ratio, none that extends or shortens one before it."""
     found = []
@@ -218,27 +227,30 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         if not sizes.get(0) or not sizes.get(1):
             return start
 
-        def count(wanted):
-            def run(batches):
-                for batch in batches:
-                    c = Counter()
-                    for text in batch.column(0).to_pylist():
-                        s = stems_of(text)
-                        c.update(s if wanted is None else s & wanted)
-                    yield pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], ["stem", "n"])
-
-            return run
-
-        def counts(toxic, wanted=None, least=1):
-            n = rows.where(F.col("toxic") == toxic).select("text").mapInArrow(count(wanted), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
-            return {r["stem"]: r["n"] for r in n.where(F.col("n") >= least).orderBy(F.desc("n"), "stem").limit(CANDIDATES).collect()}
-
-        yes = counts(1, least=3)
-        no = counts(0, wanted=set(yes))
-        stems = choose({s: (t, no.get(s, 0)) for s, t in yes.items()}, sizes[1], sizes[0])
+        def count(batches):
+            for batch in batches:
+                c = Counter(), Counter()
+                for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    c[toxic == 1].update(stems_of(text))
+                    if len(c[0]) + len(c[1]) > COUNTED:
+                        yield counted(c)
+                        c = Counter(), Counter()
+                yield counted(c)
+
+        def counted(c):
+            clean, toxic = c
+            n = [pa.array([*toxic.values(), *[0] * len(clean)], pa.int64()), pa.array([*[0] * len(toxic), *clean.values()], pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array([*toxic, *clean], pa.string()), *n], ["stem", "t", "c"])
+
+        seeds = [w + "$" for w in INSULTS]
+        n = rows.where("toxic in (0, 1)").mapInArrow(count, "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+        # Only stems that tell the classes apart come to the driver; choose() tests them again.
+        n = n.where(F.col("t") >= LEAST_ROWS).where(telling(sizes[1], sizes[0]) | F.col("stem").isin(seeds))
+        counts = {r["stem"]: (r["t"], r["c"]) for r in n.collect()}
+        stems = choose(counts, sizes[1], sizes[0])
         covered = {s.rstrip("$")[:k] for s in stems for k in range(3, 9)}
-        seeds = {w + "$": 3.0 for w in INSULTS if w[:8] not in covered and yes.get(w + "$", 0) >= no.get(w + "$", 0)}
-        model = Model(stems | seeds)
+        fixed = {w: 3.0 for w in seeds if w[:-1][:8] not in covered and int.__ge__(*counts.get(w, (0, 0)))}
+        model = Model(stems | fixed)
 
         def features(batches):
             for batch in batches:

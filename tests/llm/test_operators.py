@@ -116,6 +116,15 @@ def test_toxicity_learns(spark):
     assert all(r["predicted"] == r["toxic"] for r in out) and len(out) > 100
 
 
+def test_toxicity_counts_every_stem(spark):
+    """More than 50,000 stems are in more toxic rows than the one that tells the rows apart."""
+    common = " ".join(f"{i:05d}zzz" for i in range(14_000))
+    rows = [(i, common + (" vixgrub" if i % 2 and i % 5 else ""), i % 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert model.symbol("vixgrub")[0] == toxicity.INSULT and model.symbol("00001zzz")[0] == toxicity.OTHER
+
+
 def test_grammar():
     m = toxicity.Model({"idiot$": 3.0})
     plain, aimed, negated, reported = (m.matches(t) for t in ("the idiot", "you are idiot", "you are not idiot", "they said an idiot"))
