@@ -68,8 +68,8 @@ def caps(dims: int) -> Caps:
     return _CAPS[dims]
 
 
-def classes(vectors: DataFrame) -> DataFrame:
-    """vec_id, v1, v2: 128 bits of the vector's components; null where it links with nothing."""
+def classes(vectors: DataFrame, whole: bool = False) -> DataFrame:
+    """vec_id, v1, v2 (whole: and embedding): 128 bits of the vector's components; null where it links with nothing."""
 
     def run(batches):
         for batch in batches:
@@ -79,9 +79,10 @@ def classes(vectors: DataFrame) -> DataFrame:
                 ok = x is not None and len(x) and np.isfinite(x).all() and x.any()
                 d = hashlib.blake2b((x + 0.0).tobytes(), digest_size=16).digest() if ok else None
                 a.append(d and int.from_bytes(d[:8], "little", signed=True)), b.append(d and int.from_bytes(d[8:], "little", signed=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["vec_id", "v1", "v2"])
+            cols = [batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), batch.column(1)]
+            yield pa.RecordBatch.from_arrays(cols[: 3 + whole], ["vec_id", "v1", "v2", "embedding"][: 3 + whole])
 
-    return vectors.mapInArrow(run, "vec_id long, v1 long, v2 long")
+    return vectors.mapInArrow(run, "vec_id long, v1 long, v2 long" + ", embedding array<double>" * whole)
 
 
 def filters(reps: DataFrame) -> DataFrame:
@@ -164,13 +165,12 @@ def embedding_components(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id for every row; vectors: vec_id, embedding."""
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     keyed = written(classes(own), "vectors")
-    cls = keyed.where("v1 is not null and vec_id is not null").groupBy("v1", "v2").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"))
-    cls = written(cls, "classes")
-    # A repeated vec_id may stand for several classes: the class, not the id, is the node.
-    named = cls.withColumn("node", F.col("id"))
-    reps = keyed.join(cls, ["v1", "v2"]).where("vec_id = id").select("id", "weight", "v1", "v2").distinct()
-    body = own.select(F.col("vec_id").alias("id"), "embedding").dropDuplicates(["id"])
-    found = written(filters(reps.join(body, "id").select("id", "weight", "embedding").dropDuplicates(["id"])), "filters")
+    cls = keyed.where("v1 is not null and vec_id is not null").groupBy("v1", "v2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"))
+    # A repeated vec_id may stand for several classes: the class, not the id, is the node, and has a number.
+    cls = written(cls.withColumn("id", F.monotonically_increasing_id()), "classes")
+    body = classes(own.join(cls.select("vec_id").distinct(), "vec_id", "left_semi"), True)
+    body = body.join(cls.select("v1", "v2", "id", "weight"), ["v1", "v2"]).dropDuplicates(["v1", "v2"]).select("id", "weight", "embedding")
+    found = written(filters(body), "filters")
     size = found.select(F.explode("filters").alias("filter")).groupBy("filter").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n"))
     size = written(size.where("n > 1"), "filter-sizes")
     total = size.agg(F.coalesce(F.sum(F.col("n") * F.col("blocks")), F.lit(0))).first()[0]
@@ -183,8 +183,10 @@ def embedding_components(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     links = written(block_links(rows, cosine, groups), "links")
     comp = components(links.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     total = links.groupBy("id").agg(F.sum("links").alias("links"))
-    named = named.join(total, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
-    named = written(named.select("v1", "v2", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "by-class")
+    named = cls.join(total, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
+    named = named.withColumn("component", F.coalesce("component", "id"))
+    named = named.join(named.groupBy("component").agg(F.min("vec_id").alias("component_id")), "component")
+    named = written(named.select("v1", "v2", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"), "by-class")
     out = keyed.join(named, ["v1", "v2"], "left")
     linked = F.col("vec_id").isNotNull()
     return out.select("vec_id", F.when(linked, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.when(linked, F.coalesce("component_id", "vec_id")).alias("component_id"))

@@ -5,15 +5,15 @@ table (i, j) is keyed by the pair (A_i, B_j). So side * side tables cost 2 * sid
 minhashes instead of side * side * 2 * rows. With rows 2 and side 8 a pair of similarity 0.8
 meets in some table with probability 0.9994, one of 0.9 with 0.9999999.
 
-Equal sets are one class, and only its smallest doc_id is looked up further, so groups of copies
-cost one row. In each table bucket the smallest id is the hub. First all members are compared
+Equal sets are one class, a class has a number, and only one of its rows is looked up further, so
+groups of copies cost one row. Numbers become the smallest doc_id at the end. In each table bucket the smallest id is the hub. First all members are compared
 with their hubs; then the members that are still in different components with each other, in
 blocks within a cluster and pair by pair between clusters, so that every pair that shares a
 bucket is confirmed, refuted or in one component.
 
 Words are runs of other bytes than ASCII white space, A-Z lower-cased. Null and empty texts, and
 those without words, have the empty set, size 0, and link with nothing; texts with fewer words
-than a shingle have one shingle. Rows that repeat a doc_id count as copies or near copies of it;
+than a shingle have one shingle. Rows that repeat a doc_id are compared like any others;
 rows with a null doc_id link with nothing and are kept.
 """
 
@@ -134,8 +134,7 @@ def features(docs: DataFrame, words: int, side: int = SIDE, rows: int = ROWS) ->
                     keys[full] = key
                     lanes = mix(low[:, : LANES * SKETCH]) >> np.uint64(57)
                     sketch[full] = sum(lanes[:, i::LANES] << np.uint64(8 * i) for i in range(LANES))
-                    sums[0, full] = np.add.reduceat(mix(flat + _PLACE[60]), cuts)
-                    sums[1, full] = np.add.reduceat(mix(flat ^ _PLACE[61]), cuts)
+                    sums[0, full], sums[1, full] = signatures(flat, cuts)
                 lists = [_lists(keys[:, :side]), _lists(keys[:, side:]), _lists(sketch)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, len(texts)), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), *lists],
@@ -157,15 +156,29 @@ def close(n, m, num: int, den: int):
     return den * F.least(n, m) >= num * F.greatest(n, m)
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+def signatures(flat: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set; flat holds the sets after each other, cuts where each begins."""
+    return np.add.reduceat(mix(flat + _PLACE[60]), cuts), np.add.reduceat(mix(flat ^ _PLACE[61]), cuts)
+
+
+def shingle_sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
+    """(id, members) of the classes asked for: s1, s2, n, id and doc_id, one that has such a set."""
+
     def run(batches):
         for batch in batches:
             for first, texts in runs(batch):
-                out = [s.tobytes() for s in shingles(texts, words)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(out, pa.binary())], ["id", "members"])
+                sets = list(shingles(texts, words))
+                s1, s2 = np.zeros((2, len(sets)), np.uint64)
+                n = np.array([len(s) for s in sets])
+                full = np.flatnonzero(n)
+                if len(full):
+                    s1[full], s2[full] = signatures(np.concatenate(sets), np.concatenate([[0], np.cumsum(n[full])[:-1]]))
+                cols = [pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(n), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["s1", "s2", "n", "members"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    return own.mapInArrow(run, "id long, members binary")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
+    # A doc_id may stand for several sets.
+    return own.mapInArrow(run, "s1 long, s2 long, n long, members binary").join(asked.select("s1", "s2", "n", "id"), ["s1", "s2", "n"]).dropDuplicates(["s1", "s2", "n"]).select("id", "members")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -252,18 +265,18 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     """(doc_id, n_shingles, component_id) for every row of docs."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     feats = written(features(own, words, side, rows), "minhash")
-    cls = written(feats.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = feats.join(cls.select("s1", "s2", "n", F.col("rep").alias("doc_id")), ["s1", "s2", "n", "doc_id"], "left_semi").dropDuplicates(["doc_id", "s1", "s2"])
+    cls = written(feats.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("doc_id")).withColumn("id", F.monotonically_increasing_id()), "classes")
+    reps = feats.join(cls, ["s1", "s2", "n", "doc_id"]).dropDuplicates(["s1", "s2", "n", "doc_id"]).select(F.col("id").alias("doc_id"), "n", "a", "b", "sketch")
     rows_ = bucket_rows(reps, side)
     hubs = written(rows_.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1"), "hubs")
     members = written(rows_.join(hubs, "key").select("key", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), "size"), "members")
     star = members.where(F.col("id") > F.col("hub")).where(close(F.col("n"), F.col("hub_n"), num, den))
     star = star.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    sketches = reps.select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"])
+    sketches = reps.select(F.col("doc_id").alias("id"), "sketch")
     for end in ("a", "b"):
         star = star.join(sketches.select(F.col("id").alias(end), F.col("sketch").alias(f"sketch_{end}")), end)
     star = written(star.where(alike("sketch_a", "sketch_b")).select("a", "b"), "pairs")
-    sets = written(shingle_sets(own, members.select("id").distinct(), words).dropDuplicates(["id"]), "sets")
+    sets = written(shingle_sets(own, cls.join(members.select("id").distinct(), "id"), words), "sets")
     edges = written(confirmed(star, sets, num, den), "links")
     comp = written(components(edges), "comps")
     # A cluster has the members whose least hub is the same. Clusters with several components are compared in
@@ -281,8 +294,10 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     more = written(more.unionByName(confirmed(pairs, sets, num, den)), "links")
     if not more.isEmpty():
         comp = written(components(edges.unionByName(more)), "comps")
-    by_class = cls.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = feats.select("doc_id", "n", "s1", "s2").join(written(by_class, "by-class"), ["s1", "s2", "n"], "left")
+    named = cls.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    by_class = written(named.join(least, "component").select("s1", "s2", "n", "component_id"), "by-class")
+    out = feats.select("doc_id", "n", "s1", "s2").join(by_class, ["s1", "s2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 

@@ -260,6 +260,20 @@ def test_keep_one_of_repeated_rows(spark):
     assert {a, b, c, e} <= kept and kept & {d, near(d)}
 
 
+def test_repeated_ids_of_other_content(spark):
+    """A doc_id or vec_id that stands for two contents: both link, each with its own copies and near copies."""
+    body = lambda k: " ".join(f"{k}{i} of{i * 7 % 83}" for i in range(120))
+    a, b = body("a"), body("b")
+    rows = [(5, a), (5, b), (6, a + " tail"), (7, b + " tail"), (2, b + " tail more"), (9, body("c"))]
+    got = {(r["doc_id"], r["component_id"]) for r in near_dedup.op7_minhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 5), (6, 5), (5, 2), (7, 2), (2, 2), (9, 9)}
+    x, y = np.random.default_rng(4).standard_normal((2, 64))
+    turned = lambda v, at: [float(z) for z in v + 0.01 * np.eye(64)[at]]
+    rows = [(5, [*map(float, x)]), (5, [*map(float, y)]), (6, turned(x, 0)), (7, turned(y, 1)), (2, turned(y, 2))]
+    out = embedding_dedup.op10_embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {(r["vec_id"], r["component_id"], r["n_links"]) for r in out} == {(5, 5, 1), (6, 5, 1), (5, 2, 2), (7, 2, 2), (2, 2, 2)}
+
+
 def test_byte_bpe(docs):
     import tiktoken
 
