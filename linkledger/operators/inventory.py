@@ -191,9 +191,10 @@ def upload_diff(t: Tables, old: int, new: int) -> DataFrame:
     return upload_diff_rows(t, old, new).groupBy("change").agg(F.count("*").alias("cnt"))
 
 
-def upload_diff_items(t: Tables, old: int, new: int) -> DataFrame:
-    """Per kind of change the count and the changes in order, as an API would return them."""
-    return upload_diff_rows(t, old, new).groupBy("change").agg(F.count("*").alias("cnt"), F.to_json(F.sort_array(F.collect_list(F.struct(*KEY, "detail")))).alias("items"))
+def write_upload_diff(t: Tables, old: int, new: int, path: str) -> None:
+    """The changes as a table laid out by kind of change, in order over its files; upload_diff has the counts."""
+    rows = upload_diff_rows(t, old, new).repartitionByRange("change", *KEY, "detail").sortWithinPartitions("change", *KEY, "detail")
+    rows.write.partitionBy("change").parquet(path)
 
 
 def upload_list(t: Tables, site_id: int, limit=50) -> DataFrame:

@@ -121,3 +121,16 @@ def test_every_upload_is_counted(spark, sf_dir):
 
     uploads = {r["upload_id"] for r in Tables(spark, sf_dir).links.select("upload_id").distinct().collect()}
     assert len(uploads) > 1 and {r["upload_id"] for r in registry.QUERIES["every_sheet_optics"](spark, sf_dir).collect()} == uploads
+
+
+def test_write_upload_diff(spark, sf_dir, tmp_path):
+    """Every change is a row of its own, in the folder of its kind."""
+    from linkledger.operators import inventory
+    from linkledger.plans.fixture import Tables
+
+    t, path = Tables(spark, sf_dir), str(tmp_path / "diff")
+    inventory.write_upload_diff(t, 104, 105, path)
+    want = inventory.upload_diff_rows(t, 104, 105)
+    got = spark.read.parquet(path).select(*want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 0
+    assert {p.name for p in (tmp_path / "diff").glob("change=*")} == {f"change={r['change']}" for r in inventory.upload_diff(t, 104, 105).collect()}
