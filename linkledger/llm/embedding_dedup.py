@@ -2,15 +2,19 @@
 
 Filter directions are a random product code: a direction is a pair of code words, one for each half
 of the coordinates. Every vector is list-decoded to all directions whose inner product exceeds the
-cap's height (and to its `least` best ones); vectors that share a filter are compared in double
-precision. The height is set so that a random vector exceeds it for about `caps` directions.
-
-Equal vectors are one class. A filter's vectors are compared in pairs of blocks, so no task holds
-more than two blocks, and a pair counts only in the least of its common filters. Blocks return
-sums of links and a spanning forest, never all pairs.
-
-Null, zero and non-finite vectors link with nothing; vectors of other lengths never meet. Rows with
-a null vec_id link with nothing and are kept. Rows that repeat a vec_id are equal or near copies of it.
+cap's height (and to its `least` best ones). The height is set so that a random vector exceeds it for
+about `caps` directions.
+
+Equal vectors are one class. A class lives in a block of at most about BLOCK classes with the same best
+filter. The join on filters carries no vectors, only the block and a sketch of 128 signs: two blocks are
+candidates if they hold vectors with a common filter whose sketches are as close as those of a linked
+pair are (a linked pair fails that with a probability under 1e-9). Each pair of candidate blocks is then
+compared once, in double precision, and returns sums of links and a spanning forest, never all pairs. Filters
+and homes with very many vectors are cut into chunks and blocks, so no task holds one whole.
+
+Defined cases: null, zero and non-finite vectors, and rows with a null vec_id, link with nothing and are
+kept; vectors of other lengths never meet. Rows that repeat a vec_id are each compared like any others.
+An empty table gives no rows. Columns other than vec_id and embedding are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import components, h64, width, written
 
-WORDS, CAPS, LEAST, BLOCK, GROUP_ROWS = 1024, 56, 28, 512, 8_000
+WORDS, CAPS, LEAST = 1024, 56, 28
+#: Classes of a block, entries of a chunk of a filter, rows of one call of either comparison.
+BLOCK, CHUNK, GROUP_ROWS, GROUP_ENTRIES = 256, 2_048, 8_000, 200_000
 
 
 class Caps:
@@ -34,6 +40,7 @@ class Caps:
         self.dims, self.room = dims, max(8, dims + dims % 2)
         rng = np.random.default_rng(10_0100 + dims)
         half = self.room // 2
+        self.signs = rng.standard_normal((dims, 128))
         self.code = [c / np.linalg.norm(c, axis=1, keepdims=True) / np.sqrt(2) for c in rng.standard_normal((2, WORDS, half))]
         sample = rng.standard_normal((48, self.room))
         sample[:, dims:] = 0
@@ -44,8 +51,8 @@ class Caps:
         half = self.room // 2
         return x[:, :half] @ self.code[0].T, x[:, half:] @ self.code[1].T
 
-    def decode(self, x: np.ndarray) -> list[np.ndarray]:
-        """For each unit vector the sorted numbers of its filters."""
+    def decode(self, x: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        """For each unit vector the numbers of its filters, and that of the best one."""
         padded = np.zeros((len(x), self.room))
         padded[:, : self.dims] = x
         out = []
@@ -55,7 +62,7 @@ class Caps:
             least = min(self.height, best)
             i, j = np.flatnonzero(a >= least - b.max()), np.flatnonzero(b >= least - a.max())
             u, v = np.nonzero(a[i][:, None] + b[j][None, :] >= least)
-            out.append(np.sort(i[u] * WORDS + j[v]))
+            out.append((i[u] * WORDS + j[v], int(a.argmax()) * WORDS + int(b.argmax())))
         return out
 
 
@@ -86,39 +93,78 @@ def classes(vectors: DataFrame, whole: bool = False) -> DataFrame:
 
 
 def filters(reps: DataFrame) -> DataFrame:
-    """id, weight, unit vector (binary), its filters (binary) for each class; one list of filters to explode."""
+    """id, weight, unit vector (binary), sketch (s1, s2), best filter and all filters of each class; reps: id, weight, embedding."""
 
     def run(batches):
         for batch in batches:
             x = [np.asarray(v, np.float64) for v in batch.column(2).to_pylist()]
             x = [v / np.abs(v).max() for v in x]
             x = [v / np.linalg.norm(v) for v in x]
-            lists = [None] * len(x)
+            lists, home, sketch = [None] * len(x), np.zeros(len(x), np.int64), np.zeros((len(x), 2), np.int64)
             for dims in {len(v) for v in x}:
                 own = [i for i, v in enumerate(x) if len(v) == dims]
-                for i, f in zip(own, caps(dims).decode(np.stack([x[i] for i in own]))):
-                    lists[i] = f + (dims << 32)
-            cols = [batch.column(0), batch.column(1), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([f.tobytes() for f in lists], pa.binary()), pa.array(lists, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "weight", "unit", "own", "filters"])
+                unit = np.stack([x[i] for i in own])
+                for i, (f, best) in zip(own, caps(dims).decode(unit)):
+                    lists[i], home[i] = f + (dims << 32), best + (dims << 32)
+                sketch[own] = np.packbits(unit @ caps(dims).signs > 0, axis=1).view(np.int64)
+            cols = [batch.column(0), batch.column(1), pa.array([v.tobytes() for v in x], pa.binary()), *[pa.array(np.ascontiguousarray(c)) for c in sketch.T], pa.array(home), pa.array(lists, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "weight", "unit", "s1", "s2", "home", "filters"])
+
+    return reps.mapInArrow(run, "id long, weight long, unit binary, s1 long, s2 long, home long, filters array<long>")
+
+
+def most_bits(cosine: float) -> int:
+    """Signs of 128 in which a pair of this cosine differs at most, by seven standard deviations."""
+    p = float(np.arccos(np.clip(cosine, -1, 1)) / np.pi)
+    return int(np.ceil(128 * p + 7 * np.sqrt(128 * p * (1 - p))))
 
-    return reps.mapInArrow(run, "id long, weight long, unit binary, own binary, filters array<long>")
 
+def with_parts(rows: DataFrame, by: str, most: int, part: str) -> DataFrame:
+    """rows with `part`, a number by hash of id so that a part of a value of `by` has about `most` rows, and `parts`."""
+    large = rows.groupBy(by).agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).where("parts > 1")
+    rows = rows.join(large, by, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return rows.withColumn(part, F.pmod(h64(3, F.col("id")), F.col("parts")).cast("int"))
 
-def bucket_links(unit, ids, weight, lists, block, number, cosine):
-    """Links in one pair of blocks of filter `number`: rows with links, how many for each, and a spanning forest (rows)."""
+
+def near_blocks(entries: DataFrame, bits: int, groups: int) -> DataFrame:
+    """(x, y), x <= y: blocks of vectors that share a filter and differ in at most `bits` signs; entries: filter, id, block, s1, s2."""
+
+    def compare(t):
+        t = t.sort_by([("filter", "ascending"), ("i", "ascending"), ("j", "ascending")])
+        f, i, j, chunk, block, s1, s2 = (t[c].to_numpy() for c in ("filter", "i", "j", "chunk", "block", "s1", "s2"))
+        cuts = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
+        end = np.repeat(cuts[1:], np.diff(cuts))
+        a, step, found = np.arange(len(f)), 1, np.zeros((0, 2), np.int64)
+        some = [found]
+        while len(a := a[a + step < end[a]]):  # each row with the one `step` places on in its group
+            b = a + step
+            near = (np.bitwise_count(s1[a] ^ s1[b]) + np.bitwise_count(s2[a] ^ s2[b])) <= bits
+            near &= (i[a] == j[a]) | (chunk[a] != chunk[b])
+            x, y = block[a[near]], block[b[near]]
+            some.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+            if sum(map(len, some)) > 500_000:
+                some = [np.unique(np.concatenate(some), axis=0)]
+            step += 1
+        found = np.unique(np.concatenate(some), axis=0)
+        return pa.table({"x": np.ascontiguousarray(found[:, 0]), "y": np.ascontiguousarray(found[:, 1])})
+
+    cut = with_parts(entries, "filter", CHUNK, "chunk")
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cut = cut.select("filter", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "block", "s1", "s2")
+    dealt = cut.withColumn("g", F.pmod(h64(11, F.col("filter"), F.col("i"), F.col("j")), F.lit(groups)))
+    return dealt.groupBy("g").applyInArrow(compare, "x long, y long").distinct()
+
+
+def block_pair_links(unit, weight, side, cosine):
+    """Links between the blocks of a pair (side: number of the row's block), or in one block: rows with links, how many for
+    each, and a spanning forest (pairs of rows)."""
     link = np.triu(unit @ unit.T >= cosine, 1)
-    if block[0] != block[-1]:
-        link &= block[:, None] != block[None, :]
+    if side[0] != side[-1]:
+        link &= side[:, None] != side[None, :]
     if not link.any():
         return [], [], []
     near = np.flatnonzero(link.any(0) | link.any(1))
     link, weight = link[np.ix_(near, near)], weight[near]
-    before = [lists[x][: np.searchsorted(lists[x], number)] for x in near]
-    _, col = np.unique(np.concatenate(before), return_inverse=True)
-    if len(col):  # a pair counts in the least of its common filters
-        has = np.zeros((len(near), col.max() + 1), np.float32)
-        has[np.repeat(np.arange(len(near)), [len(x) for x in before]), col] = 1
-        link &= has @ has.T == 0
     count = link @ weight + link.T @ weight
     root = list(range(len(near)))
 
@@ -134,35 +180,36 @@ def bucket_links(unit, ids, weight, lists, block, number, cosine):
         if u != v:
             root[max(u, v)] = min(u, v)
             forest.append((int(near[x]), int(near[y])))
-    some = np.flatnonzero(count)
-    return near[some].tolist(), count[some].tolist(), forest
+    return near.tolist(), count.tolist(), forest
 
 
-def block_links(rows: DataFrame, cosine: float, groups: int) -> DataFrame:
-    """(id, links, other): links to add to id's count; other, where not null, is an edge of the forest. Pairs of blocks are
-    dealt whole to `groups` groups, so that one call handles many small filters."""
+def confirmed_links(pairs: DataFrame, members: DataFrame, cosine: float, groups: int) -> DataFrame:
+    """(id, links, other): links to add to id's count; other, where not null, is an edge of the forest. pairs: x, y; members:
+    block, id, weight, unit. Pairs of blocks are dealt whole to `groups` groups, so that one call handles many small ones."""
 
     def compare(t):
-        t = t.sort_by([("filter", "ascending"), ("i", "ascending"), ("j", "ascending"), ("block", "ascending")])
-        f, i, j, ids, weight, block = (t[c].to_numpy() for c in ("filter", "i", "j", "id", "weight", "block"))
-        raw, own = t["unit"].to_pylist(), t["own"].to_pylist()
-        cuts = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
+        t = t.sort_by([("x", "ascending"), ("y", "ascending"), ("block", "ascending")])
+        x, y, ids, weight, block = (t[c].to_numpy() for c in ("x", "y", "id", "weight", "block"))
+        raw = t["unit"].to_pylist()
+        cuts = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]), [True]]))
         out_id, out_links, out_other = [], [], []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             unit = np.frombuffer(b"".join(raw[a:b])).reshape(b - a, -1)
-            lists = [np.frombuffer(v, np.int64) for v in own[a:b]]
-            some, count, forest = bucket_links(unit, ids[a:b], weight[a:b], lists, block[a:b], f[a], cosine)
-            out_id += [int(ids[a + x]) for x in some] + [int(ids[a + x]) for x, _ in forest]
+            some, count, forest = block_pair_links(unit, weight[a:b], block[a:b], cosine)
+            out_id += [int(ids[a + i]) for i in some] + [int(ids[a + i]) for i, _ in forest]
             out_links += count + [0] * len(forest)
-            out_other += [None] * len(some) + [int(ids[a + y]) for _, y in forest]
+            out_other += [None] * len(some) + [int(ids[a + i]) for _, i in forest]
         return pa.table({"id": pa.array(out_id, pa.int64()), "links": pa.array(out_links, pa.int64()), "other": pa.array(out_other, pa.int64())})
 
-    dealt = rows.withColumn("g", F.pmod(h64(11, F.col("filter"), F.col("i"), F.col("j")), F.lit(groups)))
+    ends = F.when(F.col("x") == F.col("y"), F.array("x")).otherwise(F.array("x", "y"))
+    rows = pairs.select("x", "y", F.explode(ends).alias("block")).join(members, "block")
+    dealt = rows.withColumn("g", F.pmod(h64(11, F.col("x"), F.col("y")), F.lit(groups)))
     return dealt.groupBy("g").applyInArrow(compare, "id long, links long, other long")
 
 
 def embedding_components(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id for every row; vectors: vec_id, embedding."""
+    least = width(vectors.sparkSession)
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     keyed = written(classes(own), "vectors")
     cls = keyed.where("v1 is not null and vec_id is not null").groupBy("v1", "v2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"))
@@ -170,17 +217,15 @@ def embedding_components(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     cls = written(cls.withColumn("id", F.monotonically_increasing_id()), "classes")
     body = classes(own.join(cls.select("vec_id").distinct(), "vec_id", "left_semi"), True)
     body = body.join(cls.select("v1", "v2", "id", "weight"), ["v1", "v2"]).dropDuplicates(["v1", "v2"]).select("id", "weight", "embedding")
-    found = written(filters(body), "filters")
-    size = found.select(F.explode("filters").alias("filter")).groupBy("filter").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n"))
-    size = written(size.where("n > 1"), "filter-sizes")
-    total = size.agg(F.coalesce(F.sum(F.col("n") * F.col("blocks")), F.lit(0))).first()[0]
-    groups = max(width(own.sparkSession), int(total // GROUP_ROWS))
-    size = size.select("filter", "blocks")
-    rows = found.select("id", "weight", "unit", "own", F.explode("filters").alias("filter")).join(size, "filter")
-    rows = rows.withColumn("block", F.pmod(h64(3, F.col("id")), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("filter", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "weight", "unit", "own")
-    links = written(block_links(rows, cosine, groups), "links")
+    found = with_parts(written(filters(body), "filters"), "home", BLOCK, "part").withColumn("block", h64(5, F.col("home"), F.col("part"))).drop("parts", "part")
+    found = written(found, "blocks")
+    members = found.select("block", "id", "weight", "unit")
+    entries = found.select(F.explode("filters").alias("filter"), "id", "block", "s1", "s2")
+    total = found.agg(F.coalesce(F.sum(F.size("filters")), F.lit(0))).first()[0]
+    pairs = written(near_blocks(entries, most_bits(cosine), max(least, total // GROUP_ENTRIES)), "block-pairs")
+    size = members.groupBy("block").agg(F.count("*").alias("n"))
+    total = pairs.select(F.explode(F.array("x", "y")).alias("block")).join(size, "block").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    links = written(confirmed_links(pairs, members, cosine, max(least, total // GROUP_ROWS)), "links")
     comp = components(links.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     total = links.groupBy("id").agg(F.sum("links").alias("links"))
     named = cls.join(total, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
