@@ -42,6 +42,14 @@ def width(spark: SparkSession, times: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))) * times
 
 
+def free_name(df: DataFrame, like: str) -> str:
+    """A column name that df does not have, in any case."""
+    taken, name, i = {c.lower() for c in df.columns}, f"_{like}", 0
+    while name.lower() in taken:
+        name, i = f"_{like}_{i}", i + 1
+    return name
+
+
 def h64(*cols: Column | int | str) -> Column:
     return F.xxhash64(*[F.lit(c) if isinstance(c, (int, str)) else c for c in cols])
 

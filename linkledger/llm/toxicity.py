@@ -1,18 +1,25 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 A text is cut into clauses; the words of a clause are read as symbols (insult, threat, target,
-negation, report, other). Five small transducers are composed into one: insults and threats at
-targets become matches, a target beside an insult strengthens it, a negation takes the matches of the
-next words to a class of their own, and reported speech those of the rest of the clause. A clause
-thus yields a weight for each class of match, and a logistic function of the document's sums is the
-score. Words that stand outside a match count nothing.
-
-What is learned, on at most SAMPLE labelled rows that are not held out (least hash of doc_id first):
-the insult stems with their weights (log odds of the documents that hold a word with this stem), and
-the six numbers of the logistic function. The function words below are fixed.
-
-Null and empty texts have no match and get the score of a text without matches. Rows with a null
-doc_id are scored, not learned from. Without labels of both kinds the fixed insults and START are used.
+negation, report, other), then the clause's end. Five small transducers are composed into one: the
+insult one marks a clause with insults, the threat one a threat that a target follows, the target one
+lets insults through only where the clause has a target (a person, a determiner or a copula that the
+insult can refer to), the negation one tells negated insults and threats, and the report one
+those of reported speech. A clause that the composed transducer accepts is a match of one of four
+classes and adds the weights of its insult and threat words, times the factors of its path; a logistic
+function of the document's sums is the score. Words count only as part of a matched clause: an insult in a
+clause without a target, and a threat without one, add nothing.
+
+What is learned, on at most SAMPLE labelled documents that are not held out (least hash of doc_id first):
+the insult stems with their weights (log odds of the documents that hold a word with this stem: its first
+three to eight letters, or the whole word), and the five numbers of the logistic function, which a ridge
+draws to PRIOR. A class of match that the labelled rows hardly have thus keeps its prior number. The
+function words below are fixed.
+
+Defined cases: null and empty texts have no match and get the score of a text without matches. Rows with a
+null doc_id are scored, not learned from; of rows that repeat a doc_id, each is scored and one is learned
+from. Without labels of both kinds the fixed insults and PRIOR are used. An empty table gives no rows. Columns
+of any name are kept as they are.
 """
 
 from __future__ import annotations
@@ -25,42 +32,48 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import h64
+from .common import free_name, h64
 
-SAMPLE, STEMS = 20_000, 2_000
+SAMPLE = 20_000
 #: Words whose symbols a Python worker keeps, and stems that it counts before it passes them on.
-KNOWN, COUNTED = 200_000, 200_000
+KNOWN, COUNTED = 100_000, 100_000
 #: Toxic rows that hold a stem, at least.
 LEAST_ROWS = 3
 LEAST_G2, LEAST_PRECISION = 24.0, 0.8
 
-# Words of the grammar.
+# Words of the grammar in English, German, French and Spanish.
 INSULTS = "idiot moron stupid pathetic worthless loser scum trash disgusting clown".split()
-THREATS = "kill hurt beat destroy burn punish crush stab shoot".split()
-TARGETS = "you your yours he she they them him her these those du ihr sie dich euch tu vous toi te ellos usted ustedes".split()
-NEGATIONS = "not never isn wasn aren don doesn nicht kein keine nie jamais nunca jamás".split()
+THREATS = "kill hurt beat destroy burn punish crush stab shoot töten schlagen verletzen tuer frapper détruire matar golpear destruir".split()
+PERSONS = "i me we us you your yours he him his she her it its they them their du dich dir ihr euch sie er es wir ich je tu te toi nous vous il elle ils elles on yo tú ti nosotros usted ustedes él ella ellos ellas".split()
+DETERMINERS = "the a an this that these those der die das den dem des ein eine einen le la les un une des du ce cet cette ces el los las una unos este esta ese esa".split()
+COPULAS = "is are was were am be been ist sind war bist bin est sont était es son era eres".split()
+NEGATIONS = "not never isn wasn aren don doesn nicht kein keine nie jamais pas nunca jamás".split()
 REPORTS = "said says say told called claimed claims wrote quoted sagte schrieb dit disait dijo dice".split()
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-#: Classes of match that the grammar puts out.
-PLAIN, AIMED, NEGATED, REPORTED, MENACE = range(1, 6)
-START = np.array([-3.0, 3.0, 3.5, 1.0, 1.0, 2.0])
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
+#: What stands for a clause's end behind a transducer: insults alone, then the four classes of match.
+ABUSE, AIMED, NEGATED, REPORTED, MENACE = range(7, 12)
+CLASSES = (AIMED, NEGATED, REPORTED, MENACE)
+#: Numbers of the logistic function before any row is seen: its constant, and one for each class.
+PRIOR = np.array([-3.0, 3.0, 0.3, 0.8, 6.0])
 
 TOKEN = re.compile(r"\w+|[.!?;\n]")
 BREAKS = frozenset(".!?;\n")
 
 
 class Transducer:
-    """arcs[state][symbol] = (next state, symbol put out, weight)."""
+    """arcs[state][symbol] = (next state, symbol put out, factor). A symbol without an arc passes and the state stays, but
+    any end of the clause leads back to state 0."""
 
     def __init__(self, arcs: list[dict[int, tuple[int, int, float]]]):
         self.arcs = arcs
 
     def step(self, state: int, symbol: int) -> tuple[int, int, float]:
-        return self.arcs[state].get(symbol, (0, symbol, 1.0))
+        return self.arcs[state].get(symbol, (0 if symbol >= END else state, symbol, 1.0))
 
     def compose(self, other: "Transducer", symbols: range) -> "Transducer":
-        """Reads what self reads and puts out what other makes of it; weights multiply."""
+        """Reads what self reads and puts out what other makes of it; factors multiply."""
         number, arcs, todo = {(0, 0): 0}, [], [(0, 0)]
         for a, b in todo:
             row = {}
@@ -75,41 +88,33 @@ class Transducer:
         return Transducer(arcs)
 
 
-#: Symbols between the transducers: the six of a word, then matches.
-M_PLAIN, M_AIMED, M_NEGATED, M_REPORTED, M_MENACE = range(10, 15)
-MATCHES = {M_PLAIN: PLAIN, M_AIMED: AIMED, M_NEGATED: NEGATED, M_REPORTED: REPORTED, M_MENACE: MENACE}
-
-
 def grammar() -> Transducer:
-    rest = (OTHER, TARGET, NEGATION, REPORT)
-    insult = Transducer([{INSULT: (0, M_PLAIN, 1.0)}])
+    # The first insult of a clause counts in full, further ones by half.
+    insult = Transducer([{INSULT: (1, INSULT, 1.0)}, {INSULT: (1, INSULT, 0.5), END: (0, ABUSE, 1.0)}])
     # A threat counts when a target follows within three words.
-    threat = Transducer(
-        [{THREAT: (1, OTHER, 1.0)}]
-        + [{THREAT: (1, OTHER, 1.0), TARGET: (0, M_MENACE, 1.0), M_PLAIN: (0, M_PLAIN, 1.0)} | {s: ((i + 1) % 4, s, 1.0) for s in (OTHER, NEGATION, REPORT)} for i in (1, 2, 3)]
-    )
-    # A target within two words before an insult makes it an aimed one.
-    target = Transducer([{TARGET: (1, TARGET, 1.0)}] + [{TARGET: (1, TARGET, 1.0), M_PLAIN: (0, M_AIMED, 1.25)} | {s: ((i + 1) % 3, s, 1.0) for s in (OTHER, NEGATION, REPORT)} for i in (1, 2)])
-    # A negation holds for the two words that follow.
-    negation = Transducer(
-        [{NEGATION: (1, NEGATION, 1.0)}]
-        + [{NEGATION: (1, NEGATION, 1.0)} | {m: (0, M_NEGATED, 0.5) for m in (M_PLAIN, M_AIMED, M_MENACE)} | {s: ((i + 1) % 3, s, 1.0) for s in (OTHER, TARGET, REPORT)} for i in (1, 2)]
-    )
-    # Reported speech holds to the end of the clause.
-    report = Transducer([{REPORT: (1, REPORT, 1.0)}, {s: (1, s, 1.0) for s in rest} | {m: (1, M_REPORTED, 0.5) for m in (M_PLAIN, M_AIMED, M_MENACE)} | {M_NEGATED: (1, M_NEGATED, 1.0)}])
+    after = [{THREAT: (1, THREAT, 1.0), TARGET: (4, TARGET, 1.0)} | {s: ((i + 1) % 4, s, 1.0) for s in (OTHER, INSULT, NEGATION, REPORT)} for i in (1, 2, 3)]
+    threat = Transducer([{THREAT: (1, THREAT, 1.0)}, *after, {END: (0, MENACE, 1.0), ABUSE: (0, MENACE, 1.25)}])
+    # Insults need a target in the clause.
+    target = Transducer([{TARGET: (1, TARGET, 1.0), ABUSE: (0, END, 1.0)}, {ABUSE: (0, AIMED, 1.0)}])
+    # A negation holds for the three words that follow it; one insult or threat outside undoes it.
+    held = [{NEGATION: (1, NEGATION, 1.0)} | {s: (4, s, 1.0) for s in (INSULT, THREAT)} | {s: ((i + 1) % 4, s, 1.0) for s in (OTHER, TARGET, REPORT)} for i in (1, 2, 3)]
+    plain = {s: (5, s, 1.0) for s in (INSULT, THREAT)}
+    negation = Transducer([{NEGATION: (1, NEGATION, 1.0)} | plain, *held, {AIMED: (0, NEGATED, 0.5), MENACE: (0, NEGATED, 0.5)}, {}])
+    # Reported speech holds for the clause.
+    report = Transducer([{REPORT: (1, REPORT, 1.0)}, {AIMED: (0, REPORTED, 0.5), MENACE: (0, REPORTED, 0.5)}])
     whole = insult
     for t in (threat, target, negation, report):
-        whole = whole.compose(t, range(6))
+        whole = whole.compose(t, range(7))
     return whole
 
 
-FIXED = {w: (s, 1.0) for s, ws in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}
+FIXED = {w: (s, 1.0) for s, ws in ((TARGET, PERSONS + DETERMINERS + COPULAS), (THREAT, THREATS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}
 
 
 class Model:
     """Stems with weights, and the logistic function."""
 
-    def __init__(self, stems: dict[str, float], weights: np.ndarray = START):
+    def __init__(self, stems: dict[str, float], weights: np.ndarray = PRIOR):
         self.stems, self.weights = stems, weights
         self.sizes = sorted({len(s) for s in stems if s[-1] != "$"}, reverse=True)
         self.machine, self.known = grammar(), {}
@@ -125,34 +130,43 @@ class Model:
         if found is None:
             w = self.stems.get(word + "$") or next((self.stems[word[:k]] for k in self.sizes if word[:k] in self.stems), None)
             found = (INSULT, w) if w else FIXED.get(word, (OTHER, 1.0))
+            if len(word) > 40:
+                return found
             if len(self.known) > KNOWN:
                 self.known.clear()
             self.known[word] = found
         return found
 
-    def matches(self, text: str | None) -> np.ndarray:
-        """Summed weights of the matches of each class, and a leading 1."""
-        out = np.zeros(6)
-        out[0] = 1
+    def clauses(self, text: str | None):
+        """(class, weight) of each matched clause."""
         words = TOKEN.findall((text or "").lower())
         symbol = self.symbol
         symbols = [None if w in BREAKS else symbol(w) for w in words]
-        hits = [i for i, s in enumerate(symbols) if s is not None and (s[0] == INSULT or s[0] == THREAT)]
         done = -1
-        for i in hits:
+        for i in [i for i, s in enumerate(symbols) if s is not None and (s[0] == INSULT or s[0] == THREAT)]:
             if i < done:
                 continue
             a = i
             while a and symbols[a - 1] is not None:
                 a -= 1
-            state, done = 0, a
+            state, done, total = 0, a, 0.0
             while done < len(symbols) and symbols[done] is not None:
                 s, w = symbols[done]
-                state, put, factor = self.machine.step(state, s)
-                if put in MATCHES:
-                    out[MATCHES[put]] += w * factor
+                state, _, factor = self.machine.step(state, s)
+                if s == INSULT or s == THREAT:
+                    total += w * factor
                 done += 1
+            _, put, factor = self.machine.step(state, END)
+            if put != END:
+                yield put, total * factor
+
+    def matches(self, text: str | None) -> np.ndarray:
+        """A leading 1, then log(1 + summed weights) of the matches of each class."""
+        out = np.zeros(1 + len(CLASSES))
+        for kind, w in self.clauses(text):
+            out[1 + CLASSES.index(kind)] += w
         out[1:] = np.log1p(out[1:])
+        out[0] = 1
         return out
 
     def score(self, text: str | None) -> float:
@@ -197,18 +211,16 @@ def choose(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[s
             continue
         taken[s] = w
         parts.update(bare[:k] for k in range(3, len(bare) + 1))
-        if len(taken) >= STEMS:
-            break
     return taken
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
-    w = np.zeros(x.shape[1])
+def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, ridge: float = 0.5) -> np.ndarray:
+    w = prior.copy()
     penalty = np.full(x.shape[1], ridge)
     penalty[0] = 1e-6
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (y - p) - penalty * (w - prior))
         w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
@@ -217,11 +229,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic."""
-    start = Model({w + "$": 3.0 for w in INSULTS})
+    start = Model({w + "$": 6.0 for w in INSULTS})
     rows = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(h64(F.col("doc_id")), "doc_id").limit(sample)
-    # At most `sample` rows of two numbers are broadcast.
-    rows = docs.join(F.broadcast(rows), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")).persist()
+    # At most `sample` rows of two numbers are broadcast; of rows that repeat a doc_id one is learned from.
+    rows = docs.join(F.broadcast(rows), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text"), h64(F.col("text"))).alias("one"), F.max("toxic").alias("toxic"))
+    rows = rows.select("one.text", F.col("toxic").cast("int").alias("toxic")).persist()
     try:
         sizes = dict(rows.groupBy("toxic").count().collect())
         if not sizes.get(0) or not sizes.get(1):
@@ -249,28 +262,35 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         counts = {r["stem"]: (r["t"], r["c"]) for r in n.collect()}
         stems = choose(counts, sizes[1], sizes[0])
         covered = {s.rstrip("$")[:k] for s in stems for k in range(3, 9)}
-        fixed = {w: 3.0 for w in seeds if w[:-1][:8] not in covered and int.__ge__(*counts.get(w, (0, 0)))}
+        fixed = {w: 6.0 for w in seeds if w[:-1][:8] not in covered and int.__ge__(*counts.get(w, (0, 0)))}
         model = Model(stems | fixed)
 
         def features(batches):
             for batch in batches:
                 rows_ = [[*map(float, model.matches(t)), float(y)] for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-                cols = np.array(rows_, np.float64).reshape(-1, 7).T
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [f"x{i}" for i in range(7)])
+                cols = np.array(rows_, np.float64).reshape(-1, 6).T
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [f"x{i}" for i in range(6)])
 
-        # At most `sample` rows of seven numbers come to the driver.
-        x = rows.select("text", "toxic").mapInArrow(features, ", ".join(f"x{i} double" for i in range(7))).toPandas().to_numpy()
-        model.weights = fit_logistic(x[:, :6], x[:, 6])
+        # At most `sample` rows of six numbers come to the driver.
+        x = rows.where("toxic in (0, 1)").select("text", "toxic").mapInArrow(features, ", ".join(f"x{i} double" for i in range(6))).toPandas().to_numpy()
+        model.weights = fit_logistic(x[:, :5], x[:, 5])
         return model
     finally:
         rows.unpersist()
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with the column score (a clashing one is replaced)."""
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with the column `name`."""
+    text = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1000):
+                part = batch.slice(first, 1000)
+                found = pa.array([model.score(x.as_py()) for x in part.column(text)], pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns, found], [*part.schema.names, name])
 
-    score = F.udf(model.score, "double", useArrow=True)
-    return docs.withColumn("score", score("text"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def op3_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -280,6 +300,6 @@ def op3_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs whose score is below the threshold."""
-    model = train(docs.select("doc_id", "text"), labels)
-    return scored(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, model).where(F.col("score") < threshold).drop("score").withColumnRenamed("_score", "score")
+    """The rows of docs whose score is below the threshold, with all columns as they are."""
+    name = free_name(docs, "score")
+    return scored(docs, train(docs.select("doc_id", "text"), labels), name).where(F.col(name) < threshold).drop(name)
