@@ -5,22 +5,30 @@ Each step of the recursive query joins neighbouring tokens with the merge table
 each word's leftmost pair of minimum rank, until no word has a pair left. decode: ids join the
 vocabulary, and an ordered aggregation puts a document's bytes together.
 
-Null text is empty: no ids, no bytes.
+A recursive query keeps the rows of all its steps, which grow with the square of a word. So words share a query
+up to a bound of that sum, and words of more than LONG bytes are contracted by the same rule with a heap of pairs.
+
+Defined cases: null and empty texts have no ids and no bytes; words and texts may have any length; rows that
+repeat a doc_id, and those with a null one, are encoded each by themselves; an empty table gives no rows;
+columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .units import _WHOLE, MOST_UNITS, UnitStore, chunks
+from .units import _WHOLE, MOST_UNITS, UnitStore, chunks, held
 
-#: Words for one recursive query; its rows stay within some tens of MB.
-WORDS, WORD_BYTES = 20_000, 200_000
+#: Words, and summed squares of their bytes, for one recursive query; its rows stay within some tens of MB.
+WORDS, SQUARES = 20_000, 4_000_000
+#: Bytes of a word beyond which it is contracted by long_word().
+LONG = 400
 
 CONTRACT = """
 WITH RECURSIVE step(i, w, pos, tok) AS (
@@ -39,6 +47,26 @@ SELECT w, pos, tok FROM step QUALIFY i = max(i) OVER (PARTITION BY w) ORDER BY w
 DECODE = "SELECT d, string_agg(s, '' ORDER BY pos) AS s FROM tokens JOIN vocab USING (id) GROUP BY d"
 
 
+def long_word(tokens: list[int], merges: dict[int, int]) -> list[int]:
+    """Contracts the leftmost pair of minimum rank until none is left; merges: rank by left << 20 | right."""
+    n = len(tokens)
+    after, before = [*range(1, n), -1], list(range(-1, n - 1))
+    heap = [(r, i) for i in range(n - 1) if (r := merges.get(tokens[i] << 20 | tokens[i + 1])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        rank, i = heapq.heappop(heap)
+        j = after[i]
+        if j < 0 or tokens[i] < 0 or merges.get(tokens[i] << 20 | tokens[j]) != rank:
+            continue
+        tokens[i], tokens[j], after[i] = rank, -1, after[j]
+        if after[i] >= 0:
+            before[after[i]] = i
+        for left, right in ((before[i], i), (i, after[i])):
+            if left >= 0 and right >= 0 and (r := merges.get(tokens[left] << 20 | tokens[right])) is not None:
+                heapq.heappush(heap, (r, left))
+    return [t for t in tokens if t >= 0]
+
+
 class BpeStore(UnitStore):
     """Ids of units by the recursive query; words that units share are contracted once."""
 
@@ -53,7 +81,8 @@ class BpeStore(UnitStore):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         splits = [(ranks[t[:i]] << 20 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.splits = splits
         ab, rank = (pa.array(x, pa.int64()) for x in zip(*splits))
         self.fill("merges", pa.table({"ab": ab, "rank": rank}))
         names = pa.array(["".join(chr(256 + b) for b in t) for t in ranks])
@@ -81,15 +110,25 @@ class BpeStore(UnitStore):
         out = self.rows(CONTRACT, pieces=pieces)
         self.words.put(words, out["tok"].to_numpy().astype(np.uint32), np.bincount(out["w"].to_numpy(), minlength=len(raw)))
 
+    def contract_long(self, word: str) -> None:
+        if isinstance(self.splits, list):
+            self.splits = dict(self.splits)
+        found = long_word(self.of_byte[np.frombuffer(word.encode(), np.uint8)].tolist(), self.splits)
+        self.words.put([word], np.array(found, np.uint32), np.array([len(found)]))
+
     def encode(self, new: list[str]) -> None:
         if len(self.words.slot) > self.words.most:
             self.words.trim()
         cut = [self.pattern.findall(u.removeprefix(_WHOLE)) for u in new]
         run, size = [], 0
         for w in set().union(*cut).difference(self.words.slot):
+            n = len(w) if w.isascii() else len(w.encode())
+            if n > LONG:
+                self.contract_long(w)
+                continue
             run.append(w)
-            size += len(w)
-            if len(run) >= WORDS or size >= WORD_BYTES:
+            size += n * n
+            if len(run) >= WORDS or size >= SQUARES:
                 self.contract(run)
                 run, size = [], 0
         if run:
@@ -111,13 +150,8 @@ class BpeStore(UnitStore):
         return texts
 
 
-_STORES: dict[tuple, BpeStore] = {}
-
-
 def bpe_store(ranks_path: str, pattern: str) -> BpeStore:
-    if (ranks_path, pattern) not in _STORES:
-        _STORES[ranks_path, pattern] = BpeStore(ranks_path, pattern)
-    return _STORES[ranks_path, pattern]
+    return held((ranks_path, pattern), lambda: BpeStore(ranks_path, pattern))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

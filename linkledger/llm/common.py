@@ -54,6 +54,17 @@ def h64(*cols: Column | int | str) -> Column:
     return F.xxhash64(*[F.lit(c) if isinstance(c, (int, str)) else c for c in cols])
 
 
+def join_hot(rows: DataFrame, keys: DataFrame, by: list[str], times: str, keep: bool = False, share: int = 1024) -> DataFrame:
+    """rows whose key (no null in it) is in keys (a written table with one row for each key; `times`: how often rows has
+    it; keep: `times` is added). Keys with more than 1/share of all are broadcast, fewer than `share` of them; the others go by shuffle."""
+    total = keys.agg(F.coalesce(F.sum(times), F.lit(0))).first()[0]
+    keys = keys.select(*by, times)
+    hot, cold = (keys.where(F.col(times) > total / share), keys.where(F.col(times) <= total / share))
+    if not keep:
+        hot, cold = hot.drop(times), cold.drop(times)
+    return rows.join(F.broadcast(hot), by).unionByName(rows.join(F.broadcast(hot), by, "left_anti").join(cold, by))
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component) of the undirected graph with edges (a, b): component is the smallest node reachable.
 

@@ -5,8 +5,12 @@ its rest is placed in the open window that it fills best, and when it fits in no
 window is emitted and a new one opened. What is open at a partition's end is merged with other
 partitions' leftovers by the same rule, in groups of `fan` partitions.
 
-Null text is an empty document (only the end id). Rows keep their scan order, which a retry
-repeats; the pieces are written once, so emitted and left-over windows stay consistent.
+Rows keep their scan order, which a retry repeats; the pieces are written once, so emitted and left-over windows
+stay consistent.
+
+Defined cases: null and empty texts are a document of the end id alone; a text of any length is cut into full windows
+and a rest; rows that repeat a doc_id, and those with a null one, are documents of their own; an empty
+table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -53,6 +57,9 @@ class Windows:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part int, open boolean"
 
 
+NAMES = [x.split()[0] for x in PIECES.split(", ")]
+
+
 def pack_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, most: int = OPEN, keep_space: bool = False) -> DataFrame:
     """One pass over the rows: pieces with their windows; open: the window was left open at the partition's end."""
 
@@ -66,7 +73,7 @@ def pack_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE,
             cols = list(zip(*some))
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in cols] + [pa.array(np.full(len(some), part, np.int32)), pa.array([is_open] * len(some))],
-                [x.split()[0] for x in PIECES.split(", ")],
+                NAMES,
             )
 
         for batch in batches:
@@ -99,19 +106,19 @@ def pack_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE,
 def merge_leftovers(pieces: DataFrame, size: int = SIZE, most: int = OPEN, fan: int = FAN) -> DataFrame:
     """Places left-over windows whole in one another, in groups of `fan` partitions: at most fan * most windows each."""
 
-    def merge(pdf):
-        used = pdf.groupby("sequence_id")["length"].sum().reset_index().sort_values(["length", "sequence_id"], ascending=[False, True])
-        windows, to = Windows(size, most, 0), {}
-        own: dict[int, int] = {}
-        for w, n in zip(used["sequence_id"].tolist(), used["length"].tolist()):
-            window, offset = windows.place(n)
-            to[w] = (own.setdefault(window, w), offset)
-        pdf["offset"] += pdf["sequence_id"].map(lambda w: to[w][1])
-        pdf["sequence_id"] = pdf["sequence_id"].map(lambda w: to[w][0])
-        pdf["doc_id"] = pdf["doc_id"].astype("Int64")
-        return pdf
-
-    return pieces.groupBy(F.floor(F.col("part") / fan).alias("group")).applyInPandas(merge, PIECES)
+    def merge(t):
+        window, length = t["sequence_id"].to_numpy(), t["length"].to_numpy()
+        names, row = np.unique(window, return_inverse=True)
+        used = np.bincount(row, length, len(names)).astype(np.int64)
+        windows, own = Windows(size, most, 0), {}
+        to, shift = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        for i in np.lexsort((names, -used)).tolist():
+            number, shift[i] = windows.place(int(used[i]))
+            to[i] = own.setdefault(number, names[i])
+        place = {"sequence_id": to[row], "offset": t["offset"].to_numpy() + shift[row]}
+        return pa.table({c: pa.array(place[c]) if c in place else t[c] for c in t.column_names if c != "group"}).select(NAMES)
+
+    return pieces.groupBy(F.floor(F.col("part") / fan).alias("group")).applyInArrow(merge, PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = SIZE, most: int = OPEN, fan: int = FAN) -> DataFrame:

@@ -10,6 +10,7 @@ unit is encoded once for a Python worker, and the ids are gathered by NumPy.
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import re
 
@@ -140,7 +141,7 @@ class UnitStore:
 
 
 class LibraryStore(UnitStore):
-    """Ids by the tokenizers library, special tokens' strings being ordinary text.
+    """Ids by the tokenizers library as it stands: the strings of its special tokens are those tokens.
 
     Plain words go to it many in one call, joined by spaces; their ids part where a token
     opens a word (byte level) or closes one (word ends). All else is encoded by itself.
@@ -152,7 +153,6 @@ class LibraryStore(UnitStore):
 
         super().__init__(keep_space, most)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocab = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
@@ -195,11 +195,22 @@ class LibraryStore(UnitStore):
             self.put(built, flat, length.reshape(-1, 2).sum(1))
 
 
-_STORES: dict[tuple, LibraryStore] = {}
+_HELD: dict[tuple, UnitStore] = {}
 
 
-def release() -> None:
-    """Gives memory that earlier tasks of this Python worker have freed back to the system."""
+def held(kind: tuple, make) -> UnitStore:
+    """The store that this Python worker keeps for its next tasks of the same kind. It keeps one: what a task of another
+    kind has left goes, and its memory is given back to the system."""
+    if kind not in _HELD:
+        let_go()
+        _HELD[kind] = make()
+    return _HELD[kind]
+
+
+def let_go() -> None:
+    """For tasks that need no store."""
+    _HELD.clear()
+    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
@@ -207,11 +218,7 @@ def release() -> None:
 
 
 def library_store(path: str, keep_space: bool) -> LibraryStore:
-    """One for each Python worker, so that later tasks find it filled."""
-    if (path, keep_space) not in _STORES:
-        release()
-        _STORES[path, keep_space] = LibraryStore(path, keep_space)
-    return _STORES[path, keep_space]
+    return held((path, keep_space), lambda: LibraryStore(path, keep_space))
 
 
 def chunks(texts: pa.Array, most: int = CHUNK_BYTES):

@@ -70,7 +70,6 @@ def test_token_files(docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     rows = sorted(token_files.op2_token_files(docs, tokenizer_file("byte_bpe_50k.json")).collect(), key=lambda r: r["start"])
     start = 0
     for r, (d, x) in zip(rows, texts(docs), strict=True):
@@ -89,9 +88,13 @@ def test_minimal_perfect_hash():
 
 
 def test_unknown_keys(spark, odd_docs):
-    _, _, index = token_files.token_files(odd_docs, tokenizer_file("byte_bpe_50k.json"))
-    asked = spark.createDataFrame([(6,), (777,), (None,)], "doc_id long")
-    assert [r["key"] for r in token_files.lookup(asked, index).collect()] == [6]
+    from tokenizers import Tokenizer
+
+    files = token_files.TokenFiles(odd_docs, tokenizer_file("byte_bpe_50k.json"))
+    asked = spark.createDataFrame([(8, 0), (777, 0), (None, 0), (13, 1), (13, 2)], "key long, copy long")
+    got = {(r["key"], r["copy"]): np.frombuffer(r["ids"], "<u4").tolist() for r in files.get(asked).collect()}
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert got == {(8, 0): [*tok.encode("a b").ids, 0], (13, 1): [*tok.encode("x").ids, 0]}
 
 
 def test_toxicity(spark, docs):
@@ -155,7 +158,6 @@ def test_packing(docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     rows = packing.pack(docs, tokenizer_file("word_bpe_49k.json")).collect()
     want = Counter()
     for d, x in texts(docs):
