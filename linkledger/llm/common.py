@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,13 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session in one process (master local) may do
+    without, and gets a folder of its own there."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = getattr(spark, "_llm_shared_dir", None)
-        if where is None:
-            where = tempfile.mkdtemp(prefix="llm-shared-")
-            spark._llm_shared_dir = where
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = tempfile.mkdtemp(prefix="llm-shared-")
+        spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
@@ -54,17 +56,23 @@ def h64(*cols: Column | int | str) -> Column:
     return F.xxhash64(*[F.lit(c) if isinstance(c, (int, str)) else c for c in cols])
 
 
-def join_hot(rows: DataFrame, keys: DataFrame, by: list[str], times: str, keep: bool = False, share: int = 1024) -> DataFrame:
+def join_hot(rows: DataFrame, keys: DataFrame, by: list[str], times: str, keep: list[str] = [], share: int = 1024) -> DataFrame:
     """rows whose key (no null in it) is in keys (a written table with one row for each key; `times`: how often rows has
-    it; keep: `times` is added). Keys with more than 1/share of all are broadcast, fewer than `share` of them; the others go by shuffle."""
+    it), with the columns `keep` of keys. Keys with more than 1/share of all are broadcast, fewer than `share` of them; the
+    others go by shuffle."""
     total = keys.agg(F.coalesce(F.sum(times), F.lit(0))).first()[0]
-    keys = keys.select(*by, times)
-    hot, cold = (keys.where(F.col(times) > total / share), keys.where(F.col(times) <= total / share))
-    if not keep:
-        hot, cold = hot.drop(times), cold.drop(times)
+    often = F.col(times) > total / share
+    hot, cold = (keys.where(x).select(*by, *keep) for x in (often, ~often))
     return rows.join(F.broadcast(hot), by).unionByName(rows.join(F.broadcast(hot), by, "left_anti").join(cold, by))
 
 
+def with_parts(rows: DataFrame, by: str, most: int, part: str, row: str = "id") -> DataFrame:
+    """rows with `part`, a number by hash of `row` so that a part of a value of `by` has about `most` rows, and `parts`."""
+    large = rows.groupBy(by).agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).where("parts > 1")
+    rows = rows.join(large, by, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return rows.withColumn(part, F.pmod(h64(3, F.col(row)), F.col("parts")).cast("int"))
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component) of the undirected graph with edges (a, b): component is the smallest node reachable.
 

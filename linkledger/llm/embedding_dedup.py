@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, h64, width, written
+from .common import components, h64, width, with_parts, written
 
 WORDS, CAPS, LEAST = 1024, 56, 28
 #: Classes of a block, entries of a chunk of a filter, rows of one call of either comparison.
@@ -119,13 +119,6 @@ def most_bits(cosine: float) -> int:
     return int(np.ceil(128 * p + 7 * np.sqrt(128 * p * (1 - p))))
 
 
-def with_parts(rows: DataFrame, by: str, most: int, part: str) -> DataFrame:
-    """rows with `part`, a number by hash of id so that a part of a value of `by` has about `most` rows, and `parts`."""
-    large = rows.groupBy(by).agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).where("parts > 1")
-    rows = rows.join(large, by, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    return rows.withColumn(part, F.pmod(h64(3, F.col("id")), F.col("parts")).cast("int"))
-
-
 def near_blocks(entries: DataFrame, bits: int, groups: int) -> DataFrame:
     """(x, y), x <= y: blocks of vectors that share a filter and differ in at most `bits` signs; entries: filter, id, block, s1, s2."""
 

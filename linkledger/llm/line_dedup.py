@@ -9,7 +9,8 @@ repeated lines (so at most 1,023 of them) are broadcast, all others are joined b
 
 Defined cases: null and empty texts are one empty line; a row with a null doc_id is counted in
 no document and loses nothing; rows that repeat a doc_id are one document; a document whose
-every line goes has the empty text.
+every line goes has the empty text; an empty table gives no rows; columns of any name are kept, but for
+those that the result replaces.
 """
 
 from __future__ import annotations
@@ -17,12 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import h64, written
+from .common import h64, join_hot, written
 
 #: The ASCII white space that is stripped.
 STRIPPED = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-HOT_SHARE = 1024
 
 
 def line_key(line: Column) -> Column:
@@ -33,30 +33,33 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def _judged(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """row (a struct of docs' columns), text (what is kept), n_lines and n_dropped."""
+    own = docs.select("doc_id", "text", h64(F.col("text")).alias("th"))
+    lines = own.select("doc_id", "th", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    lines = lines.withColumn("key", line_key(F.col("line"))).where((F.char_length("key") >= min_chars) & F.col("doc_id").isNotNull())
+    lines = written(lines.select("doc_id", "th", "pos", h64(F.col("key")).alias("h1"), h64(7, F.col("key")).alias("h2")), "lines")
+    held = lines.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2")
+    often = written(held.agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs), "often")
+    found = join_hot(lines, often, ["h1", "h2"], "n", ["last"])
+    gone = found.where("doc_id <> last").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
+    rest = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), h64(F.col("text")).alias("t"))
+    both = rest.join(gone, (F.col("doc_id") == F.col("id")) & (F.col("th") == F.col("t")), "left").select("row", "gone", _lines(F.col("row.text")).alias("all"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("all"), i)), "\n"))
+    dropped = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    return both.select("row", kept.alias("text"), F.size("all").cast("long").alias("n_lines"), dropped.alias("n_dropped"))
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """The rows of docs with the kept text, and n_lines and n_dropped; a clashing column is replaced."""
-    own = docs.select("doc_id", "text").withColumn("_th", h64(F.col("text")))
-    lines = own.select("doc_id", "_th", F.posexplode(_lines(F.col("text"))).alias("_pos", "_line"))
-    lines = lines.withColumn("_key", line_key(F.col("_line"))).where(F.char_length("_key") >= min_chars)
-    lines = written(
-        lines.where("doc_id is not null").select("doc_id", "_th", "_pos", h64(F.col("_key")).alias("_h1"), h64(7, F.col("_key")).alias("_h2")), "lines"
-    )
-    held = lines.select("_h1", "_h2", "doc_id").distinct().groupBy("_h1", "_h2")
-    often = written(held.agg(F.count("*").alias("_n"), F.max("doc_id").alias("_last")).where(F.col("_n") >= min_docs), "often")
-    total = often.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    hot = often.where(F.col("_n") > total / HOT_SHARE)
-    cold = often.where(F.col("_n") <= total / HOT_SHARE)
-    by = ["_h1", "_h2"]
-    found = lines.join(F.broadcast(hot), by).unionByName(lines.join(F.broadcast(hot), by, "left_anti").join(cold, by))
-    gone = found.where("doc_id <> _last").groupBy("doc_id", "_th").agg(F.collect_set("_pos").alias("_gone"))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("_th").alias("_t"), "_gone")
-    rest = docs.drop("n_lines", "n_dropped").withColumn("_th", h64(F.col("text")))
-    both = rest.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_th") == F.col("_t")), "left")
-    both = both.withColumn("_all", _lines(F.col("text"))).withColumn("n_lines", F.size("_all").cast("long"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_gone"))
-    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("_all"), i)), "\n"))
-    both = both.withColumn("n_dropped", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"))
-    return both.withColumn("text", kept).drop("_th", "_id", "_t", "_gone", "_all")
+    """The rows of docs with the kept text, and n_lines and n_dropped; clashing columns are replaced."""
+    rest = [c for c in docs.columns if c.lower() not in ("text", "n_lines", "n_dropped")]
+    return _judged(docs, min_chars, min_docs).select(*[F.col("row")[c].alias(c) for c in rest], "text", "n_lines", "n_dropped")
+
+
+def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """The rows and columns of docs with the kept text."""
+    return _judged(docs, min_chars, min_docs).select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op6_line_dedup(docs: DataFrame) -> DataFrame:

@@ -6,15 +6,16 @@ minhashes instead of side * side * 2 * rows. With rows 2 and side 8 a pair of si
 meets in some table with probability 0.9994, one of 0.9 with 0.9999999.
 
 Equal sets are one class, a class has a number, and only one of its rows is looked up further, so
-groups of copies cost one row. Numbers become the smallest doc_id at the end. In each table bucket the smallest id is the hub. First all members are compared
-with their hubs; then the members that are still in different components with each other, in
+groups of copies cost one row. Numbers become the smallest doc_id at the end. In each table bucket the smallest
+id is the hub. First all members are compared with their hubs; then the members that are still in different components with each other, in
 blocks within a cluster and pair by pair between clusters, so that every pair that shares a
 bucket is confirmed, refuted or in one component.
 
 Words are runs of other bytes than ASCII white space, A-Z lower-cased. Null and empty texts, and
 those without words, have the empty set, size 0, and link with nothing; texts with fewer words
 than a shingle have one shingle. Rows that repeat a doc_id are compared like any others;
-rows with a null doc_id link with nothing and are kept.
+rows with a null doc_id link with nothing and are kept. An empty table gives no rows. Columns other than doc_id
+and text are not read; keep_one() keeps columns of any name.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, h64, width, written
+from .common import components, free_name, h64, join_hot, with_parts, written
+from .units import let_go
 
 SIDE, ROWS = 8, 2
-CHUNK, BLOCK = 64, 256
+CHUNK, BLOCK, CHUNK_ROWS = 64, 256, 1024
 
 _RANDOM = np.random.default_rng(7_0809)
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64)
@@ -35,7 +37,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 _UNSTEP = np.uint64(pow(int(_STEP), -1, 2**64))
 _PLACE = _RANDOM.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _TIMES = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) | np.uint64(1)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_POWERS = 1 << 20
+_powers: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,12 +47,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(1 << 20, 1 << n.bit_length())
-        for i, step in enumerate((_STEP, _UNSTEP)):
-            _powers[i] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, step, np.uint64)]), dtype=np.uint64)
-    return _powers[0], _powers[1]
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of _STEP and _UNSTEP, n of them at least; a worker keeps those that a run of texts needs."""
+    if _powers and n <= len(_powers[0]):
+        return _powers
+    made = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, _POWERS) - 1, step, np.uint64)]), dtype=np.uint64) for step in (_STEP, _UNSTEP)]
+    if n <= _POWERS:
+        _powers[:] = made
+    return made
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,11 +85,11 @@ def shingles(texts: list[bytes], words: int):
             yield h[:0]
 
 
-def runs(batch: pa.RecordBatch, most: int = 1_000_000):
+def runs(batch: pa.RecordBatch, most: int = 500_000):
     """Runs of rows with a bounded number of bytes: (first row, texts as bytes)."""
     first, some, held = 0, [], 0
-    for i, v in enumerate(batch.column(1).cast(pa.large_binary()).to_pylist()):
-        some.append(v or b"")
+    for i, v in enumerate(batch.column(1).cast(pa.large_binary())):
+        some.append(v.as_py() or b"")
         held += len(some[-1]) + 1
         if held > most:
             yield first, some
@@ -116,6 +121,7 @@ def features(docs: DataFrame, words: int, side: int = SIDE, rows: int = ROWS) ->
     many = 2 * side * rows
 
     def run(batches):
+        let_go()
         for batch in batches:
             for first, texts in runs(batch):
                 sets = list(shingles(texts, words))
@@ -165,6 +171,7 @@ def shingle_sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
     """(id, members) of the classes asked for: s1, s2, n, id and doc_id, one that has such a set."""
 
     def run(batches):
+        let_go()
         for batch in batches:
             for first, texts in runs(batch):
                 sets = list(shingles(texts, words))
@@ -214,8 +221,8 @@ def block_links(placed: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     size = size.where(F.col("all") > F.col("most.rows"))
     # The largest component's blocks come first: they meet the blocks of all others, not each other.
     large, small = F.ceil(F.col("most.rows") / BLOCK), F.ceil((F.col("all") - F.col("most.rows")) / BLOCK)
-    size = size.select("cluster", F.col("most.comp").alias("largest"), large.cast("int").alias("large"), small.cast("int").alias("small"))
-    own = placed.join(size, "cluster").withColumn("in_large", F.col("comp") == F.col("largest"))
+    size = written(size.select("cluster", "all", F.col("most.comp").alias("largest"), large.cast("int").alias("large"), small.cast("int").alias("small")), "clusters")
+    own = join_hot(placed, size, ["cluster"], "all", ["largest", "large", "small"]).withColumn("in_large", F.col("comp") == F.col("largest"))
     block = F.when(F.col("in_large"), F.pmod(h64(3, F.col("id")), F.col("large"))).otherwise(F.col("large") + F.pmod(h64(3, F.col("id")), F.col("small")))
     own = own.withColumn("block", block.cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.when(F.col("in_large"), F.col("large")).otherwise(0), F.col("large") + F.col("small") - 1)))
@@ -269,7 +276,7 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     reps = feats.join(cls, ["s1", "s2", "n", "doc_id"]).dropDuplicates(["s1", "s2", "n", "doc_id"]).select(F.col("id").alias("doc_id"), "n", "a", "b", "sketch")
     rows_ = bucket_rows(reps, side)
     hubs = written(rows_.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1"), "hubs")
-    members = written(rows_.join(hubs, "key").select("key", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), "size"), "members")
+    members = written(join_hot(rows_, hubs, ["key"], "size", ["hub", "size"]).select("key", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), "size"), "members")
     star = members.where(F.col("id") > F.col("hub")).where(close(F.col("n"), F.col("hub_n"), num, den))
     star = star.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     sketches = reps.select(F.col("doc_id").alias("id"), "sketch")
@@ -288,8 +295,12 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     rest = members.select("key", "id").join(placed, "id")
     mixed = rest.groupBy("key").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"), F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"))
     rest = written(rest.join(mixed.where("lo < hi and c_lo < c_hi").select("key"), "key"), "mixed")
-    meet = f"x.key = y.key and x.id < y.id and x.comp <> y.comp and x.cluster <> y.cluster and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) and {alike('x.sketch', 'y.sketch')}"
-    pairs = rest.alias("x").join(rest.alias("y"), F.expr(meet)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    # A key's rows meet in pairs of chunks, so that no task holds all of a key that very many have.
+    rest = with_parts(rest, "key", CHUNK_ROWS, "chunk")
+    up = rest.withColumn("j", F.explode(F.sequence(F.col("chunk"), F.col("parts") - 1))).withColumnRenamed("chunk", "i")
+    down = rest.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("chunk")))).withColumnRenamed("chunk", "j")
+    meet = f"x.key = y.key and x.i = y.i and x.j = y.j and (x.i < x.j or x.id < y.id) and x.comp <> y.comp and x.cluster <> y.cluster and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) and {alike('x.sketch', 'y.sketch')}"
+    pairs = up.alias("x").join(down.alias("y"), F.expr(meet)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     pairs = written(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
     more = written(more.unionByName(confirmed(pairs, sets, num, den)), "links")
     if not more.isEmpty():
@@ -305,14 +316,15 @@ def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) ->
     """docs without near duplicates: one row of each component stays, that of the smallest doc_id (null ones last; of
     several, one). Here the row is the node, so that rows that repeat a doc_id and rows without one are copies like any
     other. Rows without words stay, but for those that repeat a doc_id."""
-    own = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = near_components(own.select(F.col("_row").alias("doc_id"), "text"), words, num, den)
-    found = own.select("_row", "doc_id", h64(F.col("text")).alias("hash")).join(found.withColumnRenamed("doc_id", "_row"), "_row")
+    row = free_name(docs, "row")
+    own = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = near_components(own.select(F.col(row).alias("doc_id"), "text"), words, num, den).withColumnRenamed("doc_id", "row")
+    found = own.select(F.col(row).alias("row"), "doc_id", h64(F.col("text")).alias("hash")).join(found, "row")
     bare = F.col("n_shingles") == 0
     group = [F.when(~bare | F.col("doc_id").isNull(), F.col("component_id")).alias("component"), F.when(bare, F.col("doc_id")).alias("bare_id")]
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash", "_row")).alias("least")
-    stay = written(found.groupBy(*group).agg(least).select("least._row"), "kept")
-    return own.join(stay, "_row", "left_semi").drop("_row")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash", "row")).alias("least")
+    stay = written(found.groupBy(*group).agg(least).select(F.col("least.row").alias(row)), "kept")
+    return own.join(stay, row, "left_semi").drop(row).select(*docs.columns)
 
 
 def op7_minhash_dedup(docs: DataFrame) -> DataFrame:

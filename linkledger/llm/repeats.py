@@ -33,6 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .common import free_name, h64, join_hot, width, written
+from .units import let_go
 
 #: Bytes of an anchor, of a first bucket; contents of a gram bucket that is spread out, contents of one call.
 GRAM, STEP, BIG, CALL = 80, 40, 1024, 8_000
@@ -91,6 +92,7 @@ def window_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """docs: k, t (key of the row), text. place packs first start, number of starts and distance of the anchor."""
 
     def run(batches):
+        let_go()
         for batch in batches:
             k, t, cols, held = batch.column(0), batch.column(1), [], 0
             for row, raw in enumerate(batch.column(2).cast(pa.large_binary())):
@@ -191,11 +193,11 @@ def repeated_starts(docs: DataFrame, length: int = 200, gram: int = GRAM, big: i
     contents = rows.groupBy("anchor", "whole").agg(F.count("*").alias("times"), F.min(F.struct("k", "t", "place")).alias("one"))
     contents = written(contents.select("anchor", "whole", "times", "one.*"), "contents")
     first, n = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(F.lit(255))
-    again = contents.where("times > 1").select("anchor", "whole", "times")
+    again = contents.where("times > 1")
     full = join_hot(rows, again, ["anchor", "whole"], "times").select("k", "t", first.alias("lo"), (first + n - 1).alias("hi"))
     buckets = written(contents.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1"), "buckets")
     calls = max(width(spark), int(buckets.agg(F.coalesce(F.sum("contents"), F.lit(0))).first()[0] // CALL))
-    open_ = join_hot(contents, buckets, ["anchor"], "contents", keep=True)
+    open_ = join_hot(contents, buckets, ["anchor"], "contents", ["contents"])
     # Rows of at most PER_ROW windows, however many a document has. (Rows that repeat a document have known windows only.)
     open_ = open_.select(F.col("k").alias("k2"), F.col("t").alias("t2"), F.struct("anchor", "place", (F.col("times") > 1).alias("known"), (F.col("contents") > big).alias("hot")).alias("w"))
     open_ = open_.withColumn("part", F.floor(F.row_number().over(W.partitionBy("k2", "t2").orderBy("w")) / PER_ROW)).groupBy("k2", "t2", "part").agg(F.collect_list("w").alias("w"))
@@ -284,6 +286,7 @@ def _judged(docs: DataFrame, length: int, gram: int, big: int, run, fields: str)
     kinds = to_arrow_schema(out)
 
     def apply(batches):
+        let_go()
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import free_name, h64
+from .units import let_go
 
 SAMPLE = 20_000
 #: Words whose symbols a Python worker keeps, and stems that it counts before it passes them on.
@@ -96,10 +97,16 @@ def grammar() -> Transducer:
     threat = Transducer([{THREAT: (1, THREAT, 1.0)}, *after, {END: (0, MENACE, 1.0), ABUSE: (0, MENACE, 1.25)}])
     # Insults need a target in the clause.
     target = Transducer([{TARGET: (1, TARGET, 1.0), ABUSE: (0, END, 1.0)}, {ABUSE: (0, AIMED, 1.0)}])
-    # A negation holds for the three words that follow it; one insult or threat outside undoes it.
-    held = [{NEGATION: (1, NEGATION, 1.0)} | {s: (4, s, 1.0) for s in (INSULT, THREAT)} | {s: ((i + 1) % 4, s, 1.0) for s in (OTHER, TARGET, REPORT)} for i in (1, 2, 3)]
-    plain = {s: (5, s, 1.0) for s in (INSULT, THREAT)}
-    negation = Transducer([{NEGATION: (1, NEGATION, 1.0)} | plain, *held, {AIMED: (0, NEGATED, 0.5), MENACE: (0, NEGATED, 0.5)}, {}])
+    # A negation holds for the three words that follow it. One insult or threat elsewhere undoes it. States: words since the
+    # negation (0: none holds), and 4 more when a negated insult or threat was read; last, when another one was read.
+    held = []
+    for seen in (0, 4):
+        end = {s: (0, NEGATED, 0.5) for s in (AIMED, MENACE)} if seen else {}
+        for since in range(4):
+            on = (since + 1) % 4 if since else 0
+            arcs = {NEGATION: (seen + 1, NEGATION, 1.0)} | {s: (seen + on, s, 1.0) for s in (OTHER, TARGET, REPORT)}
+            held.append(arcs | {s: (4 + on if since else 8, s, 1.0) for s in (INSULT, THREAT)} | end)
+    negation = Transducer([*held, {}])
     # Reported speech holds for the clause.
     report = Transducer([{REPORT: (1, REPORT, 1.0)}, {AIMED: (0, REPORTED, 0.5), MENACE: (0, REPORTED, 0.5)}])
     whole = insult
@@ -284,6 +291,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     text = docs.columns.index("text")
 
     def run(batches):
+        let_go()
         for batch in batches:
             for first in range(0, batch.num_rows, 1000):
                 part = batch.slice(first, 1000)

@@ -111,6 +111,7 @@ def test_toxicity_learns(spark):
     rows = []
     for i in range(600):
         w = [f"w{j}" for j in rng.integers(0, 300, 60)]
+        w[rng.integers(9)] = "the"  # a target
         if i % 8 == 0:
             w[10] = f"grublix{'abcdefgh'[rng.integers(8)]}"
         rows.append((i, " ".join(w), int(i % 8 == 0)))
@@ -130,11 +131,60 @@ def test_toxicity_counts_every_stem(spark):
 
 def test_grammar():
     m = toxicity.Model({"idiot$": 3.0})
-    plain, aimed, negated, reported = (m.matches(t) for t in ("the idiot", "you are idiot", "you are not idiot", "they said an idiot"))
-    assert plain[toxicity.PLAIN] > 0 and aimed[toxicity.AIMED] > plain[toxicity.PLAIN]
-    assert 0 < negated[toxicity.NEGATED] < aimed[toxicity.AIMED] and reported[toxicity.REPORTED] > 0
-    assert m.matches("i kill for you")[toxicity.MENACE] > 0 and m.matches("i kill time. you go")[toxicity.MENACE] == 0
-    assert m.score(None) == m.score("nothing here")
+    kinds = lambda t: [(k, round(w, 3)) for k, w in m.clauses(t)]
+    assert kinds("idiot") == kinds("kill time. you go") == kinds("Idiot! you there") == kinds(None) == kinds("you there") == []
+    assert kinds("you are an idiot") == kinds("an idiot, that one") == [(toxicity.AIMED, 3)]
+    assert kinds("you idiot idiot") == [(toxicity.AIMED, 4.5)]
+    assert kinds("you are not an idiot") == [(toxicity.NEGATED, 1.5)]
+    assert kinds("not today but you there are an idiot") == [(toxicity.AIMED, 3)]
+    assert kinds("they said he is an idiot") == [(toxicity.REPORTED, 1.5)]
+    assert kinds("i will kill you") == [(toxicity.MENACE, 1)] and kinds("kill you idiot") == [(toxicity.MENACE, 5)]
+    assert kinds("i will not kill you") == [(toxicity.NEGATED, 0.5)]
+    assert kinds("he is an idiot. she is not an idiot\nsaid the idiot") == [(toxicity.AIMED, 3), (toxicity.NEGATED, 1.5), (toxicity.REPORTED, 1.5)]
+    assert m.score(None) == m.score("nothing here") == m.score("idiot")
+
+
+def test_toxicity_classes_count_after_training(spark):
+    """The classes without examples keep a number, and each class moves the score of a trained model by its own."""
+    rows = [(i, f"the w{i % 7} " + ("they are an idiot" if i % 3 == 0 else "are here"), int(i % 3 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    score = {t: m.score(t) for t in ("idiot", "you are an idiot", "you are not an idiot", "he said you are an idiot", "we will kill you", "we will not kill you", "")}
+    assert score["idiot"] == score[""] < score["you are not an idiot"] < score["he said you are an idiot"] < score["you are an idiot"]
+    assert score[""] < score["we will not kill you"] < score["we will kill you"] and score["you are an idiot"] >= 0.7
+
+
+def brute_clauses(text, stems):
+    """What the grammar matches, clause by clause, without transducers."""
+    is_insult = lambda w: next((stems[k] for k in [w + "$", *[w[:n] for n in range(len(w), 2, -1)]] if k in stems), 0)
+    fixed = {w: k for k, ws in (("target", toxicity.PERSONS + toxicity.DETERMINERS + toxicity.COPULAS), ("threat", toxicity.THREATS), ("not", toxicity.NEGATIONS), ("report", toxicity.REPORTS)) for w in ws}
+    for clause in re.split(r"[.!?;\n]", text.lower()):
+        kinds = [("insult", w) if (w := is_insult(x)) else (fixed.get(x), 1) for x in re.findall(r"\w+", clause)]
+        names = [k for k, _ in kinds]
+        insults = [w for k, w in kinds if k == "insult"]
+        hot = [i for i, k in enumerate(names) if k in ("insult", "threat")]
+        # A threat waits for a target among the next three words; a new threat starts the wait again.
+        menace = any(k == "threat" and "target" in names[i + 1 : i + 4] for i, k in enumerate(names))
+        if not (menace or insults and "target" in names):
+            continue
+        total = sum(w if i == 0 else w / 2 for i, w in enumerate(insults)) + names.count("threat")
+        negated = [any("not" == names[j] for j in range(max(0, i - 3), i)) for i in hot]
+        factor = 1.25 if menace and insults else 1
+        kind = toxicity.MENACE if menace else toxicity.AIMED
+        if all(negated):
+            kind, factor = toxicity.NEGATED, factor / 2
+        elif "report" in names:
+            kind, factor = toxicity.REPORTED, factor / 2
+        yield kind, total * factor
+
+
+def test_grammar_by_brute_force():
+    rng = np.random.default_rng(8)
+    m = toxicity.Model({"idiot$": 3.0, "grub": 2.0})
+    words = ["idiot", "grubby", "kill", "you", "not", "said", "stone", "river", "."]
+    for _ in range(4000):
+        t = " ".join(rng.choice(words, rng.integers(1, 14)))
+        assert [(k, round(w, 6)) for k, w in m.clauses(t)] == [(k, round(w, 6)) for k, w in brute_clauses(t, m.stems)], t
 
 
 def test_sharding(docs):
