@@ -1,7 +1,10 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again as
-the next one's docs. All but the last return the columns of documents; n_chars follows the text.
+the next one's docs. All but the last return the columns of documents; n_chars, where docs has it, follows the text.
+
+Null and empty texts stay and become a document of the end id alone; rows without a doc_id stay, but for near copies;
+of rows that repeat a doc_id and text one stays; an empty table gives no pieces; other columns are kept up to packing.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkledger.llm.common import new_path, table
-from linkledger.llm.line_dedup import dedup_lines
+from linkledger.llm.line_dedup import drop_lines
 from linkledger.llm.near_dedup import keep_one
 from linkledger.llm.packing import pack
 from linkledger.llm.queries import tokenizer_file
@@ -19,7 +22,8 @@ from linkledger.llm.toxicity import drop_toxic
 
 
 def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
-    return docs.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast("long")).select(*columns)
+    n = F.char_length(F.coalesce("text", F.lit(""))).cast("long")
+    return (docs.withColumn("n_chars", n) if "n_chars" in columns else docs).select(*columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +31,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(dedup_lines(docs), docs.columns)
+    return _counted(drop_lines(docs), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
