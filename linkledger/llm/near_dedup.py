@@ -7,9 +7,10 @@ meets in some table with probability 0.9994, one of 0.9 with 0.9999999.
 
 Equal sets are one class, a class has a number, and only one of its rows is looked up further, so
 groups of copies cost one row. Numbers become the smallest doc_id at the end. In each table bucket the smallest
-id is the hub. First all members are compared with their hubs; then the members that are still in different components with each other, in
-blocks within a cluster and pair by pair between clusters, so that every pair that shares a
-bucket is confirmed, refuted or in one component.
+id is the hub. First each class is compared with the least of its hubs, then with the hubs of those buckets that
+still have several components; then the members that are still in different components with each other, in blocks
+within a cluster and pair by pair between clusters, so that every pair that shares a bucket is confirmed,
+refuted or in one component.
 
 Words are runs of other bytes than ASCII white space, A-Z lower-cased. Null and empty texts, and
 those without words, have the empty set, size 0, and link with nothing; texts with fewer words
@@ -116,6 +117,21 @@ def alike(x: str, y: str) -> str:
     return f"2 * ({differ}) <= {LANES * SKETCH}"
 
 
+def alike_matrix(sketch: np.ndarray) -> np.ndarray:
+    """alike() for all pairs of rows."""
+    every, high = (np.uint64(int(x * LANES, 16)) for x in ("7f", "80"))
+    differ = sum(np.bitwise_count((np.bitwise_xor.outer(c, c) + every) & high).astype(np.int16) for c in sketch.T)
+    return 2 * differ <= LANES * SKETCH
+
+
+def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sets (sorted, not empty) are similar enough."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    common = int((large[at] == small).sum())
+    return den * common >= num * (len(x) + len(y) - common)
+
+
 def features(docs: DataFrame, words: int, side: int = SIDE, rows: int = ROWS) -> DataFrame:
     """Set size, 128-bit signature of the set, and the keys of both collections."""
     many = 2 * side * rows
@@ -150,11 +166,11 @@ def features(docs: DataFrame, words: int, side: int = SIDE, rows: int = ROWS) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FEATURES)
 
 
-def bucket_rows(reps: DataFrame, side: int = SIDE) -> DataFrame:
-    """(key, id, n): one row for each table of the tensored banding."""
-    left = reps.select("doc_id", "n", F.posexplode("a").alias("i", "x"), "b")
-    both = left.select("doc_id", "n", "i", "x", F.posexplode("b").alias("j", "y"))
-    return both.select(h64(F.col("x"), F.col("y"), F.col("i") * side + F.col("j")).alias("key"), F.col("doc_id").alias("id"), "n")
+def bucket_rows(reps: DataFrame, side: int = SIDE, more: list[str] = []) -> DataFrame:
+    """(key, id, n and the columns `more`): one row for each table of the tensored banding."""
+    left = reps.select("id", "n", *more, F.posexplode("a").alias("i", "x"), "b")
+    both = left.select("id", "n", *more, "i", "x", F.posexplode("b").alias("j", "y"))
+    return both.select(h64(F.col("x"), F.col("y"), F.col("i") * side + F.col("j")).alias("key"), "id", "n", *more)
 
 
 def close(n, m, num: int, den: int):
@@ -202,11 +218,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
         mine = np.frombuffer(left["members"][0].as_py(), np.uint64)
         hit = []
         for b, raw in zip(right["b"].to_pylist(), right["theirs"].to_pylist()):
-            other = np.frombuffer(raw, np.uint64)
-            small, large = (mine, other) if len(mine) < len(other) else (other, mine)
-            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            common = int((large[at] == small).sum())
-            if den * common >= num * (len(mine) + len(other) - common):
+            if linked(mine, np.frombuffer(raw, np.uint64), num, den):
                 hit.append(b)
         return pa.table({"a": pa.array([left["a"][0].as_py()] * len(hit), pa.int64()), "b": pa.array(hit, pa.int64())})
 
@@ -215,7 +227,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 def block_links(placed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) that join components within a cluster. Each pair of blocks of a cluster is a group of at most about
-    2 * BLOCK sets; its common shingles are counted by a matrix product, and it returns a spanning forest of its links."""
+    2 * BLOCK sets: pairs of different components whose sketches and sizes allow a link are compared in full, and the
+    group returns a spanning forest of its links."""
     count = placed.groupBy("cluster", "comp").agg(F.count("*").alias("rows"))
     size = count.groupBy("cluster").agg(F.sum("rows").alias("all"), F.max(F.struct("rows", "comp")).alias("most"))
     size = size.where(F.col("all") > F.col("most.rows"))
@@ -226,41 +239,30 @@ def block_links(placed: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     block = F.when(F.col("in_large"), F.pmod(h64(3, F.col("id")), F.col("large"))).otherwise(F.col("large") + F.pmod(h64(3, F.col("id")), F.col("small")))
     own = own.withColumn("block", block.cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.when(F.col("in_large"), F.col("large")).otherwise(0), F.col("large") + F.col("small") - 1)))
-    own = own.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp")
+    own = own.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "n", "sketch")
     own = own.join(sets, "id")
 
     def compare(t):
-        sets_ = [np.frombuffer(x, np.uint64) for x in t["members"].to_pylist()]
-        ids, comp, block = (t[c].to_numpy() for c in ("id", "comp", "block"))
-        i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        n = np.array([len(s) for s in sets_])
+        ids, comp, block, n = (t[c].to_numpy() for c in ("id", "comp", "block", "n"))
         hit: list[tuple[int, int]] = []
         if (comp != comp[0]).any():
-            value, col = np.unique(np.concatenate(sets_), return_inverse=True)
-            row = np.repeat(np.arange(len(n)), n)
-            common = np.zeros((len(n), len(n)), np.float32)
-            order = np.argsort(col, kind="stable")
-            row, col = row[order], col[order]
-            for lo in range(0, len(value), 4096):
-                a, b = np.searchsorted(col, [lo, lo + 4096])
-                part = np.zeros((len(n), 4096), np.float32)
-                part[row[a:b], col[a:b] - lo] = 1
-                common += part @ part.T
-            common = common.astype(np.int64)
-            ok = den * common >= num * (n[:, None] + n[None, :] - common)
+            sets_ = [np.frombuffer(x, np.uint64) for x in t["members"].to_pylist()]
+            sketch = np.array(t["sketch"].to_pylist(), np.int64).view(np.uint64)
+            ok = alike_matrix(sketch) & (den * np.minimum.outer(n, n) >= num * np.maximum.outer(n, n))
             ok &= (comp[:, None] != comp[None, :]) & (ids[:, None] < ids[None, :])
-            if i != j:
+            if t["i"][0].as_py() != t["j"][0].as_py():
                 ok &= block[:, None] != block[None, :]
             root = {c: c for c in comp.tolist()}
 
             def find(c):
                 while root[c] != c:
+                    root[c] = root[root[c]]
                     c = root[c]
                 return c
 
             for x, y in np.argwhere(ok).tolist():
                 u, v = find(int(comp[x])), find(int(comp[y]))
-                if u != v:
+                if u != v and linked(sets_[x], sets_[y], num, den):
                     root[max(u, v)] = min(u, v)
                     hit.append((int(ids[x]), int(ids[y])))
         return pa.table({"a": pa.array([x for x, _ in hit], pa.int64()), "b": pa.array([y for _, y in hit], pa.int64())})
@@ -273,28 +275,47 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     feats = written(features(own, words, side, rows), "minhash")
     cls = written(feats.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("doc_id")).withColumn("id", F.monotonically_increasing_id()), "classes")
-    reps = feats.join(cls, ["s1", "s2", "n", "doc_id"]).dropDuplicates(["s1", "s2", "n", "doc_id"]).select(F.col("id").alias("doc_id"), "n", "a", "b", "sketch")
+    reps = feats.join(cls, ["s1", "s2", "n", "doc_id"]).dropDuplicates(["s1", "s2", "n", "doc_id"]).select("id", "n", "a", "b", "sketch")
+    reps = written(reps, "reps")
+    sketches = reps.select("id", "sketch")
+
+    def worth(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) whose sketches allow a link."""
+        for end in ("a", "b"):
+            pairs = pairs.join(sketches.select(F.col("id").alias(end), F.col("sketch").alias(f"sketch_{end}")), end)
+        return written(pairs.where(alike("sketch_a", "sketch_b")).select("a", "b"), "pairs")
+
+    # First each class with its cluster's hub, the least of its buckets' hubs.
     rows_ = bucket_rows(reps, side)
     hubs = written(rows_.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1"), "hubs")
-    members = written(join_hot(rows_, hubs, ["key"], "size", ["hub", "size"]).select("key", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), "size"), "members")
-    star = members.where(F.col("id") > F.col("hub")).where(close(F.col("n"), F.col("hub_n"), num, den))
-    star = star.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    sketches = reps.select(F.col("doc_id").alias("id"), "sketch")
-    for end in ("a", "b"):
-        star = star.join(sketches.select(F.col("id").alias(end), F.col("sketch").alias(f"sketch_{end}")), end)
-    star = written(star.where(alike("sketch_a", "sketch_b")).select("a", "b"), "pairs")
-    sets = written(shingle_sets(own, cls.join(members.select("id").distinct(), "id"), words), "sets")
+    placed = join_hot(rows_, hubs, ["key"], "size", ["hub"]).groupBy("id").agg(F.min("hub").alias("hub"), F.first("n").alias("n"))
+    placed = written(placed.select("id", "n", F.col("hub.id").alias("cluster"), F.col("hub.n").alias("hub_n")), "placed")
+    star = placed.where(F.col("id") > F.col("cluster")).where(close(F.col("n"), F.col("hub_n"), num, den))
+    star = worth(star.select(F.col("cluster").alias("a"), F.col("id").alias("b")))
+    sets = written(shingle_sets(own, cls.join(placed.select("id"), "id"), words), "sets")
     edges = written(confirmed(star, sets, num, den), "links")
     comp = written(components(edges), "comps")
-    # A cluster has the members whose least hub is the same. Clusters with several components are compared in
-    # blocks; pairs of different clusters that share a bucket are listed, where sizes and sketches allow a link.
-    own_cluster = members.groupBy("id").agg(F.min("hub").alias("cluster"), F.first("n").alias("n"))
-    placed = own_cluster.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    # Then, in buckets that still have several components, each class with the bucket's hub.
+    named = reps.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    rows_ = bucket_rows(named, side, ["comp"])
+    mixed = rows_.groupBy("key").agg(F.min(F.struct("id", "n", "comp")).alias("hub"), F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    mixed = written(mixed.where("lo < hi").select("key", "hub", "size"), "mixed")
+    members = written(join_hot(rows_, mixed, ["key"], "size", ["hub"]), "members")
+    pairs = members.where(F.col("comp") != F.col("hub.comp")).where(close(F.col("n"), F.col("hub.n"), num, den)).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = worth(pairs.join(star, ["a", "b"], "left_anti"))
+    star = star.unionByName(pairs)
+    edges = written(edges.unionByName(confirmed(pairs, sets, num, den)), "links")
+    comp = written(components(edges), "comps")
+    # What pairs with a hub hold together is a cluster. Clusters with several components are compared in blocks; pairs of
+    # different clusters that share a bucket are listed, where sizes and sketches allow a link.
+    wide = components(star).select(F.col("node").alias("id"), F.col("component").alias("wide"))
+    placed = placed.join(wide, "id", "left").withColumn("cluster", F.coalesce("wide", "id"))
+    placed = placed.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
     placed = written(placed.join(sketches, "id").select("id", "n", "cluster", "comp", "sketch"), "placed")
     more = written(block_links(placed, sets, num, den), "links")
     rest = members.select("key", "id").join(placed, "id")
-    mixed = rest.groupBy("key").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"), F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"))
-    rest = written(rest.join(mixed.where("lo < hi and c_lo < c_hi").select("key"), "key"), "mixed")
+    apart = rest.groupBy("key").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"), F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"))
+    rest = written(rest.join(apart.where("lo < hi and c_lo < c_hi").select("key"), "key"), "apart")
     # A key's rows meet in pairs of chunks, so that no task holds all of a key that very many have.
     rest = with_parts(rest, "key", CHUNK_ROWS, "chunk")
     up = rest.withColumn("j", F.explode(F.sequence(F.col("chunk"), F.col("parts") - 1))).withColumnRenamed("chunk", "i")
