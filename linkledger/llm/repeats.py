@@ -123,9 +123,21 @@ _UP = np.uint64(0xD6E8FEB86659FD93)
 _DOWN = np.uint64(pow(int(_UP), -1, 2**64))
 
 
+def _powers(n: int) -> list[np.ndarray]:
+    return [np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, step, np.uint64)]), dtype=np.uint64) for step in (_UP, _DOWN)]
+
+
+_KEPT = _powers(1 << 17)
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of _UP and _DOWN, n of them at least: kept ones, or new ones for longer texts."""
+    return _KEPT if n <= len(_KEPT[0]) else _powers(n)
+
+
 def span_hashes(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Hash of each span of bytes, by prefix sums."""
-    up, down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data), step, np.uint64)]), dtype=np.uint64) for step in (_UP, _DOWN))
+    up, down = powers(len(data) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[data] * up[: len(data)], dtype=np.uint64)])
     return (sums[first + size] - sums[first]) * down[first]
 
