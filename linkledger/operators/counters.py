@@ -19,15 +19,15 @@ def sheet_ends(df: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
 
 
 def sheet_optics(df: DataFrame, by: str | None = None, per: tuple[str, ...] = ()) -> DataFrame:
-    """Optics by name. An end without breakout counts when it has a locode and an optic; of ends with one, the first of
-    each location and port counts. by='service' keeps in-service and other rows apart, each with its own first ends;
+    """Optics by name, of ends with a locode. An end without breakout counts when it has an optic; of ends with one, the first
+    of each location and port counts. by='service' keeps in-service and other rows apart, each with its own first ends;
     by='status' counts per status, with first ends shared by all."""
-    ends = sheet_ends(df, per).withColumn("bucket", family("status_normalized", IN_SERVICE) if by == "service" else F.lit(True))
+    ends = sheet_ends(df, per).where(present("locode")).withColumn("bucket", family("status_normalized", IN_SERVICE) if by == "service" else F.lit(True))
     broken = present("breakout_loc")
     key = F.when(broken, F.concat("loc_cab_ru", "port"))
     # Ends without breakout need no first: a row's own number keeps them from being one group.
     order = W.partitionBy(*per, "bucket", key, F.when(~broken, F.col("row_idx"))).orderBy("row_idx", "side")
-    ends = ends.withColumn("_rn", F.row_number().over(order)).where((broken & (F.col("_rn") == 1)) | (~broken & present("locode") & present("optic")))
+    ends = ends.withColumn("_rn", F.row_number().over(order)).where((broken & (F.col("_rn") == 1)) | (~broken & present("optic")))
     ends = ends.withColumn("optic", F.upper(safe_cell(F.coalesce("optic", F.lit("nan"))))).where(F.length("optic") >= 2)
     keys = {"service": [F.col("bucket").alias("in_service")], "status": [F.coalesce(F.nullif(F.trim("status"), F.lit("")), F.lit("Unknown")).alias("shown")], None: []}[by]
     return ends.groupBy(*per, *keys, "optic").agg(F.count("*").alias("n"))
@@ -70,11 +70,11 @@ def model_index(df: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
 
 
 def roce_optics(df: DataFrame, short_ports: bool = False, per: tuple[str, ...] = ()) -> DataFrame:
-    """df: tab, row_idx, loc, port, connector, optic. One optic per tab, location, port and connector; on tabs of tiers 0
+    """df: tab, row_idx, device, loc, port, connector, optic. Of rows with a device and an optic, one per tab, location, port and connector; on tabs of tiers 0
     and 1 a port loses its last two characters first."""
     port = F.expr("substring(port, 1, greatest(length(port) - 2, 0))") if short_ports else F.col("port")
     first = F.row_number().over(W.partitionBy(*per, "tab", "loc", port, "connector").orderBy("row_idx"))
-    rows = df.withColumn("_rn", first).where("_rn = 1").withColumn("optic", F.upper(safe_cell(F.col("optic"))))
+    rows = df.where(present("device") & present("optic")).withColumn("_rn", first).where("_rn = 1").withColumn("optic", F.upper(safe_cell(F.col("optic"))))
     return rows.where(F.length("optic") >= 2).groupBy(*per, "optic").agg(F.count("*").alias("n"))
 
 

@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 from linkledger.functions.cells import CABLE_RUN, FAILED, IN_SERVICE, PENDING, VERIFICATION, family, hall, percent, present, rack_key
 from linkledger.plans.fixture import Tables
 
-from .shapes import ends, like, physical_optics, scope, status_counts, top, with_group_total
+from .shapes import contains_any, ends, like, physical_optics, scope, status_counts, top, with_group_total
 
 def complete():
     return F.count_if(family("status_normalized", IN_SERVICE))
 
 
 def optic_count(t: Tables, site_id=None, upload_id=None, optic="", section="", location="") -> DataFrame:
-    rows = ends(scope(t.links, site_id, upload_id)).where(like("section", section) & like("loc", location))
-    rows = physical_optics(rows).where(like("optic", optic))
+    links = scope(t.links, site_id, upload_id).where(like("section", section) & (like("a_loc_cab_ru", location) | like("z_loc_cab_ru", location)))
+    rows = physical_optics(ends(links).where(like("optic", optic)))
     counts = rows.groupBy("optic").agg(F.count_if(F.col("side") == "A").alias("a_count"), F.count_if(F.col("side") == "Z").alias("z_count"), F.count("*").alias("total"), *status_counts())
     return top(counts, F.desc("total"), "optic")
 
@@ -45,8 +45,12 @@ def device_list(t: Tables, site_id=None, upload_id=None, device="", limit: int |
     return top(groups, F.desc("connections"), "device", limit=limit)
 
 
+#: What names of compute devices contain.
+COMPUTE = ("node", "compute", "gpu", "server")
+
+
 def node_compute(t: Tables, site_id=None, upload_id=None) -> DataFrame:
-    rows = ends(scope(t.links, site_id, upload_id)).where(F.col("device").rlike("(?i)node|compute|gpu|server|leaf-0"))
+    rows = ends(scope(t.links, site_id, upload_id)).where(contains_any("device", COMPUTE))
     groups = rows.groupBy("device").agg(F.count("*").alias("connections"), F.countDistinct("port").alias("ports"))
     return top(groups, F.desc("connections"), "device")
 
@@ -149,8 +153,7 @@ def neighbor_mismatch(t: Tables, site_id=None, upload_id=None, limit=200) -> Dat
 
 def rack_summary(t: Tables, site_id=None, upload_id=None, limit=50) -> DataFrame:
     rows = ends(scope(t.links, site_id, upload_id)).withColumn("rack", rack_key("loc"))
-    ports = scope(t.links, site_id, upload_id).select("id", F.concat_ws("|", "a_device", "a_port", "z_device", "z_port").alias("ports"))
-    rows = rows.join(ports, "id").withColumn("link", F.when(present("cable_id"), F.col("cable_id")).otherwise(F.col("ports"))).where("rack is not null")
+    rows = rows.withColumn("link", F.when(present("cable_id"), F.col("cable_id")).otherwise(F.col("ports"))).where("rack is not null")
     names = lambda c: F.array_join(F.sort_array(F.collect_set(F.when(present(c), F.col(c)))), ", ")
     racks = rows.groupBy("rack").agg(F.countDistinct("link").alias("connections"), F.countDistinct("device").alias("devices"), names("model").alias("models"), names("optic").alias("optics"), F.count_if(present("optic")).alias("optic_rows"))
     each = rows.where(present("optic")).groupBy("rack", "optic").agg(F.count("*").alias("n"))
@@ -293,6 +296,10 @@ def _latest(t: Tables, site: str | None = None) -> DataFrame:
     return rows if site is None else rows.where(F.col("site") == site)
 
 
+def _named(t: Tables, site: str | None = None) -> DataFrame:
+    return _latest(t, site).where("device_name is not null and device_name <> ''")
+
+
 def dashboard_summary(t: Tables) -> DataFrame:
     groups = _latest(t).groupBy("device_status").agg(F.countDistinct("device_name").alias("devices"))
     return groups.withColumn("healthy", F.col("device_status").isin("active", "provisioned")).orderBy("device_status")
@@ -304,30 +311,31 @@ def dashboard_sites(t: Tables) -> DataFrame:
 
 
 def dashboard_halls(t: Tables) -> DataFrame:
-    """Three groupings joined on (site, hall); a hall that one of them lacks counts 0 there."""
-    rows = _latest(t).withColumn("hall", F.coalesce(F.nullif(F.trim("hall"), F.lit("")), F.lit("unassigned")))
-    key = ["site", "hall"]
-    devices = rows.where("device_status <> 'planned'").groupBy(*key).agg(F.countDistinct("device_name").alias("devices"))
-    ports = rows.where("type_category <> 'error'").groupBy(*key).agg(F.count("*").alias("interfaces"))
-    racks = rows.groupBy(*key).agg(F.countDistinct("rack").alias("racks"))
-    both = devices.join(ports, key, "full_outer").join(racks, key, "full_outer")
-    return both.select(*key, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("devices", "interfaces", "racks")]).orderBy(*key)
+    """Devices, interfaces and racks by hall, of rows with a device name; racks without a name don't count. One pass."""
+    rows = _named(t).withColumn("hall", F.coalesce(F.nullif(F.trim("hall"), F.lit("")), F.lit("unassigned")))
+    racks = F.countDistinct(F.when(F.col("rack") != "", F.col("rack")))
+    return rows.groupBy("site", "hall").agg(F.countDistinct("device_name").alias("devices"), F.count("*").alias("interfaces"), racks.alias("racks")).orderBy("site", "hall")
 
 
 def dashboard_models(t: Tables, limit=20) -> DataFrame:
     return top(_latest(t).groupBy("model").agg(F.countDistinct("device_name").alias("devices")), F.desc("devices"), "model", limit=limit)
 
 
+#: What the category of an interface that takes an optic contains.
+OPTICAL = ("optical", "infiniband", "fibre")
+
+
 def dashboard_optics(t: Tables, limit=25) -> DataFrame:
-    groups = _latest(t).groupBy("type_label").agg(F.count("*").alias("ports"), F.count_if(F.col("type_category").ilike("%click%")).alias("used"))
-    return top(groups, F.desc("ports"), "type_label", limit=limit)
+    """Ports by label and category, and whether the category is one of optics."""
+    groups = _named(t).groupBy("type_label", "type_category").agg(F.count("*").alias("ports"))
+    return top(groups.withColumn("optical", contains_any("type_category", OPTICAL)), F.desc("ports"), "type_label", "type_category", limit=limit)
 
 
 def dashboard_utilization(t: Tables) -> DataFrame:
-    """Ports, used ports and utilization by hall and label, with totals of each hall and of all."""
-    rows = _latest(t).withColumn("hall", F.coalesce(F.nullif(F.trim("hall"), F.lit("")), F.lit("unassigned")))
-    groups = rows.rollup("hall", "type_label").agg(F.count("*").alias("ports"), F.count_if(F.col("type_category") == "purchase").alias("used"))
-    return groups.withColumn("pct", percent(F.col("used"), F.col("ports")))
+    """Interfaces, those that take an optic and their share, by hall and label, with totals of each hall and of all."""
+    rows = _named(t).withColumn("hall", F.coalesce(F.nullif(F.trim("hall"), F.lit("")), F.lit("unassigned")))
+    groups = rows.rollup("hall", "type_label").agg(F.count("*").alias("interfaces"), F.count_if(contains_any("type_category", OPTICAL)).alias("optics"))
+    return groups.withColumn("pct", percent(F.col("optics"), F.col("interfaces")))
 
 
 def dashboard_snapshots(t: Tables, limit=10) -> DataFrame:

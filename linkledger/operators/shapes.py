@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,13 +15,16 @@ def ends(links: DataFrame) -> DataFrame:
     """Two rows per link, its A end and its Z end, from one scan."""
     fields = {"device": "device", "port": "port", "optic": "optic", "model": "model", "loc": "loc_cab_ru", "breakout": "breakout_loc"}
     each = [F.struct(F.lit(s.upper()).alias("side"), *[F.col(f"{s}_{c}").alias(n) for n, c in fields.items()]) for s in ("a", "z")]
-    return links.select("id", "site_id", "upload_id", "section", "status_normalized", "cable_id", F.inline(F.array(*each)))
+    ports = F.concat_ws("|", "a_device", "a_port", "z_device", "z_port").alias("ports")
+    return links.select("id", "site_id", "upload_id", "section", "status_normalized", "cable_id", ports, F.inline(F.array(*each)))
 
 
 def physical_optics(rows: DataFrame) -> DataFrame:
-    """Ends with an optic; of breakout ends that share upload, location and port, the lowest id."""
+    """Ends with an optic; of breakout ends that share upload, location and port, the lowest id. Whatever is not empty is a
+    breakout, also the literal nan."""
     rows = rows.where(present("optic"))
-    key = F.when(present("breakout"), F.concat_ws("|", F.col("upload_id").cast("string"), "breakout", "loc", "port")).otherwise(F.col("id"))
+    blank = F.lit("")
+    key = F.when(F.col("breakout") != "", F.concat_ws("|", F.col("upload_id").cast("string"), F.coalesce("loc", blank), F.coalesce("port", blank))).otherwise(F.col("id"))
     first = F.row_number().over(W.partitionBy("side", "_key").orderBy("id"))
     return rows.withColumn("_key", key).withColumn("_rn", first).where("_rn = 1").drop("_key", "_rn")
 
@@ -39,6 +44,11 @@ def like(column: str, text: str):
     return F.lit(True) if not text else F.lower(column).contains(text.lower())
 
 
+def contains_any(column: str, texts):
+    """Contains one of the texts, in any case."""
+    return F.coalesce(reduce(lambda a, b: a | b, [F.lower(column).contains(x.lower()) for x in texts]), F.lit(False))
+
+
 def top(df: DataFrame, *order, limit: int | None = None) -> DataFrame:
     df = df.orderBy(*order)
     return df if limit is None else df.limit(limit)

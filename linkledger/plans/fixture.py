@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from linkledger.sources.readers import write_links
+
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def table_dir(spark: SparkSession) -> str:
+    """Where derived tables go: the warehouse, or a temporary folder where the session is one process."""
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return tempfile.mkdtemp(prefix="link-tables-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+
+
 # Displayed status and slug of each returnflag and linestatus.
 STATUSES = {
     "RF": ("LLDP Passed", "lldp_passed"),
@@ -19,6 +34,10 @@ STATUSES = {
 }
 
 
+#: Interface categories that stand for kinds of events; other kinds keep their name.
+CATEGORIES = {"click": "Optical SFP", "purchase": "InfiniBand", "error": "Fibre Channel"}
+
+
 class Tables:
     """The tables that queries read. Subclass or replace attributes to run them over real inventories."""
 
@@ -48,6 +67,7 @@ class Tables:
         shown, slug = F.lit(None).cast("string"), F.lit(None).cast("string")
         for k, (a, b) in STATUSES.items():
             shown, slug = F.when(code == k, a).otherwise(shown), F.when(code == k, b).otherwise(slug)
+        cents, key = F.round(F.col("l_discount") * 100).cast("int"), F.col("s_nationkey")
         row_id = F.concat_ws(
             "-", F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.lpad(ln, 3, "0"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"),
             F.col("l_quantity").cast("long").cast("string"), F.round(F.col("l_extendedprice") * 100).cast("long").cast("string"), F.date_format("l_shipdate", "yyyyMMdd"),
@@ -55,15 +75,16 @@ class Tables:
         return rows.select(
             row_id.alias("id"), "site_id", "site_code", (F.col("site_id") * 100 + F.year("o_orderdate") - 1994).alias("upload_id"),
             F.col("c_mktsegment").alias("section"), F.col("c_name").alias("a_device"), F.concat(F.lit("swp"), ln).alias("a_port"),
-            F.col("p_type").alias("a_optic"), F.col("p_brand").alias("a_model"),
+            F.when(cents == 3, "").otherwise(F.col("p_type")).alias("a_optic"), F.col("p_brand").alias("a_model"),
             F.concat(F.lit("dh20"), F.col("site_id").cast("string"), F.lit(":"), (F.col("c_custkey") % 120).cast("string"), F.lit(":"), ln).alias("a_loc_cab_ru"),
-            F.concat(F.lit("leaf-"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0")).alias("z_device"),
+            F.concat(F.when(key % 8 == 0, "Node-").when(key % 8 == 4, "gpu-").otherwise("leaf-"), F.lpad(key.cast("string"), 2, "0")).alias("z_device"),
             F.concat(F.lit("eth"), (F.col("l_linenumber") % 4).cast("string")).alias("z_port"),
             F.when(F.col("l_discount") < 0.02, "").when(F.col("l_discount") > 0.09, "nan").otherwise(F.concat(F.lit("Z-"), F.col("p_type"))).alias("z_optic"),
             F.concat(F.lit("M-"), (F.col("s_nationkey") % 5).cast("string")).alias("z_model"),
             F.concat(F.lit("dh30"), (F.col("s_nationkey") % 4).cast("string"), F.lit(":"), F.col("s_nationkey").cast("string"), F.lit(":"), ln).alias("z_loc_cab_ru"),
             shown.alias("status"), slug.alias("status_normalized"),
-            F.when(F.col("l_quantity") >= 30, "brk").otherwise("").alias("a_breakout_loc"), F.lit("").alias("z_breakout_loc"),
+            F.when(F.col("l_quantity") >= 40, "brk2").when(F.col("l_quantity") >= 30, "brk").when(F.col("l_quantity") < 3, "nan").otherwise("").alias("a_breakout_loc"),
+            F.when(cents == 5, "zb").otherwise("").alias("z_breakout_loc"),
             F.when(F.col("l_linenumber") % 3 == 0, "").otherwise(F.concat(F.lit("C"), F.col("l_orderkey").cast("string"))).alias("cable_id"),
             F.when(F.col("l_linenumber") % 4 == 0, "MPO12").when(F.col("l_linenumber") % 4 == 1, "LC").when(F.col("l_linenumber") % 4 == 2, "nan").alias("cable_type"),
             "l_linenumber", "l_discount", "l_linestatus",
@@ -71,6 +92,17 @@ class Tables:
 
     @cached_property
     def links(self) -> DataFrame:
+        """The links as a table by site and upload, which is written once for each session and source folder, so that the
+        filters of a query on site and upload leave whole folders out."""
+        built, key = self.built_links, (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _WRITTEN:
+            path = f"{table_dir(self.spark)}/links-{uuid.uuid4().hex}"
+            write_links(built, path)
+            _WRITTEN[key] = path
+        return self.spark.read.schema(built.schema).parquet(_WRITTEN[key]).select(*built.columns)
+
+    @cached_property
+    def built_links(self) -> DataFrame:
         """One row per (upload, both devices and ports): the lowest id wins."""
         w = W.partitionBy("upload_id", "a_device", "a_port", "z_device", "z_port").orderBy("id")
         return self.raw_links.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
@@ -118,14 +150,17 @@ class Tables:
     @cached_property
     def interfaces(self) -> DataFrame:
         e = self.read("events")
-        user = F.col("user_id")
+        user, category = F.col("user_id"), F.col("event_type")
+        for kind, shown in CATEGORIES.items():
+            category = F.when(F.col("event_type") == kind, shown).otherwise(category)
         return e.select(
             F.dayofmonth("ts").alias("snapshot_id"), F.concat(F.lit("site"), (user % 3).cast("string")).alias("site"),
             F.when(user % 7 == 0, "").otherwise(F.concat(F.lit("hall"), (user % 4).cast("string"))).alias("hall"),
-            F.concat(F.lit("r"), (user % 11).cast("string")).alias("rack"), F.concat(F.lit("dev"), user.cast("string")).alias("device_name"),
+            F.when(user % 11 == 0, "").otherwise(F.concat(F.lit("r"), (user % 11).cast("string"))).alias("rack"),
+            F.when(user % 13 == 0, "").otherwise(F.concat(F.lit("dev"), user.cast("string"))).alias("device_name"),
             F.concat(F.lit("m"), (user % 9).cast("string")).alias("model"),
             F.when(user % 6 == 0, "planned").when(user % 6 == 1, "provisioned").otherwise("active").alias("device_status"),
-            F.col("event_type").alias("type_category"), F.concat(F.col("event_type"), F.lit("-"), (F.col("event_id") % 5).cast("string")).alias("type_label"), "event_id",
+            category.alias("type_category"), F.concat(F.col("event_type"), F.lit("-"), (F.col("event_id") % 5).cast("string")).alias("type_label"), "event_id",
         )
 
 
@@ -134,16 +169,17 @@ WITH raw_links AS (
   SELECT concat_ws('-', lpad(CAST(l_orderkey AS VARCHAR), 12, '0'), lpad(CAST(l_linenumber AS VARCHAR), 3, '0'), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR),
            CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR), strftime(l_shipdate, '%Y%m%d')) AS id,
     n_regionkey AS site_id, r_name AS site_code, CAST(n_regionkey * 100 + year(o_orderdate) - 1994 AS INTEGER) AS upload_id, c_mktsegment AS section,
-    c_name AS a_device, 'swp' || l_linenumber AS a_port, p_type AS a_optic, p_brand AS a_model,
+    c_name AS a_device, 'swp' || l_linenumber AS a_port, CASE WHEN CAST(round(l_discount * 100) AS INTEGER) = 3 THEN '' ELSE p_type END AS a_optic, p_brand AS a_model,
     'dh20' || n_regionkey || ':' || (c_custkey % 120) || ':' || l_linenumber AS a_loc_cab_ru,
-    'leaf-' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS z_device, 'eth' || (l_linenumber % 4) AS z_port,
+    CASE s_nationkey % 8 WHEN 0 THEN 'Node-' WHEN 4 THEN 'gpu-' ELSE 'leaf-' END || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS z_device, 'eth' || (l_linenumber % 4) AS z_port,
     CASE WHEN l_discount < 0.02 THEN '' WHEN l_discount > 0.09 THEN 'nan' ELSE 'Z-' || p_type END AS z_optic, 'M-' || (s_nationkey % 5) AS z_model,
     'dh30' || (s_nationkey % 4) || ':' || s_nationkey || ':' || l_linenumber AS z_loc_cab_ru,
     CASE l_returnflag || l_linestatus WHEN 'RF' THEN 'LLDP Passed' WHEN 'AF' THEN 'LLDP Failed' WHEN 'NO' THEN 'Cable Is Ran: Complete'
       WHEN 'NF' THEN 'Cable Not Run' WHEN 'RO' THEN 'Cable Is Ran: Not Terminated' WHEN 'AO' THEN 'Human Verified' END AS status,
     CASE l_returnflag || l_linestatus WHEN 'RF' THEN 'lldp_passed' WHEN 'AF' THEN 'lldp_failed' WHEN 'NO' THEN 'complete'
       WHEN 'NF' THEN 'not_run' WHEN 'RO' THEN 'not_terminated' WHEN 'AO' THEN 'human_verified' END AS status_normalized,
-    CASE WHEN l_quantity >= 30 THEN 'brk' ELSE '' END AS a_breakout_loc, '' AS z_breakout_loc,
+    CASE WHEN l_quantity >= 40 THEN 'brk2' WHEN l_quantity >= 30 THEN 'brk' WHEN l_quantity < 3 THEN 'nan' ELSE '' END AS a_breakout_loc,
+    CASE WHEN CAST(round(l_discount * 100) AS INTEGER) = 5 THEN 'zb' ELSE '' END AS z_breakout_loc,
     CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE 'C' || l_orderkey END AS cable_id,
     CASE l_linenumber % 4 WHEN 0 THEN 'MPO12' WHEN 1 THEN 'LC' WHEN 2 THEN 'nan' END AS cable_type, l_linenumber, l_discount, l_linestatus
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
@@ -158,8 +194,8 @@ burndown AS (SELECT id, site_id, upload_id, a_device, a_port, z_device, z_port,
 snapshots AS (SELECT CAST(dayofmonth(ts) AS INTEGER) AS snapshot_id, count(*) AS interface_count,
     CASE WHEN dayofmonth(ts) = (SELECT max(dayofmonth(ts)) FROM events) THEN 'running' WHEN dayofmonth(ts) % 5 = 0 THEN 'failed' ELSE 'ok' END AS status FROM events GROUP BY dayofmonth(ts)),
 interfaces AS (SELECT CAST(dayofmonth(ts) AS INTEGER) AS snapshot_id, 'site' || (user_id % 3) AS site, CASE WHEN user_id % 7 = 0 THEN '' ELSE 'hall' || (user_id % 4) END AS hall,
-    'r' || (user_id % 11) AS rack, 'dev' || user_id AS device_name, 'm' || (user_id % 9) AS model,
-    CASE user_id % 6 WHEN 0 THEN 'planned' WHEN 1 THEN 'provisioned' ELSE 'active' END AS device_status, event_type AS type_category, event_type || '-' || (event_id % 5) AS type_label, event_id FROM events),
+    CASE WHEN user_id % 11 = 0 THEN '' ELSE 'r' || (user_id % 11) END AS rack, CASE WHEN user_id % 13 = 0 THEN '' ELSE 'dev' || user_id END AS device_name, 'm' || (user_id % 9) AS model,
+    CASE user_id % 6 WHEN 0 THEN 'planned' WHEN 1 THEN 'provisioned' ELSE 'active' END AS device_status, CASE event_type WHEN 'click' THEN 'Optical SFP' WHEN 'purchase' THEN 'InfiniBand' WHEN 'error' THEN 'Fibre Channel' ELSE event_type END AS type_category, event_type || '-' || (event_id % 5) AS type_label, event_id FROM events),
 latest AS (SELECT * FROM interfaces WHERE snapshot_id = (SELECT max(snapshot_id) FROM snapshots WHERE status = 'ok')),
 ends AS (
   SELECT id, site_id, upload_id, section, status_normalized, 'A' AS side, a_device AS device, a_port AS port, a_optic AS optic, a_model AS model, a_loc_cab_ru AS loc, a_breakout_loc AS breakout, cable_id FROM links

@@ -18,8 +18,8 @@ STATUS3 = (
     "CAST(count(*) FILTER (WHERE status_normalized IN ('not_run', 'not_terminated', 'pending', 'in_progress', 'addition')) AS BIGINT) AS pending"
 )
 PHYSICAL = (
-    f"phys AS (SELECT * FROM {{rows}} WHERE {P('optic')} QUALIFY row_number() OVER (PARTITION BY side, CASE WHEN {P('breakout')} "
-    "THEN concat_ws('|', CAST(upload_id AS VARCHAR), breakout, loc, port) ELSE id END ORDER BY id) = 1)"
+    f"phys AS (SELECT * FROM {{rows}} WHERE {P('optic')} QUALIFY row_number() OVER (PARTITION BY side, CASE WHEN breakout IS NOT NULL AND breakout <> '' "
+    "THEN CAST(upload_id AS VARCHAR) || '|' || coalesce(loc, '') || '|' || coalesce(port, '') ELSE id END ORDER BY id) = 1)"
 )
 PCT = "CAST(round(100.0 * {a} / nullif({b}, 0), 1) AS DOUBLE)"
 
@@ -38,14 +38,14 @@ def view(name: str, body: str) -> str:
 S1 = "site_id = 1"
 register("section_completion", lambda t: q.section_completion(t), f"SELECT section, count(*) AS total, count(*) FILTER (WHERE {IN_SVC}) AS complete, count(*) FILTER (WHERE NOT ({IN_SVC})) AS incomplete, {PCT.format(a=f'count(*) FILTER (WHERE {IN_SVC})', b='count(*)')} AS pct FROM links GROUP BY section")
 register("optic_count", lambda t: q.optic_count(t), "AND " + PHYSICAL.format(rows="ends") + f" SELECT optic, count(*) FILTER (WHERE side = 'A') AS a_count, count(*) FILTER (WHERE side = 'Z') AS z_count, count(*) AS total, {STATUS3} FROM phys GROUP BY optic")
-register("optic_count_filtered", lambda t: q.optic_count(t, site_id=1, optic="econ", section="auto", location="dh201"), "AND f AS (SELECT * FROM ends WHERE site_id = 1 AND section ILIKE '%auto%' AND loc ILIKE '%dh201%'), " + PHYSICAL.format(rows="f") + f" SELECT optic, count(*) FILTER (WHERE side = 'A') AS a_count, count(*) FILTER (WHERE side = 'Z') AS z_count, count(*) AS total, {STATUS3} FROM phys WHERE optic ILIKE '%econ%' GROUP BY optic")
+register("optic_count_filtered", lambda t: q.optic_count(t, site_id=1, optic="econ", section="auto", location="dh302"), "AND f AS (SELECT * FROM ends WHERE id IN (SELECT id FROM links WHERE site_id = 1 AND section ILIKE '%auto%' AND (a_loc_cab_ru ILIKE '%dh302%' OR z_loc_cab_ru ILIKE '%dh302%')) AND optic ILIKE '%econ%'), " + PHYSICAL.format(rows="f") + f" SELECT optic, count(*) FILTER (WHERE side = 'A') AS a_count, count(*) FILTER (WHERE side = 'Z') AS z_count, count(*) AS total, {STATUS3} FROM phys GROUP BY optic")
 for side in ("a", "z"):
     register(f"{side}_device_list", lambda t, side=side: q.side_device_list(t, side, site_id=1), f"SELECT {side}_device AS device, count(*) AS connections, count(DISTINCT {side}_port) AS ports, count(*) OVER () AS total_groups FROM links WHERE {S1} AND {P(side + '_device')} GROUP BY 1 ORDER BY connections DESC, device LIMIT 200")
 register("role_lookup", lambda t: q.role_lookup(t, site_id=2, role="build", side="A"), "SELECT role, side, device, mode(nullif(model, '') ORDER BY nullif(model, '')) AS model, count(*) AS connections FROM ends JOIN (SELECT lower(trim(hostname)) AS h, min(role) AS role FROM hosts GROUP BY 1) ON lower(trim(device)) = h WHERE site_id = 2 AND role ILIKE '%build%' AND side = 'A' GROUP BY role, side, device ORDER BY role, side, device LIMIT 200")
 DEVICES = "SELECT device, count(*) AS connections, count(DISTINCT port) AS ports FROM ends WHERE {w} GROUP BY device ORDER BY connections DESC, device {l}"
 register("device_list", lambda t: q.device_list(t, upload_id=107), DEVICES.format(w="upload_id = 107 AND " + P("device"), l="LIMIT 200"))
 register("device_detail", lambda t: q.device_list(t, device="LEAF-1", limit=None), DEVICES.format(w="device ILIKE '%LEAF-1%'", l=""))
-register("node_compute", lambda t: q.node_compute(t), DEVICES.format(w="regexp_matches(device, '(?i)node|compute|gpu|server|leaf-0')", l=""))
+register("node_compute", lambda t: q.node_compute(t), DEVICES.format(w="regexp_matches(device, '(?i)node|compute|gpu|server')", l=""))
 register("device_connections", lambda t: q.device_connections(t, "leaf-07", site_id=3), "SELECT section, a_device, a_port, z_device, z_port, status, id FROM links WHERE site_id = 3 AND (a_device ILIKE '%leaf-07%' OR z_device ILIKE '%leaf-07%') ORDER BY section, a_port, id LIMIT 200")
 for n, slugs in (("connection_status", VERIFICATION), ("cable_status", CABLE_RUN)):
     register(n, lambda t, slugs=slugs: q.status_of(t, slugs), f"SELECT status_normalized, status, count(*) AS cnt FROM links WHERE status_normalized IN ({LIST(slugs)}) GROUP BY 1, 2")
@@ -100,10 +100,11 @@ register("view_device_summary", lambda t: q.device_summary(t), ACTIVE + f" SELEC
 register("view_latest_snapshot", lambda t: q.latest_snapshot(t), "SELECT * FROM snapshots WHERE status = 'ok' ORDER BY snapshot_id DESC LIMIT 1")
 register("dashboard_summary", lambda t: q.dashboard_summary(t), "SELECT device_status, count(DISTINCT device_name) AS devices, device_status IN ('active', 'provisioned') AS healthy FROM latest GROUP BY 1")
 register("dashboard_sites", lambda t: q.dashboard_sites(t), "SELECT site, count(DISTINCT device_name) AS devices, count(DISTINCT nullif(trim(hall), '')) AS halls FROM latest GROUP BY 1")
+OPT = "(type_category ILIKE '%optical%' OR type_category ILIKE '%infiniband%' OR type_category ILIKE '%fibre%')"
 HALL = "coalesce(nullif(trim(hall), ''), 'unassigned')"
-register("dashboard_halls", lambda t: q.dashboard_halls(t), f"SELECT site, {HALL} AS hall, count(DISTINCT device_name) FILTER (WHERE device_status <> 'planned') AS devices, count(*) FILTER (WHERE type_category <> 'error') AS interfaces, count(DISTINCT rack) AS racks FROM latest GROUP BY 1, 2")
+register("dashboard_halls", lambda t: q.dashboard_halls(t), f"SELECT site, {HALL} AS hall, count(DISTINCT device_name) AS devices, count(*) AS interfaces, count(DISTINCT nullif(rack, '')) AS racks FROM latest WHERE device_name <> '' GROUP BY 1, 2")
 register("dashboard_models", lambda t: q.dashboard_models(t), "SELECT model, count(DISTINCT device_name) AS devices FROM latest GROUP BY 1 ORDER BY devices DESC, model LIMIT 20")
-register("dashboard_optics", lambda t: q.dashboard_optics(t), "SELECT type_label, count(*) AS ports, count(*) FILTER (WHERE type_category ILIKE '%click%') AS used FROM latest GROUP BY 1 ORDER BY ports DESC, type_label LIMIT 25")
-register("dashboard_utilization", lambda t: q.dashboard_utilization(t), f"AND h AS (SELECT {HALL} AS hall, type_label, type_category FROM latest) SELECT hall, type_label, count(*) AS ports, count(*) FILTER (WHERE type_category = 'purchase') AS used, {PCT.format(a=chr(39).join(['count(*) FILTER (WHERE type_category = ', 'purchase', ')']), b='count(*)')} AS pct FROM h GROUP BY ROLLUP (hall, type_label)")
+register("dashboard_optics", lambda t: q.dashboard_optics(t), f"SELECT type_label, type_category, count(*) AS ports, {OPT} AS optical FROM latest WHERE device_name <> '' GROUP BY 1, 2 ORDER BY ports DESC, type_label, type_category LIMIT 25")
+register("dashboard_utilization", lambda t: q.dashboard_utilization(t), f"AND h AS (SELECT {HALL} AS hall, type_label, {OPT} AS optical FROM latest WHERE device_name <> '') SELECT hall, type_label, count(*) AS interfaces, count(*) FILTER (WHERE optical) AS optics, {PCT.format(a='count(*) FILTER (WHERE optical)', b='count(*)')} AS pct FROM h GROUP BY ROLLUP (hall, type_label)")
 register("dashboard_snapshots", lambda t: q.dashboard_snapshots(t), "SELECT * FROM snapshots ORDER BY snapshot_id DESC LIMIT 10")
 register("site_totals", lambda t: q.site_totals(t), "SELECT site, type_category, count(*) AS interfaces, count(DISTINCT device_name) AS devices FROM latest GROUP BY ROLLUP (site, type_category)")

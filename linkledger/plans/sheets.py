@@ -24,8 +24,8 @@ SHEET = "AND sheet AS (SELECT *, id AS row_idx, 'L1' AS a_locode, CASE WHEN l_li
 ) + ")"
 NAME = "upper(substr(regexp_replace(trim(coalesce(optic, 'nan')), '^[=+\\-@\\s]+', ''), 1, 200))"
 FIRST = (
-    f", s AS (SELECT *, {NAME} AS name, row_number() OVER (PARTITION BY {{b}}, CASE WHEN {P('breakout')} THEN loc || port END ORDER BY row_idx, side) AS rn FROM sends), "
-    f"f AS (SELECT * FROM s WHERE length(name) >= 2 AND (({P('breakout')} AND rn = 1) OR (NOT {P('breakout')} AND {P('locode')} AND {P('optic')}))) "
+    f", s AS (SELECT *, {NAME} AS name, row_number() OVER (PARTITION BY {{b}}, CASE WHEN {P('breakout')} THEN loc || port END ORDER BY row_idx, side) AS rn FROM sends WHERE {P('locode')}), "
+    f"f AS (SELECT * FROM s WHERE length(name) >= 2 AND (({P('breakout')} AND rn = 1) OR (NOT {P('breakout')} AND {P('optic')}))) "
 )
 register("sheet_optics", lambda t: counters.sheet_optics(sheet(t)), SHEET + FIRST.format(b="1") + "SELECT name AS optic, count(*) AS n FROM f GROUP BY 1")
 register("sheet_optics_in_service", lambda t: counters.sheet_optics(sheet(t), "service"), SHEET + FIRST.format(b=f"coalesce({IN_SVC}, false)") + f"SELECT coalesce({IN_SVC}, false) AS in_service, name AS optic, count(*) AS n FROM f GROUP BY 1, 2")
@@ -38,7 +38,7 @@ register("sheet_cabling_state", lambda t: counters.cabling_state(sheet(t)), SHEE
 register("sheet_model_index", lambda t: counters.model_index(sheet(t)), SHEET + f" SELECT upper(model) AS model, count(*) AS n, count(*) FILTER (WHERE side = 'A') AS a, count(*) FILTER (WHERE side = 'Z') AS z, count(DISTINCT loc) AS locations FROM sends WHERE {P('model')} GROUP BY 1")
 register("sheet_device_registry", lambda t: counters.device_registry(sheet(t)).select("device", "loc_cab_ru", "model", F.array_join("sections", ",").alias("sections"), F.array_join("sides", ",").alias("sides"), "n"), SHEET + f" SELECT lower(device) AS device, loc AS loc_cab_ru, model, array_to_string(list_sort(list(DISTINCT section)), ',') AS sections, array_to_string(list_sort(list(DISTINCT side)), ',') AS sides, count(*) AS n FROM sends WHERE {P('device')} GROUP BY 1, 2, 3")
 register("sheet_top_locations", lambda t: counters.top_locations(sheet(t), 3).withColumn("rank", F.col("rank").cast("long")), SHEET + f", g AS (SELECT optic, loc AS loc_cab_ru, count(*) AS n FROM sends WHERE {P('optic')} AND {P('loc')} GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY optic ORDER BY n DESC, loc_cab_ru) AS rank FROM g QUALIFY rank <= 3")
-register("roce_optics", lambda t: counters.roce_optics(sheet(t).select(F.col("section").alias("tab"), "row_idx", F.col("a_loc_cab_ru").alias("loc"), F.col("a_port").alias("port"), F.col("z_port").alias("connector"), F.col("a_optic").alias("optic")), True), SHEET + ", r AS (SELECT upper(a_optic) AS optic, row_number() OVER (PARTITION BY section, a_loc_cab_ru, substr(a_port, 1, greatest(length(a_port) - 2, 0)), z_port ORDER BY row_idx) AS rn FROM sheet) SELECT optic, count(*) AS n FROM r WHERE rn = 1 GROUP BY 1")
+register("roce_optics", lambda t: counters.roce_optics(sheet(t).select(F.col("section").alias("tab"), "row_idx", F.col("a_device").alias("device"), F.col("a_loc_cab_ru").alias("loc"), F.col("a_port").alias("port"), F.col("z_port").alias("connector"), F.col("a_optic").alias("optic")), True), SHEET + ", r AS (SELECT upper(a_optic) AS optic, row_number() OVER (PARTITION BY section, a_loc_cab_ru, substr(a_port, 1, greatest(length(a_port) - 2, 0)), z_port ORDER BY row_idx) AS rn FROM sheet WHERE a_device <> '' AND a_optic NOT IN ('', 'nan')) SELECT optic, count(*) AS n FROM r WHERE rn = 1 GROUP BY 1")
 IN_RACK = "(lower(split_part({l}, ':', 1)) = 'dh201' AND split_part({l}, ':', 2) = '41')"
 register("rack_links", lambda t: rack.rack_links(sheet(t), "dh201", "041").select("id", "inside"), SHEET + f" SELECT id, {IN_RACK.format(l='a_loc_cab_ru')} AND {IN_RACK.format(l='z_loc_cab_ru')} AS inside FROM sheet WHERE {IN_RACK.format(l='a_loc_cab_ru')} OR {IN_RACK.format(l='z_loc_cab_ru')}")
 register("room_optics", lambda t: rack.rack_optics(sheet(t), "dh201", "41"), SHEET + f" SELECT optic, count(*) AS n FROM sends WHERE {IN_RACK.format(l='loc')} AND {P('optic')} GROUP BY 1")
@@ -68,7 +68,7 @@ register("every_sheet_cabling_state", lambda t: counters.cabling_state(every(t),
 register("every_sheet_model_index", lambda t: counters.model_index(every(t), PER), EVERY + f" SELECT upload_id, upper(model) AS model, count(*) AS n, count(*) FILTER (WHERE side = 'A') AS a, count(*) FILTER (WHERE side = 'Z') AS z, count(DISTINCT loc) AS locations FROM sends WHERE {P('model')} GROUP BY 1, 2")
 register("every_sheet_device_registry", lambda t: counters.device_registry(every(t), PER).select("upload_id", "device", "loc_cab_ru", "model", F.array_join("sections", ",").alias("sections"), F.array_join("sides", ",").alias("sides"), "n"), EVERY + f" SELECT upload_id, lower(device) AS device, loc AS loc_cab_ru, model, array_to_string(list_sort(list(DISTINCT section)), ',') AS sections, array_to_string(list_sort(list(DISTINCT side)), ',') AS sides, count(*) AS n FROM sends WHERE {P('device')} GROUP BY 1, 2, 3, 4")
 register("every_sheet_top_locations", lambda t: counters.top_locations(every(t), 3, PER).withColumn("rank", F.col("rank").cast("long")), EVERY + f", g AS (SELECT upload_id, optic, loc AS loc_cab_ru, count(*) AS n FROM sends WHERE {P('optic')} AND {P('loc')} GROUP BY 1, 2, 3) SELECT *, row_number() OVER (PARTITION BY upload_id, optic ORDER BY n DESC, loc_cab_ru) AS rank FROM g QUALIFY rank <= 3")
-register("every_roce_optics", lambda t: counters.roce_optics(every(t).select("upload_id", F.col("section").alias("tab"), "row_idx", F.col("a_loc_cab_ru").alias("loc"), F.col("a_port").alias("port"), F.col("z_port").alias("connector"), F.col("a_optic").alias("optic")), True, PER), EVERY + ", r AS (SELECT upload_id, upper(a_optic) AS optic, row_number() OVER (PARTITION BY upload_id, section, a_loc_cab_ru, substr(a_port, 1, greatest(length(a_port) - 2, 0)), z_port ORDER BY row_idx) AS rn FROM sheet) SELECT upload_id, optic, count(*) AS n FROM r WHERE rn = 1 GROUP BY 1, 2")
+register("every_roce_optics", lambda t: counters.roce_optics(every(t).select("upload_id", F.col("section").alias("tab"), "row_idx", F.col("a_device").alias("device"), F.col("a_loc_cab_ru").alias("loc"), F.col("a_port").alias("port"), F.col("z_port").alias("connector"), F.col("a_optic").alias("optic")), True, PER), EVERY + ", r AS (SELECT upload_id, upper(a_optic) AS optic, row_number() OVER (PARTITION BY upload_id, section, a_loc_cab_ru, substr(a_port, 1, greatest(length(a_port) - 2, 0)), z_port ORDER BY row_idx) AS rn FROM sheet WHERE a_device <> '' AND a_optic NOT IN ('', 'nan')) SELECT upload_id, optic, count(*) AS n FROM r WHERE rn = 1 GROUP BY 1, 2")
 register("every_rack_links", lambda t: rack.rack_links(every(t), "dh201", "041").select("upload_id", "id", "inside"), EVERY + f" SELECT upload_id, id, {IN_RACK.format(l='a_loc_cab_ru')} AND {IN_RACK.format(l='z_loc_cab_ru')} AS inside FROM sheet WHERE {IN_RACK.format(l='a_loc_cab_ru')} OR {IN_RACK.format(l='z_loc_cab_ru')}")
 register("every_room_optics", lambda t: rack.rack_optics(every(t), "dh201", "41", PER), EVERY + f" SELECT upload_id, optic, count(*) AS n FROM sends WHERE {IN_RACK.format(l='loc')} AND {P('optic')} GROUP BY 1, 2")
 register("every_rack_devices", lambda t: rack.rack_devices(every(t), "dh201", "41", t.hosts, PER), EVERY + f""", o AS (SELECT upload_id, lower(device) AS device, arg_min(model, side || row_idx) AS model, min(loc) AS loc, count(*) AS cables, bool_and(status_normalized = 'not_run') AS idle FROM sends WHERE {IN_RACK.format(l='loc')} AND {P('device')} GROUP BY 1, 2),
@@ -94,6 +94,6 @@ def event_sheet(t: Tables):
 
 register("ingest_sections", lambda t: ingest.with_sections(event_sheet(t)).groupBy("file", "section", "is_header").agg(F.count("*").alias("n")), """AND s AS (SELECT CAST(event_id % 3 AS VARCHAR) AS file, event_id, event_id % 40 = 7 AS is_header, CASE WHEN event_id % 40 = 7 THEN 'TIER-' || (event_id % 9) END AS h FROM events),
 f AS (SELECT *, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY file ORDER BY event_id ROWS UNBOUNDED PRECEDING), 'UNKNOWN') AS section FROM s) SELECT file, section, is_header, count(*) AS n FROM f GROUP BY 1, 2, 3""")
-register("interface_names", lambda t: _latest(t).groupBy(cells.enum_name(F.col("type_label")).alias("type_enum"), F.initcap("type_category").alias("label")).agg(F.count("*").alias("n")), "SELECT 'TYPE_' || upper(replace(type_label, '-', '_')) AS type_enum, upper(type_category[1]) || lower(type_category[2:]) AS label, count(*) AS n FROM latest GROUP BY 1, 2")
+register("interface_names", lambda t: _latest(t).groupBy(cells.enum_name(F.col("type_label")).alias("type_enum"), F.initcap("type_category").alias("label")).agg(F.count("*").alias("n")), "SELECT 'TYPE_' || upper(replace(type_label, '-', '_')) AS type_enum, array_to_string(list_transform(string_split(type_category, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS label, count(*) AS n FROM latest GROUP BY 1, 2")
 register("interfaces_unassigned", lambda t: _latest(t).join(_latest(t).where("hall <> ''").select("hall").distinct(), "hall", "left_anti").groupBy("site", "rack").agg(F.count("*").alias("n")), "SELECT site, rack, count(*) AS n FROM latest WHERE hall = '' GROUP BY 1, 2")
 register("event_windows", lambda t: windowed_events(t.read("events")), "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")

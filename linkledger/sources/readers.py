@@ -48,8 +48,9 @@ def new_files(found: DataFrame, loaded: DataFrame) -> DataFrame:
 
 
 def write_links(links: DataFrame, path: str) -> None:
-    """Appends to the table that is laid out by site and upload, so that queries read only their uploads."""
-    links.repartition("site_id", "upload_id").write.mode("append").partitionBy("site_id", "upload_id").parquet(path)
+    """Appends to the table that is laid out by site and upload, so that queries read only their uploads. The rebalance joins
+    small uploads' rows and splits large ones."""
+    links.hint("rebalance", "site_id", "upload_id").write.mode("append").partitionBy("site_id", "upload_id").parquet(path)
 
 
 def activate_latest(uploads: DataFrame) -> DataFrame:
