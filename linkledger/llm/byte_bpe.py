@@ -35,14 +35,12 @@ WITH RECURSIVE step(i, w, pos, tok) AS (
   SELECT 0, w, pos, tok FROM pieces
   UNION ALL (
     WITH pairs AS MATERIALIZED (
-      SELECT i, w, pos, tok, m.rank
-      FROM (SELECT i, w, pos, tok, tok << 20 | lead(tok) OVER (PARTITION BY w ORDER BY pos) AS ab FROM step)
-      LEFT JOIN merges m USING (ab)),
-    marked AS (SELECT *, min(rank << 32 | pos) OVER (PARTITION BY w) AS best FROM pairs)
-    SELECT i + 1, w, pos, CASE WHEN pos = best & 4294967295 THEN rank ELSE tok END
-    FROM (SELECT *, lag(pos) OVER (PARTITION BY w ORDER BY pos) AS prev FROM marked WHERE best IS NOT NULL)
-    WHERE prev IS NULL OR prev <> best & 4294967295))
-SELECT w, pos, tok FROM step QUALIFY i = max(i) OVER (PARTITION BY w) ORDER BY w, pos
+      SELECT i, w, pos, tok, tok << 20 | lead(tok) OVER near AS ab, lag(pos) OVER near AS prev
+      FROM step WINDOW near AS (PARTITION BY w ORDER BY pos)),
+    best AS (SELECT w, min(rank << 32 | pos) AS b FROM pairs JOIN merges USING (ab) GROUP BY w)
+    SELECT i + 1, w, pos, CASE WHEN pos = b & 4294967295 THEN b >> 32 ELSE tok END
+    FROM pairs JOIN best USING (w) WHERE prev IS DISTINCT FROM b & 4294967295))
+SELECT w, pos, tok FROM step JOIN (SELECT w, max(i) AS i FROM step GROUP BY w) USING (w, i) ORDER BY w, pos
 """
 DECODE = "SELECT d, string_agg(s, '' ORDER BY pos) AS s FROM tokens JOIN vocab USING (id) GROUP BY d"
 
