@@ -16,6 +16,8 @@ from linkledger.llm import byte_bpe, embedding_dedup, line_dedup, near_dedup, or
 from linkledger.llm.common import components
 from linkledger.llm.queries import tokenizer_file
 
+from plain import brute_clauses
+
 
 @pytest.fixture(scope="session", params=["odd", "table"])
 def docs(request, spark, sf_dir, odd_docs):
@@ -154,30 +156,6 @@ def test_toxicity_classes_count_after_training(spark):
     assert score[""] < score["we will not kill you"] < score["we will kill you"] and score["you are an idiot"] >= 0.7
 
 
-def brute_clauses(text, stems):
-    """What the grammar matches, clause by clause, without transducers."""
-    is_insult = lambda w: next((stems[k] for k in [w + "$", *[w[:n] for n in range(len(w), 2, -1)]] if k in stems), 0)
-    fixed = {w: k for k, ws in (("target", toxicity.PERSONS + toxicity.DETERMINERS + toxicity.COPULAS), ("threat", toxicity.THREATS), ("not", toxicity.NEGATIONS), ("report", toxicity.REPORTS)) for w in ws}
-    for clause in re.split(r"[.!?;\n]", text.lower()):
-        kinds = [("insult", w) if (w := is_insult(x)) else (fixed.get(x), 1) for x in re.findall(r"\w+", clause)]
-        names = [k for k, _ in kinds]
-        insults = [w for k, w in kinds if k == "insult"]
-        hot = [i for i, k in enumerate(names) if k in ("insult", "threat")]
-        # A threat waits for a target among the next three words; a new threat starts the wait again.
-        menace = any(k == "threat" and "target" in names[i + 1 : i + 4] for i, k in enumerate(names))
-        if not (menace or insults and "target" in names):
-            continue
-        total = sum(w if i == 0 else w / 2 for i, w in enumerate(insults)) + names.count("threat")
-        negated = [any("not" == names[j] for j in range(max(0, i - 3), i)) for i in hot]
-        factor = 1.25 if menace and insults else 1
-        kind = toxicity.MENACE if menace else toxicity.AIMED
-        if all(negated):
-            kind, factor = toxicity.NEGATED, factor / 2
-        elif "report" in names:
-            kind, factor = toxicity.REPORTED, factor / 2
-        yield kind, total * factor
-
-
 def test_grammar_by_brute_force():
     rng = np.random.default_rng(8)
     m = toxicity.Model({"idiot$": 3.0, "grub": 2.0})
@@ -385,15 +363,6 @@ def test_empty_tables_with_files(empty_docs):
     assert toxicity.op3_toxicity(empty_docs, empty_docs.selectExpr("doc_id", "1 as toxic")).collect() == []
 
 
-def test_pipeline(spark, sf_dir):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "suffix_dedup", "packing"]
-    rows = corpus_pipeline.run(spark, sf_dir).collect()
-    assert sum(r["length"] for r in rows) > 0 and {r["doc_id"] for r in rows} <= {r["doc_id"] for r in docs.select("doc_id").collect()}
-
-
 def test_unit_store_trims():
     import pyarrow as pa
 
