@@ -47,7 +47,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("packing", packing)]
-#: The toxicity model, shingle links and token packing are not expressible in SQL. The stages together have no brute-force test.
+#: The toxicity model, shingle links and token packing are not expressible in SQL. tests/llm/test_brute_force.py has plain versions of all five.
 ORACLE_SQL = None
 
 
