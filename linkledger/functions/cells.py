@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 from pyspark.sql import Column
@@ -65,6 +66,23 @@ def safe_cell(c: Column, most: int = 200) -> Column:
     return F.substring(F.regexp_replace(F.trim(c), r"^[=+\-@\s]+", ""), 1, most)
 
 
+def at_location(loc: Column | str, where: str) -> Column:
+    """Whether a hall:rack:unit cell lies where a question points: at a unit, in a rack of a hall, in a hall (dh20 is not
+    dh201), in a rack of any hall; other text may stand anywhere in the cell. Empty text is nowhere. Zeros before a rack
+    number don't count; a cell may end with its rack."""
+    cell = F.lower(F.col(loc) if isinstance(loc, str) else loc)
+    place = where.strip().lower().removeprefix(":")
+    named = re.fullmatch(r"([a-z]{1,4}\d+)?(?:(?:^|:)(\d{1,4}))?(:\d+)?", place)
+    if not place:
+        return F.lit(False)
+    if not named or named[3] and not (named[1] and named[2]):
+        return cell.contains(place)
+    if named[3]:
+        return cell == place
+    rack = f"0*{int(named[2])}" if named[2] else "[^:]*"
+    return cell.rlike(f"^{named[1] or '[^:]*'}:{rack}(:|$)") if named[2] else cell.startswith(f"{named[1]}:")
+
+
 def hall(loc: Column | str) -> Column:
     return F.split_part(F.col(loc) if isinstance(loc, str) else loc, F.lit(":"), F.lit(1))
 

@@ -4,7 +4,7 @@ per names the columns that tell sheets apart: each sheet is counted on its own.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -69,13 +69,93 @@ def model_index(df: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
     return ends.groupBy(*per, F.upper("model").alias("model")).agg(F.count("*").alias("n"), F.count_if(F.col("side") == "A").alias("a"), F.count_if(F.col("side") == "Z").alias("z"), F.countDistinct("loc_cab_ru").alias("locations"))
 
 
-def roce_optics(df: DataFrame, short_ports: bool = False, per: tuple[str, ...] = ()) -> DataFrame:
+def roce_status(c: Column | str) -> Column:
+    """Status of a row of a RoCE sheet: blank is Unknown, anything that says complete is Complete."""
+    text = F.trim(F.col(c) if isinstance(c, str) else c)
+    return F.when(~present(text), "Unknown").when(F.lower(text).contains("complete"), "Complete").otherwise(text)
+
+
+def roce_optics(df: DataFrame, short_ports: bool = False, per: tuple[str, ...] = (), by: str | None = None) -> DataFrame:
     """df: tab, row_idx, device, loc, port, connector, optic. Of rows with a device and an optic, one per tab, location, port and connector; on tabs of tiers 0
-    and 1 a port loses its last two characters first."""
+    and 1 a port loses its last two characters first. by='status' counts per status of that one row."""
     port = F.expr("substring(port, 1, greatest(length(port) - 2, 0))") if short_ports else F.col("port")
     first = F.row_number().over(W.partitionBy(*per, "tab", "loc", port, "connector").orderBy("row_idx"))
     rows = df.where(present("device") & present("optic")).withColumn("_rn", first).where("_rn = 1").withColumn("optic", F.upper(safe_cell(F.col("optic"))))
-    return rows.where(F.length("optic") >= 2).groupBy(*per, "optic").agg(F.count("*").alias("n"))
+    keys = [roce_status("status").alias("shown")] if by == "status" else []
+    return rows.where(F.length("optic") >= 2).groupBy(*per, *keys, "optic").agg(F.count("*").alias("n"))
+
+
+#: Statuses of a RoCE row that has not been cabled.
+NOT_CABLED = ("No Label & Not Yet Run", "Unknown")
+
+
+def roce_devices(df: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
+    """Locations by how far their rows are cabled, and by the first model given there."""
+    ends = sheet_ends(df, per).withColumns({"loc": safe_cell(F.col("loc_cab_ru")), "name": safe_cell(F.col("model")), "shown": roce_status("status")}).where(present("loc"))
+    each = ends.groupBy(*per, "loc").agg(
+        F.min_by("name", F.when(present("name"), F.struct("row_idx", "side"))).alias("name"), F.every(F.col("shown") == "Complete").alias("full"), F.every(F.col("shown").isin(*NOT_CABLED)).alias("none")
+    )
+    state = F.when(F.col("full"), "Fully Cabled").when(F.col("none"), "Not Cabled").otherwise("Work in Progress")
+    each = each.select(*per, state.alias("state"), F.upper(F.coalesce("name", F.lit("Unknown"))).alias("model"))
+    return each.where(F.length("model") >= 2).groupBy(*per, "state", "model").agg(F.count("*").alias("n"))
+
+
+# Names and marks in InfiniBand workbooks, and words that are no device.
+IB_CELL, IB_NODE = "Twin Port OSFP", "IB Node Optic"
+IB_NO_DEVICE = ("status", "source", "destination", "n/a", "nan")
+
+
+def ib_status(c: Column | str) -> Column:
+    text = F.trim(F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"\s+", " "))
+    return F.when(present(text), text).otherwise("No Status")
+
+
+def ib_optics(df: DataFrame, by: str | None = None, per: tuple[str, ...] = ()) -> DataFrame:
+    """df: tab, status, optic_type, ibp, cells (all of the row). A filled optic type is one optic; on node tabs a filled ibp is
+    two node optics, one for each end; on ufm tabs each cell of the twin port name is one. by: 'service' or 'status'."""
+    tab = F.lower("tab")
+    found = [
+        (F.when(present("optic_type"), F.col("optic_type")), F.lit(1)),
+        (F.when(tab.contains("node") & present("ibp"), IB_NODE), F.lit(2)),
+        (F.when(tab.contains("ufm"), IB_CELL), F.size(F.filter("cells", lambda x: x == IB_CELL))),
+    ]
+    keys = {"service": [F.coalesce(F.trim("status") == "Complete", F.lit(False)).alias("in_service")], "status": [ib_status("status").alias("shown")], None: []}[by]
+    rows = df.select(*per, *keys, F.inline(F.array(*[F.struct(name.alias("optic"), n.alias("times")) for name, n in found]))).where("times > 0")
+    rows = rows.withColumn("optic", F.upper(safe_cell(F.col("optic")))).where(F.length("optic") >= 2)
+    return rows.groupBy(*per, *[c for c in rows.columns if c in ("in_service", "shown")], "optic").agg(F.sum("times").alias("n"))
+
+
+def ib_devices(df: DataFrame, by: str | None = None, per: tuple[str, ...] = ()) -> DataFrame:
+    """df: tab, status, source, destination. Devices named on pull schedules: words without a space. by='service' parts those with
+    a complete row from the others, by='status' parts them by how far their rows are cabled."""
+    rows = df.where(F.lower("tab").contains("pull schedule") & (F.upper("tab") != "OVERHEAD"))
+    rows = rows.select(*per, "status", F.explode(F.array("source", "destination")).alias("device")).withColumn("device", F.trim("device"))
+    rows = rows.where(present("device") & ~F.col("device").contains(" ") & ~F.lower("device").isin(*IB_NO_DEVICE)).withColumn("shown", ib_status("status"))
+    each = rows.groupBy(*per, "device").agg(
+        F.bool_or(F.col("shown") == "Complete").alias("in_service"), F.every(F.col("shown") == "Cable Is Ran: Complete").alias("full"), F.every(F.col("shown") == "Cable Not Run").alias("none")
+    )
+    state = F.when(F.col("full"), "Fully Cabled").when(F.col("none"), "Not Cabled").otherwise("Work in Progress")
+    keys = {"service": [F.col("in_service")], "status": [state.alias("state")], None: []}[by]
+    return each.groupBy(*per, *keys).agg(F.count("*").alias("n"))
+
+
+def location_optics(df: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
+    """(location of the A end, column, optic, row_idx) for each filled optic cell of rows that have that location."""
+    each = F.inline(F.array(*[F.struct(F.lit(c).alias("optic_column"), F.col(c).alias("optic")) for c in ("a_optic", "z_optic")]))
+    rows = df.select(*per, "row_idx", F.col("a_loc_cab_ru").alias("location"), each)
+    return rows.where(present("location") & present("optic"))
+
+
+def location_index(df: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
+    """Optics of each location with the rows that show them: how many, the first and the last; location_optics lists all."""
+    groups = location_optics(df, per).groupBy(*per, "location", "optic")
+    return groups.agg(F.count("*").alias("n"), F.countDistinct("row_idx").alias("rows"), F.min("row_idx").alias("first_row"), F.max("row_idx").alias("last_row"))
+
+
+def value_counts(df: DataFrame, column: str, per: tuple[str, ...] = ()) -> DataFrame:
+    """How often each value of a column stands in all tabs but the overhead one."""
+    rows = df.where((F.upper("tab") != "OVERHEAD") & F.col(column).isNotNull())
+    return rows.groupBy(*per, F.col(column).alias("value")).agg(F.count("*").alias("n"))
 
 
 def device_registry(df: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkledger.functions.cells import SLUGS, clean_cell, model_name, present, status_slug
+from linkledger.functions.cells import SLUGS, clean_cell, literal_map, model_name, present, status_slug
 
 
 def _sides(patterns: dict[str, str]) -> dict[str, str]:
@@ -147,6 +147,37 @@ def load_burndown(df: DataFrame) -> DataFrame:
     return rows.withColumns({"link_status": F.nullif(F.lower(F.trim("link_status")), F.lit("")), "cutsheet_row": row})
 
 
+def classify_status(c, known: dict[str, str], headers: tuple[str, ...] = ()):
+    """Class of a status: as known, then in lower case, then a header of the site; else UNKNOWN. Blank: BLANK."""
+    text = F.col(c) if isinstance(c, str) else c
+    low = F.lower(F.trim(text))
+    found = F.coalesce(F.try_element_at(literal_map(known), text), F.try_element_at(literal_map({k.lower(): v for k, v in known.items()}), low))
+    own = F.when(text.isin(*headers), "SECTION_HEADER") if headers else F.lit(None).cast("string")
+    return F.when(F.coalesce(low, F.lit("")) == "", "BLANK").otherwise(F.coalesce(found, own, F.lit("UNKNOWN")))
+
+
+def with_status_class(df: DataFrame, known: dict[str, str], headers: tuple[str, ...] = (), pattern: str = TOPOLOGY) -> DataFrame:
+    """status_class; unknown ones on rows without an optic that read like a part of the topology are section headers."""
+    named = F.col("status_class")
+    header = (named == "UNKNOWN") & ~present("a_optic") & ~present("z_optic") & F.col("status").rlike(pattern)
+    return df.withColumn("status_class", classify_status("status", known, headers)).withColumn("status_class", F.when(header, "SECTION_HEADER").otherwise(named))
+
+
+#: Device statuses that count as live.
+LIVE = ("active", "provisioned")
+
+
+def live_devices(df: DataFrame) -> DataFrame:
+    """Devices in use, their position in the rack a whole number or null."""
+    return df.where(F.col("status").isin(*LIVE)).withColumn("position", F.expr("try_cast(try_cast(position as double) as int)"))
+
+
+def views_stale(uploads: DataFrame, refreshes: DataFrame) -> DataFrame:
+    """One row, stale: an upload is newer than the last refresh, or there has been none. Without uploads nothing is stale."""
+    last = uploads.agg(F.max("created_at").alias("upload")).crossJoin(F.broadcast(refreshes.agg(F.max("refreshed_at").alias("refresh"))))
+    return last.select((F.col("upload").isNotNull() & F.coalesce(F.col("upload") > F.col("refresh"), F.lit(True))).alias("stale"))
+
+
 def row_filter(df: DataFrame, terms: list[tuple[str, str, str, str]]) -> DataFrame:
     """terms: (joiner, column, operator, value), folded from left to right; unknown columns are left out."""
     tests = {

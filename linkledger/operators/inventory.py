@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkledger.functions.cells import CABLE_RUN, FAILED, IN_SERVICE, PENDING, VERIFICATION, family, hall, percent, present, rack_key
+from linkledger.functions.cells import CABLE_RUN, FAILED, IN_SERVICE, PENDING, VERIFICATION, at_location, family, hall, percent, present, rack_key
 from linkledger.plans.fixture import Tables
 
 from .shapes import contains_any, ends, like, physical_optics, scope, status_counts, top, with_group_total
@@ -16,7 +16,9 @@ def complete():
 
 
 def optic_count(t: Tables, site_id=None, upload_id=None, optic="", section="", location="") -> DataFrame:
-    links = scope(t.links, site_id, upload_id).where(like("section", section) & (like("a_loc_cab_ru", location) | like("z_loc_cab_ru", location)))
+    links = scope(t.links, site_id, upload_id).where(like("section", section))
+    if location:
+        links = links.where(at_location("a_loc_cab_ru", location) | at_location("z_loc_cab_ru", location))
     rows = physical_optics(ends(links).where(like("optic", optic)))
     counts = rows.groupBy("optic").agg(F.count_if(F.col("side") == "A").alias("a_count"), F.count_if(F.col("side") == "Z").alias("z_count"), F.count("*").alias("total"), *status_counts())
     return top(counts, F.desc("total"), "optic")
@@ -165,9 +167,9 @@ def rack_summary(t: Tables, site_id=None, upload_id=None, limit=50) -> DataFrame
 
 
 def location_lookup(t: Tables, location: str, site_id=None, upload_id=None, limit=200) -> DataFrame:
-    rows = ends(scope(t.links, site_id, upload_id)).where(present("device") & F.lower("loc").startswith(location.lower()))
+    rows = ends(scope(t.links, site_id, upload_id)).where(present("device") & at_location("loc", location))
     rows = rows.select("device", "side", "model", "loc", F.lit("links").alias("source"))
-    inventory = scope(t.hosts, site_id, upload_id).where(F.lower("rack").startswith(location.lower()))
+    inventory = scope(t.hosts, site_id, upload_id).where(at_location("rack", location))
     rows = rows.unionByName(inventory.select(F.col("hostname").alias("device"), F.lit("").alias("side"), "model", F.col("rack").alias("loc"), F.lit("inventory").alias("source")))
     groups = rows.groupBy("device", "side", "source").agg(F.expr("mode() within group (order by nullif(model, ''))").alias("model"), F.count("*").alias("connections"), F.min("loc").alias("location"))
     return top(groups, "source", F.desc("connections"), "device", "side", limit=limit)

@@ -38,7 +38,7 @@ def view(name: str, body: str) -> str:
 S1 = "site_id = 1"
 register("section_completion", lambda t: q.section_completion(t), f"SELECT section, count(*) AS total, count(*) FILTER (WHERE {IN_SVC}) AS complete, count(*) FILTER (WHERE NOT ({IN_SVC})) AS incomplete, {PCT.format(a=f'count(*) FILTER (WHERE {IN_SVC})', b='count(*)')} AS pct FROM links GROUP BY section")
 register("optic_count", lambda t: q.optic_count(t), "AND " + PHYSICAL.format(rows="ends") + f" SELECT optic, count(*) FILTER (WHERE side = 'A') AS a_count, count(*) FILTER (WHERE side = 'Z') AS z_count, count(*) AS total, {STATUS3} FROM phys GROUP BY optic")
-register("optic_count_filtered", lambda t: q.optic_count(t, site_id=1, optic="econ", section="auto", location="dh302"), "AND f AS (SELECT * FROM ends WHERE id IN (SELECT id FROM links WHERE site_id = 1 AND section ILIKE '%auto%' AND (a_loc_cab_ru ILIKE '%dh302%' OR z_loc_cab_ru ILIKE '%dh302%')) AND optic ILIKE '%econ%'), " + PHYSICAL.format(rows="f") + f" SELECT optic, count(*) FILTER (WHERE side = 'A') AS a_count, count(*) FILTER (WHERE side = 'Z') AS z_count, count(*) AS total, {STATUS3} FROM phys GROUP BY optic")
+register("optic_count_filtered", lambda t: q.optic_count(t, site_id=1, optic="econ", section="auto", location="dh302"), "AND f AS (SELECT * FROM ends WHERE id IN (SELECT id FROM links WHERE site_id = 1 AND section ILIKE '%auto%' AND (a_loc_cab_ru ILIKE 'dh302:%' OR z_loc_cab_ru ILIKE 'dh302:%')) AND optic ILIKE '%econ%'), " + PHYSICAL.format(rows="f") + f" SELECT optic, count(*) FILTER (WHERE side = 'A') AS a_count, count(*) FILTER (WHERE side = 'Z') AS z_count, count(*) AS total, {STATUS3} FROM phys GROUP BY optic")
 for side in ("a", "z"):
     register(f"{side}_device_list", lambda t, side=side: q.side_device_list(t, side, site_id=1), f"SELECT {side}_device AS device, count(*) AS connections, count(DISTINCT {side}_port) AS ports, count(*) OVER () AS total_groups FROM links WHERE {S1} AND {P(side + '_device')} GROUP BY 1 ORDER BY connections DESC, device LIMIT 200")
 register("role_lookup", lambda t: q.role_lookup(t, site_id=2, role="build", side="A"), "SELECT role, side, device, mode(nullif(model, '') ORDER BY nullif(model, '')) AS model, count(*) AS connections FROM ends JOIN (SELECT lower(trim(hostname)) AS h, min(role) AS role FROM hosts GROUP BY 1) ON lower(trim(device)) = h WHERE site_id = 2 AND role ILIKE '%build%' AND side = 'A' GROUP BY role, side, device ORDER BY role, side, device LIMIT 200")
@@ -71,7 +71,13 @@ register("rack_summary", lambda t: q.rack_summary(t, site_id=1), f"""AND k AS (S
 o AS (SELECT rack, optic, count(*) AS n FROM k WHERE {P('optic')} GROUP BY rack, optic), b AS (SELECT rack, string_agg(optic || ': ' || n, ', ' ORDER BY n DESC, optic) AS breakdown FROM o GROUP BY rack),
 r AS (SELECT rack, count(DISTINCT link) AS connections, count(DISTINCT device) AS devices, array_to_string(list_sort(list(DISTINCT model) FILTER (WHERE {P('model')})), ', ') AS models, coalesce(array_to_string(list_sort(list(DISTINCT optic) FILTER (WHERE {P('optic')})), ', '), '') AS optics, count(*) FILTER (WHERE {P('optic')}) AS optic_rows FROM k GROUP BY rack)
 SELECT r.*, breakdown, (SELECT count(DISTINCT rack) FROM k) AS total_racks, (SELECT count(DISTINCT link) FROM k) AS site_connections FROM r LEFT JOIN b USING (rack) ORDER BY connections DESC, rack LIMIT 50""")
-register("location_lookup", lambda t: q.location_lookup(t, "DH201:4"), f"AND u AS (SELECT device, side, model, loc, 'links' AS source FROM ends WHERE {P('device')} AND loc ILIKE 'dh201:4%' UNION ALL SELECT hostname, '', model, rack, 'inventory' FROM hosts WHERE rack ILIKE 'dh201:4%') SELECT device, side, source, mode(nullif(model, '') ORDER BY nullif(model, '')) AS model, count(*) AS connections, min(loc) AS location FROM u GROUP BY device, side, source ORDER BY source, connections DESC, device, side LIMIT 200")
+LOOKUP = f"AND u AS (SELECT device, side, model, loc, 'links' AS source FROM ends WHERE {P('device')} AND [l] UNION ALL SELECT hostname, '', model, rack, 'inventory' FROM hosts WHERE [r]) SELECT device, side, source, mode(nullif(model, '') ORDER BY nullif(model, '')) AS model, count(*) AS connections, min(loc) AS location FROM u GROUP BY device, side, source ORDER BY source, connections DESC, device, side LIMIT 200"
+AT = {
+    "location_lookup": ("DH201:4", "regexp_matches(lower([c]), '^dh201:0*4(:|$)')"), "location_lookup_hall": ("dh20", "[c] ILIKE 'dh20:%'"), "location_lookup_rack": ("041", "regexp_matches([c], '^[^:]*:0*41(:|$)')"),
+    "location_lookup_unit": ("dh201:41:3", "lower([c]) = 'dh201:41:3'"),
+}
+for n, (where, test) in AT.items():
+    register(n, lambda t, where=where: q.location_lookup(t, where), LOOKUP.replace("[l]", test.replace("[c]", "loc")).replace("[r]", test.replace("[c]", "rack")))
 DIFF = """AND o AS (SELECT * FROM links WHERE upload_id = 104), n AS (SELECT * FROM links WHERE upload_id = 105),
 d AS (SELECT 'removed' AS change, a_device, a_port, z_device, z_port, status_normalized AS detail FROM o ANTI JOIN n USING (a_device, a_port, z_device, z_port)
 UNION ALL SELECT 'added', a_device, a_port, z_device, z_port, status_normalized FROM n ANTI JOIN o USING (a_device, a_port, z_device, z_port)

@@ -76,6 +76,50 @@ h AS (SELECT upload_id, lower(hostname) AS device, min(model) AS h_model, min(ra
 SELECT upload_id, device, coalesce(model, h_model) AS model, coalesce(loc, h_loc) AS loc, coalesce(cables, 0) AS cables, CASE WHEN idle THEN 'Pending' WHEN coalesce(cables, 0) > 0 THEN 'Installed' ELSE 'Listed' END AS state FROM o FULL JOIN h USING (upload_id, device)""")
 register("every_cab_summary", lambda t: rack.cab_summary(every(t), t.spark.range(0, 120).select(F.col("id").cast("string").alias("rack"), F.concat(F.lit("type-"), (F.col("id") % 3).cast("string")).alias("cab_type")).where("id % 7 <> 0"), "dh201", PER), EVERY + ", k AS (SELECT DISTINCT upload_id, CAST(split_part(loc, ':', 2) AS INTEGER) AS r FROM sends WHERE split_part(loc, ':', 1) = 'dh201') SELECT upload_id, CASE WHEN r % 7 = 0 THEN 'Unknown' ELSE 'type-' || (r % 3) END AS cab_type, count(*) AS racks FROM k GROUP BY 1, 2")
 register("every_ingest_roles", lambda t: ingest.with_roles(every(t), t.hosts).groupBy("upload_id", "a_role", "z_role").agg(F.count("*").alias("n")), EVERY + ", r AS (SELECT upload_id, lower(trim(hostname)) AS h, min(role) AS role FROM hosts GROUP BY 1, 2) SELECT s.upload_id, a.role AS a_role, z.role AS z_role, count(*) AS n FROM sheet s LEFT JOIN r a ON s.upload_id = a.upload_id AND lower(trim(a_device)) = a.h LEFT JOIN r z ON s.upload_id = z.upload_id AND lower(trim(z_device)) = z.h GROUP BY 1, 2, 3")
+CENTS = "CAST(round(l_discount * 100) AS INTEGER)"
+
+
+def ib_sheet(t: Tables):
+    """Every upload as an InfiniBand workbook of four tabs."""
+    n, cents = F.col("l_linenumber") % 4, F.round(F.col("l_discount") * 100).cast("int")
+    cell = lambda c, k: F.when(cents % k == 0, counters.IB_CELL).otherwise(F.col(c))
+    return every(t).select(
+        "upload_id", "row_idx", F.when(n == 0, "Core Pull Schedule").when(n == 1, "Node Pull Schedule").when(n == 2, "UFM pull schedule").otherwise("Overhead").alias("tab"),
+        F.when(cents == 0, "Complete").when(cents == 1, "").when(cents == 2, " Cable   Not Run ").otherwise(F.col("status")).alias("status"), F.when(n == 0, F.col("a_optic")).alias("optic_type"),
+        F.when(cents % 3 != 0, F.col("a_port")).alias("ibp"), F.col("a_device").alias("source"), F.when(cents == 4, "Destination").when(cents == 5, "two words").otherwise(F.col("z_device")).alias("destination"),
+        F.array(cell("a_port", 2), cell("z_port", 3)).alias("cells"), "section",
+    )
+
+
+IB = EVERY.split(", sends AS")[0] + f""", ib0 AS (SELECT *, {CENTS} AS cents, CASE {CENTS} WHEN 0 THEN 'Complete' WHEN 1 THEN 'No Status' WHEN 2 THEN 'Cable Not Run' ELSE status END AS shown,
+CASE l_linenumber % 4 WHEN 0 THEN 'core' WHEN 1 THEN 'node' WHEN 2 THEN 'ufm' ELSE 'overhead' END AS tab FROM links),
+ib AS (SELECT upload_id, shown, a_optic AS optic, 1 AS k FROM ib0 WHERE tab = 'core' AND {P('a_optic')} UNION ALL SELECT upload_id, shown, 'IB Node Optic', 2 FROM ib0 WHERE tab = 'node' AND cents % 3 <> 0 AND {P('a_port')}
+UNION ALL SELECT upload_id, shown, 'Twin Port OSFP', 1 FROM ib0 WHERE tab = 'ufm' AND cents % 2 = 0 UNION ALL SELECT upload_id, shown, 'Twin Port OSFP', 1 FROM ib0 WHERE tab = 'ufm' AND cents % 3 = 0),
+ibd0 AS (SELECT upload_id, shown, a_device AS device FROM ib0 WHERE tab <> 'overhead' UNION ALL SELECT upload_id, shown, z_device FROM ib0 WHERE tab <> 'overhead' AND cents NOT IN (4, 5)),
+ibd AS (SELECT upload_id, device, bool_or(shown = 'Complete') AS in_service, CASE WHEN bool_and(shown = 'Cable Is Ran: Complete') THEN 'Fully Cabled' WHEN bool_and(shown = 'Cable Not Run') THEN 'Not Cabled' ELSE 'Work in Progress' END AS state FROM ibd0 WHERE {P('device')} GROUP BY 1, 2) """
+for n, by, key, dkey in (("", None, "", ""), ("_in_service", "service", "shown = 'Complete' AS in_service, ", "in_service, "), ("_by_status", "status", "shown, ", "state, ")):
+    register(f"ib_optics{n}", lambda t, by=by: counters.ib_optics(ib_sheet(t), by, PER), IB + f"SELECT upload_id, {key}upper(optic) AS optic, CAST(sum(k) AS BIGINT) AS n FROM ib GROUP BY ALL")
+    register(f"ib_devices{n}", lambda t, by=by: counters.ib_devices(ib_sheet(t), by, PER), IB + f"SELECT upload_id, {dkey}count(*) AS n FROM ibd GROUP BY ALL")
+
+
+def roce_sheet(t: Tables):
+    cents = F.round(F.col("l_discount") * 100).cast("int")
+    shown = F.when(cents == 1, "").when(cents == 2, "Run: COMPLETE ").when(cents == 4, "No Label & Not Yet Run").otherwise(F.col("status"))
+    return every(t).withColumns({"status": shown, "a_model": F.when(cents == 3, "nan").otherwise(F.col("a_model"))})
+
+
+ROCE = EVERY.split(", sends AS")[0] + f""", ro AS (SELECT *, {CENTS} AS cents, CASE WHEN {CENTS} IN (1) THEN 'Unknown' WHEN {CENTS} = 2 THEN 'Complete' WHEN {CENTS} = 4 THEN 'No Label & Not Yet Run' WHEN status ILIKE '%complete%' THEN 'Complete' ELSE status END AS shown FROM sheet) """
+register("roce_optics_by_status", lambda t: counters.roce_optics(roce_sheet(t).select("upload_id", "status", F.col("section").alias("tab"), "row_idx", F.col("a_device").alias("device"), F.col("a_loc_cab_ru").alias("loc"), F.col("a_port").alias("port"), F.col("z_port").alias("connector"), F.col("a_optic").alias("optic")), True, PER, "status"), ROCE + ", r AS (SELECT upload_id, shown, upper(a_optic) AS optic, row_number() OVER (PARTITION BY upload_id, section, a_loc_cab_ru, substr(a_port, 1, greatest(length(a_port) - 2, 0)), z_port ORDER BY row_idx) AS rn FROM ro WHERE a_device <> '' AND a_optic NOT IN ('', 'nan')) SELECT upload_id, shown, optic, count(*) AS n FROM r WHERE rn = 1 GROUP BY ALL")
+register("roce_devices_by_status", lambda t: counters.roce_devices(roce_sheet(t), PER), ROCE + f""", e AS (SELECT upload_id, row_idx, 'A' AS side, shown, a_loc_cab_ru AS loc, CASE WHEN cents = 3 THEN NULL ELSE a_model END AS model FROM ro UNION ALL SELECT upload_id, row_idx, 'Z', shown, z_loc_cab_ru, z_model FROM ro),
+l AS (SELECT upload_id, loc, first(model ORDER BY row_idx, side) FILTER (WHERE {P('model')}) AS model, CASE WHEN bool_and(shown = 'Complete') THEN 'Fully Cabled' WHEN bool_and(shown IN ('No Label & Not Yet Run', 'Unknown')) THEN 'Not Cabled' ELSE 'Work in Progress' END AS state FROM e WHERE {P('loc')} GROUP BY 1, 2)
+SELECT upload_id, state, upper(coalesce(model, 'Unknown')) AS model, count(*) AS n FROM l GROUP BY ALL""")
+register("location_index", lambda t: counters.location_index(every(t), PER), EVERY + f", c AS (SELECT upload_id, row_idx, a_loc_cab_ru AS location, a_optic AS optic FROM sheet UNION ALL SELECT upload_id, row_idx, a_loc_cab_ru, z_optic FROM sheet) SELECT upload_id, location, optic, count(*) AS n, count(DISTINCT row_idx) AS rows, min(row_idx) AS first_row, max(row_idx) AS last_row FROM c WHERE {P('location')} AND {P('optic')} GROUP BY ALL")
+register("tab_value_counts", lambda t: counters.value_counts(ib_sheet(t), "optic_type", PER), IB + "SELECT upload_id, a_optic AS value, count(*) AS n FROM ib0 WHERE tab = 'core' AND a_optic IS NOT NULL GROUP BY ALL")
+#: Some statuses with their class, and a header, for the rows of the fixture.
+CLASSES, HEADERS = {"LLDP Passed": "VERIFIED", "cable not run": "PLANNED"}, ("Human Verified",)
+register("status_classes", lambda t: ingest.with_status_class(ib_sheet(t).withColumns({"status": F.when(F.col("ibp").isNull(), "TIER-1 leaf").otherwise(F.col("status")), "a_optic": F.col("optic_type"), "z_optic": F.lit("")}), CLASSES, HEADERS).groupBy("upload_id", "status_class").agg(F.count("*").alias("n")), IB + f"""SELECT upload_id, CASE WHEN cents % 3 = 0 OR a_port IS NULL THEN CASE WHEN tab = 'core' AND {P('a_optic')} THEN 'UNKNOWN' ELSE 'SECTION_HEADER' END WHEN cents = 1 THEN 'BLANK'
+WHEN cents <> 2 AND status = 'LLDP Passed' THEN 'VERIFIED' WHEN cents <> 2 AND status = 'Cable Not Run' THEN 'PLANNED' WHEN cents <> 2 AND status = 'Human Verified' THEN 'SECTION_HEADER' ELSE 'UNKNOWN' END AS status_class, count(*) AS n FROM ib0 GROUP BY ALL""")
+register("views_stale", lambda t: ingest.views_stale(t.uploads, t.uploads.where("not is_active").select(F.col("created_at").alias("refreshed_at"))), "SELECT (SELECT max(created_at) FROM uploads) > (SELECT max(created_at) FROM uploads WHERE NOT is_active) AS stale")
 register("ingest_status_slugs", lambda t: t.raw_links.groupBy("status", cells.status_slug("status").alias("slug"), "status_normalized").agg(F.count("*").alias("n")), "SELECT status, status_normalized AS slug, status_normalized, count(*) AS n FROM raw_links GROUP BY 1, 2, 3")
 register("ingest_first_rows", lambda t: ingest.physical_links(t.raw_links.withColumn("row_idx", F.col("id"))).groupBy("upload_id").agg(F.count("*").alias("n"), F.max("id").alias("last")), "SELECT upload_id, count(*) AS n, max(id) AS last FROM links GROUP BY 1")
 register("ingest_insert_new", lambda t: ingest.insert_new(t.links.where("upload_id = 105"), t.links.where("upload_id = 104"), ["a_device", "a_port", "z_device", "z_port"]).select("id"), "SELECT id FROM links n WHERE upload_id = 105 AND NOT EXISTS (SELECT 1 FROM links o WHERE o.upload_id = 104 AND o.a_device = n.a_device AND o.a_port = n.a_port AND o.z_device = n.z_device AND o.z_port = n.z_port)")

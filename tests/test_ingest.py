@@ -134,3 +134,26 @@ def test_write_upload_diff(spark, sf_dir, tmp_path):
     got = spark.read.parquet(path).select(*want.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 0
     assert {p.name for p in (tmp_path / "diff").glob("change=*")} == {f"change={r['change']}" for r in inventory.upload_diff(t, 104, 105).collect()}
+
+
+def test_at_location(spark):
+    rows = ["dh20:041:1", "dh20:41:35", "dh201:041:1", "DH20:7:2", "dh20:0410:1", "dh20:41", None, ""]
+    df = spark.createDataFrame([(r,) for r in rows], "loc string")
+    found = lambda where: {r.loc for r in df.where(cells.at_location("loc", where)).collect()}
+    assert found("dh20") == {"dh20:041:1", "dh20:41:35", "DH20:7:2", "dh20:0410:1", "dh20:41"}
+    assert found("DH20:41") == {"dh20:041:1", "dh20:41:35", "dh20:41"}
+    assert found("041") == found(":041") == {"dh20:041:1", "dh20:41:35", "dh201:041:1", "dh20:41"}
+    assert found("dh20:41:35") == {"dh20:41:35"}
+    assert found("") == set() and found("0:1") == {"dh20:0410:1"}
+
+
+def test_live_devices(spark):
+    df = spark.createDataFrame([("active", "4.0"), ("provisioned", "x"), ("planned", "1"), (None, None)], "status string, position string")
+    assert {(r.status, r.position) for r in ingest.live_devices(df).collect()} == {("active", 4), ("provisioned", None)}
+
+
+def test_views_stale(spark):
+    ups = spark.createDataFrame([(5,)], "created_at int")
+    none = spark.createDataFrame([], "refreshed_at int")
+    stale = lambda u, r: ingest.views_stale(u, r).first().stale
+    assert stale(ups, none) and not stale(ups.limit(0), none) and not stale(ups, spark.createDataFrame([(5,)], "refreshed_at int"))
