@@ -73,7 +73,7 @@ r AS (SELECT rack, count(DISTINCT link) AS connections, count(DISTINCT device) A
 SELECT r.*, breakdown, (SELECT count(DISTINCT rack) FROM k) AS total_racks, (SELECT count(DISTINCT link) FROM k) AS site_connections FROM r LEFT JOIN b USING (rack) ORDER BY connections DESC, rack LIMIT 50""")
 LOOKUP = f"AND u AS (SELECT device, side, model, loc, 'links' AS source FROM ends WHERE {P('device')} AND [l] UNION ALL SELECT hostname, '', model, rack, 'inventory' FROM hosts WHERE [r]) SELECT device, side, source, mode(nullif(model, '') ORDER BY nullif(model, '')) AS model, count(*) AS connections, min(loc) AS location FROM u GROUP BY device, side, source ORDER BY source, connections DESC, device, side LIMIT 200"
 AT = {
-    "location_lookup": ("DH201:4", "regexp_matches(lower([c]), '^dh201:0*4(:|$)')"), "location_lookup_hall": ("dh20", "[c] ILIKE 'dh20:%'"), "location_lookup_rack": ("041", "regexp_matches([c], '^[^:]*:0*41(:|$)')"),
+    "location_lookup": ("DH201:4", "regexp_matches(lower([c]), '^dh201:0*4(:|$)')"), "location_lookup_hall": ("dh202", "[c] ILIKE 'dh202:%'"), "location_lookup_rack": ("041", "regexp_matches([c], '^[^:]*:0*41(:|$)')"),
     "location_lookup_unit": ("dh201:41:3", "lower([c]) = 'dh201:41:3'"),
 }
 for n, (where, test) in AT.items():
