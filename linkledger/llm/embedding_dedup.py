@@ -124,7 +124,8 @@ def near_blocks(entries: DataFrame, bits: int, groups: int) -> DataFrame:
 
     def compare(t):
         t = t.sort_by([("filter", "ascending"), ("i", "ascending"), ("j", "ascending")])
-        f, i, j, chunk, block, s1, s2 = (t[c].to_numpy() for c in ("filter", "i", "j", "chunk", "block", "s1", "s2"))
+        f, i, j, chunk, block = (t[c].to_numpy() for c in ("filter", "i", "j", "chunk", "block"))
+        s1, s2 = (t[c].to_numpy().view(np.uint64) for c in ("s1", "s2"))  # of signed numbers bitwise_count takes the absolute value
         cuts = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
         end = np.repeat(cuts[1:], np.diff(cuts))
         a, step, found = np.arange(len(f)), 1, np.zeros((0, 2), np.int64)
