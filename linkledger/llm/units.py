@@ -38,13 +38,14 @@ def odd(unit: str) -> bool:
 
 
 def core(unit: str) -> str:
-    """The unit without one closing stop or comma that a letter precedes; both tokenizers cut there."""
-    return unit[:-1] if unit[-1:] in (".", ",") and unit[-2:-1].isalpha() else unit
+    """The unit without one closing stop or comma that follows a plain word; both tokenizers cut there."""
+    return unit[:-1] if unit[-1:] in (".", ",") and plain(unit[:-1].removeprefix(" ")) else unit
 
 
 def plain(word: str) -> bool:
-    """Only letters below U+0250: one word for either tokenizer, and the same in composed form."""
-    return word.isalpha() and (word.isascii() or max(word) < "ɐ")
+    """Only letters below U+0250, but for U+0130, whose lower case ends in a mark: one word for either tokenizer, and the
+    same in composed form."""
+    return word.isalpha() and (word.isascii() or max(word) < "ɐ" and "\u0130" not in word)
 
 
 class UnitStore:
