@@ -3,7 +3,7 @@
 encode: distinct words (matches of the split pattern) become token-position rows, one per byte.
 Each step of the recursive query joins neighbouring tokens with the merge table and contracts
 each word's leftmost pair of minimum rank, until no word has a pair left. decode: ids join the
-vocabulary, and an ordered aggregation puts a document's bytes together.
+vocabulary, and an ordered aggregation puts a document's bytes together, run by run of its positions.
 
 A recursive query keeps the rows of all its steps, which grow with the square of a word. So words share a query
 up to a bound of that sum, and words of more than LONG bytes are contracted by the same rule with a heap of pairs.
@@ -29,6 +29,8 @@ from .units import _WHOLE, MOST_UNITS, UnitStore, chunks, held
 WORDS, SQUARES = 20_000, 4_000_000
 #: Bytes of a word beyond which it is contracted by long_word().
 LONG = 400
+#: Tokens of one decoding query: a long text is decoded in runs of its positions.
+RUN = 250_000
 
 CONTRACT = """
 WITH RECURSIVE step(i, w, pos, tok) AS (
@@ -140,12 +142,15 @@ class BpeStore(UnitStore):
         self.put(new, flat, np.diff(upto))
 
     def decode(self, flat: np.ndarray, at: np.ndarray) -> list[bytes]:
-        n = np.diff(at)
-        tokens = pa.table({"d": np.repeat(np.arange(len(n)), n), "pos": np.arange(len(flat)), "id": flat.astype(np.int64)})
-        out, texts = self.rows(DECODE, tokens=tokens), [b""] * len(n)
-        for d, s in zip(out["d"].to_pylist(), out["s"].to_pylist()):
-            texts[d] = np.frombuffer(s.encode("utf-16-le"), np.uint16).astype(np.uint8).tobytes()
-        return texts
+        """The bytes of each text; flat holds the ids of all, at where each text's begin."""
+        parts: list[list[bytes]] = [[] for _ in at[1:]]
+        for lo in range(0, len(flat), RUN):
+            pos = np.arange(lo, min(lo + RUN, len(flat)))
+            tokens = pa.table({"d": np.searchsorted(at, pos, side="right") - 1, "pos": pos, "id": flat[pos].astype(np.int64)})
+            out = self.rows(DECODE, tokens=tokens)
+            for d, s in zip(out["d"].to_pylist(), out["s"].to_pylist()):
+                parts[d].append(np.frombuffer(s.encode("utf-16-le"), np.uint16).astype(np.uint8).tobytes())
+        return [b"".join(p) for p in parts]
 
 
 def bpe_store(ranks_path: str, pattern: str) -> BpeStore:
