@@ -99,7 +99,8 @@ def window_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 raw = raw.as_py() or b""
                 data = np.frombuffer(raw, np.uint8)
                 for h, first, n, d in windows(data, length, gram):
-                    whole = span_hashes(data, first, n + length - 1) + (n * 1024 + d).astype(np.uint64)
+                    own = data[first[0] : first[-1] + n[-1] + length - 1]
+                    whole = span_hashes(own, first - first[0], n + length - 1) + (n * 1024 + d).astype(np.uint64)
                     cols.append((np.full(len(h), row), h, _mix(whole), first * 65536 + n * 256 + d))
                     held += len(h)
                 if held > 100_000:
