@@ -56,9 +56,11 @@ def op6_line_dedup(spark, sf_dir):
 
 
 def _oracles() -> None:
+    from .centroids import OP12_SQL
     from .line_dedup import OP6_SQL
 
     ORACLES["op6_line_dedup"] = OP6_SQL
+    ORACLES["op12_centroids"] = OP12_SQL
 
 
 _oracles()
@@ -97,3 +99,24 @@ def op3_toxicity(spark, sf_dir):
     from .toxicity import op3_toxicity as run
 
     return run(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_mixing(spark, sf_dir):
+    from .mixing import op11_mixing as run
+
+    return run(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_centroids(spark, sf_dir):
+    from .centroids import op12_centroids as run
+
+    return run(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_spelling(spark, sf_dir):
+    from .spelling import op13_spelling as run
+
+    return run(table(spark, sf_dir, "documents"))
