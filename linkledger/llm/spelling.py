@@ -7,7 +7,7 @@ at most and fall by one at most, and words that are one longer, whose counts ris
 1. Words of each length that many words have are cut by an upper k-d tree, split at medians of a bounded sample. A word lives in
    one cell; it is sent as a query to the cells of both lengths whose boxes the bounds allow, of its own length only to later cells.
 2. Each cell is a group with its words and queries. It builds its own k-d tree; a range search leaves out boxes that the
-   bounds forbid, for all queries at a time, and what meets in a leaf is verified letter by letter.
+   bounds forbid, for all queries at a time, and what fits in a leaf is verified letter by letter.
 3. A cell with more words or queries than fit is cut by hash: each part of the words meets each part of the queries. So lengths
    without an upper tree, and letter counts that very many words share, are whole, too.
 
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import h64, width, written
 
-#: Words, queries and bytes of words that meet in one call; words of a leaf; letters compared at a time.
-CELL, QUERIES, CELL_BYTES, LEAF, PAIR_BYTES = 2_000, 40_000, 4_000_000, 16, 8_000_000
+#: Words, queries and bytes of words that meet in one call; words of a leaf; pairs and letters compared at a time.
+CELL, QUERIES, CELL_BYTES, LEAF, PAIRS, PAIR_BYTES = 4_000, 40_000, 4_000_000, 32, 200_000, 8_000_000
 #: Words that the upper trees are built on, all lengths together. They only decide where cells end.
 SAMPLE, PER_CELL = 100_000, 16
 #: Bytes of text that are searched at a time, words that a task counts before it hands them on.
@@ -152,25 +152,60 @@ def cells_of(tree, c: np.ndarray, rises: int, falls: int):
             stack.append((child, rows[stay], u[stay], d[stay], {**box, letter: (a, b)}))
 
 
-def range_search(c: np.ndarray, q: np.ndarray, rises: int, falls: int):
-    """(rows of q, rows of c) that meet in a leaf of the k-d tree of c, with boxes the bounds allow."""
-    stack = [(np.arange(len(c)), np.arange(len(q)))]
+class Codes:
+    """Letter counts of some words as bits, in 64-bit columns: bit (letter, t) says that the letter stands t times at least. So the
+    bits that one code has and another lacks are the letters that the other one lacks."""
+
+    def __init__(self, c: np.ndarray, like: "Codes | None" = None):
+        """like: of words whose bits these are to have; `lost` is how many letters of a row have none."""
+        top = c.max(0, initial=0)
+        self.letter = like.letter if like else np.repeat(np.arange(c.shape[1]), top)
+        self.times = like.times if like else np.concatenate([np.zeros(0, np.int64), *(np.arange(1, t + 1) for t in top)])
+        self.bits = c[:, self.letter] >= self.times
+        self.lost = c.sum(1) - self.bits.sum(1)
+        room = np.zeros((len(c), -(-len(self.times) // 64) * 64), bool)
+        room[:, : len(self.times)] = self.bits
+        self.columns = list(np.ascontiguousarray(np.packbits(room, axis=1).view(np.uint64).T))
+
+
+def missing(a, b, shape) -> np.ndarray:
+    """How many bits of a are not in b; both are lists of columns."""
+    out = np.zeros(shape, np.int32)
+    for x, y in zip(a, b):
+        out += np.bitwise_count(x & ~y)
+    return out
+
+
+def range_search(words: Codes, queries: Codes, rises: int, falls: int):
+    """(rows of queries, rows of words) whose counts differ as the bounds allow, by way of the k-d tree of words. A node is cut
+    at the letter and count that part it most evenly; its box has the bits of all words and those of any."""
+    stack = [(np.arange(len(words.bits)), np.flatnonzero(queries.lost <= falls))]
     while stack:
         rows, asked = stack.pop()
-        own = c[rows]
-        used = np.flatnonzero(own.any(0))
-        lo, hi, mine = own[:, used].min(0), own[:, used].max(0), q[np.ix_(asked, used)]
-        gone = q[asked].sum(1) - mine.sum(1)  # letters that no word here has
-        up, down = np.maximum(lo - mine, 0).sum(1), np.maximum(mine - hi, 0).sum(1) + gone
+        own = [x[rows] for x in words.columns]
+        mine = [x[asked] for x in queries.columns]
+        up = missing([np.bitwise_and.reduce(x) for x in own], mine, len(asked))
+        down = missing(mine, [np.bitwise_or.reduce(x) for x in own], len(asked)) + queries.lost[asked]
         asked = asked[(up <= rises) & (down <= falls)]
         if not len(asked):
             continue
-        cut = split(own) if len(rows) > LEAF else None
-        if cut is None:
-            yield asked, rows
-        else:
-            left = own[:, cut[0]] <= cut[1]
-            stack += [(rows[left], asked), (rows[~left], asked)]
+        cut = None
+        if len(rows) > LEAF:
+            bits = words.bits[rows]
+            have = bits.sum(0)
+            best = int(np.abs(2 * have - len(rows)).argmin())
+            cut = bits[:, best] if 0 < have[best] < len(rows) else None
+        if cut is not None:
+            stack += [(rows[cut], asked), (rows[~cut], asked)]
+            continue
+        for i in range(0, len(asked), max(1, PAIRS // len(rows))):
+            part = asked[i : i + max(1, PAIRS // len(rows))]
+            for j in range(0, len(rows), PAIRS):
+                some = rows[j : j + PAIRS]
+                a, b = [x[part][:, None] for x in queries.columns], [x[some][None, :] for x in words.columns]
+                shape = len(part), len(some)
+                x, y = np.nonzero((missing(b, a, shape) <= rises) & (missing(a, b, shape) + queries.lost[part][:, None] <= falls))
+                yield part[x], some[y]
 
 
 def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -182,20 +217,17 @@ def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return head + tail >= a.shape[1]
 
 
-def near_pairs(words: np.ndarray, queries: np.ndarray, kind: str, itself: bool = False):
+def near_pairs(words: np.ndarray, held: Codes, queries: np.ndarray, kind: str, itself: bool = False):
     """(rows of queries, rows of words) that are one edit apart; itself: queries are the words, each pair once."""
     found = [np.zeros((2, 0), np.int64)]
+    asked = held if itself else Codes(counts(queries), held)
     most = max(1, PAIR_BYTES // words.shape[1])
-    c, q = counts(words), counts(queries)
-    for asked, rows in range_search(c, q, _RISES[kind], _FALLS[kind]):
-        step = max(1, most // min(len(rows), most))
-        for i in range(0, len(asked), step):
-            for j in range(0, len(rows), most):
-                x, y = (z.ravel() for z in np.meshgrid(asked[i : i + step], rows[j : j + most], indexing="ij"))
-                if itself:
-                    x, y = x[x < y], y[x < y]
-                near = one_edit(queries[x], words[y])
-                found.append(np.stack([x[near], y[near]]))
+    for x, y in range_search(held, asked, _RISES[kind], _FALLS[kind]):
+        if itself:
+            x, y = x[x < y], y[x < y]
+        for i in range(0, len(x), most):
+            near = one_edit(queries[x[i : i + most]], words[y[i : i + most]])
+            found.append(np.stack([x[i : i + most][near], y[i : i + most][near]]))
     return np.concatenate(found, 1)
 
 
@@ -274,13 +306,14 @@ def links(vocab: DataFrame) -> DataFrame:
         own, pairs = np.flatnonzero(kind == "word"), [np.zeros((2, 0), np.int64)]
         if len(own):
             own = own[np.argsort(words[own])]
-            held = letters(words[own].tolist())
+            mine = letters(words[own].tolist())
+            held = Codes(counts(mine))
             if t["turn"][0].as_py() == 0:
-                pairs.append(own[near_pairs(held, held, "same", True)])
+                pairs.append(own[near_pairs(mine, held, mine, "same", True)])
             for k in ("same", "longer"):
                 asked = np.flatnonzero(kind == k)
                 if len(asked):
-                    x, y = near_pairs(held, letters(words[asked].tolist()), k)
+                    x, y = near_pairs(mine, held, letters(words[asked].tolist()), k)
                     pairs.append(np.stack([asked[x], own[y]]))
         x, y = np.concatenate(pairs, 1)
         a, b = np.concatenate([x, y]), np.concatenate([y, x])
