@@ -225,7 +225,7 @@ def test_spelling_whole_table(spark, sf_dir):
 def test_spelling_planted(spark, monkeypatch, small):
     """With small cells there are upper trees, parts and turns."""
     if small:
-        for name, value in (("CELL", 20), ("QUERIES", 30), ("PER_CELL", 4), ("LEAF", 3), ("SAMPLE", 200), ("PAIR_BYTES", 100), ("COUNTED", 50), ("SLICE", 1000)):
+        for name, value in (("CELL", 20), ("QUERIES", 30), ("PER_CELL", 4), ("LEAF", 3), ("SAMPLE", 200), ("PAIRS", 2), ("PAIR_BYTES", 100), ("COUNTED", 50), ("SLICE", 1000)):
             monkeypatch.setattr(spelling, name, value)
     docs = planted(np.random.default_rng(3))
     got = spelling_of(spark.createDataFrame(docs, "doc_id long, text string"))
