@@ -24,7 +24,7 @@ def sheet_optics(df: DataFrame, by: str | None = None, per: tuple[str, ...] = ()
     by='status' counts per status, with first ends shared by all."""
     ends = sheet_ends(df, per).where(present("locode")).withColumn("bucket", family("status_normalized", IN_SERVICE) if by == "service" else F.lit(True))
     broken = present("breakout_loc")
-    key = F.when(broken, F.concat("loc_cab_ru", "port"))
+    key = F.when(broken, F.concat(F.coalesce("loc_cab_ru", F.lit("nan")), F.coalesce("port", F.lit("nan"))))
     # Ends without breakout need no first: a row's own number keeps them from being one group.
     order = W.partitionBy(*per, "bucket", key, F.when(~broken, F.col("row_idx"))).orderBy("row_idx", "side")
     ends = ends.withColumn("_rn", F.row_number().over(order)).where((broken & (F.col("_rn") == 1)) | (~broken & present("optic")))
@@ -46,22 +46,50 @@ def mpo_optics(df: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
     return both.where(present("optic")).withColumn("n", F.col("a") + F.col("z"))
 
 
+def first_models(df: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
+    """(loc_cab_ru, model, in_service): the model of a location's first end that has one (all A ends before all Z ends), and
+    whether any of its ends is in service, with a model or not. Locations without a model are left out."""
+    ends = sheet_ends(df, per).where(present("loc_cab_ru"))
+    at = F.when(present("model"), F.struct("side", "row_idx"))
+    each = ends.groupBy(*per, "loc_cab_ru").agg(F.min_by("model", at).alias("model"), F.min(at).isNotNull().alias("has"), F.bool_or(family("status_normalized", IN_SERVICE)).alias("in_service"))
+    return each.where("has").drop("has")
+
+
 def sheet_devices(df: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
-    """One device for each location: the model of its first end (all A ends before all Z ends), in service if any end is."""
-    ends = sheet_ends(df, per).where(present("loc_cab_ru") & present("model"))
-    at = F.struct("side", "row_idx")
-    each = ends.groupBy(*per, "loc_cab_ru").agg(F.min_by("model", at).alias("model"), F.bool_or(family("status_normalized", IN_SERVICE)).alias("in_service"))
+    """One device for each location, by model and whether it is in service."""
+    return first_models(df, per).groupBy(*per, "model", "in_service").agg(F.count("*").alias("n"))
+
+
+def uncabled_hosts(df: DataFrame, hosts: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
+    """(host, model, in_service): hosts with a model that no end of their sheet names, each once; names are compared without
+    regard to case. hosts: per, hostname, model, status, and optionally row_idx; of repeated names the first row holds."""
+    name = lambda c: F.lower(safe_cell(F.col(c)))
+    named = df.select(*per, F.explode(F.array(name("a_device"), name("z_device"))).alias("host")).where(present("host")).distinct()
+    rows = hosts.withColumn("host", name("hostname")).withColumn("model", safe_cell(F.col("model"))).where(present("host") & present("model"))
+    first = F.struct(F.col("row_idx") if "row_idx" in hosts.columns else F.lit(0), "model", "status_normalized")
+    rows = rows.groupBy(*per, "host").agg(F.min(first).alias("first")).join(named, [*per, "host"], "left_anti")
+    return rows.select(*per, "host", F.col("first.model").alias("model"), family("first.status_normalized", IN_SERVICE).alias("in_service"))
+
+
+def all_devices(df: DataFrame, hosts: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
+    """Devices by location, and hosts that have no cables, by model (in capitals) and whether they are in service."""
+    each = first_models(df, per).select(*per, "model", "in_service").unionByName(uncabled_hosts(df, hosts, per).select(*per, "model", "in_service"))
+    each = each.withColumn("model", F.upper(safe_cell(F.col("model")))).where(F.length("model") >= 2)
     return each.groupBy(*per, "model", "in_service").agg(F.count("*").alias("n"))
 
 
 def cabling_state(df: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
-    """Devices by how far they are cabled."""
+    """Devices by how far they are cabled, and by the model of the first end seen there (row by row, A before Z), Unknown if that
+    has none. A blank status is one of its own: neither passed nor not run."""
     ends = sheet_ends(df, per).where(present("loc_cab_ru"))
+    shown = F.trim(F.regexp_replace("status", r"\s+", " "))
+    passed = present("status") & family("status_normalized", ("lldp_passed",))
     each = ends.groupBy(*per, "loc_cab_ru").agg(
-        F.min_by("model", F.struct("side", "row_idx")).alias("model"), F.every(F.col("status_normalized") == "lldp_passed").alias("full"), F.every(F.col("status_normalized") == "not_run").alias("none")
+        F.min_by(F.struct("model"), F.struct("row_idx", "side")).alias("first"), F.every(passed).alias("full"), F.every(F.coalesce(shown.startswith("Cable Not Run"), F.lit(False))).alias("none")
     )
     state = F.when(F.col("full"), "Fully Cabled").when(F.col("none"), "Not Cabled").otherwise("Work in Progress")
-    return each.groupBy(*per, state.alias("state"), "model").agg(F.count("*").alias("n"))
+    model = F.when(present("first.model"), F.col("first.model")).otherwise("Unknown")
+    return each.groupBy(*per, state.alias("state"), model.alias("model")).agg(F.count("*").alias("n"))
 
 
 def model_index(df: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
@@ -69,6 +97,12 @@ def model_index(df: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
     return ends.groupBy(*per, F.upper("model").alias("model")).agg(F.count("*").alias("n"), F.count_if(F.col("side") == "A").alias("a"), F.count_if(F.col("side") == "Z").alias("z"), F.countDistinct("loc_cab_ru").alias("locations"))
 
 
+def model_locations(df: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
+    """How often each model stands at each location, A and Z ends apart."""
+    ends = sheet_ends(df, per).where(present("model")).withColumn("model", F.upper("model"))
+    return ends.groupBy(*per, "model", "loc_cab_ru").agg(F.count("*").alias("n"), F.count_if(F.col("side") == "A").alias("a"), F.count_if(F.col("side") == "Z").alias("z"))
+
+
 def roce_status(c: Column | str) -> Column:
     """Status of a row of a RoCE sheet: blank is Unknown, anything that says complete is Complete."""
     text = F.trim(F.col(c) if isinstance(c, str) else c)
@@ -85,6 +119,24 @@ def roce_optics(df: DataFrame, short_ports: bool = False, per: tuple[str, ...] =
     return rows.where(F.length("optic") >= 2).groupBy(*per, *keys, "optic").agg(F.count("*").alias("n"))
 
 
+def roce_tab_optics(df: DataFrame, by: str | None = None, per: tuple[str, ...] = ()) -> DataFrame:
+    """Optics of both ends of a RoCE workbook's rows. On tabs of nodes to tier 0 a port counts as it is named; on tabs of tier 0 to
+    tier 1 two cables share an optic, and the last two characters of a port go. Other tabs and backups don't count. Of ends with a device
+    and an optic, one for each tab, location, port and connector, in reading order. by='service' keeps in-service rows and others apart,
+    each with its own first ends. df: tab, row_idx, status_normalized, and of both sides device, port, optic, loc_cab_ru, connector."""
+    tab, text = F.lower("tab"), lambda c: F.coalesce(c, F.lit("nan"))
+    names = ("device", "port", "optic", "loc_cab_ru", "connector")
+    each = [F.struct(F.lit(s.upper()).alias("side"), *[F.col(f"{s}_{n}").alias(n) for n in names]) for s in "az"]
+    bucket = family("status_normalized", IN_SERVICE) if by == "service" else F.lit(True)
+    rows = df.where(~tab.contains("backup") & (tab.contains("node to tier-0") | tab.contains("tier-0 to tier-1")))
+    rows = rows.select(*per, "tab", "row_idx", bucket.alias("in_service"), F.inline(F.array(*each))).where(present("device") & present("optic"))
+    short = F.when(tab.contains("node to tier-0"), F.col("port")).otherwise(F.expr("substring(port, 1, greatest(length(port) - 2, 0))"))
+    place = F.concat(text(F.col("loc_cab_ru")), text(short), text(F.col("connector")))
+    first = rows.groupBy(*per, "tab", "in_service", place.alias("place")).agg(F.min_by("optic", F.struct("row_idx", "side")).alias("optic"))
+    first = first.withColumn("optic", F.upper(safe_cell(F.col("optic")))).where(F.length("optic") >= 2)
+    return first.groupBy(*per, *(["in_service"] if by == "service" else []), "optic").agg(F.count("*").alias("n"))
+
+
 #: Statuses of a RoCE row that has not been cabled.
 NOT_CABLED = ("No Label & Not Yet Run", "Unknown")
 

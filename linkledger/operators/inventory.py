@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from linkledger.functions.cells import CABLE_RUN, FAILED, IN_SERVICE, PENDING, VERIFICATION, at_location, family, hall, percent, present, rack_key
 from linkledger.plans.fixture import Tables
 
+from .ingest import with_roles
+
 from .shapes import contains_any, ends, like, physical_optics, scope, status_counts, top, with_group_total
 
 def complete():
@@ -31,12 +33,10 @@ def side_device_list(t: Tables, side: str, site_id=None, upload_id=None, limit=2
 
 
 def role_lookup(t: Tables, site_id=None, upload_id=None, role="", side="", device="", limit=200) -> DataFrame:
-    rows = ends(scope(t.links, site_id, upload_id)).where(present("device"))
-    # Roles come from the host table, matched by trimmed lower-case name; of duplicate hosts the least role holds.
-    roles = t.hosts.groupBy(F.lower(F.trim("hostname")).alias("_host")).agg(F.min("role").alias("role"))
-    rows = rows.join(roles, F.lower(F.trim("device")) == F.col("_host")).where(like("role", role) & like("device", device))
-    if side:
-        rows = rows.where(F.col("side") == side)
+    """Roles are those of the link's own upload: of its hosts by name, as ingest writes them on the link."""
+    links = with_roles(scope(t.links, site_id, upload_id), scope(t.hosts, site_id, upload_id))
+    each = [F.struct(F.lit(s.upper()).alias("side"), *[F.col(f"{s}_{c}").alias(c) for c in ("role", "device", "model")]) for s in "az" if side in ("", s.upper())]
+    rows = links.select(F.inline(F.array(*each))).where(present("role") & present("device") & like("role", role) & like("device", device))
     groups = rows.groupBy("role", "side", "device").agg(F.expr("mode() within group (order by nullif(model, ''))").alias("model"), F.count("*").alias("connections"))
     return top(groups, "role", "side", "device", limit=limit)
 
@@ -86,8 +86,9 @@ def lldp_failures(t: Tables, site_id=None, upload_id=None, limit=100) -> DataFra
 
 
 def site_overview(t: Tables, site_id=None, upload_id=None) -> DataFrame:
-    rows = ends(scope(t.links, site_id, upload_id))
-    return rows.agg(F.count_if(F.col("side") == "A").alias("connections"), F.countDistinct(F.when(present("device"), F.col("device"))).alias("devices"), F.countDistinct("section").alias("sections"))
+    """Devices are those of A ends."""
+    devices = F.countDistinct(F.when(present("a_device"), F.col("a_device")))
+    return scope(t.links, site_id, upload_id).agg(F.count("*").alias("connections"), devices.alias("devices"), F.countDistinct("section").alias("sections"))
 
 
 def data_hall_summary(t: Tables, site_id=None, upload_id=None, hall_prefix="") -> DataFrame:
@@ -103,43 +104,58 @@ def raw_search(t: Tables, text: str, site_id=None, upload_id=None, limit=50) ->
     return top(rows.where(F.lower("raw_row").contains(text.lower())), "id", limit=limit)
 
 
-def _models(t: Tables, site_id, upload_id, model: str) -> DataFrame:
-    return ends(scope(t.links, site_id, upload_id)).where(like("model", model) & present("device"))
+def _models(t: Tables, site_id, upload_id, model: str, statuses=()) -> DataFrame:
+    """Named ends whose model or device matches, of links in these statuses (none: any)."""
+    rows = ends(scope(t.links, site_id, upload_id)).where(present("device") & (like("model", model) | like("device", model)))
+    return rows.where(F.col("status_normalized").isin(*statuses)) if statuses else rows
+
+
+def _at(rows: DataFrame, column: str, location: str, data_hall: str) -> DataFrame:
+    for place in (location, data_hall):
+        rows = rows.where(at_location(column, place)) if place else rows
+    return rows
+
 
+def _listed(t: Tables, site_id, upload_id, model: str, location: str, data_hall: str) -> DataFrame:
+    """Hosts whose model or name matches; with a location none, with a hall those in it."""
+    rows = scope(t.hosts, site_id, upload_id).where(like("model", model) | like("hostname", model))
+    return _at(rows.where(F.lit(not location)), "rack", "", data_hall)
 
-def model_list(t: Tables, model: str, site_id=None, upload_id=None, statuses=(), data_hall="", limit=200) -> DataFrame:
-    """Data-hall filters match either end here; counts below match the own end."""
+
+def model_list(t: Tables, model: str, site_id=None, upload_id=None, statuses=(), data_hall="", location="", limit=200) -> DataFrame:
+    """A hall may be that of either end here, and a location that of the own end; the counts below go by the own end. Hosts of the
+    inventory are listed, too, unless statuses or a location are asked for."""
     links = scope(t.links, site_id, upload_id)
     if statuses:
         links = links.where(F.col("status_normalized").isin(*statuses))
     if data_hall:
-        links = links.where((hall("a_loc_cab_ru") == data_hall) | (hall("z_loc_cab_ru") == data_hall))
-    rows = ends(links).where(like("model", model) & present("device")).select("device", "model", F.lit(1).alias("one"))
-    if not statuses and not data_hall:
-        inventory = scope(t.hosts, site_id, upload_id).where(like("model", model))
+        links = links.where(at_location("a_loc_cab_ru", data_hall) | at_location("z_loc_cab_ru", data_hall))
+    rows = ends(links).where(present("device") & (like("model", model) | like("device", model)))
+    rows = _at(rows, "loc", location, "").select("device", "model", F.lit(1).alias("one"))
+    if not statuses:
+        inventory = _listed(t, site_id, upload_id, model, location, data_hall)
         rows = rows.unionByName(inventory.select(F.col("hostname").alias("device"), "model", F.lit(0).alias("one")))
     groups = rows.groupBy("device", "model").agg(F.sum("one").alias("connections"))
     return top(with_group_total(groups), F.desc("connections"), "device", "model", limit=limit)
 
 
-def model_raw_count(t: Tables, model: str, site_id=None, upload_id=None, data_hall="") -> DataFrame:
-    rows = _models(t, site_id, upload_id, model)
-    if data_hall:
-        rows = rows.where(hall("loc") == data_hall)
-    return rows.agg(F.countDistinct("id").alias("link_rows"), F.count_if(F.col("side") == "A").alias("a_rows"), F.count_if(F.col("side") == "Z").alias("z_rows"), F.countDistinct("device").alias("devices"))
+def _sides() -> list:
+    """Rows, two for a link with both ends matching, and those of each side."""
+    return [F.count("*").alias("link_rows"), F.count_if(F.col("side") == "A").alias("a_rows"), F.count_if(F.col("side") == "Z").alias("z_rows")]
 
 
-def model_status_count(t: Tables, model: str, statuses, site_id=None, upload_id=None) -> DataFrame:
-    rows = _models(t, site_id, upload_id, model).where(F.col("status_normalized").isin(*statuses))
-    return rows.agg(
-        F.countDistinct(F.when(present("loc"), F.col("loc"))).alias("locations"), F.countDistinct("device").alias("names"), F.countDistinct("id").alias("link_rows"),
-        F.count_if(F.col("side") == "A").alias("a_rows"), F.count_if(F.col("side") == "Z").alias("z_rows"),
-    )
+def model_raw_count(t: Tables, model: str, site_id=None, upload_id=None, data_hall="", location="") -> DataFrame:
+    return _at(_models(t, site_id, upload_id, model), "loc", location, data_hall).agg(*_sides(), F.countDistinct("device").alias("devices"))
+
 
+def model_status_count(t: Tables, model: str, statuses, site_id=None, upload_id=None, data_hall="", location="") -> DataFrame:
+    rows = _at(_models(t, site_id, upload_id, model, statuses), "loc", location, data_hall)
+    return rows.agg(F.countDistinct(F.when(present("loc"), F.col("loc"))).alias("locations"), F.countDistinct("device").alias("names"), *_sides())
 
-def model_unique_count(t: Tables, model: str, site_id=None, upload_id=None) -> DataFrame:
-    rows = _models(t, site_id, upload_id, model).select("device", F.lit("links").alias("source"))
-    inventory = scope(t.hosts, site_id, upload_id).where(like("model", model)).select(F.col("hostname").alias("device"), F.lit("inventory").alias("source"))
+
+def model_unique_count(t: Tables, model: str, site_id=None, upload_id=None, data_hall="", location="") -> DataFrame:
+    rows = _at(_models(t, site_id, upload_id, model), "loc", location, data_hall).select("device", F.lit("links").alias("source"))
+    inventory = _listed(t, site_id, upload_id, model, location, data_hall).where(present("hostname")).select(F.col("hostname").alias("device"), F.lit("inventory").alias("source"))
     each = rows.unionByName(inventory).groupBy("device").agg(F.max(F.col("source") == "links").alias("in_links"), F.max(F.col("source") == "inventory").alias("in_inventory"))
     return each.agg(F.count("*").alias("total_devices"), F.count_if("in_links").alias("link_devices"), F.count_if("in_inventory").alias("inventory_devices"))
 
@@ -179,17 +195,22 @@ KEY = ["a_device", "a_port", "z_device", "z_port"]
 
 
 def upload_diff_rows(t: Tables, old: int, new: int) -> DataFrame:
-    """One row per change between two uploads, matched on the four port columns."""
-    cols = [*KEY, "status_normalized", "a_optic", "z_optic"]
-    a, b = (t.links.where(F.col("upload_id") == u).select(*cols) for u in (old, new))
-    both = a.join(b.withColumnsRenamed({c: f"new_{c}" for c in cols[4:]}), KEY)
-    moved = F.col("status_normalized") != F.col("new_status_normalized")
-    optics = (F.coalesce("a_optic", F.lit("")) != F.coalesce("new_a_optic", F.lit(""))) | (F.coalesce("z_optic", F.lit("")) != F.coalesce("new_z_optic", F.lit("")))
-    shown = lambda kind, detail: [F.lit(kind).alias("change"), *KEY, detail.alias("detail")]
-    out = a.join(b, KEY, "left_anti").select(*shown("removed", F.col("status_normalized")))
-    out = out.unionByName(b.join(a, KEY, "left_anti").select(*shown("added", F.col("status_normalized"))))
-    out = out.unionByName(both.where(moved).select(*shown("status_changed", F.concat("status_normalized", F.lit(" -> "), "new_status_normalized"))))
-    return out.unionByName(both.where(~moved & optics).select(*shown("optic_changed", F.concat("a_optic", F.lit(" -> "), "new_a_optic"))))
+    """One row per change between two uploads, matched on the four port columns: one full join of both. Statuses are compared as
+    displayed, and optics where these agree, null as empty; a changed cell shows old -> new, and nothing if one is null."""
+    cells = ["section", "status", "a_optic", "z_optic", "a_model", "z_model", "cable_id"]
+    a, b = (t.links.where(F.col("upload_id") == u).select(*KEY, F.struct(*cells).alias(n)) for u, n in ((old, "a"), (new, "b")))
+    both = a.join(b, KEY, "full_outer")
+    same = lambda c: F.coalesce(F.col(f"a.{c}"), F.lit("")) == F.coalesce(F.col(f"b.{c}"), F.lit(""))
+    change = F.when(F.col("b").isNull(), "removed").when(F.col("a").isNull(), "added").when(~same("status"), "status_changed").when(~same("a_optic") | ~same("z_optic"), "optic_changed")
+    to = lambda c: F.concat(F.col(f"a.{c}"), F.lit(" -> "), F.col(f"b.{c}"))
+    row = lambda c: F.col(f"row.{c}")
+    is_ = lambda kind: F.col("change") == kind
+    both = both.withColumn("change", change).where("change is not null").withColumn("row", F.coalesce("a", "b"))
+    optics = F.concat(to("a_optic"), F.lit(" / "), to("z_optic"))
+    return both.select(
+        "change", row("section").alias("section"), *KEY, F.when(is_("optic_changed"), optics).otherwise(row("a_optic")).alias("a_optic"), F.when(~is_("optic_changed"), row("z_optic")).alias("z_optic"),
+        F.when(is_("status_changed"), to("status")).otherwise(row("status")).alias("status"), row("a_model").alias("a_model"), row("z_model").alias("z_model"), row("cable_id").alias("cable_id"),
+    )
 
 
 def upload_diff(t: Tables, old: int, new: int) -> DataFrame:
@@ -198,7 +219,7 @@ def upload_diff(t: Tables, old: int, new: int) -> DataFrame:
 
 def write_upload_diff(t: Tables, old: int, new: int, path: str) -> None:
     """The changes as a table laid out by kind of change, in order over its files; upload_diff has the counts."""
-    rows = upload_diff_rows(t, old, new).repartitionByRange("change", *KEY, "detail").sortWithinPartitions("change", *KEY, "detail")
+    rows = upload_diff_rows(t, old, new).repartitionByRange("change", "section", *KEY).sortWithinPartitions("change", "section", *KEY)
     rows.write.partitionBy("change").parquet(path)
 
 
@@ -255,7 +276,8 @@ def cable_type_summary(t: Tables, site_id=None, upload_id=None) -> DataFrame:
 
 
 def general(t: Tables, site_id=None, upload_id=None) -> DataFrame:
-    one = scope(t.links, site_id, upload_id).agg(F.count("*").alias("c"), F.countDistinct("a_device").alias("d"), F.countDistinct("section").alias("s"))
+    devices = F.countDistinct(F.when(present("a_device"), F.col("a_device")))
+    one = scope(t.links, site_id, upload_id).agg(F.count("*").alias("c"), devices.alias("d"), F.countDistinct("section").alias("s"))
     return one.select(F.expr("stack(3, 'connections', cast(c as string), 'devices', cast(d as string), 'sections', cast(s as string)) as (metric, value)"))
 
 
@@ -303,13 +325,13 @@ def _named(t: Tables, site: str | None = None) -> DataFrame:
 
 
 def dashboard_summary(t: Tables) -> DataFrame:
-    groups = _latest(t).groupBy("device_status").agg(F.countDistinct("device_name").alias("devices"))
+    groups = _named(t).groupBy("device_status").agg(F.countDistinct("device_name").alias("devices"))
     return groups.withColumn("healthy", F.col("device_status").isin("active", "provisioned")).orderBy("device_status")
 
 
 def dashboard_sites(t: Tables) -> DataFrame:
     blank = F.nullif(F.trim("hall"), F.lit(""))
-    return _latest(t).groupBy("site").agg(F.countDistinct("device_name").alias("devices"), F.countDistinct(blank).alias("halls")).orderBy("site")
+    return _named(t).groupBy("site").agg(F.countDistinct("device_name").alias("devices"), F.countDistinct(blank).alias("halls")).orderBy("site")
 
 
 def dashboard_halls(t: Tables) -> DataFrame:
@@ -320,7 +342,12 @@ def dashboard_halls(t: Tables) -> DataFrame:
 
 
 def dashboard_models(t: Tables, limit=20) -> DataFrame:
-    return top(_latest(t).groupBy("model").agg(F.countDistinct("device_name").alias("devices")), F.desc("devices"), "model", limit=limit)
+    return top(_named(t).groupBy("model").agg(F.countDistinct("device_name").alias("devices")), F.desc("devices"), "model", limit=limit)
+
+
+def dashboard_hall_models(t: Tables) -> DataFrame:
+    """Devices by hall and model."""
+    return top(_named(t).groupBy("hall", "model").agg(F.countDistinct("device_name").alias("devices")), "hall", F.desc("devices"), "model")
 
 
 #: What the category of an interface that takes an optic contains.
@@ -340,6 +367,22 @@ def dashboard_utilization(t: Tables) -> DataFrame:
     return groups.withColumn("pct", percent(F.col("optics"), F.col("interfaces")))
 
 
+#: What a row of port_inventory is about, by the bits of the columns that its group leaves out (hall, site, type_label, type_category, rack).
+GROUPS = {0b00111: "hall", 0b01001: "hall_type", 0b11001: "type", 0b01110: "hall_rack", 0b11101: "category", 0b11111: "total"}
+
+
+def port_inventory(t: Tables, site: str | None = None) -> DataFrame:
+    """Interfaces and those that take an optic, with their share, by hall, hall and type, type, category, rack of a hall, and
+    in all: one scan, one exchange. Interfaces of devices without a name don't count, and racks without a name are left out."""
+    sets = [["hall", "site"], ["hall", "type_label", "type_category"], ["type_label", "type_category"], ["hall", "rack"], ["type_category"], []]
+    optic = contains_any("type_category", OPTICAL)
+    rows = _named(t, site).select("hall", "site", "type_label", "type_category", "rack", optic.alias("optic"))
+    groups = rows.groupingSets(sets, "hall", "site", "type_label", "type_category", "rack").agg(F.count("*").alias("interfaces"), F.count_if("optic").alias("optics"), F.grouping_id().alias("gid"))
+    kind = F.element_at(F.create_map(*[F.lit(x) for k, v in GROUPS.items() for x in (k, v)]), F.col("gid").cast("int"))
+    groups = groups.withColumn("kind", kind).where((F.col("kind") != "hall_rack") | (F.coalesce("rack", F.lit("")) != ""))
+    return groups.select("kind", "hall", "site", "type_label", "type_category", "rack", "interfaces", "optics", percent(F.col("optics"), F.col("interfaces")).alias("pct"))
+
+
 def dashboard_snapshots(t: Tables, limit=10) -> DataFrame:
     return top(t.snapshots, F.desc("snapshot_id"), limit=limit)
 

@@ -68,6 +68,8 @@ class Tables:
         for k, (a, b) in STATUSES.items():
             shown, slug = F.when(code == k, a).otherwise(shown), F.when(code == k, b).otherwise(slug)
         cents, key = F.round(F.col("l_discount") * 100).cast("int"), F.col("s_nationkey")
+        # Some statuses are shown in another way, some are missing; the slug is the same.
+        shown = F.when((cents == 7) & (code == "RF"), F.lower(shown)).when((cents == 8) & (code == "NF"), None).otherwise(shown)
         row_id = F.concat_ws(
             "-", F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.lpad(ln, 3, "0"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"),
             F.col("l_quantity").cast("long").cast("string"), F.round(F.col("l_extendedprice") * 100).cast("long").cast("string"), F.date_format("l_shipdate", "yyyyMMdd"),
@@ -174,8 +176,9 @@ WITH raw_links AS (
     CASE s_nationkey % 8 WHEN 0 THEN 'Node-' WHEN 4 THEN 'gpu-' ELSE 'leaf-' END || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS z_device, 'eth' || (l_linenumber % 4) AS z_port,
     CASE WHEN l_discount < 0.02 THEN '' WHEN l_discount > 0.09 THEN 'nan' ELSE 'Z-' || p_type END AS z_optic, 'M-' || (s_nationkey % 5) AS z_model,
     'dh30' || (s_nationkey % 4) || ':' || s_nationkey || ':' || l_linenumber AS z_loc_cab_ru,
+    CASE WHEN CAST(round(l_discount * 100) AS INTEGER) = 7 AND l_returnflag || l_linestatus = 'RF' THEN 'lldp passed' WHEN CAST(round(l_discount * 100) AS INTEGER) = 8 AND l_returnflag || l_linestatus = 'NF' THEN NULL ELSE
     CASE l_returnflag || l_linestatus WHEN 'RF' THEN 'LLDP Passed' WHEN 'AF' THEN 'LLDP Failed' WHEN 'NO' THEN 'Cable Is Ran: Complete'
-      WHEN 'NF' THEN 'Cable Not Run' WHEN 'RO' THEN 'Cable Is Ran: Not Terminated' WHEN 'AO' THEN 'Human Verified' END AS status,
+      WHEN 'NF' THEN 'Cable Not Run' WHEN 'RO' THEN 'Cable Is Ran: Not Terminated' WHEN 'AO' THEN 'Human Verified' END END AS status,
     CASE l_returnflag || l_linestatus WHEN 'RF' THEN 'lldp_passed' WHEN 'AF' THEN 'lldp_failed' WHEN 'NO' THEN 'complete'
       WHEN 'NF' THEN 'not_run' WHEN 'RO' THEN 'not_terminated' WHEN 'AO' THEN 'human_verified' END AS status_normalized,
     CASE WHEN l_quantity >= 40 THEN 'brk2' WHEN l_quantity >= 30 THEN 'brk' WHEN l_quantity < 3 THEN 'nan' ELSE '' END AS a_breakout_loc,

@@ -41,7 +41,9 @@ register("optic_count", lambda t: q.optic_count(t), "AND " + PHYSICAL.format(row
 register("optic_count_filtered", lambda t: q.optic_count(t, site_id=1, optic="econ", section="auto", location="dh302"), "AND f AS (SELECT * FROM ends WHERE id IN (SELECT id FROM links WHERE site_id = 1 AND section ILIKE '%auto%' AND (a_loc_cab_ru ILIKE 'dh302:%' OR z_loc_cab_ru ILIKE 'dh302:%')) AND optic ILIKE '%econ%'), " + PHYSICAL.format(rows="f") + f" SELECT optic, count(*) FILTER (WHERE side = 'A') AS a_count, count(*) FILTER (WHERE side = 'Z') AS z_count, count(*) AS total, {STATUS3} FROM phys GROUP BY optic")
 for side in ("a", "z"):
     register(f"{side}_device_list", lambda t, side=side: q.side_device_list(t, side, site_id=1), f"SELECT {side}_device AS device, count(*) AS connections, count(DISTINCT {side}_port) AS ports, count(*) OVER () AS total_groups FROM links WHERE {S1} AND {P(side + '_device')} GROUP BY 1 ORDER BY connections DESC, device LIMIT 200")
-register("role_lookup", lambda t: q.role_lookup(t, site_id=2, role="build", side="A"), "SELECT role, side, device, mode(nullif(model, '') ORDER BY nullif(model, '')) AS model, count(*) AS connections FROM ends JOIN (SELECT lower(trim(hostname)) AS h, min(role) AS role FROM hosts GROUP BY 1) ON lower(trim(device)) = h WHERE site_id = 2 AND role ILIKE '%build%' AND side = 'A' GROUP BY role, side, device ORDER BY role, side, device LIMIT 200")
+ROLES = "AND hr AS (SELECT upload_id, lower(trim(hostname)) AS h, min(role) AS role FROM hosts WHERE {w} GROUP BY 1, 2), re AS (SELECT role, side, device, model FROM ends e JOIN hr ON e.upload_id = hr.upload_id AND lower(trim(device)) = h WHERE {w2} AND " + P("role") + " AND " + P("device") + ") SELECT role, side, device, mode(nullif(model, '') ORDER BY nullif(model, '')) AS model, count(*) AS connections FROM re GROUP BY role, side, device ORDER BY role, side, device LIMIT 200"
+register("role_lookup", lambda t: q.role_lookup(t, site_id=2, role="build", side="A"), ROLES.format(w="site_id = 2", w2="site_id = 2 AND role ILIKE '%build%' AND side = 'A'"))
+register("role_lookup_sides", lambda t: q.role_lookup(t, device="0"), ROLES.format(w="true", w2="device ILIKE '%0%'"))
 DEVICES = "SELECT device, count(*) AS connections, count(DISTINCT port) AS ports FROM ends WHERE {w} GROUP BY device ORDER BY connections DESC, device {l}"
 register("device_list", lambda t: q.device_list(t, upload_id=107), DEVICES.format(w="upload_id = 107 AND " + P("device"), l="LIMIT 200"))
 register("device_detail", lambda t: q.device_list(t, device="LEAF-1", limit=None), DEVICES.format(w="device ILIKE '%LEAF-1%'", l=""))
@@ -51,20 +53,29 @@ for n, slugs in (("connection_status", VERIFICATION), ("cable_status", CABLE_RUN
     register(n, lambda t, slugs=slugs: q.status_of(t, slugs), f"SELECT status_normalized, status, count(*) AS cnt FROM links WHERE status_normalized IN ({LIST(slugs)}) GROUP BY 1, 2")
 register("section_summary", lambda t: q.section_summary(t), "SELECT section, count(*) AS connections, count(DISTINCT a_device) AS a_devices, count(DISTINCT z_device) AS z_devices FROM links GROUP BY section")
 register("lldp_failures", lambda t: q.lldp_failures(t, site_id=0), "SELECT section, a_device, a_port, z_device, z_port, id FROM links WHERE site_id = 0 AND status_normalized = 'lldp_failed' ORDER BY section, a_device, id LIMIT 100")
-register("site_overview", lambda t: q.site_overview(t, site_id=1), f"SELECT count(*) FILTER (WHERE side = 'A') AS connections, count(DISTINCT {BUILD('device')}) AS devices, count(DISTINCT section) AS sections FROM ends WHERE {S1}")
+register("site_overview", lambda t: q.site_overview(t, site_id=1), f"SELECT count(*) AS connections, count(DISTINCT {BUILD('a_device')}) AS devices, count(DISTINCT section) AS sections FROM links WHERE {S1}")
 register("data_hall_summary", lambda t: q.data_hall_summary(t, hall_prefix="DH20"), f"SELECT split_part(a_loc_cab_ru, ':', 1) AS hall, count(*) AS connections, count(DISTINCT a_device) AS devices FROM links WHERE {P('a_loc_cab_ru')} AND split_part(a_loc_cab_ru, ':', 1) ILIKE 'dh20%' GROUP BY 1")
 CELLS = ["a_device", "a_port", "a_optic", "z_device", "z_port", "z_optic", "cable_id"]
 RAW = "'{' || concat_ws(',', " + ", ".join(f"CASE WHEN {P(c)} THEN '\"{c}\":\"' || {c} || '\"' END" for c in CELLS) + ") || '}'"
 register("raw_search", lambda t: q.raw_search(t, '"SWP3"', site_id=1), f"SELECT id, raw_row FROM (SELECT id, {RAW} AS raw_row FROM links WHERE {S1}) WHERE raw_row ILIKE '%\"SWP3\"%' ORDER BY id LIMIT 50")
-MODELS = "(SELECT device, model, 1 AS one FROM ends WHERE model ILIKE '%#1%' AND {p}{w} {u})"
-INV = "UNION ALL SELECT hostname, model, 0 FROM hosts WHERE model ILIKE '%#1%'"
-MODEL_TOP = "SELECT device, model, CAST(sum(one) AS BIGINT) AS connections, count(*) OVER () AS total_groups FROM {r} GROUP BY device, model ORDER BY connections DESC, device, model LIMIT 200"
-register("model_search_list", lambda t: q.model_list(t, "#1"), MODEL_TOP.format(r=MODELS.format(p=P("device"), w="", u=INV)))
-register("model_search_hall", lambda t: q.model_list(t, "#1", data_hall="dh302"), MODEL_TOP.format(r=MODELS.format(p=P("device"), w=" AND id IN (SELECT id FROM links WHERE split_part(a_loc_cab_ru, ':', 1) = 'dh302' OR split_part(z_loc_cab_ru, ':', 1) = 'dh302')", u="")))
-COUNTS = "count(DISTINCT id) AS link_rows, count(*) FILTER (WHERE side = 'A') AS a_rows, count(*) FILTER (WHERE side = 'Z') AS z_rows"
-register("model_search_raw_count", lambda t: q.model_raw_count(t, "m-2", data_hall="dh302"), f"SELECT {COUNTS}, count(DISTINCT device) AS devices FROM ends WHERE model ILIKE '%m-2%' AND {P('device')} AND split_part(loc, ':', 1) = 'dh302'")
-register("model_search_status_count", lambda t: q.model_status_count(t, "#1", IN_SERVICE), f"SELECT count(DISTINCT {BUILD('loc')}) AS locations, count(DISTINCT device) AS names, {COUNTS} FROM ends WHERE model ILIKE '%#1%' AND {P('device')} AND {IN_SVC}")
-register("model_search_unique_count", lambda t: q.model_unique_count(t, "#1"), f"AND u AS (SELECT device, 'links' AS source FROM ends WHERE model ILIKE '%#1%' AND {P('device')} UNION SELECT hostname, 'inventory' FROM hosts WHERE model ILIKE '%#1%') SELECT count(DISTINCT device) AS total_devices, count(DISTINCT device) FILTER (WHERE source = 'links') AS link_devices, count(DISTINCT device) FILTER (WHERE source = 'inventory') AS inventory_devices FROM u")
+NAMED = lambda x: f"({P('device')} AND (model ILIKE '%{x}%' OR device ILIKE '%{x}%'))"
+HOSTS = lambda x, w="": f"SELECT hostname AS device, model, 0 AS one FROM hosts WHERE (model ILIKE '%{x}%' OR hostname ILIKE '%{x}%'){w}"
+MODEL_TOP = "SELECT device, model, CAST(sum(one) AS BIGINT) AS connections, count(*) OVER () AS total_groups FROM ({r}) GROUP BY device, model ORDER BY connections DESC, device, model LIMIT 200"
+LINK_ROWS = "SELECT device, model, 1 AS one FROM ends WHERE "
+IN_HALL = " AND id IN (SELECT id FROM links WHERE a_loc_cab_ru ILIKE 'dh202:%' OR z_loc_cab_ru ILIKE 'dh202:%')"
+register("model_search_list", lambda t: q.model_list(t, "#1"), MODEL_TOP.format(r=LINK_ROWS + NAMED("#1") + " UNION ALL " + HOSTS("#1")))
+register("model_search_names", lambda t: q.model_list(t, "leaf-1"), MODEL_TOP.format(r=LINK_ROWS + NAMED("leaf-1") + " UNION ALL " + HOSTS("leaf-1")))
+register("model_search_hall", lambda t: q.model_list(t, "2", data_hall="dh202"), MODEL_TOP.format(r=LINK_ROWS + NAMED("2") + IN_HALL + " UNION ALL " + HOSTS("2", " AND rack ILIKE 'dh202:%'")))
+register("model_search_location", lambda t: q.model_list(t, "2", location="dh301:9"), MODEL_TOP.format(r=LINK_ROWS + NAMED("2") + " AND regexp_matches(loc, '^dh301:0*9(:|$)')"))
+register("model_search_statuses", lambda t: q.model_list(t, "2", statuses=VERIFICATION), MODEL_TOP.format(r=LINK_ROWS + NAMED("2") + f" AND status_normalized IN ({LIST(VERIFICATION)})"))
+COUNTS = "count(*) AS link_rows, count(*) FILTER (WHERE side = 'A') AS a_rows, count(*) FILTER (WHERE side = 'Z') AS z_rows"
+RAW_COUNT = f"SELECT {COUNTS}, count(DISTINCT device) AS devices FROM ends WHERE "
+register("model_search_raw_count", lambda t: q.model_raw_count(t, "m-2", data_hall="dh302"), RAW_COUNT + NAMED("m-2") + " AND loc ILIKE 'dh302:%'")
+register("model_search_raw_count_both_ends", lambda t: q.model_raw_count(t, "2"), RAW_COUNT + NAMED("2"))
+register("model_search_status_count", lambda t: q.model_status_count(t, "2", IN_SERVICE), f"SELECT count(DISTINCT {BUILD('loc')}) AS locations, count(DISTINCT device) AS names, {COUNTS} FROM ends WHERE {NAMED('2')} AND {IN_SVC}")
+UNIQUE = "AND u AS (SELECT device, 'links' AS source FROM ends WHERE {e} UNION SELECT device, 'inventory' FROM ({h}) WHERE {p}) SELECT count(DISTINCT device) AS total_devices, count(DISTINCT device) FILTER (WHERE source = 'links') AS link_devices, count(DISTINCT device) FILTER (WHERE source = 'inventory') AS inventory_devices FROM u"
+register("model_search_unique_count", lambda t: q.model_unique_count(t, "#1"), UNIQUE.format(e=NAMED("#1"), h=HOSTS("#1"), p=P("device")))
+register("model_search_unique_hall", lambda t: q.model_unique_count(t, "0", data_hall="dh202"), UNIQUE.format(e=NAMED("0") + " AND loc ILIKE 'dh202:%'", h=HOSTS("0", " AND rack ILIKE 'dh202:%'"), p=P("device")))
 register("link_status", lambda t: q.link_status(t, site_id=1), f"SELECT link_status, a_device, a_port, z_device, id FROM burndown WHERE {S1} ORDER BY link_status, a_device, id LIMIT 200")
 register("lldp_neighbor_mismatch", lambda t: q.neighbor_mismatch(t, site_id=1), f"SELECT a_device, a_port, z_device, current_neighbor, id FROM burndown WHERE {S1} AND {P('current_neighbor')} AND lower(trim(current_neighbor)) <> lower(trim(z_device)) ORDER BY a_device, a_port, id LIMIT 200")
 register("rack_summary", lambda t: q.rack_summary(t, site_id=1), f"""AND k AS (SELECT e.*, split_part(loc, ':', 1) || ':' || lpad(split_part(loc, ':', 2), 3, '0') AS rack, CASE WHEN {P('e.cable_id')} THEN e.cable_id ELSE concat_ws('|', a_device, a_port, z_device, z_port) END AS link FROM ends e JOIN links USING (id) WHERE e.site_id = 1 AND {P('loc')} AND split_part(loc, ':', 2) <> ''),
@@ -79,10 +90,11 @@ AT = {
 for n, (where, test) in AT.items():
     register(n, lambda t, where=where: q.location_lookup(t, where), LOOKUP.replace("[l]", test.replace("[c]", "loc")).replace("[r]", test.replace("[c]", "rack")))
 DIFF = """AND o AS (SELECT * FROM links WHERE upload_id = 104), n AS (SELECT * FROM links WHERE upload_id = 105),
-d AS (SELECT 'removed' AS change, a_device, a_port, z_device, z_port, status_normalized AS detail FROM o ANTI JOIN n USING (a_device, a_port, z_device, z_port)
-UNION ALL SELECT 'added', a_device, a_port, z_device, z_port, status_normalized FROM n ANTI JOIN o USING (a_device, a_port, z_device, z_port)
-UNION ALL SELECT 'status_changed', o.a_device, o.a_port, o.z_device, o.z_port, o.status_normalized || ' -> ' || n.status_normalized FROM o JOIN n USING (a_device, a_port, z_device, z_port) WHERE o.status_normalized <> n.status_normalized
-UNION ALL SELECT 'optic_changed', o.a_device, o.a_port, o.z_device, o.z_port, o.a_optic || ' -> ' || n.a_optic FROM o JOIN n USING (a_device, a_port, z_device, z_port) WHERE o.status_normalized = n.status_normalized AND (coalesce(o.a_optic, '') <> coalesce(n.a_optic, '') OR coalesce(o.z_optic, '') <> coalesce(n.z_optic, '')))
+d AS (SELECT 'removed' AS change, section, a_device, a_port, z_device, z_port, a_optic, z_optic, status, a_model, z_model, cable_id FROM o ANTI JOIN n USING (a_device, a_port, z_device, z_port)
+UNION ALL SELECT 'added', section, a_device, a_port, z_device, z_port, a_optic, z_optic, status, a_model, z_model, cable_id FROM n ANTI JOIN o USING (a_device, a_port, z_device, z_port)
+UNION ALL SELECT 'status_changed', o.section, o.a_device, o.a_port, o.z_device, o.z_port, o.a_optic, o.z_optic, o.status || ' -> ' || n.status, o.a_model, o.z_model, o.cable_id FROM o JOIN n USING (a_device, a_port, z_device, z_port) WHERE coalesce(o.status, '') <> coalesce(n.status, '')
+UNION ALL SELECT 'optic_changed', o.section, o.a_device, o.a_port, o.z_device, o.z_port, o.a_optic || ' -> ' || n.a_optic || ' / ' || o.z_optic || ' -> ' || n.z_optic, NULL, o.status, o.a_model, o.z_model, o.cable_id FROM o JOIN n USING (a_device, a_port, z_device, z_port)
+  WHERE coalesce(o.status, '') = coalesce(n.status, '') AND (coalesce(o.a_optic, '') <> coalesce(n.a_optic, '') OR coalesce(o.z_optic, '') <> coalesce(n.z_optic, '')))
 """
 register("upload_diff", lambda t: q.upload_diff(t, 104, 105), DIFF + "SELECT change, count(*) AS cnt FROM d GROUP BY change")
 register("upload_diff_rows", lambda t: q.upload_diff_rows(t, 104, 105), DIFF + "SELECT * FROM d")
@@ -96,7 +108,7 @@ SLUG_COLS = ", ".join(f"count(*) FILTER (WHERE status_normalized = '{s}') AS {s}
 register("trend_status", lambda t: q.trend_status(t, 1), f"AND g AS (SELECT u.upload_id, u.created_at, count(*) AS total, {SLUG_COLS}, count(*) FILTER (WHERE {IN_SVC}) AS completed FROM uploads u LEFT JOIN links l USING (upload_id) WHERE u.site_id = 1 GROUP BY 1, 2) SELECT *, {PCT.format(a='completed', b='total')} AS pct, 1 AS site_id, completed - lag(completed) OVER (ORDER BY created_at, upload_id) AS delta FROM g ORDER BY created_at LIMIT 10")
 register("trend_section", lambda t: q.trend_section(t, 1, "machin"), f"AND g AS (SELECT u.upload_id, u.created_at, section, count(*) AS total, count(*) FILTER (WHERE {IN_SVC}) AS completed FROM uploads u JOIN links l USING (upload_id) WHERE u.site_id = 1 AND section ILIKE '%machin%' GROUP BY 1, 2, 3) SELECT *, {PCT.format(a='completed', b='total')} AS pct, completed - lag(completed) OVER (PARTITION BY section ORDER BY created_at, upload_id) AS delta FROM g ORDER BY created_at, section LIMIT 100")
 register("cable_type_summary", lambda t: q.cable_type_summary(t), f"SELECT cable_type, count(*) AS connections, count(DISTINCT a_device) AS a_devices, count(DISTINCT z_device) AS z_devices FROM links WHERE {P('cable_type')} GROUP BY 1")
-register("general", lambda t: q.general(t), "SELECT 'connections' AS metric, CAST(count(*) AS VARCHAR) AS value FROM links UNION ALL SELECT 'devices', CAST(count(DISTINCT a_device) AS VARCHAR) FROM links UNION ALL SELECT 'sections', CAST(count(DISTINCT section) AS VARCHAR) FROM links")
+register("general", lambda t: q.general(t), f"SELECT 'connections' AS metric, CAST(count(*) AS VARCHAR) AS value FROM links UNION ALL SELECT 'devices', CAST(count(DISTINCT a_device) AS VARCHAR) FROM links WHERE {P('a_device')} UNION ALL SELECT 'sections', CAST(count(DISTINCT section) AS VARCHAR) FROM links")
 register("general_devices", lambda t: q.device_list(t, site_id=1, limit=20), DEVICES.format(w=f"{S1} AND " + P("device"), l="LIMIT 20"))
 register("general_optics", lambda t: q.general_optics(t), f"SELECT coalesce({BUILD('a_optic')}, {BUILD('z_optic')}) AS optic, count(*) AS cnt FROM links GROUP BY 1 ORDER BY cnt DESC, optic LIMIT 15")
 register("view_optic_inventory_by_side", lambda t: q.optic_inventory_by_side(t), ACTIVE + f" SELECT site_id, optic, side, count(*) AS total, {STATUS3} FROM acte WHERE {P('optic')} GROUP BY 1, 2, 3")
@@ -104,13 +116,26 @@ register("view_optic_inventory_combined", lambda t: q.optic_inventory_combined(t
 register("view_cable_status_summary", lambda t: q.cable_status_summary(t), ACTIVE + " SELECT site_id, section, status, status_normalized, count(*) AS cnt FROM act GROUP BY 1, 2, 3, 4")
 register("view_device_summary", lambda t: q.device_summary(t), ACTIVE + f" SELECT site_id, device, max({BUILD('model')}) AS model, count(*) AS connections, count(DISTINCT port) AS ports FROM acte WHERE {P('device')} GROUP BY 1, 2")
 register("view_latest_snapshot", lambda t: q.latest_snapshot(t), "SELECT * FROM snapshots WHERE status = 'ok' ORDER BY snapshot_id DESC LIMIT 1")
-register("dashboard_summary", lambda t: q.dashboard_summary(t), "SELECT device_status, count(DISTINCT device_name) AS devices, device_status IN ('active', 'provisioned') AS healthy FROM latest GROUP BY 1")
-register("dashboard_sites", lambda t: q.dashboard_sites(t), "SELECT site, count(DISTINCT device_name) AS devices, count(DISTINCT nullif(trim(hall), '')) AS halls FROM latest GROUP BY 1")
+register("dashboard_summary", lambda t: q.dashboard_summary(t), "SELECT device_status, count(DISTINCT device_name) AS devices, device_status IN ('active', 'provisioned') AS healthy FROM latest WHERE device_name <> '' GROUP BY 1")
+register("dashboard_sites", lambda t: q.dashboard_sites(t), "SELECT site, count(DISTINCT device_name) AS devices, count(DISTINCT nullif(trim(hall), '')) AS halls FROM latest WHERE device_name <> '' GROUP BY 1")
 OPT = "(type_category ILIKE '%optical%' OR type_category ILIKE '%infiniband%' OR type_category ILIKE '%fibre%')"
 HALL = "coalesce(nullif(trim(hall), ''), 'unassigned')"
 register("dashboard_halls", lambda t: q.dashboard_halls(t), f"SELECT site, {HALL} AS hall, count(DISTINCT device_name) AS devices, count(*) AS interfaces, count(DISTINCT nullif(rack, '')) AS racks FROM latest WHERE device_name <> '' GROUP BY 1, 2")
-register("dashboard_models", lambda t: q.dashboard_models(t), "SELECT model, count(DISTINCT device_name) AS devices FROM latest GROUP BY 1 ORDER BY devices DESC, model LIMIT 20")
+register("dashboard_models", lambda t: q.dashboard_models(t), "SELECT model, count(DISTINCT device_name) AS devices FROM latest WHERE device_name <> '' GROUP BY 1 ORDER BY devices DESC, model LIMIT 20")
+register("dashboard_hall_models", lambda t: q.dashboard_hall_models(t), "SELECT hall, model, count(DISTINCT device_name) AS devices FROM latest WHERE device_name <> '' GROUP BY 1, 2")
 register("dashboard_optics", lambda t: q.dashboard_optics(t), f"SELECT type_label, type_category, count(*) AS ports, {OPT} AS optical FROM latest WHERE device_name <> '' GROUP BY 1, 2 ORDER BY ports DESC, type_label, type_category LIMIT 25")
 register("dashboard_utilization", lambda t: q.dashboard_utilization(t), f"AND h AS (SELECT {HALL} AS hall, type_label, {OPT} AS optical FROM latest WHERE device_name <> '') SELECT hall, type_label, count(*) AS interfaces, count(*) FILTER (WHERE optical) AS optics, {PCT.format(a='count(*) FILTER (WHERE optical)', b='count(*)')} AS pct FROM h GROUP BY ROLLUP (hall, type_label)")
+PORTS = f"count(*) AS interfaces, count(*) FILTER (WHERE {OPT}) AS optics, {PCT.format(a=f'count(*) FILTER (WHERE {OPT})', b='count(*)')} AS pct FROM latest WHERE device_name <> ''"
+PORT_SETS = {"hall": "hall, site", "hall_type": "hall, type_label, type_category", "type": "type_label, type_category", "category": "type_category", "hall_rack": "hall, rack", "total": ""}
+
+
+def _ports(kind: str, cols: str) -> str:
+    own = cols.split(", ") if cols else []
+    shown = ", ".join(c if c in own else f"CAST(NULL AS VARCHAR) AS {c}" for c in ("hall", "site", "type_label", "type_category", "rack"))
+    return f"SELECT '{kind}' AS kind, {shown}, {PORTS}" + (" AND rack <> ''" if kind == "hall_rack" else "") + (f" GROUP BY {cols}" if own else "")
+
+
+register("dashboard_port_inventory", lambda t: q.port_inventory(t), " UNION ALL ".join(_ports(k, v) for k, v in PORT_SETS.items()))
+register("dashboard_port_inventory_site", lambda t: q.port_inventory(t, "site1"), " UNION ALL ".join(_ports(k, v) for k, v in PORT_SETS.items()).replace("FROM latest WHERE", "FROM latest WHERE site = 'site1' AND"))
 register("dashboard_snapshots", lambda t: q.dashboard_snapshots(t), "SELECT * FROM snapshots ORDER BY snapshot_id DESC LIMIT 10")
 register("site_totals", lambda t: q.site_totals(t), "SELECT site, type_category, count(*) AS interfaces, count(DISTINCT device_name) AS devices FROM latest GROUP BY ROLLUP (site, type_category)")

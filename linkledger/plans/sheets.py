@@ -32,9 +32,11 @@ register("sheet_optics_in_service", lambda t: counters.sheet_optics(sheet(t), "s
 register("sheet_optics_by_status", lambda t: counters.sheet_optics(sheet(t), "status"), SHEET + FIRST.format(b="1") + "SELECT coalesce(nullif(trim(status), ''), 'Unknown') AS shown, name AS optic, count(*) AS n FROM f GROUP BY 1, 2")
 register("sheet_optic_cells", lambda t: counters.optic_cells(sheet(t)), SHEET + f" SELECT optic, count(*) FILTER (WHERE side = 'A') AS a, count(*) FILTER (WHERE side = 'Z') AS z, count(*) AS n FROM sends WHERE {P('optic')} GROUP BY 1")
 register("sheet_mpo_optics", lambda t: counters.mpo_optics(sheet(t)), SHEET + f", a AS (SELECT optic, count(*) AS a FROM (SELECT DISTINCT a_device, a_port, a_optic AS optic FROM sheet) GROUP BY 1), z AS (SELECT z_optic AS optic, count(*) AS z FROM sheet GROUP BY 1) SELECT optic, coalesce(a, 0) AS a, coalesce(z, 0) AS z, coalesce(a, 0) + coalesce(z, 0) AS n FROM a FULL JOIN z USING (optic) WHERE {P('optic')}")
-LOCS = f" , d AS (SELECT loc, arg_min(model, side || row_idx) AS model, bool_or(coalesce({IN_SVC}, false)) AS in_service, bool_and(status_normalized = 'lldp_passed') AS full_, bool_and(status_normalized = 'not_run') AS none_ FROM sends WHERE {P('loc')} AND {P('model')} GROUP BY loc) "
+LOCS = f""", d0 AS (SELECT loc, arg_min(model, side || row_idx) FILTER (WHERE {P('model')}) AS model, bool_or(coalesce({IN_SVC}, false)) AS in_service FROM sends WHERE {P('loc')} GROUP BY loc), d AS (SELECT * FROM d0 WHERE model IS NOT NULL),
+cs AS (SELECT loc, CASE WHEN bool_and({P('status')} AND status_normalized = 'lldp_passed') THEN 'Fully Cabled' WHEN bool_and(coalesce(status, '') LIKE 'Cable Not Run%') THEN 'Not Cabled' ELSE 'Work in Progress' END AS state,
+  list(coalesce(nullif(nullif(model, ''), 'nan'), 'Unknown') ORDER BY row_idx, side)[1] AS model FROM sends WHERE {P('loc')} GROUP BY loc) """
 register("sheet_devices", lambda t: counters.sheet_devices(sheet(t)), SHEET + LOCS + "SELECT model, in_service, count(*) AS n FROM d GROUP BY 1, 2")
-register("sheet_cabling_state", lambda t: counters.cabling_state(sheet(t)), SHEET + LOCS + "SELECT CASE WHEN full_ THEN 'Fully Cabled' WHEN none_ THEN 'Not Cabled' ELSE 'Work in Progress' END AS state, model, count(*) AS n FROM d GROUP BY 1, 2")
+register("sheet_cabling_state", lambda t: counters.cabling_state(sheet(t)), SHEET + LOCS + "SELECT state, model, count(*) AS n FROM cs GROUP BY 1, 2")
 register("sheet_model_index", lambda t: counters.model_index(sheet(t)), SHEET + f" SELECT upper(model) AS model, count(*) AS n, count(*) FILTER (WHERE side = 'A') AS a, count(*) FILTER (WHERE side = 'Z') AS z, count(DISTINCT loc) AS locations FROM sends WHERE {P('model')} GROUP BY 1")
 register("sheet_device_registry", lambda t: counters.device_registry(sheet(t)).select("device", "loc_cab_ru", "model", F.array_join("sections", ",").alias("sections"), F.array_join("sides", ",").alias("sides"), "n"), SHEET + f" SELECT lower(device) AS device, loc AS loc_cab_ru, model, array_to_string(list_sort(list(DISTINCT section)), ',') AS sections, array_to_string(list_sort(list(DISTINCT side)), ',') AS sides, count(*) AS n FROM sends WHERE {P('device')} GROUP BY 1, 2, 3")
 register("sheet_top_locations", lambda t: counters.top_locations(sheet(t), 3).withColumn("rank", F.col("rank").cast("long")), SHEET + f", g AS (SELECT optic, loc AS loc_cab_ru, count(*) AS n FROM sends WHERE {P('optic')} AND {P('loc')} GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY optic ORDER BY n DESC, loc_cab_ru) AS rank FROM g QUALIFY rank <= 3")
@@ -64,7 +66,43 @@ register("every_sheet_optic_cells", lambda t: counters.optic_cells(every(t), PER
 register("every_sheet_mpo_optics", lambda t: counters.mpo_optics(every(t), PER), EVERY + f", a AS (SELECT upload_id, optic, count(*) AS a FROM (SELECT DISTINCT upload_id, a_device, a_port, a_optic AS optic FROM sheet) GROUP BY 1, 2), z AS (SELECT upload_id, z_optic AS optic, count(*) AS z FROM sheet GROUP BY 1, 2) SELECT upload_id, optic, coalesce(a, 0) AS a, coalesce(z, 0) AS z, coalesce(a, 0) + coalesce(z, 0) AS n FROM a FULL JOIN z USING (upload_id, optic) WHERE {P('optic')}")
 EVERY_LOCS = LOCS.replace("SELECT loc,", "SELECT upload_id, loc,").replace("GROUP BY loc", "GROUP BY upload_id, loc")
 register("every_sheet_devices", lambda t: counters.sheet_devices(every(t), PER), EVERY + EVERY_LOCS + "SELECT upload_id, model, in_service, count(*) AS n FROM d GROUP BY 1, 2, 3")
-register("every_sheet_cabling_state", lambda t: counters.cabling_state(every(t), PER), EVERY + EVERY_LOCS + "SELECT upload_id, CASE WHEN full_ THEN 'Fully Cabled' WHEN none_ THEN 'Not Cabled' ELSE 'Work in Progress' END AS state, model, count(*) AS n FROM d GROUP BY 1, 2, 3")
+register("every_sheet_cabling_state", lambda t: counters.cabling_state(every(t), PER), EVERY + EVERY_LOCS + "SELECT upload_id, state, model, count(*) AS n FROM cs GROUP BY 1, 2, 3")
+
+
+def host_tab(t: Tables):
+    """Hosts as the host tabs of all uploads: some are named as the sheets name them, some are in no sheet, some have no model or repeat."""
+    n = F.regexp_extract("hostname", r"(\d+)$", 1).cast("int")
+    uploads = t.uploads.select("upload_id", "site_id")
+    rows = t.hosts.select("site_id", "hostname", "model").withColumn("n", n).join(uploads, "site_id")
+    name = F.when(F.col("n") % 3 == 0, F.upper("hostname")).when(F.col("n") % 3 == 1, F.concat(F.lit("spare-"), (F.col("n") % 40).cast("string"))).otherwise(F.col("hostname"))
+    status = F.when(F.col("n") % 2 == 0, "Human Verified").when(F.col("n") % 5 == 0, "").otherwise("Cable Not Run")
+    rows = rows.select("upload_id", name.alias("hostname"), F.when(F.col("n") % 7 == 0, "nan").otherwise(F.col("model")).alias("model"), status.alias("status"), F.col("n").alias("row_idx"))
+    return rows.withColumn("status_normalized", cells.status_slug("status"))
+
+
+HOST_TAB = f""", ht AS (SELECT u.upload_id, CASE n % 3 WHEN 0 THEN upper(hostname) WHEN 1 THEN 'spare-' || (n % 40) ELSE hostname END AS host, CASE WHEN n % 7 = 0 THEN 'nan' ELSE model END AS model, n % 2 = 0 AS in_service, n
+  FROM (SELECT *, CAST(regexp_extract(hostname, '(\\d+)$', 1) AS INTEGER) AS n FROM hosts) h JOIN uploads u USING (site_id)),
+un AS (SELECT upload_id, lower(host) AS host, model, in_service FROM ht x WHERE {P('model')} AND NOT EXISTS (SELECT 1 FROM sends s WHERE s.upload_id = x.upload_id AND lower(s.device) = lower(x.host)) QUALIFY row_number() OVER (PARTITION BY upload_id, lower(host) ORDER BY n, model, in_service) = 1) """
+register("every_uncabled_hosts", lambda t: counters.uncabled_hosts(every(t), host_tab(t), PER), EVERY + HOST_TAB + "SELECT * FROM un")
+register("every_all_devices", lambda t: counters.all_devices(every(t), host_tab(t), PER), EVERY + EVERY_LOCS + HOST_TAB + "SELECT upload_id, upper(model) AS model, in_service, count(*) AS n FROM (SELECT upload_id, model, in_service FROM d UNION ALL SELECT upload_id, model, in_service FROM un) GROUP BY ALL")
+register("every_model_locations", lambda t: counters.model_locations(every(t), PER), EVERY + f" SELECT upload_id, upper(model) AS model, loc AS loc_cab_ru, count(*) AS n, count(*) FILTER (WHERE side = 'A') AS a, count(*) FILTER (WHERE side = 'Z') AS z FROM sends WHERE {P('model')} GROUP BY 1, 2, 3")
+TABS = {"AUTOMOBILE": "Node to Tier-0 A", "BUILDING": "TIER-0 to TIER-1", "MACHINERY": "backup node to tier-0", "FURNITURE": "Node to Tier-0 B"}
+
+
+def roce_tabs(t: Tables):
+    tab = F.lit("Other")
+    for k, v in TABS.items():
+        tab = F.when(F.col("section") == k, v).otherwise(tab)
+    n = F.col("l_linenumber")
+    return every(t).select("upload_id", tab.alias("tab"), "row_idx", "status_normalized", *[c for s in "az" for c in (f"{s}_device", f"{s}_optic", f"{s}_loc_cab_ru")],
+        F.concat("a_port", F.when(n % 2 == 0, "s1").otherwise("s2")).alias("a_port"), F.col("z_port"), F.lit("1").alias("a_connector"), F.when(n % 3 == 0, None).otherwise("2").alias("z_connector"))
+
+
+ROCE_TABS = EVERY.split(", sends AS")[0] + f""", rt AS (SELECT upload_id, CASE section {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in TABS.items())} ELSE 'Other' END AS tab, row_idx, coalesce({IN_SVC}, false) AS in_service, l_linenumber AS n, a_device, a_port || CASE WHEN l_linenumber % 2 = 0 THEN 's1' ELSE 's2' END AS a_port, a_optic, a_loc_cab_ru, z_device, z_port, z_optic, z_loc_cab_ru FROM sheet),
+re AS (SELECT upload_id, tab, row_idx, in_service, 'A' AS side, a_device AS device, a_port AS port, a_optic AS optic, a_loc_cab_ru AS loc, '1' AS connector FROM rt UNION ALL SELECT upload_id, tab, row_idx, in_service, 'Z', z_device, z_port, z_optic, z_loc_cab_ru, CASE WHEN n % 3 = 0 THEN 'nan' ELSE '2' END FROM rt),
+ro AS (SELECT upload_id, tab, in_service, row_idx, side, optic, loc || CASE WHEN lower(tab) LIKE '%node to tier-0%' THEN port ELSE left(port, -2) END || connector AS place FROM re WHERE {P('device')} AND {P('optic')} AND tab NOT ILIKE '%backup%' AND (tab ILIKE '%node to tier-0%' OR tab ILIKE '%tier-0 to tier-1%')) """
+register("roce_tab_optics", lambda t: counters.roce_tab_optics(roce_tabs(t), None, PER), ROCE_TABS + "SELECT upload_id, upper(optic) AS optic, count(*) AS n FROM (SELECT * FROM ro QUALIFY row_number() OVER (PARTITION BY upload_id, tab, place ORDER BY row_idx, side) = 1) GROUP BY ALL")
+register("roce_tab_optics_in_service", lambda t: counters.roce_tab_optics(roce_tabs(t), "service", PER), ROCE_TABS + "SELECT upload_id, in_service, upper(optic) AS optic, count(*) AS n FROM (SELECT * FROM ro QUALIFY row_number() OVER (PARTITION BY upload_id, tab, in_service, place ORDER BY row_idx, side) = 1) GROUP BY ALL")
 register("every_sheet_model_index", lambda t: counters.model_index(every(t), PER), EVERY + f" SELECT upload_id, upper(model) AS model, count(*) AS n, count(*) FILTER (WHERE side = 'A') AS a, count(*) FILTER (WHERE side = 'Z') AS z, count(DISTINCT loc) AS locations FROM sends WHERE {P('model')} GROUP BY 1, 2")
 register("every_sheet_device_registry", lambda t: counters.device_registry(every(t), PER).select("upload_id", "device", "loc_cab_ru", "model", F.array_join("sections", ",").alias("sections"), F.array_join("sides", ",").alias("sides"), "n"), EVERY + f" SELECT upload_id, lower(device) AS device, loc AS loc_cab_ru, model, array_to_string(list_sort(list(DISTINCT section)), ',') AS sections, array_to_string(list_sort(list(DISTINCT side)), ',') AS sides, count(*) AS n FROM sends WHERE {P('device')} GROUP BY 1, 2, 3, 4")
 register("every_sheet_top_locations", lambda t: counters.top_locations(every(t), 3, PER).withColumn("rank", F.col("rank").cast("long")), EVERY + f", g AS (SELECT upload_id, optic, loc AS loc_cab_ru, count(*) AS n FROM sends WHERE {P('optic')} AND {P('loc')} GROUP BY 1, 2, 3) SELECT *, row_number() OVER (PARTITION BY upload_id, optic ORDER BY n DESC, loc_cab_ru) AS rank FROM g QUALIFY rank <= 3")
@@ -91,7 +129,7 @@ def ib_sheet(t: Tables):
     )
 
 
-IB = EVERY.split(", sends AS")[0] + f""", ib0 AS (SELECT *, {CENTS} AS cents, CASE {CENTS} WHEN 0 THEN 'Complete' WHEN 1 THEN 'No Status' WHEN 2 THEN 'Cable Not Run' ELSE status END AS shown,
+IB = EVERY.split(", sends AS")[0] + f""", ib0 AS (SELECT *, {CENTS} AS cents, CASE {CENTS} WHEN 0 THEN 'Complete' WHEN 1 THEN 'No Status' WHEN 2 THEN 'Cable Not Run' ELSE coalesce(status, 'No Status') END AS shown,
 CASE l_linenumber % 4 WHEN 0 THEN 'core' WHEN 1 THEN 'node' WHEN 2 THEN 'ufm' ELSE 'overhead' END AS tab FROM links),
 ib AS (SELECT upload_id, shown, a_optic AS optic, 1 AS k FROM ib0 WHERE tab = 'core' AND {P('a_optic')} UNION ALL SELECT upload_id, shown, 'IB Node Optic', 2 FROM ib0 WHERE tab = 'node' AND cents % 3 <> 0 AND {P('a_port')}
 UNION ALL SELECT upload_id, shown, 'Twin Port OSFP', 1 FROM ib0 WHERE tab = 'ufm' AND cents % 2 = 0 UNION ALL SELECT upload_id, shown, 'Twin Port OSFP', 1 FROM ib0 WHERE tab = 'ufm' AND cents % 3 = 0),
@@ -108,7 +146,7 @@ def roce_sheet(t: Tables):
     return every(t).withColumns({"status": shown, "a_model": F.when(cents == 3, "nan").otherwise(F.col("a_model"))})
 
 
-ROCE = EVERY.split(", sends AS")[0] + f""", ro AS (SELECT *, {CENTS} AS cents, CASE WHEN {CENTS} IN (1) THEN 'Unknown' WHEN {CENTS} = 2 THEN 'Complete' WHEN {CENTS} = 4 THEN 'No Label & Not Yet Run' WHEN status ILIKE '%complete%' THEN 'Complete' ELSE status END AS shown FROM sheet) """
+ROCE = EVERY.split(", sends AS")[0] + f""", ro AS (SELECT *, {CENTS} AS cents, CASE WHEN {CENTS} IN (1) THEN 'Unknown' WHEN {CENTS} = 2 THEN 'Complete' WHEN {CENTS} = 4 THEN 'No Label & Not Yet Run' WHEN status ILIKE '%complete%' THEN 'Complete' ELSE coalesce(status, 'Unknown') END AS shown FROM sheet) """
 register("roce_optics_by_status", lambda t: counters.roce_optics(roce_sheet(t).select("upload_id", "status", F.col("section").alias("tab"), "row_idx", F.col("a_device").alias("device"), F.col("a_loc_cab_ru").alias("loc"), F.col("a_port").alias("port"), F.col("z_port").alias("connector"), F.col("a_optic").alias("optic")), True, PER, "status"), ROCE + ", r AS (SELECT upload_id, shown, upper(a_optic) AS optic, row_number() OVER (PARTITION BY upload_id, section, a_loc_cab_ru, substr(a_port, 1, greatest(length(a_port) - 2, 0)), z_port ORDER BY row_idx) AS rn FROM ro WHERE a_device <> '' AND a_optic NOT IN ('', 'nan')) SELECT upload_id, shown, optic, count(*) AS n FROM r WHERE rn = 1 GROUP BY ALL")
 register("roce_devices_by_status", lambda t: counters.roce_devices(roce_sheet(t), PER), ROCE + f""", e AS (SELECT upload_id, row_idx, 'A' AS side, shown, a_loc_cab_ru AS loc, CASE WHEN cents = 3 THEN NULL ELSE a_model END AS model FROM ro UNION ALL SELECT upload_id, row_idx, 'Z', shown, z_loc_cab_ru, z_model FROM ro),
 l AS (SELECT upload_id, loc, first(model ORDER BY row_idx, side) FILTER (WHERE {P('model')}) AS model, CASE WHEN bool_and(shown = 'Complete') THEN 'Fully Cabled' WHEN bool_and(shown IN ('No Label & Not Yet Run', 'Unknown')) THEN 'Not Cabled' ELSE 'Work in Progress' END AS state FROM e WHERE {P('loc')} GROUP BY 1, 2)
@@ -117,8 +155,8 @@ register("location_index", lambda t: counters.location_index(every(t), PER), EVE
 register("tab_value_counts", lambda t: counters.value_counts(ib_sheet(t), "optic_type", PER), IB + "SELECT upload_id, a_optic AS value, count(*) AS n FROM ib0 WHERE tab = 'core' AND a_optic IS NOT NULL GROUP BY ALL")
 #: Some statuses with their class, and a header, for the rows of the fixture.
 CLASSES, HEADERS = {"LLDP Passed": "VERIFIED", "cable not run": "PLANNED"}, ("Human Verified",)
-register("status_classes", lambda t: ingest.with_status_class(ib_sheet(t).withColumns({"status": F.when(F.col("ibp").isNull(), "TIER-1 leaf").otherwise(F.col("status")), "a_optic": F.col("optic_type"), "z_optic": F.lit("")}), CLASSES, HEADERS).groupBy("upload_id", "status_class").agg(F.count("*").alias("n")), IB + f"""SELECT upload_id, CASE WHEN cents % 3 = 0 OR a_port IS NULL THEN CASE WHEN tab = 'core' AND {P('a_optic')} THEN 'UNKNOWN' ELSE 'SECTION_HEADER' END WHEN cents = 1 THEN 'BLANK'
-WHEN cents <> 2 AND status = 'LLDP Passed' THEN 'VERIFIED' WHEN cents <> 2 AND status = 'Cable Not Run' THEN 'PLANNED' WHEN cents <> 2 AND status = 'Human Verified' THEN 'SECTION_HEADER' ELSE 'UNKNOWN' END AS status_class, count(*) AS n FROM ib0 GROUP BY ALL""")
+register("status_classes", lambda t: ingest.with_status_class(ib_sheet(t).withColumns({"status": F.when(F.col("ibp").isNull(), "TIER-1 leaf").otherwise(F.col("status")), "a_optic": F.col("optic_type"), "z_optic": F.lit("")}), CLASSES, HEADERS).groupBy("upload_id", "status_class").agg(F.count("*").alias("n")), IB + f"""SELECT upload_id, CASE WHEN cents % 3 = 0 OR a_port IS NULL THEN CASE WHEN tab = 'core' AND {P('a_optic')} THEN 'UNKNOWN' ELSE 'SECTION_HEADER' END WHEN cents = 1 OR (cents NOT IN (0, 2) AND status IS NULL) THEN 'BLANK'
+WHEN cents <> 2 AND lower(status) = 'lldp passed' THEN 'VERIFIED' WHEN cents <> 2 AND status = 'Cable Not Run' THEN 'PLANNED' WHEN cents <> 2 AND status = 'Human Verified' THEN 'SECTION_HEADER' ELSE 'UNKNOWN' END AS status_class, count(*) AS n FROM ib0 GROUP BY ALL""")
 register("views_stale", lambda t: ingest.views_stale(t.uploads, t.uploads.where("not is_active").select(F.col("created_at").alias("refreshed_at"))), "SELECT (SELECT max(created_at) FROM uploads) > (SELECT max(created_at) FROM uploads WHERE NOT is_active) AS stale")
 register("ingest_status_slugs", lambda t: t.raw_links.groupBy("status", cells.status_slug("status").alias("slug"), "status_normalized").agg(F.count("*").alias("n")), "SELECT status, status_normalized AS slug, status_normalized, count(*) AS n FROM raw_links GROUP BY 1, 2, 3")
 register("ingest_first_rows", lambda t: ingest.physical_links(t.raw_links.withColumn("row_idx", F.col("id"))).groupBy("upload_id").agg(F.count("*").alias("n"), F.max("id").alias("last")), "SELECT upload_id, count(*) AS n, max(id) AS last FROM links GROUP BY 1")
