@@ -2,43 +2,127 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkledger.functions.cells import SLUGS, clean_cell, literal_map, model_name, present, status_slug
 
 
-def _sides(patterns: dict[str, str]) -> dict[str, str]:
-    return {p.format(S=s): f"{s.lower()}_{c}" for s in "AZ" for p, c in patterns.items()}
-
-
 # Column names of the known sheet layouts, the preferred one of each target first.
-STANDARD_V1 = _sides(
-    {
-        "{S}-SIDE-DNS-NAME": "device", "{S}-SIDE DEVICE NAME": "device", "{S}-SIDE PORT": "port", "{S}-PORT": "port", "{S}-OPTIC": "optic", "{S}-SIDE LOCODE": "locode",
-        "{S}-MODEL": "model", "{S}-LOC:CAB:RU": "loc_cab_ru", "{S}-BREAKOUT LOC:CAB:RU": "breakout_loc", "{S}-BREAKOUT SLOT:PORT": "breakout_port", "{S}-PATCH-PANEL LOC:CAB:RU:PORT": "patch_panel",
-    }
-) | {"Section": "section", "CABLE ID": "cable_id", "CABLE": "cable_id", "STATUS": "status"}
-STANDARD_V2 = _sides(
-    {
-        "{S} SIDE DEVICE": "device", "{S}-SIDE DEVICE": "device", "{S} SIDE PORT": "port", "{S} OPTIC": "optic", "{S}-OPTIC": "optic", "{S} LOCODE": "locode",
-        "{S} LOC:CAB:RU": "loc_cab_ru", "{S}-LOC:CAB:RU": "loc_cab_ru", "{S} MODEL": "model", "{S}-MODEL": "model",
-    }
-) | {"TOPOLOGY SECTION": "section", "CABLE": "cable_id", "INSTALL STATUS": "status"}
-ALTERNATE = {f"{n} {c}": f"{s}_{t}" for s, n in (("a", "Source"), ("z", "Dest")) for c, t in (("Device", "device"), ("Port", "port"), ("Optic", "optic"), ("Location", "locode"))} | {
-    "Topology": "section", "Cable Number": "cable_id", "State": "status"
+STANDARD_V1 = {
+    "A-SIDE-DNS-NAME": "a_device",
+    "A-SIDE DEVICE NAME": "a_device",
+    "A-SIDE PORT": "a_port",
+    "A-PORT": "a_port",
+    "A-OPTIC": "a_optic",
+    "A-SIDE LOCODE": "a_locode",
+    "A-MODEL": "a_model",
+    "A-LOC:CAB:RU": "a_loc_cab_ru",
+    "A-BREAKOUT LOC:CAB:RU": "a_breakout_loc",
+    "A-BREAKOUT SLOT:PORT": "a_breakout_port",
+    "A-PATCH-PANEL LOC:CAB:RU:PORT": "a_patch_panel",
+    "Z-SIDE-DNS-NAME": "z_device",
+    "Z-SIDE DEVICE NAME": "z_device",
+    "Z-SIDE PORT": "z_port",
+    "Z-PORT": "z_port",
+    "Z-OPTIC": "z_optic",
+    "Z-SIDE LOCODE": "z_locode",
+    "Z-MODEL": "z_model",
+    "Z-LOC:CAB:RU": "z_loc_cab_ru",
+    "Z-BREAKOUT LOC:CAB:RU": "z_breakout_loc",
+    "Z-BREAKOUT SLOT:PORT": "z_breakout_port",
+    "Z-PATCH-PANEL LOC:CAB:RU:PORT": "z_patch_panel",
+    "Section": "section",
+    "CABLE ID": "cable_id",
+    "CABLE": "cable_id",
+    "STATUS": "status",
+}
+STANDARD_V2 = {
+    "A SIDE DEVICE": "a_device",
+    "A-SIDE DEVICE": "a_device",
+    "A SIDE PORT": "a_port",
+    "A OPTIC": "a_optic",
+    "A-OPTIC": "a_optic",
+    "A LOCODE": "a_locode",
+    "A LOC:CAB:RU": "a_loc_cab_ru",
+    "A-LOC:CAB:RU": "a_loc_cab_ru",
+    "A MODEL": "a_model",
+    "A-MODEL": "a_model",
+    "Z SIDE DEVICE": "z_device",
+    "Z-SIDE DEVICE": "z_device",
+    "Z SIDE PORT": "z_port",
+    "Z OPTIC": "z_optic",
+    "Z-OPTIC": "z_optic",
+    "Z LOCODE": "z_locode",
+    "Z LOC:CAB:RU": "z_loc_cab_ru",
+    "Z-LOC:CAB:RU": "z_loc_cab_ru",
+    "Z MODEL": "z_model",
+    "Z-MODEL": "z_model",
+    "TOPOLOGY SECTION": "section",
+    "CABLE": "cable_id",
+    "INSTALL STATUS": "status",
+}
+ALTERNATE = {
+    "Source Device": "a_device",
+    "Source Port": "a_port",
+    "Source Optic": "a_optic",
+    "Source Location": "a_locode",
+    "Dest Device": "z_device",
+    "Dest Port": "z_port",
+    "Dest Optic": "z_optic",
+    "Dest Location": "z_locode",
+    "Topology": "section",
+    "Cable Number": "cable_id",
+    "State": "status",
 }
+# The same for host tabs.
+HOSTS_V1 = {
+    "DNS-A-RECORD": "hostname",
+    "Hostname": "hostname",
+    "NETBOX MODEL": "model",
+    "Model": "model",
+    "Role": "role",
+    "ROW:TYPE": "row_type",
+    "LOC:ROW:TYPE": "row_type",
+    "LOC:CAB:RU": "rack",
+    "Rack": "rack",
+    "LOCODE": "locode",
+    "Data Hall": "data_hall",
+    "Status": "status",
+}
+HOSTS_V2 = {
+    "Device Name": "hostname",
+    "Device Model": "model",
+    "Device Role": "role",
+    "Rack Location": "rack",
+    "Hall": "data_hall",
+    "Install Status": "status",
+}
+HOST_LAYOUTS = {"standard_v1": HOSTS_V1, "standard_v2": HOSTS_V2}
 LAYOUTS = {
     "standard_v1": (STANDARD_V1, ("A-SIDE-DNS-NAME", "A-OPTIC", "Z-OPTIC", "A-MODEL")),
     "standard_v2": (STANDARD_V2, ("TOPOLOGY SECTION", "A SIDE DEVICE", "Z SIDE DEVICE", "INSTALL STATUS")),
     "alternate": (ALTERNATE, ("Source Device", "Dest Device", "Source Optic", "Cable Number")),
 }
 REQUIRED = ("status", "a_device", "a_port", "a_optic", "z_device", "z_port", "z_optic")
-TOPOLOGY = (
-    r"(?i)\b(TIER|SPINE|LEAF|TOR|FDP|CDU|PDU|EOR|MOR|AGG|CORE|BORDER|MGMT|OOB|FABRIC|ROW|DH|ISL|GPU|NVLINK|COMPUTE|STORAGE|NETWORK|INFRA|UPLINK|DOWNLINK|INTERCONNECT)\b"
-    r"|^(section|topology)\s*[-_]?\s*\w|^[A-Z][A-Z0-9]*[-_][A-Z][A-Z0-9]*"
-)
+# Words that mark a section header wherever they stand, tiers and roles and then kinds of equipment; words that mark one
+# at the end of a chain of names; forms of the other headers.
+TIERS = ("TIER", "SPINE", "LEAF", "TOR", "FDP", "CDU", "PDU", "EOR", "MOR", "AGG", "CORE", "BORDER", "MGMT", "OOB", "FABRIC", "ROW", "DH", "ISL")
+KINDS = ("GPU", "NVLINK", "COMPUTE", "STORAGE", "NETWORK", "INFRA", "UPLINK", "DOWNLINK", "INTERCONNECT")
+CHAINED = ("SPINE", "LEAF", "TOR", "FDP", "CDU", "AGG")
+NUMBERED, CHAIN, HYPHENED = r"^(SECTION|TOPOLOGY)\s*[-_]?\s*\w", r"\w+-\w+-\w+(.*)$", r"^[A-Z][A-Z0-9]*[-_][A-Z]"
+
+
+def topology_like(c: Column) -> Column:
+    """Whether a text reads like the name of a part of the topology."""
+    text = F.upper(c)
+    named = F.arrays_overlap(F.split(text, r"\W+"), F.array(*[F.lit(w) for w in (*TIERS, *KINDS)]))
+    after = F.regexp_extract(text, CHAIN, 1)
+    chained = F.lit(False)
+    for w in CHAINED:
+        chained |= after.contains(w)
+    return named | text.rlike(NUMBERED) | text.rlike(HYPHENED) | (text.rlike(CHAIN) & chained)
 
 
 def _plain(name: str) -> str:
@@ -53,14 +137,14 @@ def detect_layout(columns: list[str], threshold: float = 0.75) -> str | None:
     return best if scores[best] >= threshold else None
 
 
-def canonical(df: DataFrame, layout: str) -> DataFrame:
-    """Columns of the layout under their canonical names; a blank cell takes the next source column of its target."""
+def canonical(df: DataFrame, layout: str, names: dict[str, str] | None = None, required: tuple[str, ...] = REQUIRED) -> DataFrame:
+    """Columns of the layout (or those of `names`) under their canonical names; a blank cell takes the next source column of its target."""
     own = {_plain(c): c for c in df.columns}
     sources: dict[str, list[str]] = {}
-    for name, target in LAYOUTS[layout][0].items():
-        if _plain(name) in own:
+    for name, target in (names or LAYOUTS[layout][0]).items():
+        if _plain(name) in own and own[_plain(name)] not in sources.get(target, []):
             sources.setdefault(target, []).append(own[_plain(name)])
-    missing = [c for c in REQUIRED if c not in sources]
+    missing = [c for c in required if c not in sources]
     if missing:
         raise ValueError(f"columns missing from the sheet: {', '.join(missing)}")
     cell = lambda c: F.nullif(F.trim(F.col(f"`{c}`")), F.lit(""))
@@ -68,14 +152,15 @@ def canonical(df: DataFrame, layout: str) -> DataFrame:
     return df.select(*kept, *[F.coalesce(*[cell(c) for c in cols], F.lit("")).alias(target) for target, cols in sources.items()])
 
 
-def with_sections(df: DataFrame, pattern: str | None = TOPOLOGY) -> DataFrame:
+def with_sections(df: DataFrame, named: bool = True) -> DataFrame:
     """Header rows name the section of the rows below them: a status that is none of the known ones, no A location, no A
-    device. Rows before the first header are UNKNOWN. The window runs over one file at a time."""
+    device; named: and that reads like a part of the topology. Rows before the first header are UNKNOWN. The window runs over
+    one file at a time."""
     blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")).isin("", "nan") if c in df.columns else F.lit(True)
     status = F.trim(F.col("status"))
     header = ~blank("status") & blank("a_loc_cab_ru") & blank("a_device") & ~F.lower(status).isin(*SLUGS)
-    if pattern:
-        header &= status.rlike(pattern)
+    if named:
+        header &= topology_like(status)
     by = W.partitionBy("file").orderBy("row_idx").rowsBetween(W.unboundedPreceding, W.currentRow)
     out = df.withColumn("is_header", F.coalesce(header, F.lit(False)))
     return out.withColumn("section", F.coalesce(F.last(F.when(F.col("is_header"), status), ignorenulls=True).over(by), F.lit("UNKNOWN")))
@@ -141,6 +226,19 @@ def load_links(raw: DataFrame, site_id: int, upload_id: int, aliases: dict[str,
     return physical_links(df)
 
 
+def load_hosts(raw: DataFrame, layout: str, site_id: int, upload_id: int, aliases: dict[str, str] | None = None) -> DataFrame:
+    """A host tab as rows of the inventory, by the layout of its workbook's link tab. Rows without a host name are left out;
+    a blank status stays blank. A layout without columns for hosts takes the tab as it is."""
+    names = HOST_LAYOUTS.get(layout) or {c: c.lower() for c in raw.columns}
+    rows = canonical(raw, layout, names, ("hostname",))
+    text = lambda c: F.coalesce(clean_cell(c), F.lit("")) if c in rows.columns else F.lit("")
+    cols = {c: text(c) for c in ("hostname", "model", "role", "rack", "data_hall", "status", "row_type")}
+    rows = rows.select(*[c for c in ("file", "row_idx") if c in rows.columns], *[v.alias(k) for k, v in cols.items()]).where("hostname <> ''")
+    model = model_name(F.col("model"), aliases) if aliases else F.col("model")
+    slug = F.when(F.col("status") == "", "").otherwise(status_slug("status"))
+    return rows.withColumns({"model": model, "status_normalized": slug, "site_id": F.lit(site_id), "upload_id": F.lit(upload_id)})
+
+
 def load_burndown(df: DataFrame) -> DataFrame:
     rows = df.where(present("a_device") | present("z_device"))
     row = F.expr("try_cast(try_cast(cutsheet_row as double) as int)")
@@ -156,10 +254,10 @@ def classify_status(c, known: dict[str, str], headers: tuple[str, ...] = ()):
     return F.when(F.coalesce(low, F.lit("")) == "", "BLANK").otherwise(F.coalesce(found, own, F.lit("UNKNOWN")))
 
 
-def with_status_class(df: DataFrame, known: dict[str, str], headers: tuple[str, ...] = (), pattern: str = TOPOLOGY) -> DataFrame:
+def with_status_class(df: DataFrame, known: dict[str, str], headers: tuple[str, ...] = ()) -> DataFrame:
     """status_class; unknown ones on rows without an optic that read like a part of the topology are section headers."""
     named = F.col("status_class")
-    header = (named == "UNKNOWN") & ~present("a_optic") & ~present("z_optic") & F.col("status").rlike(pattern)
+    header = (named == "UNKNOWN") & ~present("a_optic") & ~present("z_optic") & topology_like(F.col("status"))
     return df.withColumn("status_class", classify_status("status", known, headers)).withColumn("status_class", F.when(header, "SECTION_HEADER").otherwise(named))
 
 

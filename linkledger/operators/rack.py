@@ -62,3 +62,24 @@ def overhead_types(cells: DataFrame) -> DataFrame:
 def cab_summary(df: DataFrame, types: DataFrame, room: str, per: tuple[str, ...] = ()) -> DataFrame:
     racks = sheet_ends(df, per).where(_in("loc_cab_ru", room, None)).select(*per, rack_number("loc_cab_ru").alias("rack")).distinct()
     return racks.join(types, "rack", "left").groupBy(*per, F.coalesce("cab_type", F.lit("Unknown")).alias("cab_type")).agg(F.count("*").alias("racks"))
+
+
+# Labels of the columns of an elevation tab, and what the tab's name begins with.
+ELEVATION = {"ru": "RU-BASE", "device_name": "DEVICE NAME", "device_type": "NETBOX-DEVICE-TYPE"}
+ELEVATION_TAB = "ELEV "
+
+
+def elevations(cells: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
+    """cells: tab, row, col, value of grids. (cab_type, row, ru, device_name, device_type) of the rows below the header of each
+    elevation tab, which is its first row with the label of a unit or a name; columns are where the header has their labels (of a
+    label that repeats the last). Rows without unit and name are left out. All tabs at a time, by aggregates of their cells."""
+    key = [*per, "tab"]
+    label = F.upper(F.trim("value"))
+    own = cells.where(F.col("tab").startswith(ELEVATION_TAB)).withColumn("label", label)
+    heads = own.where(F.col("label").isin(ELEVATION["ru"], ELEVATION["device_name"])).groupBy(*key).agg(F.min("row").alias("head"))
+    rows = own.join(heads, key)
+    places = rows.where("row = head").groupBy(*key).agg(*[F.max(F.when(F.col("label") == v, F.col("col"))).alias(f"at_{k}") for k, v in ELEVATION.items()])
+    cell = lambda k: F.coalesce(F.trim(F.max(F.when(F.col("col") == F.col(f"at_{k}"), F.col("value")))), F.lit("")).alias(k)
+    out = rows.where("row > head").join(places, key).groupBy(*key, "row").agg(*[cell(k) for k in ELEVATION])
+    out = out.withColumn("ru", F.regexp_replace("ru", r"^(-?\d+)\.0+$", "$1")).where("ru <> '' or device_name <> ''")
+    return out.select(*per, F.expr(f"substring(tab, {len(ELEVATION_TAB) + 1})").alias("cab_type"), "row", *ELEVATION)

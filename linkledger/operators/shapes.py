@@ -21,12 +21,13 @@ def ends(links: DataFrame) -> DataFrame:
 
 def physical_optics(rows: DataFrame) -> DataFrame:
     """Ends with an optic; of breakout ends that share upload, location and port, the lowest id. Whatever is not empty is a
-    breakout, also the literal nan."""
+    breakout, also the literal nan. Only breakout ends are shuffled, as one row for each of their places and tasks."""
     rows = rows.where(present("optic"))
-    blank = F.lit("")
-    key = F.when(F.col("breakout") != "", F.concat_ws("|", F.col("upload_id").cast("string"), F.coalesce("loc", blank), F.coalesce("port", blank))).otherwise(F.col("id"))
-    first = F.row_number().over(W.partitionBy("side", "_key").orderBy("id"))
-    return rows.withColumn("_key", key).withColumn("_rn", first).where("_rn = 1").drop("_key", "_rn")
+    broken, blank = F.coalesce(F.col("breakout") != "", F.lit(False)), F.lit("")
+    kept = ["id", "side", "site_id", "upload_id", "status_normalized", "optic"]
+    place = [F.coalesce(c, blank).alias(f"_{c}") for c in ("loc", "port")]
+    first = rows.where(broken).groupBy("side", "upload_id", *place).agg(F.min_by(F.struct(*kept), "id").alias("_row")).select("_row.*")
+    return rows.where(~broken).select(*kept).unionByName(first)
 
 
 def status_counts() -> list:
@@ -55,5 +56,7 @@ def top(df: DataFrame, *order, limit: int | None = None) -> DataFrame:
 
 
 def with_group_total(df: DataFrame) -> DataFrame:
-    """Number of all rows, by a one-row aggregate that is broadcast (a window over everything would use one task)."""
-    return df.crossJoin(F.broadcast(df.agg(F.count("*").alias("total_groups"))))
+    """Number of all rows, by a one-row aggregate that is broadcast (a window over everything would use one task). It uses all
+    columns, so that both sides are one plan below, whose exchange is made once."""
+    used = F.coalesce(F.bit_xor(F.hash(*df.columns)), F.lit(0)) * 0
+    return df.crossJoin(F.broadcast(df.agg((F.count("*") + used).alias("total_groups"))))

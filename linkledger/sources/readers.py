@@ -8,12 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Names of tabs that hold no inventory.
-SKIPPED_TABS = (r"\bbackup\b", r"^copy[\s_]of[\s_]", r"^sheet\d+$", r"^legend(-|_|$)", r"^overhead$", r"\bold\b|\barchive\b|\bdeprecated\b")
+# Words in names of tabs that hold no inventory, and whole names.
+SKIPPED_WORDS, SKIPPED_NAMES = {"backup", "old", "archive", "deprecated"}, {"overhead"}
+
+
+def holds_inventory(tab: str) -> bool:
+    """Not a backup, a copy, a legend, an overview or a sheet that nobody has named."""
+    low = tab.strip().lower()
+    copied = re.sub(r"[\s_]", " ", low).startswith("copy of ")
+    legend = re.split("[-_]", low)[0] == "legend"
+    unnamed = low.startswith("sheet") and low[5:].isdecimal()
+    return bool(low) and not (copied or legend or unnamed or low in SKIPPED_NAMES or SKIPPED_WORDS & set(re.split(r"\W+", low)))
 
 
 def wanted_tabs(names: list[str]) -> list[str]:
-    return [n for n in names if n and not any(re.search(p, n.strip(), re.I) for p in SKIPPED_TABS)]
+    return [n for n in names if n and holds_inventory(n)]
 
 
 def pick_tab(names: list[str], fits=lambda name: True) -> str | None:

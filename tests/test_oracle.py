@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from linkledger.plans import registry, sheets  # noqa: F401
+from linkledger.plans import registry, sheets, stored  # noqa: F401
 
 SAMPLE = sorted(registry.ORACLES)
 
