@@ -31,10 +31,17 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, kind: str, codec: str = "zstd") -> DataFrame:
-    """Cuts the lineage: the rows as a Parquet table in the shared folder."""
+def parts_for(spark: SparkSession, rows: int, each: int = 20_000) -> int:
+    """Tasks (and files) for so many rows; no more than the session's shuffle partitions."""
+    return max(1, min(width(spark), -(-rows // each)))
+
+
+def written(df: DataFrame, kind: str, codec: str = "zstd", parts: int | None = None) -> DataFrame:
+    """Cuts the lineage: the rows as a Parquet table in the shared folder. parts: where the number of rows is known, the number
+    of tasks that write them, so that a small table is no multitude of tiny files."""
     spark = df.sparkSession
     path = new_path(spark, kind)
+    df = df if parts is None else df.coalesce(parts)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -84,8 +91,10 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     e = written(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges"
     )
-    if e.isEmpty():
+    n = e.count()
+    if not n:
         return e.sparkSession.createDataFrame([], f"node {ids}, component {ids}")
+    parts = parts_for(e.sparkSession, n, 50_000)
     state = [F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38, 0)"))]
     last = None
     for _ in range(rounds):
@@ -94,7 +103,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         large = (
             both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         )
-        large = written(large, "edges")
+        large = written(large, "edges", parts=parts)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = (
@@ -104,7 +113,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
             .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
             .distinct()
         )
-        e = written(small, "edges")
+        e = written(small, "edges", parts=parts)
         now = tuple(e.agg(*state).first())
         if now == last:
             break

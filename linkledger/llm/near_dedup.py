@@ -225,7 +225,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return left.groupBy("a", "part").cogroup(right.groupBy("a2", "part2")).applyInArrow(compare, "a long, b long")
 
 
-def block_links(placed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def block_links(placed: DataFrame, sets: DataFrame, num: int, den: int, parts: int | None = None) -> DataFrame:
     """Links (a, b) that join components within a cluster. Each pair of blocks of a cluster is a group of at most about
     2 * BLOCK sets: pairs of different components whose sketches and sizes allow a link are compared in full, and the
     group returns a spanning forest of its links."""
@@ -234,7 +234,9 @@ def block_links(placed: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     size = size.where(F.col("all") > F.col("most.rows"))
     # The largest component's blocks come first: they meet the blocks of all others, not each other.
     large, small = F.ceil(F.col("most.rows") / BLOCK), F.ceil((F.col("all") - F.col("most.rows")) / BLOCK)
-    size = written(size.select("cluster", "all", F.col("most.comp").alias("largest"), large.cast("int").alias("large"), small.cast("int").alias("small")), "clusters")
+    size = written(size.select("cluster", "all", F.col("most.comp").alias("largest"), large.cast("int").alias("large"), small.cast("int").alias("small")), "clusters", parts=parts)
+    if size.isEmpty():
+        return placed.sparkSession.createDataFrame([], "a long, b long")
     own = join_hot(placed, size, ["cluster"], "all", ["largest", "large", "small"]).withColumn("in_large", F.col("comp") == F.col("largest"))
     block = F.when(F.col("in_large"), F.pmod(h64(3, F.col("id")), F.col("large"))).otherwise(F.col("large") + F.pmod(h64(3, F.col("id")), F.col("small")))
     own = own.withColumn("block", block.cast("int"))
@@ -276,46 +278,48 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     feats = written(features(own, words, side, rows), "minhash")
     cls = written(feats.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("doc_id")).withColumn("id", F.monotonically_increasing_id()), "classes")
     reps = feats.join(cls, ["s1", "s2", "n", "doc_id"]).dropDuplicates(["s1", "s2", "n", "doc_id"]).select("id", "n", "a", "b", "sketch")
-    reps = written(reps, "reps")
+    spark, many = docs.sparkSession, cls.count()
+    light, wide_ = parts_for(spark, many), parts_for(spark, many * side * side, 400_000)  # tables of classes, and of their buckets
+    reps = written(reps, "reps", parts=light)
     sketches = reps.select("id", "sketch")
 
     def worth(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose sketches allow a link."""
         for end in ("a", "b"):
             pairs = pairs.join(sketches.select(F.col("id").alias(end), F.col("sketch").alias(f"sketch_{end}")), end)
-        return written(pairs.where(alike("sketch_a", "sketch_b")).select("a", "b"), "pairs")
+        return written(pairs.where(alike("sketch_a", "sketch_b")).select("a", "b"), "pairs", parts=wide_)
 
     # First each class with its cluster's hub, the least of its buckets' hubs.
     rows_ = bucket_rows(reps, side)
-    hubs = written(rows_.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1"), "hubs")
+    hubs = written(rows_.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1"), "hubs", parts=wide_)
     placed = join_hot(rows_, hubs, ["key"], "size", ["hub"]).groupBy("id").agg(F.min("hub").alias("hub"), F.first("n").alias("n"))
-    placed = written(placed.select("id", "n", F.col("hub.id").alias("cluster"), F.col("hub.n").alias("hub_n")), "placed")
+    placed = written(placed.select("id", "n", F.col("hub.id").alias("cluster"), F.col("hub.n").alias("hub_n")), "placed", parts=light)
     star = placed.where(F.col("id") > F.col("cluster")).where(close(F.col("n"), F.col("hub_n"), num, den))
     star = worth(star.select(F.col("cluster").alias("a"), F.col("id").alias("b")))
     sets = written(shingle_sets(own, cls.join(placed.select("id"), "id"), words), "sets")
-    edges = written(confirmed(star, sets, num, den), "links")
-    comp = written(components(edges), "comps")
+    edges = written(confirmed(star, sets, num, den), "links", parts=light)
+    comp = written(components(edges), "comps", parts=light)
     # Then, in buckets that still have several components, each class with the bucket's hub.
     named = reps.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
     rows_ = bucket_rows(named, side, ["comp"])
     mixed = rows_.groupBy("key").agg(F.min(F.struct("id", "n", "comp")).alias("hub"), F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    mixed = written(mixed.where("lo < hi").select("key", "hub", "size"), "mixed")
-    members = written(join_hot(rows_, mixed, ["key"], "size", ["hub"]), "members")
+    mixed = written(mixed.where("lo < hi").select("key", "hub", "size"), "mixed", parts=wide_)
+    members = written(join_hot(rows_, mixed, ["key"], "size", ["hub"]), "members", parts=wide_)
     pairs = members.where(F.col("comp") != F.col("hub.comp")).where(close(F.col("n"), F.col("hub.n"), num, den)).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
     pairs = worth(pairs.join(star, ["a", "b"], "left_anti"))
     star = star.unionByName(pairs)
-    edges = written(edges.unionByName(confirmed(pairs, sets, num, den)), "links")
-    comp = written(components(edges), "comps")
+    edges = written(edges.unionByName(written(confirmed(pairs, sets, num, den), "links", parts=parts_for(spark, pairs.count()))), "links", parts=light)
+    comp = written(components(edges), "comps", parts=light)
     # What pairs with a hub hold together is a cluster. Clusters with several components are compared in blocks; pairs of
     # different clusters that share a bucket are listed, where sizes and sketches allow a link.
     wide = components(star).select(F.col("node").alias("id"), F.col("component").alias("wide"))
     placed = placed.join(wide, "id", "left").withColumn("cluster", F.coalesce("wide", "id"))
     placed = placed.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    placed = written(placed.join(sketches, "id").select("id", "n", "cluster", "comp", "sketch"), "placed")
-    more = written(block_links(placed, sets, num, den), "links")
+    placed = written(placed.join(sketches, "id").select("id", "n", "cluster", "comp", "sketch"), "placed", parts=light)
+    more = written(block_links(placed, sets, num, den, light), "links")
     rest = members.select("key", "id").join(placed, "id")
     apart = rest.groupBy("key").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"), F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"))
-    rest = written(rest.join(apart.where("lo < hi and c_lo < c_hi").select("key"), "key"), "apart")
+    rest = written(rest.join(apart.where("lo < hi and c_lo < c_hi").select("key"), "key"), "apart", parts=wide_)
     # A key's rows meet in pairs of chunks, so that no task holds all of a key that very many have.
     rest = with_parts(rest, "key", CHUNK_ROWS, "chunk")
     up = rest.withColumn("j", F.explode(F.sequence(F.col("chunk"), F.col("parts") - 1))).withColumnRenamed("chunk", "i")
@@ -323,12 +327,13 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     meet = f"x.key = y.key and x.i = y.i and x.j = y.j and (x.i < x.j or x.id < y.id) and x.comp <> y.comp and x.cluster <> y.cluster and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) and {alike('x.sketch', 'y.sketch')}"
     pairs = up.alias("x").join(down.alias("y"), F.expr(meet)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     pairs = written(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
-    more = written(more.unionByName(confirmed(pairs, sets, num, den)), "links")
+    if not pairs.isEmpty():
+        more = more.unionByName(written(confirmed(pairs, sets, num, den), "links"))
     if not more.isEmpty():
-        comp = written(components(edges.unionByName(more)), "comps")
+        comp = written(components(edges.unionByName(more)), "comps", parts=light)
     named = cls.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_class = written(named.join(least, "component").select("s1", "s2", "n", "component_id"), "by-class")
+    by_class = written(named.join(least, "component").select("s1", "s2", "n", "component_id"), "by-class", parts=light)
     out = feats.select("doc_id", "n", "s1", "s2").join(by_class, ["s1", "s2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
