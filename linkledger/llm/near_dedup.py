@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, free_name, h64, join_hot, with_parts, written
+from .common import components, free_name, h64, join_hot, parts_for, with_parts, written
 from .units import let_go
 
 SIDE, ROWS = 8, 2
