@@ -2,7 +2,7 @@
 
 Neither tokenizer used here lets a token cross from a non-space character over a single
 space into the next one: byte-level BPE puts that space in front of the next word, and the
-word BPE drops it. So a text is the chain of units that begin at such spaces, and the ids of
+word BPE drops it, as it does a line break. So a text is the chain of units that begin at such spaces, and the ids of
 a text are those of its units. A batch is cut and dictionary-encoded by Arrow, each distinct
 unit is encoded once for a Python worker, and the ids are gathered by NumPy.
 """
@@ -13,6 +13,8 @@ import ctypes
 import gc
 import os
 import re
+from itertools import repeat
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,9 @@ def odd(unit: str) -> bool:
 
 
 def core(unit: str) -> str:
-    """The unit without one closing stop or comma that follows a plain word; both tokenizers cut there."""
-    return unit[:-1] if unit[-1:] in (".", ",") and plain(unit[:-1].removeprefix(" ")) else unit
+    """The unit without the ASCII punctuation that ends it after a plain word; both tokenizers cut there and keep the rest as one run."""
+    word = unit.rstrip(punctuation)
+    return word if len(word) < len(unit) and plain(word.removeprefix(" ")) else unit
 
 
 def plain(word: str) -> bool:
@@ -103,7 +106,7 @@ class UnitStore:
         if self.keep_space:
             cut = pc.split_pattern(pc.replace_substring(texts, " ", "\0 "), "\0")
         else:
-            cut = pc.split_pattern(texts, " ")
+            cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         flat, offsets, again = self._chain(cut, self.keep_space)
         if self.keep_space:
             again |= pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)
@@ -119,15 +122,17 @@ class UnitStore:
 
     def _chain(self, cut: pa.Array, wary: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         coded = cut.flatten().dictionary_encode()
-        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         if len(self.slot) + len(words) > self.most:
             self.trim()
-        new = [w for w in words if w not in self.slot]
-        if new:
+        slots = np.fromiter(map(self.slot.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
             self.encode(new)
-            slots = np.fromiter(map(self.slot.__getitem__, new), np.int64, len(new))
-            self.odd[slots] = np.fromiter(map(odd, new), bool, len(new))
-        slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+            slots[missing] = np.fromiter(map(self.slot.__getitem__, new), np.int64, len(new))
+            if self.keep_space:
+                self.odd[slots[missing]] = np.fromiter(map(odd, new), bool, len(new))
         self.touch(slots)
         length, start = self.length[slots][codes].astype(np.int64), self.start[slots][codes]
         ends = np.cumsum(length)
@@ -175,8 +180,8 @@ class LibraryStore(UnitStore):
 
     def encode(self, new: list[str]) -> None:
         skip = int(self.keep_space)
-        cores = {core(u) for u in new}
-        cores |= {u[-1] for u in new if u and u not in cores}
+        cut = {u: (c, u[len(c) :]) for u in new if len(c := core(u)) < len(u)}
+        cores = {u for u in new if u not in cut}.union(*zip(*cut.values()))
         cores = [c for c in cores if c not in self.slot]
         fast = [w for w in cores if w[:skip] == " " * skip and plain(w[skip:])]
         slow = list(set(cores).difference(fast))
@@ -185,15 +190,12 @@ class LibraryStore(UnitStore):
                 self._alone(fast[i : i + 1024])
         for i in range(0, len(slow), 1024):
             self._alone(slow[i : i + 1024])
-        built = [u for u in new if u not in self.slot]
-        if built:
-            a = np.fromiter((self.slot[u[:-1]] for u in built), np.int64, len(built))
-            b = np.fromiter((self.slot[u[-1]] for u in built), np.int64, len(built))
-            pairs = np.stack([a, b], 1).ravel()
+        if cut:
+            pairs = np.fromiter((self.slot[x] for two in cut.values() for x in two), np.int64, 2 * len(cut))
             length, start = self.length[pairs].astype(np.int64), self.start[pairs]
             ends = np.cumsum(length)
             flat = self.flat[np.repeat(start - (ends - length), length) + np.arange(int(ends[-1]))]
-            self.put(built, flat, length.reshape(-1, 2).sum(1))
+            self.put(list(cut), flat, length.reshape(-1, 2).sum(1))
 
 
 _HELD: dict[tuple, UnitStore] = {}

@@ -72,6 +72,19 @@ def test_ids_over_all_scripts(name, keep_space):
     assert [t for t, a, b, w in zip(texts, at[:-1], at[1:], want) if flat[a:b].tolist() != w.ids] == []
 
 
+@pytest.mark.parametrize(("name", "keep_space"), [("byte_bpe_50k", True), ("word_bpe_49k", False)])
+def test_ids_after_punctuation(name, keep_space):
+    rng = random.Random(6)
+    words = ["Word", "it's", "don'", "'s", "É", "x1", "", "<|endoftext", "<|endoftext|>", "\u0338", "=", "naïve", "Σ", "\0"]
+    gaps = [" ", " ", " ", "\n", "\n\n", " \n", "\t", "\r\n", "\u00a0", "\u0085", "\x1c", "  "]
+    tail = lambda: "".join(rng.choice("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for _ in range(rng.randint(0, 3)))
+    texts = ["".join(rng.choice(words) + tail() + rng.choice(gaps) for _ in range(rng.randint(1, 9))) for _ in range(9000)]
+    path = P.path(f"{name}.json")
+    flat, at = LibraryStore(path, keep_space).ids(pa.array(texts))
+    want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    assert [t for t, a, b, w in zip(texts, at[:-1], at[1:], want) if flat[a:b].tolist() != w.ids] == []
+
+
 def test_very_long_text():
     """52 MB in one document, between two short ones."""
     texts = ["first", " ".join(f"w{i * 7919 % 200_003} lorem ipsum" for i in range(2_700_000)), "last one"]
