@@ -14,17 +14,33 @@ FAILED = ("lldp_failed",)
 PENDING = ("not_run", "not_terminated", "pending", "in_progress", "addition")
 VERIFICATION = ("lldp_passed", "lldp_failed", "human_verified")
 CABLE_RUN = ("complete", "not_terminated", "not_run", "addition", "in_progress", "pending")
-SLUGS = {
-    "cable is ran: complete": "complete",
-    "cable is ran: not terminated": "not_terminated",
-    "cable not run": "not_run",
-    "addition": "addition",
-    "human verified": "human_verified",
-    "lldp passed": "lldp_passed",
-    "lldp failed": "lldp_failed",
-    "in progress": "in_progress",
-    "pending": "pending",
+# How each status is written in sheets, in lower case, and how it is displayed.
+SPELLINGS = {
+    "complete": ("cable is ran: complete", "cable is ran complete", "cable is ran:complete", "cable is ran - complete", "cable ran complete", "cable complete", "complete"),
+    "not_terminated": ("cable is ran: not terminated", "cable is ran not terminated", "cable is ran:not terminated", "cable is ran - not terminated", "not terminated", "not_terminated"),
+    "not_run": (
+        "cable not run", "cable not ran", "no cable", "cable not run: priority", "cable not run:priority", "cable not run - priority",
+        "no label & not yet run", "no label and not yet run", "not_run", "not_run_priority",
+    ),
+    "addition": ("addition",),
+    "human_verified": ("human verified", "human: verified", "manually verified", "human_verified"),
+    "lldp_passed": ("lldp passed", "lldp: passed", "lldp:  passed", "lldp:passed", "lldp - passed", "lldp_passed"),
+    "lldp_failed": ("lldp failed", "lldp: failed", "lldp:  failed", "lldp:failed", "lldp - failed", "lldp_failed"),
+    "in_progress": ("in progress", "in_progress"),
+    "pending": ("pending",),
 }
+DISPLAYED = {
+    "complete": "Cable Is Ran Complete",
+    "not_terminated": "Cable Is Ran Not Terminated",
+    "not_run": "Cable Not Run",
+    "addition": "Addition",
+    "human_verified": "Human Verified",
+    "lldp_passed": "LLDP Passed",
+    "lldp_failed": "LLDP Failed",
+    "in_progress": "In Progress",
+    "pending": "Pending",
+}
+SLUGS = {text: slug for slug, texts in SPELLINGS.items() for text in texts}
 
 
 def literal_map(entries: dict[str, str]) -> Column:
@@ -53,6 +69,18 @@ def status_slug(c: Column | str) -> Column:
     return F.when(text.isin("", "nan"), "not_run").otherwise(F.coalesce(F.try_element_at(literal_map(SLUGS), text), F.lit("other")))
 
 
+def display_status(c: Column | str) -> Column:
+    """A status as it is displayed, however the sheet writes it; unknown ones as they are, blank ones and nan as empty."""
+    text = F.trim(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
+    shown = literal_map({text: DISPLAYED[slug] for text, slug in SLUGS.items()})
+    return F.when(F.lower(text) == "nan", "").otherwise(F.coalesce(F.try_element_at(shown, F.lower(text)), text))
+
+
+def replaced(c: Column, own: dict[str, str] | None) -> Column:
+    """Values that a site writes in its own way, in any case, by what they stand for."""
+    return F.coalesce(F.try_element_at(literal_map({k.lower(): v for k, v in own.items()}), F.lower(c)), c) if own else c
+
+
 def model_name(c: Column, aliases: dict[str, str]) -> Column:
     """Alias of a model; else of the model without a revision suffix; else as given."""
     names = literal_map({k.lower(): v for k, v in aliases.items()})

@@ -211,13 +211,27 @@ def value_counts(df: DataFrame, column: str, per: tuple[str, ...] = ()) -> DataF
 
 
 def device_registry(df: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
-    """Devices by lower-case name, location and model, with the sections and sides they appear in."""
+    """Devices by lower-case name, location and model, with the sections and sides they appear in. An end is a device if it has a
+    name or a location; what is missing is empty."""
     names = ("device", "model", "loc_cab_ru")
     each = [F.struct(F.lit(s.upper()).alias("side"), *[F.col(f"{s}_{n}").alias(n) for n in names]) for s in "az"]
-    ends = df.select(*per, "section", F.inline(F.array(*each))).where(present("device"))
+    text = lambda c: F.when(present(c), F.trim(c)).otherwise("").alias(c)
+    ends = df.select(*per, "section", F.inline(F.array(*each))).where(present("device") | present("loc_cab_ru")).select(*per, "section", "side", *[text(n) for n in names])
     return ends.groupBy(*per, F.lower("device").alias("device"), "loc_cab_ru", "model").agg(F.sort_array(F.collect_set("section")).alias("sections"), F.sort_array(F.collect_set("side")).alias("sides"), F.count("*").alias("n"))
 
 
+def link_records(df: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with a device at an end, and a_breakout, z_breakout (whether the end breaks out) and a_breakout_new_optic: false where an
+    earlier row (by row_idx) has the same A location and port and breaks out, too, so that its optic is already counted. An end is a device if
+    it has a name or a location. Only rows whose A end breaks out are shuffled."""
+    device = lambda s: present(f"{s}_device") | present(f"{s}_loc_cab_ru")
+    rows = df.where(device("a") | device("z")).withColumns({f"{s}_breakout": present(f"{s}_breakout_loc") for s in "az"})
+    shared = F.col("a_breakout") & device("a")
+    place = [F.when(present(c), F.trim(c)).otherwise("") for c in ("a_loc_cab_ru", "a_port")]
+    first = F.row_number().over(W.partitionBy(*per, *place).orderBy("row_idx")) == 1
+    return rows.where(~shared).withColumn("a_breakout_new_optic", F.lit(True)).unionByName(rows.where(shared).withColumn("a_breakout_new_optic", first))
+
+
 def top_locations(df: DataFrame, k: int = 10, per: tuple[str, ...] = ()) -> DataFrame:
     """The k commonest locations of each optic."""
     groups = sheet_ends(df, per).where(present("optic") & present("loc_cab_ru")).groupBy(*per, "optic", "loc_cab_ru").agg(F.count("*").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkledger.functions.cells import SLUGS, clean_cell, literal_map, model_name, present, status_slug
+from linkledger.functions.cells import SLUGS, clean_cell, display_status, literal_map, model_name, present, replaced, status_slug
 
 
 # Column names of the known sheet layouts, the preferred one of each target first.
@@ -211,17 +211,28 @@ def with_roles(links: DataFrame, hosts: DataFrame) -> DataFrame:
     return links
 
 
-def load_links(raw: DataFrame, site_id: int, upload_id: int, aliases: dict[str, str] | None = None) -> DataFrame:
-    """A raw sheet as link rows."""
+def settled(df: DataFrame, aliases: dict[str, str] | None = None, statuses: dict[str, str] | None = None, models: dict[str, str] | None = None) -> DataFrame:
+    """Canonical columns with statuses as displayed, models by their aliases, optics without nan. statuses and models are a site's
+    own names, which go before the general ones."""
+    cols = {"status": replaced(display_status("status"), statuses)} if "status" in df.columns else {}
+    for c in ("a_model", "z_model", "model"):
+        if c in df.columns:
+            cols[c] = replaced(model_name(F.col(c), aliases) if aliases else F.trim(c), models)
+    for c in ("a_optic", "z_optic"):
+        if c in df.columns:
+            text = F.trim(F.coalesce(c, F.lit("")))
+            cols[c] = F.when(F.lower(text) == "nan", "").otherwise(text)
+    return df.withColumns(cols)
+
+
+def load_links(raw: DataFrame, site_id: int, upload_id: int, aliases: dict[str, str] | None = None, statuses: dict[str, str] | None = None, models: dict[str, str] | None = None) -> DataFrame:
+    """A raw sheet as link rows; aliases, statuses and models as in settled()."""
     layout = detect_layout(raw.columns)
     if layout is None:
         raise ValueError("no known layout fits these columns")
-    df = with_data(with_sections(canonical(raw, layout)).where("not is_header")).drop("is_header")
+    df = with_data(with_sections(settled(canonical(raw, layout), aliases, statuses, models)).where("not is_header")).drop("is_header")
     if "cable_id" in df.columns:
         df = split_cable_types(df)
-    for c in ("a_model", "z_model"):
-        if aliases and c in df.columns:
-            df = df.withColumn(c, model_name(F.col(c), aliases))
     df = df.withColumns({"status_normalized": status_slug("status"), "site_id": F.lit(site_id), "upload_id": F.lit(upload_id)})
     return physical_links(df)
 

@@ -161,7 +161,8 @@ def model_unique_count(t: Tables, model: str, site_id=None, upload_id=None, data
 
 
 def link_status(t: Tables, site_id=None, upload_id=None, limit=200) -> DataFrame:
-    return top(scope(t.burndown, site_id, upload_id).select("link_status", "a_device", "a_port", "z_device", "id"), "link_status", "a_device", "id", limit=limit)
+    cols = ["a_device", "a_port", "z_device", "z_port", "link_status", "status", "current_neighbor", "current_neighbor_port", "dct_notes", "id"]
+    return top(scope(t.burndown, site_id, upload_id).select(*cols), "link_status", "a_device", "id", limit=limit)
 
 
 def neighbor_mismatch(t: Tables, site_id=None, upload_id=None, limit=200) -> DataFrame:
@@ -253,21 +254,27 @@ def cross_site_status(t: Tables) -> DataFrame:
 TREND_SLUGS = ("lldp_passed", "lldp_failed", "human_verified", "complete", "not_run", "not_terminated")
 
 
+def _trend(t: Tables, site_id: int, links: DataFrame, *keys: str) -> DataFrame:
+    """All uploads of a site with counts of their links by the keys, one row for an upload that has none (its total is 1, as a
+    left join counts it). Links are counted before they meet the uploads."""
+    counts = links.where(F.col("site_id") == site_id).groupBy("upload_id", *keys).agg(F.count("*").alias("total"), *[F.count_if(F.col("status_normalized") == s).alias(s) for s in TREND_SLUGS], complete().alias("completed"))
+    rows = t.uploads.where(F.col("site_id") == site_id).select("upload_id", "filename", "created_at").join(counts, "upload_id", "left")
+    rows = rows.na.fill(1, ["total"]).na.fill(0, [*TREND_SLUGS, "completed"])
+    return rows.withColumn("pct", percent(F.col("completed"), F.col("total")))
+
+
 def trend_status(t: Tables, site_id: int, limit=10, latest=False) -> DataFrame:
     """Per upload: slug counts, completion and its change since the upload before. Without latest, the oldest ones."""
-    rows = t.uploads.where(F.col("site_id") == site_id).join(t.links.select("upload_id", "status_normalized"), "upload_id", "left")
-    groups = rows.groupBy("upload_id", "created_at").agg(F.count("*").alias("total"), *[F.count_if(F.col("status_normalized") == s).alias(s) for s in TREND_SLUGS], complete().alias("completed"))
-    groups = groups.withColumn("pct", percent(F.col("completed"), F.col("total"))).withColumn("site_id", F.lit(site_id))
+    groups = _trend(t, site_id, t.links).withColumn("site_id", F.lit(site_id))
     delta = F.col("completed") - F.lag("completed").over(W.partitionBy("site_id").orderBy("created_at", "upload_id"))
     return top(groups.withColumn("delta", delta), F.desc("created_at") if latest else F.asc("created_at"), "upload_id", limit=limit)
 
 
 def trend_section(t: Tables, site_id: int, section="", limit=100) -> DataFrame:
-    rows = t.uploads.where(F.col("site_id") == site_id).join(t.links.where(like("section", section)).select("upload_id", "section", "status_normalized"), "upload_id")
-    groups = rows.groupBy("upload_id", "created_at", "section").agg(F.count("*").alias("total"), complete().alias("completed"))
-    groups = groups.withColumn("pct", percent(F.col("completed"), F.col("total")))
+    """The same by section. Without a section asked for, uploads without links are there, too, their section null."""
+    groups = _trend(t, site_id, t.links.where(like("section", section)), "section").where(like("section", section))
     delta = F.col("completed") - F.lag("completed").over(W.partitionBy("section").orderBy("created_at", "upload_id"))
-    return top(groups.withColumn("delta", delta), "created_at", "section", "upload_id", limit=limit)
+    return top(groups.withColumn("delta", delta), "created_at", F.asc_nulls_last("section"), "upload_id", limit=limit)
 
 
 def cable_type_summary(t: Tables, site_id=None, upload_id=None) -> DataFrame:
@@ -286,6 +293,23 @@ def general_optics(t: Tables, site_id=None, upload_id=None, limit=15) -> DataFra
     return top(scope(t.links, site_id, upload_id).groupBy(optic.alias("optic")).agg(F.count("*").alias("cnt")), F.desc("cnt"), "optic", limit=limit)
 
 
+def composite(t: Tables, site_id: int, upload_id: int | None = None, devices=20, optics=15) -> DataFrame:
+    """What is told of a site when nothing else is asked: its commonest devices, all statuses as displayed, its commonest optics (the A
+    optic, or the Z optic where that is empty; nan is none), each with all, in-service and failed links. Without an upload
+    the latest active one, or all if none is active. One scan, one exchange of partial counts; ties go by name."""
+    if upload_id is None:
+        last = t.uploads.where((F.col("site_id") == site_id) & F.col("is_active")).orderBy(F.desc("created_at"), F.desc("upload_id")).select("upload_id").first()
+        upload_id = last and last[0]
+    filled = lambda c: F.nullif(F.col(c), F.lit(""))
+    named = [("device", F.col("a_device")), ("device", F.col("z_device")), ("status", F.col("status")), ("optic", F.coalesce(filled("a_optic"), filled("z_optic")))]
+    each = F.inline(F.array(*[F.struct(F.lit(part).alias("part"), c.alias("name")) for part, c in named]))
+    rows = scope(t.links, site_id, upload_id).select("status_normalized", each).where((F.col("part") == "status") | present("name"))
+    groups = rows.groupBy("part", "name").agg(F.count("*").alias("n"), *status_counts()[:2])
+    rank = F.row_number().over(W.partitionBy("part").orderBy(F.desc("n"), F.asc_nulls_first("name")))
+    most = F.when(F.col("part") == "device", devices).when(F.col("part") == "optic", optics)
+    return top(groups.withColumn("rank", rank.cast("long")).where(most.isNull() | (F.col("rank") <= most)), "part", "rank")
+
+
 # Views over active uploads.
 
 

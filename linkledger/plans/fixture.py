@@ -7,13 +7,17 @@ import tempfile
 import uuid
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkledger.sources.readers import write_links
 
-_WRITTEN: dict[tuple[str, str], str] = {}
+#: Links tables by application and source folder: the state of the sources, the table's path and its files.
+_WRITTEN: dict[tuple[str, str], tuple[tuple, str, list[str]]] = {}
+#: Tables that links are made of.
+SOURCES = ("lineitem", "orders", "customer", "nation", "region", "part", "supplier")
 
 
 def table_dir(spark: SparkSession) -> str:
@@ -94,14 +98,28 @@ class Tables:
 
     @cached_property
     def links(self) -> DataFrame:
-        """The links as a table by site and upload, which is written once for each session and source folder, so that the
-        filters of a query on site and upload leave whole folders out."""
+        """The links as a table by site and upload, which is written once for each session and state of the source files, so that
+        the filters of a query on site and upload leave whole folders out. It is written again where it has been cleared away."""
         built, key = self.built_links, (self.spark.sparkContext.applicationId, self.sf_dir)
-        if key not in _WRITTEN:
+        state, (was, path, files) = self.source_state(), _WRITTEN.get(key, (None, "", []))
+        if state != was or not self.is_there(path, files):
             path = f"{table_dir(self.spark)}/links-{uuid.uuid4().hex}"
             write_links(built, path)
-            _WRITTEN[key] = path
-        return self.spark.read.schema(built.schema).parquet(_WRITTEN[key]).select(*built.columns)
+            _WRITTEN[key] = (state, path, sorted(self.spark.read.parquet(path).inputFiles()))
+        return self.spark.read.schema(built.schema).parquet(path).select(*built.columns)
+
+    def source_state(self) -> tuple:
+        """Number, bytes and a hash of names and times of the source files, which are listed and not read."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{self.sf_dir}/{n}.parquet" for n in SOURCES])
+        return tuple(files.agg(F.count("*"), F.sum("length"), F.bit_xor(F.xxhash64("path", "modificationTime", "length"))).first())
+
+    def is_there(self, path: str, files: list[str]) -> bool:
+        try:
+            return sorted(self.spark.read.parquet(path).inputFiles()) == files
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return False
 
     @cached_property
     def built_links(self) -> DataFrame:
@@ -137,8 +155,9 @@ class Tables:
     def burndown(self) -> DataFrame:
         odd = self.links.where(F.col("l_linenumber") % 2 == 1)
         return odd.select(
-            "id", "site_id", "upload_id", "a_device", "a_port", "z_device", "z_port", F.when(F.col("l_linestatus") == "O", "up").otherwise("down").alias("link_status"),
+            "id", "site_id", "upload_id", "a_device", "a_port", "z_device", "z_port", F.when(F.col("l_linestatus") == "O", "up").otherwise("down").alias("link_status"), "status",
             F.when(F.col("l_discount") > 0.05, F.concat(F.lit("other-"), F.col("z_device"))).otherwise(F.upper("z_device")).alias("current_neighbor"),
+            F.when(F.col("l_linenumber") % 3 != 0, F.upper("z_port")).alias("current_neighbor_port"), F.when(F.col("l_discount") > 0.08, F.concat(F.lit("check "), F.col("cable_id"))).alias("dct_notes"),
         )
 
     @cached_property
@@ -192,8 +211,9 @@ uploads AS (SELECT CAST(r_regionkey * 100 + n AS INTEGER) AS upload_id, r_region
     make_timestamp(n + 1994, 1, 1, 0, 0, 0) AS created_at, n = 7 AS is_active FROM region, range(1, 8) t(n)),
 hosts AS (SELECT n_regionkey AS site_id, n_regionkey * 100 + 7 AS upload_id, c_name AS hostname, 'Brand#' || (c_custkey % 25 + 1) AS model, lower(c_mktsegment) AS role,
     'dh20' || n_regionkey || ':' || (c_custkey % 120) AS rack, 'dh20' || n_regionkey AS data_hall FROM customer JOIN nation ON c_nationkey = n_nationkey),
-burndown AS (SELECT id, site_id, upload_id, a_device, a_port, z_device, z_port, CASE WHEN l_linestatus = 'O' THEN 'up' ELSE 'down' END AS link_status,
-    CASE WHEN l_discount > 0.05 THEN 'other-' || z_device ELSE upper(z_device) END AS current_neighbor FROM links WHERE l_linenumber % 2 = 1),
+burndown AS (SELECT id, site_id, upload_id, a_device, a_port, z_device, z_port, CASE WHEN l_linestatus = 'O' THEN 'up' ELSE 'down' END AS link_status, status,
+    CASE WHEN l_discount > 0.05 THEN 'other-' || z_device ELSE upper(z_device) END AS current_neighbor, CASE WHEN l_linenumber % 3 <> 0 THEN upper(z_port) END AS current_neighbor_port,
+    CASE WHEN l_discount > 0.08 THEN 'check ' || cable_id END AS dct_notes FROM links WHERE l_linenumber % 2 = 1),
 snapshots AS (SELECT CAST(dayofmonth(ts) AS INTEGER) AS snapshot_id, count(*) AS interface_count,
     CASE WHEN dayofmonth(ts) = (SELECT max(dayofmonth(ts)) FROM events) THEN 'running' WHEN dayofmonth(ts) % 5 = 0 THEN 'failed' ELSE 'ok' END AS status FROM events GROUP BY dayofmonth(ts)),
 interfaces AS (SELECT CAST(dayofmonth(ts) AS INTEGER) AS snapshot_id, 'site' || (user_id % 3) AS site, CASE WHEN user_id % 7 = 0 THEN '' ELSE 'hall' || (user_id % 4) END AS hall,

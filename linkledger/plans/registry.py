@@ -76,7 +76,7 @@ register("model_search_status_count", lambda t: q.model_status_count(t, "2", IN_
 UNIQUE = "AND u AS (SELECT device, 'links' AS source FROM ends WHERE {e} UNION SELECT device, 'inventory' FROM ({h}) WHERE {p}) SELECT count(DISTINCT device) AS total_devices, count(DISTINCT device) FILTER (WHERE source = 'links') AS link_devices, count(DISTINCT device) FILTER (WHERE source = 'inventory') AS inventory_devices FROM u"
 register("model_search_unique_count", lambda t: q.model_unique_count(t, "#1"), UNIQUE.format(e=NAMED("#1"), h=HOSTS("#1"), p=P("device")))
 register("model_search_unique_hall", lambda t: q.model_unique_count(t, "0", data_hall="dh202"), UNIQUE.format(e=NAMED("0") + " AND loc ILIKE 'dh202:%'", h=HOSTS("0", " AND rack ILIKE 'dh202:%'"), p=P("device")))
-register("link_status", lambda t: q.link_status(t, site_id=1), f"SELECT link_status, a_device, a_port, z_device, id FROM burndown WHERE {S1} ORDER BY link_status, a_device, id LIMIT 200")
+register("link_status", lambda t: q.link_status(t, site_id=1), f"SELECT a_device, a_port, z_device, z_port, link_status, status, current_neighbor, current_neighbor_port, dct_notes, id FROM burndown WHERE {S1} ORDER BY link_status, a_device, id LIMIT 200")
 register("lldp_neighbor_mismatch", lambda t: q.neighbor_mismatch(t, site_id=1), f"SELECT a_device, a_port, z_device, current_neighbor, id FROM burndown WHERE {S1} AND {P('current_neighbor')} AND lower(trim(current_neighbor)) <> lower(trim(z_device)) ORDER BY a_device, a_port, id LIMIT 200")
 register("rack_summary", lambda t: q.rack_summary(t, site_id=1), f"""AND k AS (SELECT e.*, split_part(loc, ':', 1) || ':' || lpad(split_part(loc, ':', 2), 3, '0') AS rack, CASE WHEN {P('e.cable_id')} THEN e.cable_id ELSE concat_ws('|', a_device, a_port, z_device, z_port) END AS link FROM ends e JOIN links USING (id) WHERE e.site_id = 1 AND {P('loc')} AND split_part(loc, ':', 2) <> ''),
 o AS (SELECT rack, optic, count(*) AS n FROM k WHERE {P('optic')} GROUP BY rack, optic), b AS (SELECT rack, string_agg(optic || ': ' || n, ', ' ORDER BY n DESC, optic) AS breakdown FROM o GROUP BY rack),
@@ -105,8 +105,16 @@ register("cross_site_models", lambda t: q.cross_site_models(t), ACTIVE + f", g A
 register("cross_site_optics", lambda t: q.cross_site_optics(t), ACTIVE + ", " + PHYSICAL.format(rows="acte") + f" SELECT optic, r_name AS site_code, count(*) AS total, {STATUS3} FROM phys JOIN region ON r_regionkey = site_id GROUP BY 1, 2")
 register("cross_site_status", lambda t: q.cross_site_status(t), ACTIVE + " SELECT site_code, status_normalized, count(*) AS cnt FROM act GROUP BY 1, 2")
 SLUG_COLS = ", ".join(f"count(*) FILTER (WHERE status_normalized = '{s}') AS {s}" for s in q.TREND_SLUGS)
-register("trend_status", lambda t: q.trend_status(t, 1), f"AND g AS (SELECT u.upload_id, u.created_at, count(*) AS total, {SLUG_COLS}, count(*) FILTER (WHERE {IN_SVC}) AS completed FROM uploads u LEFT JOIN links l USING (upload_id) WHERE u.site_id = 1 GROUP BY 1, 2) SELECT *, {PCT.format(a='completed', b='total')} AS pct, 1 AS site_id, completed - lag(completed) OVER (ORDER BY created_at, upload_id) AS delta FROM g ORDER BY created_at LIMIT 10")
-register("trend_section", lambda t: q.trend_section(t, 1, "machin"), f"AND g AS (SELECT u.upload_id, u.created_at, section, count(*) AS total, count(*) FILTER (WHERE {IN_SVC}) AS completed FROM uploads u JOIN links l USING (upload_id) WHERE u.site_id = 1 AND section ILIKE '%machin%' GROUP BY 1, 2, 3) SELECT *, {PCT.format(a='completed', b='total')} AS pct, completed - lag(completed) OVER (PARTITION BY section ORDER BY created_at, upload_id) AS delta FROM g ORDER BY created_at, section LIMIT 100")
+TREND = f"count(*) AS total, {SLUG_COLS}, count(*) FILTER (WHERE {IN_SVC}) AS completed FROM uploads u LEFT JOIN links l ON u.upload_id = l.upload_id AND l.site_id = {{s}} WHERE u.site_id = {{s}}"
+register("trend_status", lambda t: q.trend_status(t, 1), f"AND g AS (SELECT u.upload_id, u.filename, u.created_at, {TREND.format(s=1)} GROUP BY 1, 2, 3) SELECT *, {PCT.format(a='completed', b='total')} AS pct, 1 AS site_id, completed - lag(completed) OVER (ORDER BY created_at, upload_id) AS delta FROM g ORDER BY created_at LIMIT 10")
+TREND_SECTION = f"AND g AS (SELECT u.upload_id, u.filename, u.created_at, section, {TREND} AND {{w}} GROUP BY 1, 2, 3, 4) SELECT *, {PCT.format(a='completed', b='total')} AS pct, completed - lag(completed) OVER (PARTITION BY section ORDER BY created_at, upload_id) AS delta FROM g ORDER BY created_at, section LIMIT 100"
+register("trend_section", lambda t: q.trend_section(t, 1, "machin"), TREND_SECTION.format(s=1, w="section ILIKE '%machin%'"))
+register("trend_sections", lambda t: q.trend_section(t, 2), TREND_SECTION.format(s=2, w="true"))
+COMPOSITE = f"""AND own AS (SELECT * FROM links WHERE site_id = {{s}} AND upload_id = {{u}}), n AS (SELECT 'device' AS part, a_device AS name, status_normalized FROM own UNION ALL SELECT 'device', z_device, status_normalized FROM own UNION ALL SELECT 'status', status, status_normalized FROM own
+UNION ALL SELECT 'optic', coalesce(nullif(a_optic, ''), nullif(z_optic, '')), status_normalized FROM own), g AS (SELECT part, name, count(*) AS n, count(*) FILTER (WHERE {IN_SVC}) AS in_service, count(*) FILTER (WHERE status_normalized = 'lldp_failed') AS failed FROM n WHERE part = 'status' OR {P('name')} GROUP BY 1, 2)
+SELECT *, row_number() OVER (PARTITION BY part ORDER BY n DESC, name NULLS FIRST) AS rank FROM g QUALIFY rank <= CASE part WHEN 'device' THEN 20 WHEN 'optic' THEN 15 ELSE 1e9 END"""
+register("composite", lambda t: q.composite(t, 3), COMPOSITE.format(s=3, u="(SELECT max(upload_id) FROM uploads WHERE site_id = 3 AND is_active)"))
+register("composite_upload", lambda t: q.composite(t, 2, 203), COMPOSITE.format(s=2, u=203))
 register("cable_type_summary", lambda t: q.cable_type_summary(t), f"SELECT cable_type, count(*) AS connections, count(DISTINCT a_device) AS a_devices, count(DISTINCT z_device) AS z_devices FROM links WHERE {P('cable_type')} GROUP BY 1")
 register("general", lambda t: q.general(t), f"SELECT 'connections' AS metric, CAST(count(*) AS VARCHAR) AS value FROM links UNION ALL SELECT 'devices', CAST(count(DISTINCT a_device) AS VARCHAR) FROM links WHERE {P('a_device')} UNION ALL SELECT 'sections', CAST(count(DISTINCT section) AS VARCHAR) FROM links")
 register("general_devices", lambda t: q.device_list(t, site_id=1, limit=20), DEVICES.format(w=f"{S1} AND " + P("device"), l="LIMIT 20"))

@@ -38,7 +38,7 @@ cs AS (SELECT loc, CASE WHEN bool_and({P('status')} AND status_normalized = 'lld
 register("sheet_devices", lambda t: counters.sheet_devices(sheet(t)), SHEET + LOCS + "SELECT model, in_service, count(*) AS n FROM d GROUP BY 1, 2")
 register("sheet_cabling_state", lambda t: counters.cabling_state(sheet(t)), SHEET + LOCS + "SELECT state, model, count(*) AS n FROM cs GROUP BY 1, 2")
 register("sheet_model_index", lambda t: counters.model_index(sheet(t)), SHEET + f" SELECT upper(model) AS model, count(*) AS n, count(*) FILTER (WHERE side = 'A') AS a, count(*) FILTER (WHERE side = 'Z') AS z, count(DISTINCT loc) AS locations FROM sends WHERE {P('model')} GROUP BY 1")
-register("sheet_device_registry", lambda t: counters.device_registry(sheet(t)).select("device", "loc_cab_ru", "model", F.array_join("sections", ",").alias("sections"), F.array_join("sides", ",").alias("sides"), "n"), SHEET + f" SELECT lower(device) AS device, loc AS loc_cab_ru, model, array_to_string(list_sort(list(DISTINCT section)), ',') AS sections, array_to_string(list_sort(list(DISTINCT side)), ',') AS sides, count(*) AS n FROM sends WHERE {P('device')} GROUP BY 1, 2, 3")
+register("sheet_device_registry", lambda t: counters.device_registry(sheet(t)).select("device", "loc_cab_ru", "model", F.array_join("sections", ",").alias("sections"), F.array_join("sides", ",").alias("sides"), "n"), SHEET + f" SELECT lower(device) AS device, loc AS loc_cab_ru, model, array_to_string(list_sort(list(DISTINCT section)), ',') AS sections, array_to_string(list_sort(list(DISTINCT side)), ',') AS sides, count(*) AS n FROM sends WHERE ({P('device')} OR {P('loc')}) GROUP BY 1, 2, 3")
 register("sheet_top_locations", lambda t: counters.top_locations(sheet(t), 3).withColumn("rank", F.col("rank").cast("long")), SHEET + f", g AS (SELECT optic, loc AS loc_cab_ru, count(*) AS n FROM sends WHERE {P('optic')} AND {P('loc')} GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY optic ORDER BY n DESC, loc_cab_ru) AS rank FROM g QUALIFY rank <= 3")
 register("roce_optics", lambda t: counters.roce_optics(sheet(t).select(F.col("section").alias("tab"), "row_idx", F.col("a_device").alias("device"), F.col("a_loc_cab_ru").alias("loc"), F.col("a_port").alias("port"), F.col("z_port").alias("connector"), F.col("a_optic").alias("optic")), True), SHEET + ", r AS (SELECT upper(a_optic) AS optic, row_number() OVER (PARTITION BY section, a_loc_cab_ru, substr(a_port, 1, greatest(length(a_port) - 2, 0)), z_port ORDER BY row_idx) AS rn FROM sheet WHERE a_device <> '' AND a_optic NOT IN ('', 'nan')) SELECT optic, count(*) AS n FROM r WHERE rn = 1 GROUP BY 1")
 IN_RACK = "(lower(split_part({l}, ':', 1)) = 'dh201' AND split_part({l}, ':', 2) = '41')"
@@ -104,7 +104,9 @@ ro AS (SELECT upload_id, tab, in_service, row_idx, side, optic, loc || CASE WHEN
 register("roce_tab_optics", lambda t: counters.roce_tab_optics(roce_tabs(t), None, PER), ROCE_TABS + "SELECT upload_id, upper(optic) AS optic, count(*) AS n FROM (SELECT * FROM ro QUALIFY row_number() OVER (PARTITION BY upload_id, tab, place ORDER BY row_idx, side) = 1) GROUP BY ALL")
 register("roce_tab_optics_in_service", lambda t: counters.roce_tab_optics(roce_tabs(t), "service", PER), ROCE_TABS + "SELECT upload_id, in_service, upper(optic) AS optic, count(*) AS n FROM (SELECT * FROM ro QUALIFY row_number() OVER (PARTITION BY upload_id, tab, in_service, place ORDER BY row_idx, side) = 1) GROUP BY ALL")
 register("every_sheet_model_index", lambda t: counters.model_index(every(t), PER), EVERY + f" SELECT upload_id, upper(model) AS model, count(*) AS n, count(*) FILTER (WHERE side = 'A') AS a, count(*) FILTER (WHERE side = 'Z') AS z, count(DISTINCT loc) AS locations FROM sends WHERE {P('model')} GROUP BY 1, 2")
-register("every_sheet_device_registry", lambda t: counters.device_registry(every(t), PER).select("upload_id", "device", "loc_cab_ru", "model", F.array_join("sections", ",").alias("sections"), F.array_join("sides", ",").alias("sides"), "n"), EVERY + f" SELECT upload_id, lower(device) AS device, loc AS loc_cab_ru, model, array_to_string(list_sort(list(DISTINCT section)), ',') AS sections, array_to_string(list_sort(list(DISTINCT side)), ',') AS sides, count(*) AS n FROM sends WHERE {P('device')} GROUP BY 1, 2, 3, 4")
+register("every_sheet_device_registry", lambda t: counters.device_registry(every(t), PER).select("upload_id", "device", "loc_cab_ru", "model", F.array_join("sections", ",").alias("sections"), F.array_join("sides", ",").alias("sides"), "n"), EVERY + f" SELECT upload_id, lower(device) AS device, loc AS loc_cab_ru, model, array_to_string(list_sort(list(DISTINCT section)), ',') AS sections, array_to_string(list_sort(list(DISTINCT side)), ',') AS sides, count(*) AS n FROM sends WHERE ({P('device')} OR {P('loc')}) GROUP BY 1, 2, 3, 4")
+LINK_FLAGS = f"a_breakout_loc NOT IN ('', 'nan') AS a_breakout, z_breakout_loc NOT IN ('', 'nan') AS z_breakout, row_number() OVER (PARTITION BY upload_id, a_loc_cab_ru, a_port, {P('a_breakout_loc')} ORDER BY row_idx) = 1 OR NOT {P('a_breakout_loc')} AS a_breakout_new_optic"
+register("every_link_records", lambda t: counters.link_records(every(t), PER).select("upload_id", "id", "a_breakout", "z_breakout", "a_breakout_new_optic"), EVERY + f" SELECT upload_id, id, {LINK_FLAGS} FROM sheet")
 register("every_sheet_top_locations", lambda t: counters.top_locations(every(t), 3, PER).withColumn("rank", F.col("rank").cast("long")), EVERY + f", g AS (SELECT upload_id, optic, loc AS loc_cab_ru, count(*) AS n FROM sends WHERE {P('optic')} AND {P('loc')} GROUP BY 1, 2, 3) SELECT *, row_number() OVER (PARTITION BY upload_id, optic ORDER BY n DESC, loc_cab_ru) AS rank FROM g QUALIFY rank <= 3")
 register("every_roce_optics", lambda t: counters.roce_optics(every(t).select("upload_id", F.col("section").alias("tab"), "row_idx", F.col("a_device").alias("device"), F.col("a_loc_cab_ru").alias("loc"), F.col("a_port").alias("port"), F.col("z_port").alias("connector"), F.col("a_optic").alias("optic")), True, PER), EVERY + ", r AS (SELECT upload_id, upper(a_optic) AS optic, row_number() OVER (PARTITION BY upload_id, section, a_loc_cab_ru, substr(a_port, 1, greatest(length(a_port) - 2, 0)), z_port ORDER BY row_idx) AS rn FROM sheet WHERE a_device <> '' AND a_optic NOT IN ('', 'nan')) SELECT upload_id, optic, count(*) AS n FROM r WHERE rn = 1 GROUP BY 1, 2")
 register("every_rack_links", lambda t: rack.rack_links(every(t), "dh201", "041").select("upload_id", "id", "inside"), EVERY + f" SELECT upload_id, id, {IN_RACK.format(l='a_loc_cab_ru')} AND {IN_RACK.format(l='z_loc_cab_ru')} AS inside FROM sheet WHERE {IN_RACK.format(l='a_loc_cab_ru')} OR {IN_RACK.format(l='z_loc_cab_ru')}")
@@ -159,6 +161,27 @@ register("status_classes", lambda t: ingest.with_status_class(ib_sheet(t).withCo
 WHEN cents <> 2 AND lower(status) = 'lldp passed' THEN 'VERIFIED' WHEN cents <> 2 AND status = 'Cable Not Run' THEN 'PLANNED' WHEN cents <> 2 AND status = 'Human Verified' THEN 'SECTION_HEADER' ELSE 'UNKNOWN' END AS status_class, count(*) AS n FROM ib0 GROUP BY ALL""")
 register("views_stale", lambda t: ingest.views_stale(t.uploads, t.uploads.where("not is_active").select(F.col("created_at").alias("refreshed_at"))), "SELECT (SELECT max(created_at) FROM uploads) > (SELECT max(created_at) FROM uploads WHERE NOT is_active) AS stale")
 register("ingest_status_slugs", lambda t: t.raw_links.groupBy("status", cells.status_slug("status").alias("slug"), "status_normalized").agg(F.count("*").alias("n")), "SELECT status, status_normalized AS slug, status_normalized, count(*) AS n FROM raw_links GROUP BY 1, 2, 3")
+#: How the sheets of the fixture write some statuses, by the discount in cents.
+WRITTEN = {1: " LLDP:  Passed", 2: "cable ran COMPLETE", 3: "NOT_RUN_PRIORITY", 4: "No Label & Not Yet Run", 5: "Cable is ran - not terminated", 6: "nan", 9: "Odd one", 10: "by hand"}
+MEANT = {1: "LLDP Passed", 2: "Cable Is Ran Complete", 3: "Cable Not Run", 4: "Cable Not Run", 5: "Cable Is Ran Not Terminated", 6: "", 9: "Odd one", 10: "Human Verified"}
+
+
+def respelled(t: Tables):
+    cents, status = F.round(F.col("l_discount") * 100).cast("int"), F.col("status")
+    for k, v in WRITTEN.items():
+        status = F.when(cents == k, v).otherwise(status)
+    optic = F.when(cents % 2 == 0, F.concat(F.lit(" "), "a_optic")).otherwise("NaN")
+    return t.raw_links.select("upload_id", status.alias("status"), optic.alias("a_optic"), F.lower("a_model").alias("a_model"))
+
+
+def _settled(t: Tables):
+    own = ingest.settled(respelled(t), {"brand#11": "B11"}, {"By Hand": "Human Verified"}, {"b11": "Brand Eleven", "brand#22": "Brand Two"})
+    return own.groupBy("upload_id", "status", cells.status_slug("status").alias("slug"), "a_optic", "a_model").agg(F.count("*").alias("n"))
+
+
+PLAIN = f"CASE {CENTS} {' '.join(f"WHEN {k} THEN '{v}'" for k, v in MEANT.items())} ELSE coalesce(CASE lower(status) WHEN 'lldp passed' THEN 'LLDP Passed' WHEN 'cable is ran: complete' THEN 'Cable Is Ran Complete' WHEN 'cable is ran: not terminated' THEN 'Cable Is Ran Not Terminated' ELSE status END, '') END"
+register("ingest_settled", _settled, f"""AND p AS (SELECT upload_id, {PLAIN} AS status, CASE WHEN {CENTS} % 2 = 0 THEN a_optic ELSE '' END AS a_optic, CASE a_model WHEN 'Brand#11' THEN 'Brand Eleven' WHEN 'Brand#22' THEN 'Brand Two' ELSE lower(a_model) END AS a_model FROM raw_links)
+SELECT upload_id, status, CASE WHEN status IN ('', 'Cable Not Run') THEN 'not_run' WHEN status LIKE 'Cable Is Ran%' THEN CASE WHEN status LIKE '%Not%' THEN 'not_terminated' ELSE 'complete' END WHEN status = 'Odd one' THEN 'other' ELSE lower(replace(status, ' ', '_')) END AS slug, a_optic, a_model, count(*) AS n FROM p GROUP BY ALL""")
 register("ingest_first_rows", lambda t: ingest.physical_links(t.raw_links.withColumn("row_idx", F.col("id"))).groupBy("upload_id").agg(F.count("*").alias("n"), F.max("id").alias("last")), "SELECT upload_id, count(*) AS n, max(id) AS last FROM links GROUP BY 1")
 register("ingest_insert_new", lambda t: ingest.insert_new(t.links.where("upload_id = 105"), t.links.where("upload_id = 104"), ["a_device", "a_port", "z_device", "z_port"]).select("id"), "SELECT id FROM links n WHERE upload_id = 105 AND NOT EXISTS (SELECT 1 FROM links o WHERE o.upload_id = 104 AND o.a_device = n.a_device AND o.a_port = n.a_port AND o.z_device = n.z_device AND o.z_port = n.z_port)")
 register("ingest_row_filter", lambda t: ingest.row_filter(t.links, [("and", "section", "contains", "AUTO"), ("and", "a_port", "eq", "swp2"), ("or", "z_device", "endswith", "-03"), ("and", "nothing", "eq", "x")]).groupBy("section").agg(F.count("*").alias("n")), "SELECT section, count(*) AS n FROM links WHERE (section ILIKE '%AUTO%' AND a_port = 'swp2') OR z_device LIKE '%-03' GROUP BY 1")

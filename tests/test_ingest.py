@@ -157,3 +157,67 @@ def test_views_stale(spark):
     none = spark.createDataFrame([], "refreshed_at int")
     stale = lambda u, r: ingest.views_stale(u, r).first().stale
     assert stale(ups, none) and not stale(ups.limit(0), none) and not stale(ups, spark.createDataFrame([(5,)], "refreshed_at int"))
+
+
+def test_settled(spark):
+    rows = [("LLDP:  passed", "sn4700-rev2", " OPT "), ("cable not run - PRIORITY", "x", "NaN"), ("Done by us", "Y", None), (None, None, ""), (" nan ", "", "o"), ("Odd", "z", "o")]
+    df = spark.createDataFrame(rows, "status string, a_model string, a_optic string")
+    got = ingest.settled(df, {"sn4700": "SN4700"}, {"done BY us": "Human Verified"}, {"sn4700": "Switch", "y": "Why"}).withColumn("slug", cells.status_slug("status"))
+    assert [tuple(r) for r in got.collect()] == [
+        ("LLDP Passed", "Switch", "OPT", "lldp_passed"), ("Cable Not Run", "x", "", "not_run"), ("Human Verified", "Why", "", "human_verified"), ("", None, "", "not_run"), ("", "", "o", "not_run"), ("Odd", "z", "o", "other"),
+    ]
+
+
+def test_every_spelling_has_its_slug(spark):
+    df = spark.createDataFrame([(k.upper(), v) for k, v in cells.SLUGS.items()] + [(v, k) for k, v in cells.DISPLAYED.items()], "status string, slug string")
+    assert df.where(cells.status_slug("status") != F.col("slug")).count() == 0
+    assert df.where(cells.status_slug(cells.display_status("status")) != F.col("slug")).count() == 0
+
+
+def test_link_records(spark):
+    cols = "row_idx int, a_device string, a_loc_cab_ru string, a_port string, a_breakout_loc string, z_device string, z_loc_cab_ru string, z_breakout_loc string"
+    rows = [
+        (1, "d", "l", "p", "b", "z", None, ""), (2, "d", "l", "p", "b2", "z", None, "b"), (3, "d", "l", "p", "", "z", None, None), (4, "d", "l", "q", "b", "", "", ""),
+        (5, "nan", None, None, "b", "z", "", ""), (6, "", "", "p", "b", None, "nan", ""), (7, None, "m", "nan", "b", None, None, None), (8, None, "m", None, "b", None, None, None),
+    ]
+    got = {r["row_idx"]: (r["a_breakout"], r["z_breakout"], r["a_breakout_new_optic"]) for r in counters.link_records(spark.createDataFrame(rows, cols)).collect()}
+    assert got == {1: (True, False, True), 2: (True, True, False), 3: (False, False, True), 4: (True, False, True), 5: (True, False, True), 7: (True, False, True), 8: (True, False, False)}
+
+
+def test_registry_of_unnamed_devices(spark):
+    rows = [("s", "nan", "M", "l1", "Dev", None, ""), ("t", None, "M", "l1", "", "x", "nan")]
+    df = spark.createDataFrame(rows, "section string, a_device string, a_model string, a_loc_cab_ru string, z_device string, z_model string, z_loc_cab_ru string")
+    got = {(r["device"], r["loc_cab_ru"], r["model"]): (r["sections"], r["sides"], r["n"]) for r in counters.device_registry(df).collect()}
+    assert got == {("", "l1", "M"): (["s", "t"], ["A"], 2), ("dev", "", ""): (["s"], ["Z"], 1)}
+
+
+def test_trend_of_uploads_without_links(spark, sf_dir):
+    """An upload without links is a row of its own; a section that is asked for leaves it out."""
+    from linkledger.operators import inventory
+    from linkledger.plans.fixture import Tables
+
+    t = Tables(spark, sf_dir)
+    t.links = t.links.where("upload_id <> 103")
+    bare = [r for r in inventory.trend_section(t, 1).collect() if r["upload_id"] == 103]
+    assert [(r["section"], r["total"], r["completed"], r["lldp_passed"], r["pct"]) for r in bare] == [(None, 1, 0, 0, 0.0)]
+    assert 103 not in {r["upload_id"] for r in inventory.trend_section(t, 1, "machin").collect()}
+    assert [r["total"] for r in inventory.trend_status(t, 1).collect() if r["upload_id"] == 103] == [1]
+
+
+def test_links_table_follows_its_sources(spark, sf_dir, tmp_path):
+    """A changed source or a cleared table gives a new table; else the same is read again."""
+    import shutil
+
+    from linkledger.plans import fixture
+
+    own = str(tmp_path / "sf")
+    shutil.copytree(sf_dir, own)
+    n, path = fixture.Tables(spark, own).links.count(), lambda: fixture._WRITTEN[spark.sparkContext.applicationId, own][1]
+    first = path()
+    assert fixture.Tables(spark, own).links.count() == n and path() == first
+    few = fixture.Tables(spark, sf_dir).read("lineitem").limit(100).toPandas()
+    few.to_parquet(f"{own}/lineitem.parquet", coerce_timestamps="us")
+    assert 0 < fixture.Tables(spark, own).links.count() <= 100 and path() != first
+    second, m = path(), fixture.Tables(spark, own).links.count()
+    shutil.move(second, str(tmp_path / "gone"))
+    assert fixture.Tables(spark, own).links.count() == m and path() != second
