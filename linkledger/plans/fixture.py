@@ -11,11 +11,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkledger.sources.readers import write_links
 
-#: Links tables by application and source folder: the state of the sources, the table's path and its files.
-_WRITTEN: dict[tuple[str, str], tuple[tuple, str, list[str]]] = {}
+#: Links tables by application and source folder: the state of the sources, the table's path, its files and schema. The schema
+#: is kept because planning the joins anew takes longer than most queries.
+_WRITTEN: dict[tuple[str, str], tuple[tuple, str, list[str], T.StructType]] = {}
 #: Tables that links are made of.
 SOURCES = ("lineitem", "orders", "customer", "nation", "region", "part", "supplier")
 
@@ -100,27 +102,27 @@ class Tables:
     def links(self) -> DataFrame:
         """The links as a table by site and upload, which is written once for each session and state of the source files, so that
         the filters of a query on site and upload leave whole folders out. It is written again where it has been cleared away."""
-        built, key = self.built_links, (self.spark.sparkContext.applicationId, self.sf_dir)
-        state, (was, path, files) = self.source_state(), _WRITTEN.get(key, (None, "", []))
-        if state != was or not self.is_there(path, files):
-            path = f"{table_dir(self.spark)}/links-{uuid.uuid4().hex}"
-            write_links(built, path)
-            _WRITTEN[key] = (state, path, sorted(self.spark.read.parquet(path).inputFiles()))
-        return self.spark.read.schema(built.schema).parquet(path).select(*built.columns)
+        key, state = (self.spark.sparkContext.applicationId, self.sf_dir), self.source_state()
+        was, path, files, schema = _WRITTEN.get(key, (None, "", [], None))
+        if state == was:
+            try:
+                table = self.spark.read.schema(schema).parquet(path)
+                if sorted(table.inputFiles()) == files:
+                    return table.select(*schema.names)
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
+        built, path = self.built_links, f"{table_dir(self.spark)}/links-{uuid.uuid4().hex}"
+        write_links(built, path)
+        table = self.spark.read.schema(built.schema).parquet(path)
+        _WRITTEN[key] = (state, path, sorted(table.inputFiles()), built.schema)
+        return table.select(*built.columns)
 
     def source_state(self) -> tuple:
         """Number, bytes and a hash of names and times of the source files, which are listed and not read."""
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{self.sf_dir}/{n}.parquet" for n in SOURCES])
         return tuple(files.agg(F.count("*"), F.sum("length"), F.bit_xor(F.xxhash64("path", "modificationTime", "length"))).first())
 
-    def is_there(self, path: str, files: list[str]) -> bool:
-        try:
-            return sorted(self.spark.read.parquet(path).inputFiles()) == files
-        except AnalysisException as e:
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            return False
-
     @cached_property
     def built_links(self) -> DataFrame:
         """One row per (upload, both devices and ports): the lowest id wins."""
