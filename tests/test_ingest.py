@@ -221,3 +221,42 @@ def test_links_table_follows_its_sources(spark, sf_dir, tmp_path):
     second, m = path(), fixture.Tables(spark, own).links.count()
     shutil.move(second, str(tmp_path / "gone"))
     assert fixture.Tables(spark, own).links.count() == m and path() != second
+
+
+def test_links_table_moves_numbers(spark, sf_dir):
+    """Rows are dealt out once as they are written, as numbers: neither ids nor places nor statuses are shuffled or stored."""
+    from linkledger.plans import fixture
+
+    t = fixture.Tables(spark, sf_dir)
+    kept = t.raw_links.groupBy("upload_id", "a_device", "a_port", "z_device", "z_port").agg(F.min("id").alias("id")).select("id")
+    links = t.links
+    stored = set(spark.read.parquet(fixture._WRITTEN[spark.sparkContext.applicationId, sf_dir][1]).columns)
+    assert not stored & {"id", "status", "a_loc_cab_ru", "z_loc_cab_ru", "cable_id", "a_port", "z_device"}
+    assert kept.exceptAll(links.select("id")).count() == links.select("id").exceptAll(kept).count() == 0
+    plan = t.first_facts(3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(upload_id") == 1 and "REBALANCE" not in plan and "hashpartitioning(upload_id#" in plan
+    spread = t.first_facts(3).select("upload_id", "a_device", F.spark_partition_id().alias("p")).groupBy("upload_id", "a_device").agg(F.countDistinct("p").alias("n"))
+    assert spread.where("n > 1").count() == 0
+
+
+def test_physical_links_in_one_pass(spark):
+    """Rows without any port field are all kept, also those that share a number, and rows are read once."""
+    rows = [(1, "d", "p", None, "", 2), (1, "d", "p", None, "", 1), (1, "", "nan", None, "", 3), (1, "", "nan", None, "", 3), (2, "d", "p", None, "", 9)]
+    df = spark.createDataFrame(rows, "upload_id int, a_device string, a_port string, z_device string, z_port string, row_idx int")
+    got = ingest.physical_links(df)
+    assert sorted((r["upload_id"], r["row_idx"]) for r in got.collect()) == [(1, 1), (1, 3), (1, 3), (2, 9)] and got.columns == df.columns
+    assert "Union" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sorted_ends_hold_flags(spark, sf_dir):
+    """What the first sort of ends by location holds: flags in place of statuses."""
+    import re
+
+    from linkledger.plans.sheets import every, roce_sheet
+    from linkledger.plans.fixture import Tables
+
+    t = Tables(spark, sf_dir)
+    for df in (counters.cabling_state(every(t), ("upload_id",)), counters.first_models(every(t), ("upload_id",)), counters.roce_devices(roce_sheet(t), ("upload_id",))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        held = re.findall(r"SortAggregate\(key=.*?functions=\[(.*?)\]\)?\n", plan)
+        assert held and not any("status" in x or "shown" in x for x in held), plan
