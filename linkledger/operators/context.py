@@ -88,13 +88,22 @@ def file_parts(df: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
     return optics.unionByName(models), shown
 
 
+#: Lists of this many files are small enough for a broadcast, some 10 MB.
+LISTED = 100_000
+
+
+def _listed(files: DataFrame, n: int) -> DataFrame:
+    """A list of n files to join rows with. It is broadcast, as rows that are shuffled by file meet in as many tasks as there are files."""
+    return F.broadcast(files) if n <= LISTED else files
+
+
 def add_files(spark: SparkSession, path: str, df: DataFrame, k: int = 10) -> int:
     """Stores the parts of files that are not stored yet; returns how many. The list of files is committed last."""
     known = current(spark, f"{path}/files", "file_hash string").select("file_hash")
     new = df.select("file_hash").distinct().join(known, "file_hash", "left_anti")
     n = new.count()
     if n:
-        counts, shown = file_parts(df.join(new, "file_hash", "left_semi"), k)
+        counts, shown = file_parts(df.join(_listed(new, n), "file_hash", "left_semi"), k)
         add_batch(spark, f"{path}/counts", counts)
         add_batch(spark, f"{path}/evidence", shown)
         add_batch(spark, f"{path}/files", new, ["file_hash"])

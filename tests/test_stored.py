@@ -2,6 +2,7 @@
 
 import datetime
 import os
+import re
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -287,3 +288,26 @@ def test_breakouts_without_location(spark):
     end = lambda i, loc, port: sheet_row(i, "x", "other", a_loc_cab_ru=loc, a_port=port, a_optic="OPT", a_breakout_loc="b", a_locode="L")
     rows = [end(1, None, "p1"), end(2, None, "p1"), end(3, None, "p2"), end(4, "l", None), end(5, "l", None)]
     assert [(r["optic"], r["n"]) for r in counters.sheet_optics(spark.createDataFrame(rows, SHEET)).collect()] == [("OPT", 3)]
+
+
+def test_context_keeps_rows_where_they_are(spark, tmp_path, monkeypatch):
+    """However large an engine takes the list of new files for, rows are not shuffled by file, of which there are few."""
+    rows = spark.createDataFrame([(f"f{i % 2}", f"r{i}", "s", "x", "x", *["d", "p", f"o{i % 3}", "m", "l", ""] * 2) for i in range(20)], SHEET_ROWS)
+    plans, add = {}, context.add_batch
+
+    def kept(spark, path, df, *more):
+        plans[path.rpartition("/")[2]] = df._jdf.queryExecution().executedPlan().toString()
+        return add(spark, path, df, *more)
+
+    monkeypatch.setattr(context, "add_batch", kept)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        context.add_files(spark, str(tmp_path / "c"), rows, 2)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    for plan in (plans["counts"], plans["evidence"]):
+        assert re.search(r"BroadcastHashJoin \[file_hash#\d+\], \[file_hash#\d+\], LeftSemi", plan)
+
+
+SHEET_ROWS = "file_hash string, row_idx string, section string, status string, status_normalized string, " + ", ".join(f"{s}_{c} string" for s in "az" for c in ("device", "port", "optic", "model", "loc_cab_ru", "breakout_loc"))
