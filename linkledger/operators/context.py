@@ -111,9 +111,12 @@ def add_files(spark: SparkSession, path: str, df: DataFrame, k: int = 10) -> int
 
 
 def _stored(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
-    """Rows of files that are committed, once each: a file that was added again after a break has equal rows of two versions."""
-    files = current(spark, f"{path}/files", "file_hash string").select("file_hash")
-    return current(spark, f"{path}/{name}", schema).drop("version").join(files, "file_hash", "left_semi").distinct()
+    """Rows of files that are committed, once each: a file that was added again after a break has its rows in two versions, of which
+    the last counts. Rows are compared by file and version, which leaves them where they are."""
+    files, rows = current(spark, f"{path}/files", "file_hash string").select("file_hash"), current(spark, f"{path}/{name}", schema)
+    n = files.count()
+    last = rows.groupBy("file_hash").agg(F.max("version").alias("version")).join(_listed(files, n), "file_hash", "left_semi")
+    return rows.join(_listed(last, n), ["file_hash", "version"], "left_semi").drop("version")
 
 
 def merged_counts(spark: SparkSession, path: str) -> DataFrame:

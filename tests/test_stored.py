@@ -304,10 +304,32 @@ def test_context_keeps_rows_where_they_are(spark, tmp_path, monkeypatch):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         context.add_files(spark, str(tmp_path / "c"), rows, 2)
+        merged = context.merged_counts(spark, str(tmp_path / "c"))._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     for plan in (plans["counts"], plans["evidence"]):
         assert re.search(r"BroadcastHashJoin \[file_hash#\d+\], \[file_hash#\d+\], LeftSemi", plan)
+    assert re.search(r"BroadcastHashJoin \[file_hash#\d+, version#\d+L?\]", merged)
+
+
+def test_context_equal_cells_and_broken_loads(spark, tmp_path, monkeypatch):
+    """Equal cells of a file are evidence twice; a file that was added again after a break counts once."""
+    path = str(tmp_path / "c")
+    rows = spark.createDataFrame([("f1", "r1", "s", "x", "x", *["d", "p", "o", "m", "l", ""] * 2)] * 2, SHEET_ROWS)
+    add = context.add_batch
+
+    def breaks(spark, path, *more):
+        if path.endswith("/files"):
+            raise RuntimeError("broken")
+        return add(spark, path, *more)
+
+    monkeypatch.setattr(context, "add_batch", breaks)
+    with pytest.raises(RuntimeError):
+        context.add_files(spark, path, rows, 5)
+    monkeypatch.setattr(context, "add_batch", add)
+    assert context.merged_counts(spark, path).count() == 0 and context.add_files(spark, path, rows, 5) == 1
+    assert [(r["n"], r["files"]) for r in context.merged_counts(spark, path).where("kind = 'optic'").collect()] == [(4, 1)]
+    assert sorted((r["row_idx"], r["place"], r["rank"]) for r in context.merged_evidence(spark, path, 5).collect()) == [("r1", "a_optic", 1), ("r1", "a_optic", 2), ("r1", "z_optic", 3), ("r1", "z_optic", 4)]
 
 
 SHEET_ROWS = "file_hash string, row_idx string, section string, status string, status_normalized string, " + ", ".join(f"{s}_{c} string" for s in "az" for c in ("device", "port", "optic", "model", "loc_cab_ru", "breakout_loc"))
