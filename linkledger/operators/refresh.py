@@ -40,6 +40,9 @@ def _devices(links: DataFrame) -> DataFrame:
 
 
 VIEWS = {"optic_inventory_by_side": _by_side, "optic_inventory_combined": _combined, "cable_status_summary": _statuses, "device_summary": _devices}
+#: Views with rows of single devices, whose number grows with the links. The tasks that count them write them, where a second shuffle would
+#: bring each upload into one task; others are small and become one file for each upload.
+LARGE = {"device_summary"}
 #: How a view's rows of several active uploads of a site come together.
 MERGED = {
     "optic_inventory_by_side": (["site_id", "optic", "side"], ["total", "in_service", "failed", "pending"]),
@@ -76,7 +79,8 @@ def refresh(links: DataFrame, uploads: DataFrame, path: str, triggered_by: str =
     rows = links.join(new.select("upload_id"), "upload_id", "left_semi")
     for name, view in VIEWS.items():
         out = view(rows).join(new, "upload_id")
-        out.repartition(*PER).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PER).parquet(f"{path}/{name}")
+        out = out if name in LARGE else out.repartition(*PER)
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PER).parquet(f"{path}/{name}")
     new.select("upload_id", "created_at", F.lit(now).alias("refreshed_at"), F.lit(triggered_by).alias("triggered_by")).coalesce(1).write.mode("append").parquet(f"{path}/log")
     return n
 

@@ -333,3 +333,20 @@ def test_context_equal_cells_and_broken_loads(spark, tmp_path, monkeypatch):
 
 
 SHEET_ROWS = "file_hash string, row_idx string, section string, status string, status_normalized string, " + ", ".join(f"{s}_{c} string" for s in "az" for c in ("device", "port", "optic", "model", "loc_cab_ru", "breakout_loc"))
+
+
+def test_large_view_is_written_where_it_is_counted(spark, sf_dir, tmp_path):
+    """Rows of devices are shuffled once, so that an upload's are not all in one task."""
+    t, path = Tables(spark, sf_dir), str(tmp_path / "views")
+    was = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled",)}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        refresh.refresh(t.links, t.uploads.where("upload_id = 107"), path)
+    finally:
+        for c, v in was.items():
+            spark.conf.set(c, v)
+    files = lambda name: [f for _, _, fs in os.walk(f"{path}/{name}") for f in fs if f.startswith("part-")]
+    assert len(files("device_summary")) > 1 and len(files("optic_inventory_combined")) == 1
+    got = refresh.read_view(spark, path, "device_summary", t.uploads)
+    want = refresh._devices(t.links.where("upload_id = 107")).groupBy("site_id", "device").agg(F.max("model").alias("model"), F.sum("connections").alias("connections"), F.countDistinct("port").alias("ports"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
