@@ -26,7 +26,7 @@ def _in_batches(t: Tables) -> str:
     path = new_path(t, "link-batches")
     rows = t.links.select(*KEY, "section", "upload_id")
     for batch in (rows.where("section <> 'MACHINERY'"), rows, rows):
-        ledger.add_batch(t.spark, path, batch, KEY)
+        ledger.add_batch(t.spark, path, batch, KEY, by=["a_device"])
     return path
 
 

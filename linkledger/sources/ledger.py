@@ -43,19 +43,34 @@ def current(spark: SparkSession, path: str, schema, version: int | None = None)
     return spark.read.schema(f"{names}, version long").option("basePath", f"{path}/rows").parquet(*folders)
 
 
-def add_batch(spark: SparkSession, path: str, rows: DataFrame | Callable[[], DataFrame], key: list[str] = [], replace: bool = False) -> int:
+def first_rows(rows: DataFrame, key: list[str], known: DataFrame | None = None, by: list[str] = []) -> DataFrame:
+    """One row of each key, the least of all columns, without keys that known has; a key with a null is never known. Rows and known
+    keys meet in one shuffle. by: columns of the key, of many values with few rows each, that deal rows out; rows that share them
+    arrive beside each other as they were read and stored, and compress better than rows dealt out by the whole key."""
+    rest = [c for c in rows.columns if c not in key]
+    out = rows.select(*key, F.struct(*(rest or [F.lit(0).alias("_")])).alias("_row"))
+    if known is not None:
+        none = F.lit(None).cast(out.schema["_row"].dataType)
+        out = out.withColumn("_known", F.lit(False)).unionByName(known.dropna(subset=key).select(*key, none.alias("_row"), F.lit(True).alias("_known")))
+    out = out.repartition(*by) if by else out
+    if known is None:
+        out = out.groupBy(*key).agg(F.min("_row").alias("_row"))
+    else:
+        out = out.groupBy(*key).agg(F.min("_row").alias("_row"), F.bool_or("_known").alias("_known")).where("not _known")
+    return out.select(*key, "_row.*").select(*key, *rest)
+
+
+def add_batch(spark: SparkSession, path: str, rows: DataFrame | Callable[[], DataFrame], key: list[str] = [], replace: bool = False, by: list[str] = []) -> int:
     """Commits a batch and returns its version. With a key, rows whose key the table has already are left out, and of
-    those that share one, one stays (the least of all columns); with replace=True they are taken, and by_key() shows the latest."""
+    those that share one, one stays (the least of all columns); with replace=True they are taken, and by_key() shows the latest.
+    by: see first_rows()."""
     version = (commits(spark, path).agg(F.max("version")).first()[0] or 0) + 1
     batch = f"batch-{uuid.uuid4().hex}"
     where = f"{path}/rows/version={version}/{batch}"
     try:
         rows = rows() if callable(rows) else rows
         if key:
-            rest = [c for c in rows.columns if c not in key]
-            rows = rows.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_row")).select(*key, "_row.*") if rest else rows.distinct()
-            if not replace:
-                rows = rows.join(current(spark, path, rows.schema).select(*key), key, "left_anti")
+            rows = first_rows(rows, key, None if replace else current(spark, path, rows.schema), by)
         rows.write.parquet(where)
         n = spark.read.schema(rows.schema).parquet(where).count()
     except Exception as e:

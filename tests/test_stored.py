@@ -350,3 +350,23 @@ def test_large_view_is_written_where_it_is_counted(spark, sf_dir, tmp_path):
     got = refresh.read_view(spark, path, "device_summary", t.uploads)
     want = refresh._devices(t.links.where("upload_id = 107")).groupBy("site_id", "device").agg(F.max("model").alias("model"), F.sum("connections").alias("connections"), F.countDistinct("port").alias("ports"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_batch_moves_rows_once(spark, tmp_path):
+    """Rows meet the keys that the table has in the shuffle that deals them out, by a column of the key."""
+    schema, path = "d string, p string, v int", str(tmp_path / "t")
+    rows = lambda ks, v: spark.createDataFrame([(f"d{k % 9}", f"p{k}", v) for k in ks] + [(None, "p", v)], schema).repartition(5)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = ledger.first_rows(rows(range(9), 1).coalesce(2), ["d", "p"], rows(range(3), 0).coalesce(2), ["d"])._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1
+        ledger.add_batch(spark, path, rows([*range(60), *range(60)], 2).unionByName(rows(range(30), 1)), ["d", "p"], by=["d"])
+        ledger.add_batch(spark, path, rows(range(90), 3), ["d", "p"], by=["d"])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    got = sorted((r["version"], r["d"], r["p"], r["v"]) for r in ledger.current(spark, path, schema).where("d is not null").collect())
+    assert got == sorted((1 if k < 60 else 2, f"d{k % 9}", f"p{k}", 1 if k < 30 else 2 if k < 60 else 3) for k in range(90))
+    assert [(r["version"], r["v"]) for r in ledger.current(spark, path, schema).where("d is null").orderBy("version").collect()] == [(1, 1), (2, 3)]
+    files = ledger.current(spark, path, schema).select("version", "d", F.col("_metadata.file_path").alias("file")).groupBy("version", "d").agg(F.countDistinct("file").alias("n"))
+    assert files.where("n > 1").count() == 0
